@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fst_tokenizer, language_id, token_counts, toxicity
-from .common import held_out, table
+from . import fst_tokenizer, language_id, packing, simhash, token_counts, token_store, toxicity
+from .common import fresh_path, held_out, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,16 +22,34 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_counts(docs, fst_tokenizer.default_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), path, fst_tokenizer.default_path(), end_id=2)
+    return token_store.summary(token_store.read(spark, path))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.assign(table(spark, sf_dir, "documents"), radius=3, words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs)
     return language_id.with_language(docs.drop("lang"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), fst_tokenizer.default_path(), end_id=1, window=2048)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_token_store": op4_token_store,
+    "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
