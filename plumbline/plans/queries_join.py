@@ -1 +1,434 @@
-"""Queries."""
+"""Joins and lookups, filters, windows, sorting and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import asof, graph, spatial
+from .registry import query
+
+c = F.col
+ANGLE = "((({a1} - {a0} + 180) % 360 + 360) % 360 - 180)"
+
+
+def r(x, n=6):
+    return F.round(x, n)
+
+
+_SPAN = "sp AS (SELECT track, max(t) - min(t) AS span FROM telemetry GROUP BY 1)"
+_BR = f"""{_SPAN}, b AS (SELECT f.frame_index, f.t, p.t AS t0, p.lat AS lat0, p.yaw AS yaw0, p.acc AS acc0, n.t AS t1, n.lat AS lat1, n.yaw AS yaw1, n.acc AS acc1, sp.span
+FROM frames f JOIN sp USING (track) ASOF LEFT JOIN telemetry p ON f.track = p.track AND f.t > p.t ASOF LEFT JOIN telemetry n ON f.track = n.track AND f.t <= n.t),
+w AS (SELECT *, CASE WHEN t1 > t0 THEN (t - t0) / (t1 - t0) ELSE 0 END AS w FROM b)"""
+
+
+@query(
+    "E01 E21 E22",
+    f"""WITH {_BR} SELECT frame_index, round(CASE WHEN t0 IS NULL THEN lat1 WHEN t1 IS NULL THEN lat0 ELSE lat0 * (1 - w) + lat1 * w END, 8) AS lat,
+round(CASE WHEN t0 IS NULL THEN yaw1 WHEN t1 IS NULL THEN yaw0 ELSE ((yaw0 + w * {ANGLE.format(a0='yaw0', a1='yaw1')}) % 360 + 360) % 360 END, 4) AS yaw,
+round(CASE WHEN t0 IS NULL THEN acc1 WHEN t1 IS NULL THEN acc0 ELSE acc0 * (1 - w) + acc1 * w END, 6) AS acc,
+round(least(coalesce(abs(t - t0), 'inf'::DOUBLE), coalesce(abs(t - t1), 'inf'::DOUBLE)), 5) AS residual,
+round(least(greatest(1 - least(coalesce(abs(t - t0), 'inf'::DOUBLE), coalesce(abs(t - t1), 'inf'::DOUBLE)) / (0.5 * CASE WHEN span = 0 THEN 1 ELSE span END + 1e-6), 0), 1), 8) AS confidence FROM w""",
+)
+def e01_synchronize(v):
+    """Telemetry at each frame's time: linear between the bracketing samples, clamped at the ends."""
+    f = asof.bracket(v.frames.select("frame_index", "track", "t"), v.telemetry, "track", "t", ["lat", "yaw", "acc"], width=86400.0)
+    span = v.telemetry.groupBy("track").agg((F.max("t") - F.min("t")).alias("span"))
+    f = f.join(span, "track").withColumn("w", asof.share(c("t")))
+    inf = F.lit(float("inf"))
+    res = F.least(F.coalesce(F.abs(c("t") - c("before.t")), inf), F.coalesce(F.abs(c("t") - c("after.t")), inf))
+    yaw = F.when(c("before").isNull(), c("after.yaw")).when(c("after").isNull(), c("before.yaw")).otherwise(geo.angle_between(c("before.yaw"), c("after.yaw"), c("w")))
+    half = 0.5 * F.when(c("span") == 0, 1.0).otherwise(c("span")) + 1e-6
+    return f.select(
+        "frame_index",
+        r(asof.between("lat", c("w")), 8).alias("lat"),
+        r(yaw, 4).alias("yaw"),
+        r(asof.between("acc", c("w"))).alias("acc"),
+        r(res, 5).alias("residual"),
+        r(F.least(F.greatest(1 - res / half, F.lit(0.0)), F.lit(1.0)), 8).alias("confidence"),
+    )
+
+
+@query("E02", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o.o_custkey FROM lineitem JOIN orders o ON l_orderkey = o_orderkey WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey NOT IN (SELECT o_orderkey FROM orders))")
+def e02_join_or_refuse(v):
+    """Inner join that refuses as a whole if any left row lacks its partner."""
+    keys = v.orders.select(c("o_orderkey").alias("l_orderkey"), "o_custkey")
+    missing = v.lineitem.join(keys, "l_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    return v.lineitem.join(keys, "l_orderkey").crossJoin(F.broadcast(missing)).where("missing = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_custkey")
+
+
+@query("E03 E12", "SELECT k.camera_id, k.frame_index, round(k.t, 3) AS t, s.s_nationkey, n.n_name FROM cameras k JOIN supplier s ON s.s_suppkey * 3 = k.frame_index JOIN nation n ON n.n_nationkey = s.s_nationkey WHERE k.camera_id % 7 <> 0")
+def e03_two_hop_join(v):
+    s = v.supplier.select((c("s_suppkey") * 3).alias("frame_index"), "s_nationkey")
+    return v.cameras.where("camera_id % 7 <> 0").join(s, "frame_index").join(v.nation, c("s_nationkey") == c("n_nationkey")).select("camera_id", "frame_index", r(c("t"), 3).alias("t"), "s_nationkey", "n_name")
+
+
+@query("E04", "SELECT a.p_partkey, b.n_b FROM (SELECT p_partkey, regexp_extract('dir/' || replace(p_name, ' ', '_') || '.JPG', '([^/]+)\\.[A-Za-z]+$', 1) AS stem FROM part) a JOIN (SELECT replace(p_name, ' ', '_') AS stem, count(*) AS n_b FROM part GROUP BY 1) b USING (stem)")
+def e04_filename_stem_join(v):
+    a = v.part.select("p_partkey", F.regexp_extract(F.concat(F.lit("dir/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".JPG")), r"([^/]+)\.[A-Za-z]+$", 1).alias("stem"))
+    b = v.part.groupBy(F.replace("p_name", F.lit(" "), F.lit("_")).alias("stem")).agg(F.count(F.lit(1)).alias("n_b"))
+    return a.join(b, "stem").select("p_partkey", "n_b")
+
+
+_D3 = "sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)"
+
+
+@query("E05", f"WITH q AS (SELECT a.point_id, b.point_id AS near, {_D3} AS d, row_number() OVER (PARTITION BY a.point_id ORDER BY round({_D3}, 9), b.point_id) AS rk FROM points a JOIN points b ON a.point_id <> b.point_id) SELECT point_id, rk::INTEGER AS rank, near, round(d, 6) AS d FROM q WHERE rk <= 3")
+def e05_nearest_neighbours(v):
+    p = v.points.select("point_id", "x", "y", "z")
+    return spatial.nearest(p, p, "point_id", "point_id", ["x", "y", "z"], 3, 4.0, other=True, reach=256.0).select(c("q.point_id").alias("point_id"), "rank", c("p.point_id").alias("near"), r(c("d")).alias("d"))
+
+
+@query("E06", f"SELECT a.point_id AS a, b.point_id AS b, round({_D3}, 6) AS d FROM points a JOIN points b ON a.point_id < b.point_id AND (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 9")
+def e06_radius_join(v):
+    p = v.points.select("point_id", "x", "y", "z")
+    return spatial.within(p, p, ["x", "y", "z"], 3.0).where("q.point_id < p.point_id").select(c("q.point_id").alias("a"), c("p.point_id").alias("b"), r(c("d")).alias("d"))
+
+
+@query(
+    "E07 E36 F36 D07",
+    """WITH q AS (SELECT o_orderkey AS id, (o_orderkey * 31 % 1000) / 1e1 AS x, (o_orderkey * 57 % 1000) / 1e1 AS y, (o_orderkey % 50) / 5e0 AS z FROM orders WHERE o_orderkey % 50 = 0),
+n AS (SELECT a.id, b.point_id, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2, b.point_id) AS rk FROM q a JOIN points b ON (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 16)
+SELECT n.id, n.point_id, count(*) FILTER (WHERE o.kind = 0) AS sparse, count(*) FILTER (WHERE o.kind = 1) AS dense FROM n JOIN observations o USING (point_id) WHERE rk = 1 GROUP BY 1, 2""",
+)
+def e07_lineage_lookup(v):
+    """The observations behind the nearest point within a tolerance, by kind."""
+    k = c("o_orderkey")
+    q = v.orders.where(k % 50 == 0).select(k.alias("id"), (k * 31 % 1000 / 10.0).alias("x"), (k * 57 % 1000 / 10.0).alias("y"), (k % 50 / 5.0).alias("z"))
+    p = v.points.select("point_id", "x", "y", "z")
+    near = spatial.within(q, p, ["x", "y", "z"], 4.0).withColumn("rk", F.row_number().over(Window.partitionBy("q.id").orderBy("d", "p.point_id"))).where("rk = 1").select("q.id", "p.point_id")
+    return near.join(v.observations, "point_id").groupBy("id", "point_id").agg(F.count_if(c("kind") == 0).alias("sparse"), F.count_if(c("kind") == 1).alias("dense"))
+
+
+_FUSED = "fused AS (SELECT min(l_partkey) AS source, floor(x) AS cx, floor(y / 4) AS cy FROM dense GROUP BY 2, 3)"
+
+
+@query("E08 E10", "WITH s AS (SELECT point_id % 400 AS cell, min(point_id) AS source FROM points GROUP BY 1), f AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS fused FROM s) SELECT fused, count(*) AS n, min(camera_id) AS first_camera FROM observations JOIN f ON point_id = source GROUP BY 1")
+def e08_remap_observations(v):
+    """Old row numbers to those that survived fusion; observations of lost rows go."""
+    s = v.points.groupBy((c("point_id") % 400).alias("cell")).agg(F.min("point_id").alias("point_id"))
+    f = s.select("point_id", (F.row_number().over(Window.orderBy("point_id")) - 1).cast("long").alias("fused"))
+    return v.observations.join(f, "point_id").groupBy("fused").agg(F.count(F.lit(1)).alias("n"), F.min("camera_id").alias("first_camera"))
+
+
+@query("E11", "SELECT point_id, list_sort(list(DISTINCT camera_id))[1] AS first, count(DISTINCT camera_id)::INTEGER AS size, (sum(count(DISTINCT camera_id)) OVER (ORDER BY point_id) - count(DISTINCT camera_id))::BIGINT AS \"offset\" FROM observations GROUP BY 1")
+def e11_ragged_to_csr(v):
+    """Ragged tracks as flat values with offsets."""
+    t = v.observations.groupBy("point_id").agg(F.array_sort(F.collect_set("camera_id")).alias("flat"))
+    before = F.sum(F.size("flat")).over(Window.orderBy("point_id")) - F.size("flat")
+    return t.select("point_id", c("flat")[0].alias("first"), F.size("flat").alias("size"), before.alias("offset"))
+
+
+_POSE = """q AS (SELECT o_orderkey AS id, 0 AS one, (o_orderkey * 37 % 5400) / 1e2 - 2 AS t FROM orders WHERE o_orderkey % 10 = 0),
+k AS (SELECT 0 AS one, CASE WHEN camera_id >= 60 THEN t + 5 ELSE t END AS t, cx FROM cameras),
+lim AS (SELECT min(t) AS lo, max(t) AS hi FROM k)"""
+
+
+@query(
+    "E13 E14",
+    f"""WITH {_POSE}, b AS (SELECT q.id, q.t, p.t AS t0, p.cx AS x0, n.t AS t1, n.cx AS x1, lo, hi FROM q CROSS JOIN lim ASOF LEFT JOIN k p ON q.one = p.one AND q.t >= p.t ASOF LEFT JOIN k n ON q.one = n.one AND q.t < n.t)
+SELECT id, CASE WHEN t < lo OR t > hi THEN 'out_of_range' WHEN t1 - t0 > 2 THEN 'gap' ELSE 'synced' END AS status, CASE WHEN t >= lo AND t <= hi THEN round(CASE WHEN t1 IS NULL THEN x0 ELSE x0 + (x1 - x0) * (t - t0) / (t1 - t0) END, 6) END AS cx FROM b""",
+)
+def e13_pose_at_time(v):
+    q = v.orders.where("o_orderkey % 10 = 0").select(c("o_orderkey").alias("id"), F.lit(0).alias("one"), (c("o_orderkey") * 37 % 5400 / 100.0 - 2).alias("t"))
+    k = v.cameras.select(F.lit(0).alias("one"), F.when(c("camera_id") >= 60, c("t") + 5).otherwise(c("t")).alias("t"), "cx")
+    b = asof.bracket(q, k, "one", "t", ["cx"], width=10.0, strict=False)
+    at_end = c("after").isNull() & (c("t") == c("before.t"))
+    out = c("before").isNull() | (c("after").isNull() & ~at_end)
+    w = asof.share(c("t"))
+    return b.select(
+        "id",
+        F.when(out, "out_of_range").when(c("after.t") - c("before.t") > 2, "gap").otherwise("synced").alias("status"),
+        F.when(~out, r(F.when(at_end, c("before.cx")).otherwise(c("before.cx") + (c("after.cx") - c("before.cx")) * w))).alias("cx"),
+    )
+
+
+@query(
+    "E15",
+    """WITH RECURSIVE e AS (SELECT i AS a, j AS b FROM edges WHERE i % 5 <> 0 UNION SELECT j, i FROM edges WHERE i % 5 <> 0), n AS (SELECT DISTINCT a AS node FROM e),
+walk AS (SELECT node, node AS reach FROM n UNION SELECT w.node, e.b FROM walk w JOIN e ON w.reach = e.a) SELECT node, min(reach) AS label FROM walk GROUP BY 1""",
+)
+def e15_track_components(v):
+    """Union of matches into tracks: the least node reachable."""
+    e = v.edges.where("i % 5 <> 0")
+    nodes = e.select(c("i").alias("node")).union(e.select("j")).distinct()
+    return graph.components(nodes, e, "node", "i", "j")
+
+
+@query("E16 H08 I01", """WITH s AS (SELECT a.camera_id AS i, b.camera_id AS j FROM cameras a JOIN cameras b ON b.camera_id - a.camera_id IN (1, 2, 4, 8, 16)),
+g AS (SELECT a.camera_id AS i, b.camera_id AS j FROM cameras a JOIN cameras b ON a.camera_id < b.camera_id AND sqrt((a.cx - b.cx) ^ 2 + (a.cy - b.cy) ^ 2) <= 20),
+u AS (SELECT * FROM s UNION SELECT * FROM g) SELECT i, j FROM u ORDER BY j - i, i LIMIT 300""")
+def e16_pair_graph(v):
+    """Pairs at set strides and near in space, shortest separation first, capped as the feature is."""
+    k = v.cameras
+    ids = k.select(c("camera_id").alias("j"))
+    s = k.select(c("camera_id").alias("i"), F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))).alias("d")).select("i", (c("i") + c("d")).alias("j")).join(ids, "j", "left_semi").select("i", "j")
+    q = k.select("camera_id", "cx", "cy")
+    g = spatial.within(q, q, ["cx", "cy"], 20.0).where("q.camera_id < p.camera_id").select(c("q.camera_id").alias("i"), c("p.camera_id").alias("j"))
+    return s.union(g).distinct().orderBy(c("j") - c("i"), "i").limit(300)
+
+
+@query("E17", "WITH b AS (SELECT i, j FROM edges UNION SELECT j, i FROM edges), p AS (SELECT DISTINCT i, j FROM edges) SELECT p.i, p.j, count(*) AS common FROM p JOIN b x ON x.i = p.i JOIN b y ON y.i = p.j AND y.j = x.j GROUP BY 1, 2")
+def e17_common_neighbours(v):
+    e = v.edges.select("i", "j")
+    b = e.union(e.select("j", "i")).distinct()
+    p = e.distinct()
+    x, y = b.select("i", c("j").alias("m")), b.select(c("i").alias("j"), c("j").alias("m"))
+    return p.join(x, "i").join(y, ["j", "m"]).groupBy("i", "j").agg(F.count(F.lit(1)).alias("common"))
+
+
+@query("E18 D08 K05", "SELECT p.point_id, k.dsm, coalesce(k.n, 0) AS n, k.dsm IS NOT NULL AS observed FROM points p LEFT JOIN cells k ON k.rw = floor(p.y / 2) AND k.cl = floor(p.x / 2)")
+def e18_point_to_cell(v):
+    """A cell's value under each point; outside it is NoData, not zero."""
+    k = v.cells.select("rw", "cl", "dsm", "n")
+    p = v.points.select("point_id", F.floor(c("y") / 2).alias("rw"), F.floor(c("x") / 2).alias("cl"))
+    return p.join(k, ["rw", "cl"], "left").select("point_id", "dsm", F.coalesce("n", F.lit(0)).alias("n"), c("dsm").isNotNull().alias("observed"))
+
+
+@query("E19", """WITH ref AS (SELECT floor(x / 2) AS cx, floor(y / 2) AS cy, avg(z) AS mz, stddev_pop(z) AS s, count(*) AS n FROM dense GROUP BY 1, 2 HAVING count(*) >= 8 AND stddev_pop(z) < 4)
+SELECT p.point_id, round(p.z - mz, 6) AS dz FROM points p JOIN ref ON floor(p.x / 2) = cx AND floor(p.y / 2) = cy WHERE abs(p.z - mz) < 5""")
+def e19_flat_cell_difference(v):
+    ref = v.dense.groupBy(F.floor(c("x") / 2).alias("cx"), F.floor(c("y") / 2).alias("cy")).agg(F.avg("z").alias("mz"), F.stddev_pop("z").alias("s"), F.count(F.lit(1)).alias("n")).where("n >= 8 and s < 4")
+    p = v.points.select("point_id", "z", F.floor(c("x") / 2).alias("cx"), F.floor(c("y") / 2).alias("cy"))
+    return p.join(ref, ["cx", "cy"]).where(F.abs(c("z") - c("mz")) < 5).select("point_id", r(c("z") - c("mz")).alias("dz"))
+
+
+_PAIR = "p AS (SELECT a.camera_id AS i, b.camera_id AS j, sqrt((a.cx - b.cx) ^ 2 + (a.cy - b.cy) ^ 2 + (a.cz - b.cz) ^ 2) AS d, sqrt((a.cx - b.cx) ^ 2 + (a.cy - b.cy) ^ 2 + (a.cz - b.cz) ^ 2) * 1.01 + (a.camera_id % 7 - 3) / 1e2 AS est FROM cameras a JOIN cameras b ON a.camera_id < b.camera_id)"
+
+
+def _pairs(v):
+    k = v.cameras
+    a, b = (k.select(*[c(x).alias(f"{x}_{s}") for x in ("camera_id", "cx", "cy", "cz")]) for s in "ab")
+    d = F.sqrt((c("cx_a") - c("cx_b")) ** 2 + (c("cy_a") - c("cy_b")) ** 2 + (c("cz_a") - c("cz_b")) ** 2)
+    # the cameras of one flight: a bounded table against itself, as the operator is defined
+    return a.join(b, c("camera_id_a") < c("camera_id_b")).select(c("camera_id_a").alias("i"), c("camera_id_b").alias("j"), d.alias("d")).withColumn("est", c("d") * 1.01 + (c("i") % 7 - 3) / 100.0)
+
+
+@query("E20 F30", f"""WITH {_PAIR} SELECT CASE WHEN d < 25 THEN '0-25' WHEN d < 75 THEN '25-75' WHEN d < 200 THEN '75-200' ELSE '200-400' END AS band, count(*) AS n, round(median(est - d), 6) AS median_error, round(regr_slope(est, d) - 1, 6) AS scale_error FROM p GROUP BY 1 HAVING count(*) > 20""")
+def f30_baseline_bands(v):
+    band = F.when(c("d") < 25, "0-25").when(c("d") < 75, "25-75").when(c("d") < 200, "75-200").otherwise("200-400")
+    return _pairs(v).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), r(F.median(c("est") - c("d"))).alias("median_error"), r(F.regr_slope("est", "d") - 1).alias("scale_error")).where("n > 20")
+
+
+@query("E23 E24", """WITH o AS (SELECT DISTINCT camera_id FROM observations WHERE kind = 1 AND quantity > 49), f AS (SELECT camera_id AS frame, t FROM cameras WHERE camera_id % 9 = 0),
+rk AS (SELECT f.frame, k.camera_id, row_number() OVER (PARTITION BY f.frame ORDER BY abs(k.t - f.t), k.camera_id) AS rank FROM f JOIN cameras k ON k.camera_id <> f.frame SEMI JOIN o ON o.camera_id = k.camera_id) SELECT frame, camera_id, rank::INTEGER AS rank FROM rk WHERE rank <= 4""")
+def e23_anchor_frames(v):
+    """The k frames nearest in time that have observations."""
+    o = v.observations.where("kind = 1 and quantity > 49").select("camera_id").distinct()
+    k = v.cameras.join(o, "camera_id", "left_semi").select("camera_id", "t")
+    f = v.cameras.where("camera_id % 9 = 0").select(c("camera_id").alias("frame"), c("t").alias("ft"))
+    rank = F.row_number().over(Window.partitionBy("frame").orderBy(F.abs(c("t") - c("ft")), "camera_id"))
+    return f.join(k, c("camera_id") != c("frame")).withColumn("rank", rank).where("rank <= 4").select("frame", "camera_id", "rank")
+
+
+@query("E25 H09 Q01 Q02", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events WHERE event_type <> 'error') WHERE rk = 1")
+def e25_latest_answer(v):
+    """The newest row per key, by a grouped maximum rather than a sort of the group."""
+    top = v.events.where("event_type <> 'error'").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m"))
+    return top.select("user_id", "m.event_id", "m.event_type")
+
+
+@query("E27", """WITH k AS (SELECT *, radians(yaw) AS y FROM cameras) SELECT a.camera_id AS i, b.camera_id AS j, round(cos(a.y) * cos(b.y) + sin(a.y) * sin(b.y), 8) AS r00, round(sin(a.y) * cos(b.y) - cos(a.y) * sin(b.y), 8) AS r01, 1 / (b.camera_id - a.camera_id) AS weight FROM k a JOIN k b ON b.camera_id - a.camera_id IN (1, 2, 4, 8)""")
+def e27_relative_edges(v):
+    """Relative rotation R_j R_i^T of heading-only poses at set offsets, weight 1 / offset."""
+    k = v.cameras.select("camera_id", F.radians("yaw").alias("y"))
+    a = k.select(c("camera_id").alias("i"), c("y").alias("ya"), F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))).alias("o")).withColumn("j", c("i") + c("o"))
+    z = [F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+
+    def rot(y):
+        return [[F.cos(y), F.sin(y), F.lit(0.0)], [-F.sin(y), F.cos(y), F.lit(0.0)], z]
+
+    ri = rot(c("ya"))
+    rel = geo.matmul(rot(c("yb")), [[ri[n][m] for n in range(3)] for m in range(3)])
+    return a.join(k.select(c("camera_id").alias("j"), c("y").alias("yb")), "j").select("i", "j", r(rel[0][0], 8).alias("r00"), r(-rel[0][1], 8).alias("r01"), (1 / c("o")).alias("weight"))
+
+
+@query("E28", "SELECT count(*) AS n, round(sqrt(avg((a.cx - b.cy) ^ 2)), 6) AS rms, (sqrt(avg((a.cx - b.cy) ^ 2)) <= 50) AS aligned FROM (SELECT cx, row_number() OVER (ORDER BY camera_id) AS k FROM cameras) a JOIN (SELECT cy, row_number() OVER (ORDER BY t, camera_id) AS k FROM cameras) b USING (k)")
+def e28_positional_pairing(v):
+    a = v.cameras.select("cx", F.row_number().over(Window.orderBy("camera_id")).alias("k"))
+    b = v.cameras.select("cy", F.row_number().over(Window.orderBy("t", "camera_id")).alias("k"))
+    rms = F.sqrt(F.avg((c("cx") - c("cy")) ** 2))
+    return a.join(b, "k").agg(F.count(F.lit(1)).alias("n"), r(rms).alias("rms"), (rms <= 50).alias("aligned"))
+
+
+# Filters and gates
+@query("D01", "SELECT event_id, (lat * 4.06 BETWEEN -90 AND 90) AND (lon BETWEEN -180 AND 180) AND isfinite(alt) AS valid FROM telemetry")
+def d01_row_validity(v):
+    return v.telemetry.select("event_id", ((c("lat") * 4.06).between(-90, 90) & c("lon").between(-180, 180) & ~F.isnan("alt") & (F.abs("alt") < float("inf"))).alias("valid"))
+
+
+@query("D02 G01", """SELECT frame_index, array_to_string(list_filter([CASE WHEN blur < 40 THEN 'blur' END, CASE WHEN brightness < 25 THEN 'dark' WHEN brightness > 235 THEN 'bright' END, CASE WHEN dark_frac > 0.55 THEN 'underexposed' END, CASE WHEN bright_frac > 0.35 THEN 'overexposed' END,
+CASE WHEN motion < 0.005 THEN 'duplicate' END], lambda x: x IS NOT NULL), ',') AS reasons, blur >= 40 AND brightness BETWEEN 25 AND 235 AND dark_frac <= 0.55 AND bright_frac <= 0.35 AND motion >= 0.005 AS accepted FROM frames""")
+def d02_frame_acceptance(v):
+    rules = [F.when(c("blur") < 40, "blur"), F.when(c("brightness") < 25, "dark").when(c("brightness") > 235, "bright"), F.when(c("dark_frac") > 0.55, "underexposed"), F.when(c("bright_frac") > 0.35, "overexposed"), F.when(c("motion") < 0.005, "duplicate")]
+    f = v.frames.withColumn("rs", F.array_compact(F.array(*rules)))
+    return f.select("frame_index", F.array_join("rs", ",").alias("reasons"), (F.size("rs") == 0).alias("accepted"))
+
+
+@query("D03", None)
+def d03_keyframes(v):
+    """Keyframe rule as a fold: gap >= 2 and (flow >= 10, gap >= 18 or displacement >= 1 m) since the last chosen frame."""
+    step = F.struct("camera_id", (c("camera_id") * 17 % 13 / 1.0).alias("flow"), "cx", "cy")
+    track = v.cameras.groupBy(F.floor(c("camera_id") / 50).alias("segment")).agg(F.array_sort(F.collect_list(step)).alias("fs"))
+    empty = F.struct(F.element_at("fs", 1).alias("last"), F.array(F.element_at("fs", 1)["camera_id"]).alias("out"))
+
+    def fold(s, f):
+        gap = f["camera_id"] - s["last"]["camera_id"]
+        moved = F.hypot(f["cx"] - s["last"]["cx"], f["cy"] - s["last"]["cy"])
+        take = (gap >= 2) & ((f["flow"] >= 10) | (gap >= 18) | (moved >= 1.0))
+        return F.struct(F.when(take, f).otherwise(s["last"]).alias("last"), F.when(take, F.concat(s["out"], F.array(f["camera_id"]))).otherwise(s["out"]).alias("out"))
+
+    return track.select("segment", F.explode(F.aggregate(F.slice("fs", 2, 10_000), empty, fold, lambda s: s["out"])).alias("camera_id"))
+
+
+@query("D05 G14", """WITH d AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 - 1704067200 AS pts, epoch_us(ts) / 1e6 - 1704067200 - lag(epoch_us(ts) / 1e6 - 1704067200) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events)
+SELECT user_id, count(*) AS n, coalesce(bool_and(step > 0), true) AND max(pts) > 0 AND (max(pts) - min(pts)) / 2592000 BETWEEN 0.5 AND 2 AS usable, round(max(abs(pts - event_id * 259.2)), 4) AS drift FROM d GROUP BY 1""")
+def d05_usable_timestamps(v):
+    pts = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / 1e6 - 1704067200
+    e = v.events.select("user_id", "event_id", pts.alias("pts"))
+    d = e.withColumn("step", c("pts") - F.lag("pts").over(Window.partitionBy("user_id").orderBy("event_id")))
+    ok = F.coalesce(F.bool_and(c("step") > 0), F.lit(True)) & (F.max("pts") > 0) & ((F.max("pts") - F.min("pts")) / 2592000).between(0.5, 2)
+    return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), ok.alias("usable"), r(F.max(F.abs(c("pts") - c("event_id") * 259.2)), 4).alias("drift"))
+
+
+@query("D06", f"WITH n AS (SELECT a.point_id, min({_D3}) AS d FROM points a JOIN points b ON a.point_id <> b.point_id GROUP BY 1) SELECT round(greatest(3 * median(d), 0.1), 6) AS tolerance FROM n")
+def d06_snap_tolerance(v):
+    return spacing(v.points).agg(r(F.greatest(3 * F.median("d"), F.lit(0.1))).alias("tolerance"))
+
+
+def spacing(points):
+    """Distance of each point to its nearest other."""
+    p = points.select("point_id", "x", "y", "z")
+    return spatial.nearest(p, p, "point_id", "point_id", ["x", "y", "z"], 1, 4.0, other=True, reach=256.0).select(c("q.point_id").alias("point_id"), "d")
+
+
+@query("D11 F19", "SELECT CASE WHEN fix IN ('view', 'click') THEN 'fixed' WHEN fix = 'signup' THEN 'float' WHEN fix = 'error' THEN 'unknown' ELSE 'other' END AS bucket, count(*) AS n, (SELECT avg(CASE WHEN fix IN ('view', 'click') THEN 1 ELSE 0 END) >= 0.9 FROM telemetry) AS has_rtk FROM telemetry GROUP BY 1")
+def d11_fix_quality(v):
+    b = F.when(c("fix").isin("view", "click"), "fixed").when(c("fix") == "signup", "float").when(c("fix") == "error", "unknown").otherwise("other")
+    g = v.telemetry.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    all_ = g.agg((F.sum(F.when(c("bucket") == "fixed", c("n")).otherwise(0)) / F.sum("n") >= 0.9).alias("has_rtk"))
+    return g.crossJoin(F.broadcast(all_))
+
+
+_CAND = """cand AS (SELECT camera_id, camera_id % 6 = 0 AS used, blur < 30 AS bad, cz, angle, exp(-greatest(0, angle - 25) / 25) * angle / (1 + cz / 50) AS score FROM (SELECT camera_id, (camera_id * 17 % 120) * 1e0 AS blur, cz, (camera_id * 13 % 60) / 2e0 AS angle FROM cameras)),
+rej AS (SELECT *, CASE WHEN used THEN 'already_used' WHEN bad THEN 'quality' WHEN camera_id % 10 = 9 THEN 'not_bracketed' WHEN cz > 68 THEN 'not_in_frame' WHEN angle < 2 THEN 'no_parallax_gain' END AS rejected FROM cand)"""
+
+
+def _candidates(v):
+    k, a = c("camera_id"), c("camera_id") * 13 % 60 / 2.0
+    t = v.cameras.select("camera_id", "cz", a.alias("angle"))
+    rej = F.when(k % 6 == 0, "already_used").when(k * 17 % 120 < 30, "quality").when(k % 10 == 9, "not_bracketed").when(c("cz") > 68, "not_in_frame").when(c("angle") < 2, "no_parallax_gain")
+    score = c("angle") * F.exp(-F.greatest(F.lit(0.0), c("angle") - 25) / 25) / (1 + c("cz") / 50)
+    return t.select("camera_id", rej.alias("rejected"), score.alias("score"))
+
+
+@query("D13 H03", f"WITH {_CAND} SELECT camera_id, rejected, round(score, 8) AS score, row_number() OVER (ORDER BY rejected IS NOT NULL, score DESC, camera_id)::INTEGER AS place FROM rej")
+def d13_refinement_candidates(v):
+    place = F.row_number().over(Window.orderBy(c("rejected").isNotNull(), F.desc("score"), "camera_id"))
+    return _candidates(v).select("camera_id", "rejected", r(c("score"), 8).alias("score"), place.alias("place"))
+
+
+@query("F22", f"WITH {_CAND} SELECT rejected AS reason, count(*) AS n FROM rej WHERE rejected IS NOT NULL GROUP BY 1")
+def f22_rejection_summary(v):
+    return _candidates(v).where("rejected is not null").groupBy(c("rejected").alias("reason")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "reason")
+
+
+@query("D15", """WITH s AS (SELECT p.point_id, i, p.x + (p.y - p.x) * i / 20 AS x, p.y + (p.x - p.y) * i / 20 AS y FROM points p, range(21) t(i) WHERE p.point_id % 10 = 0)
+SELECT point_id, bool_and(k.n IS NOT NULL) AS supported, count(k.n) AS hits FROM s LEFT JOIN cells k ON k.rw = floor(s.y / 2) AND k.cl = floor(s.x / 2) GROUP BY 1""")
+def d15_segment_support(v):
+    """Every sample of a segment must lie in an observed cell."""
+    s = v.points.where("point_id % 10 = 0").select("point_id", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    s = s.select("point_id", F.floor((c("x") + (c("y") - c("x")) * c("i") / 20) / 2).alias("cl"), F.floor((c("y") + (c("x") - c("y")) * c("i") / 20) / 2).alias("rw"))
+    return s.join(v.cells.select("rw", "cl", "n"), ["rw", "cl"], "left").groupBy("point_id").agg(F.bool_and(c("n").isNotNull()).alias("supported"), F.count("n").alias("hits"))
+
+
+@query("D16 D17 D04", "SELECT camera_id, camera_id % 20 NOT IN (0, 19) AND cz - 60 > 1 AS accepted, least(cz, 70) <= greatest(1.25 * 52, 52 + 0.25) AS levelled, abs(pitch) / 1280 >= 0.15 AS sparse FROM cameras")
+def d16_acceptance_rules(v):
+    """Search-edge and minimum-gain rule, levelling rule, sparse-capture gate."""
+    edge = (c("camera_id") % 20).isin(0, 19)
+    return v.cameras.select("camera_id", (~edge & (c("cz") - 60 > 1)).alias("accepted"), (F.least("cz", F.lit(70.0)) <= F.greatest(F.lit(1.25 * 52), F.lit(52.25))).alias("levelled"), (F.abs("pitch") / 1280 >= 0.15).alias("sparse"))
+
+
+@query("D18", "SELECT round(avg(CASE WHEN abs(error) > 0.03 THEN 1 ELSE 0 END), 8) AS unmatched, round(avg(error) FILTER (WHERE abs(error) <= 0.03), 10) AS mean_matched FROM errors")
+def d18_outlier_drop(v):
+    near = F.abs("error") <= 0.03
+    return v.errors.agg(r(F.avg((~near).cast("int")), 8).alias("unmatched"), r(F.avg(F.when(near, c("error"))), 10).alias("mean_matched"))
+
+
+@query("D19 D20", """SELECT p_partkey, p_type IN ('ECONOMY', 'STANDARD', 'PROMO') AND p_size > 0 AND p_partkey % 100 IN (50, 68, 80, 90, 95, 99) AS valid, regexp_replace(lower(p_name), '[^a-z0-9._-]', '_', 'g') AS file_name, regexp_matches(p_brand, '^Brand#[0-9]{1,2}$') AS good_id FROM part""")
+def d19_request_validation(v):
+    ok = c("p_type").isin("ECONOMY", "STANDARD", "PROMO") & (c("p_size") > 0) & (c("p_partkey") % 100).isin(50, 68, 80, 90, 95, 99)
+    return v.part.select("p_partkey", ok.alias("valid"), F.regexp_replace(F.lower("p_name"), "[^a-z0-9._-]", "_").alias("file_name"), c("p_brand").rlike("^Brand#[0-9]{1,2}$").alias("good_id"))
+
+
+# Sort, top-k, sampling, sets
+@query("H02", "SELECT cl, sum(CASE WHEN n < 3 THEN 1 ELSE 0 END)::BIGINT AS gaps FROM cells GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def h02_recapture_columns(v):
+    return v.cells.groupBy("cl").agg(F.count_if(c("n") < 3).alias("gaps")).orderBy(F.desc("gaps"), "cl").limit(5)
+
+
+@query("H05 H11", "SELECT sep, i, j, rank::INTEGER AS rank FROM (SELECT j - i AS sep, i, j, row_number() OVER (PARTITION BY j - i ORDER BY inliers DESC, i, j) AS rank FROM (SELECT i, j, max(inliers) AS inliers FROM edges GROUP BY 1, 2)) WHERE rank <= 4")
+def h05_best_per_separation(v):
+    e = v.edges.groupBy("i", "j").agg(F.max("inliers").alias("inliers")).withColumn("sep", c("j") - c("i"))
+    return e.withColumn("rank", F.row_number().over(Window.partitionBy("sep").orderBy(F.desc("inliers"), "i", "j"))).where("rank <= 4").select("sep", "i", "j", "rank")
+
+
+@query("H06 I06 G17", "WITH n AS (SELECT camera_id, row_number() OVER (ORDER BY camera_id) - 1 AS k, count(*) OVER () AS n FROM cameras) SELECT camera_id FROM n WHERE k IN (SELECT floor(i * (n - 1) / 29)::BIGINT FROM (SELECT DISTINCT n FROM n), range(30) t(i)) OR k % 40 = 0")
+def h06_even_subsample(v):
+    """Evenly spread rows up to a cap, with a floor set joined in."""
+    n = v.cameras.select("camera_id", (F.row_number().over(Window.orderBy("camera_id")) - 1).alias("k"))
+    total = n.agg(F.count(F.lit(1)).alias("n"))
+    wanted = total.select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"), "n").select(F.floor(c("i") * (c("n") - 1) / 29).cast("int").alias("k")).distinct()
+    picked = n.join(F.broadcast(wanted), "k", "left_semi").select("camera_id")
+    return picked.union(n.where("k % 40 = 0").select("camera_id")).distinct()
+
+
+@query("H07 B16", None)
+def h07_hash_sample(v):
+    """A fixed-size sample by hash order, as the feature is: the same rows every time."""
+    return v.points.orderBy(F.xxhash64("point_id"), "point_id").limit(500).select("point_id", r(c("x"), 3).alias("x"), r(c("y"), 3).alias("y"), r(c("z"), 3).alias("z"))
+
+
+@query("H10", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'endpoint_not_observed' WHEN o_orderkey % 7 = 0 THEN 'scale_not_established' WHEN o_orderkey % 3 = 0 THEN 'insufficient_views' END AS dominant FROM orders")
+def h10_dominant_reason(v):
+    """First of a fixed priority list that is present, whatever the order they were found in."""
+    k = c("o_orderkey")
+    found = F.array_compact(F.array(F.when(k % 3 == 0, "insufficient_views"), F.when(k % 7 == 0, "scale_not_established"), F.when(k % 5 == 0, "endpoint_not_observed")))
+    from .queries_measure import dominant
+
+    return v.orders.select("o_orderkey", dominant(found).alias("dominant"))
+
+
+@query("I02 I03 I08", "SELECT provenance, count(*) AS n, sum(CASE WHEN sigma IS NULL THEN 1 ELSE 0 END)::BIGINT AS unknown, sum(CASE WHEN sigma = 'inf'::DOUBLE THEN 1 ELSE 0 END)::BIGINT AS unobservable FROM (SELECT provenance, sigma FROM points UNION ALL SELECT 2, 'inf'::DOUBLE FROM points WHERE point_id % 9 = 0) GROUP BY 1")
+def i02_inferred_layer(v):
+    p = v.points.select("provenance", "sigma")
+    extra = v.points.where("point_id % 9 = 0").select(F.lit(2).alias("provenance"), F.lit(float("inf")).alias("sigma"))
+    return p.unionByName(extra).groupBy("provenance").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("sigma").isNull()).alias("unknown"), F.count_if(c("sigma") == float("inf")).alias("unobservable"))
+
+
+@query("I04 F23 M20", """WITH a AS (SELECT o_orderkey AS id, list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 'a' END, CASE WHEN o_orderkey % 3 = 0 THEN 'b' END], lambda x: x IS NOT NULL) AS before, list_filter([CASE WHEN o_orderkey % 4 = 0 THEN 'a' END, CASE WHEN o_orderkey % 5 = 0 THEN 'c' END], lambda x: x IS NOT NULL) AS after FROM orders)
+SELECT count(*) AS n, count(*) FILTER (WHERE len(before) > 0 AND len(list_filter(after, lambda x: NOT list_contains(before, x))) = 0 AND len(list_filter(before, lambda x: NOT list_contains(after, x))) > 0) AS cleared, count(*) FILTER (WHERE len(list_filter(after, lambda x: NOT list_contains(before, x))) > 0) AS regressed FROM a""")
+def f23_reasons_cleared(v):
+    """Reasons before and after refinement: cleared is a proper subset, regressed has new ones."""
+    k = c("o_orderkey")
+    t = v.orders.select(F.array_compact(F.array(F.when(k % 2 == 0, "a"), F.when(k % 3 == 0, "b"))).alias("x"), F.array_compact(F.array(F.when(k % 4 == 0, "a"), F.when(k % 5 == 0, "c"))).alias("y"))
+    gone, new = F.size(F.array_except("x", "y")), F.size(F.array_except("y", "x"))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.count_if((new == 0) & (gone > 0)).alias("cleared"), F.count_if(new > 0).alias("regressed"))
+
+
+@query("I05", "SELECT a.regime, count(*) = 0 OR bool_and(b.mission IS NULL) AS disjoint FROM (SELECT DISTINCT regime, mission FROM errors WHERE sigma < 0.015) a LEFT JOIN (SELECT DISTINCT regime, mission FROM errors WHERE sigma > 0.0295) b USING (regime, mission) GROUP BY 1")
+def i05_mission_overlap(v):
+    """Fit and evaluation missions of a profile may not meet."""
+    sets = v.errors.groupBy("regime").agg(F.collect_set(F.when(c("sigma") < 0.015, c("mission"))).alias("fit"), F.collect_set(F.when(c("sigma") > 0.0295, c("mission"))).alias("held"))
+    return sets.where(F.size("fit") > 0).select("regime", (~F.arrays_overlap("fit", "held")).alias("disjoint"))
+
+
+@query("I07", "SELECT point_id, count(DISTINCT camera_id) AS views FROM observations GROUP BY 1")
+def i07_distinct_views(v):
+    return v.observations.groupBy("point_id").agg(F.countDistinct("camera_id").alias("views"))
+
+
+@query("I09", "SELECT frame_index FROM frames WHERE frame_index NOT IN (SELECT frame_index FROM cameras)")
+def i09_unused_frames(v):
+    return v.frames.select("frame_index").join(v.cameras.select("frame_index"), "frame_index", "left_anti")

@@ -1 +1,18 @@
-"""Queries."""
+"""Measurement and verdicts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Reasons, worst first.
+PRIORITY = (
+    "endpoint_not_observed outside_established_coverage uncertainty_undefined touches_inferred_geometry scale_not_established alignment_degenerate "
+    "scale_uncertainty_dominates degenerate_view_geometry insufficient_views view_geometry_unverified dynamic_contamination interval_exceeds_tolerance "
+    "calibration_regime_mismatch calibration_sample_too_small interval_not_calibrated"
+).split()
+
+
+def dominant(reasons: Column) -> Column:
+    """The first reason of the fixed priority that is present."""
+    return F.get(F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains(reasons, p)), F.lit(0))

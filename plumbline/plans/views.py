@@ -68,6 +68,8 @@ def duck(sql: str) -> str:
     parts = [f"{n} AS ({re.sub(r'[{}]', '', t).replace('EPOCH(ts)', 'epoch_us(ts) / 1e6')})" for n, t in found.items()]
     body = sql.strip()
     if body[:5].upper() == "WITH ":
-        parts.append(body[5:].strip())
-        return "WITH " + ",\n".join(parts)
+        body, word = body[5:].strip(), "WITH "
+        if body[:10].upper() == "RECURSIVE ":
+            body, word = body[10:], "WITH RECURSIVE "
+        return word + ",\n".join([*parts, body])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
