@@ -1 +1,356 @@
-"""Queries."""
+"""Aggregates, calibration, accuracy, scores and closed-form estimators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import spatial
+from .queries_cloud import cramer
+from .queries_join import spacing
+from .registry import query
+
+c = F.col
+INF = float("inf")
+
+
+def r(x, n=6):
+    return F.round(x, n)
+
+
+@query("F01", "SELECT k AS provenance, count(p.point_id) AS n FROM range(0, 7) t(k) LEFT JOIN points p ON p.provenance = k GROUP BY 1")
+def f01_class_counts(v):
+    """Counts over the closed set of classes, zeros included."""
+    got = v.points.groupBy("provenance").agg(F.count(F.lit(1)).alias("n"))
+    return v.spark.range(7).select(c("id").alias("provenance")).join(got, "provenance", "left").select("provenance", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_NN = "nn AS (SELECT a.point_id, min(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)) AS d FROM points a JOIN points b ON a.point_id <> b.point_id GROUP BY 1)"
+
+
+@query("F02", f"WITH {_NN} SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, max(z) - min(z) AS height, round((SELECT median(d) FROM nn), 6) AS spacing, round(avg(CASE WHEN provenance = 0 THEN 1 ELSE 0 END), 6) AS observed FROM points")
+def f02_cloud_statistics(v):
+    s = spacing(v.points).agg(r(F.median("d")).alias("spacing"))
+    p = v.points.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), (F.max("z") - F.min("z")).alias("height"), r(F.avg((c("provenance") == 0).cast("int"))).alias("observed"))
+    return p.crossJoin(F.broadcast(s))
+
+
+@query("F04", "SELECT round(avg(CASE WHEN sigma_major IS NULL THEN 0 ELSE 1 END), 6) AS finite, round(median(sigma_major), 6) AS median, round(quantile_cont(sigma_major, 0.9), 6) AS p90, max(sigma_major) AS max FROM points")
+def f04_uncertainty_summary(v):
+    s = c("sigma_major")
+    return v.points.agg(r(F.avg(s.isNotNull().cast("int"))).alias("finite"), r(F.median(s)).alias("median"), r(F.percentile(s, F.lit(0.9))).alias("p90"), F.max(s).alias("max"))
+
+
+def error_stats(e, n, u):
+    """Accuracy statistics of errors as aggregate Columns."""
+    h, rmse = F.hypot(e, n), lambda x: F.sqrt(F.avg(x * x))
+    flat = F.sqrt(F.avg(e * e) + F.avg(n * n))
+    many = F.count(F.lit(1)) >= 10
+    return [
+        F.count(F.lit(1)).alias("n"), r(F.avg(e)).alias("mean_e"), r(F.avg(n)).alias("mean_n"), r(F.avg(u)).alias("mean_u"), r(rmse(u)).alias("rmse_u"), r(flat).alias("rmse_h"), r(F.sqrt(F.avg(e * e + n * n + u * u))).alias("rmse_3d"),
+        r(1.5175 * flat).alias("ce90"), r(1.6449 * rmse(u)).alias("le90"), F.when(many, r(F.percentile(h, F.lit(0.9)))).alias("ce90_empirical"),
+    ]
+
+
+def _stats_sql(e: str, n: str, u: str) -> str:
+    return f"""count(*) AS n, round(avg({e}), 6) AS mean_e, round(avg({n}), 6) AS mean_n, round(avg({u}), 6) AS mean_u, round(sqrt(avg(({u}) ^ 2)), 6) AS rmse_u, round(sqrt(avg(({e}) ^ 2) + avg(({n}) ^ 2)), 6) AS rmse_h, round(sqrt(avg(({e}) ^ 2 + ({n}) ^ 2 + ({u}) ^ 2)), 6) AS rmse_3d,
+round(1.5175 * sqrt(avg(({e}) ^ 2) + avg(({n}) ^ 2)), 6) AS ce90, round(1.6449 * sqrt(avg(({u}) ^ 2)), 6) AS le90, CASE WHEN count(*) >= 10 THEN round(quantile_cont(sqrt(({e}) ^ 2 + ({n}) ^ 2), 0.9), 6) END AS ce90_empirical"""
+
+
+@query("F05", f"SELECT mission, role, {_stats_sql('me - te', 'mn - tn', 'mu - tu')} FROM survey GROUP BY 1, 2")
+def f05_accuracy_statistics(v):
+    return v.survey.groupBy("mission", "role").agg(*error_stats(c("me") - c("te"), c("mn") - c("tn"), c("mu") - c("tu")))
+
+
+@query("F14 F15 L04 A20", f"""WITH s AS (SELECT mission, sum(me - te) AS se, sum(mn - tn) AS sn, sum(mu - tu) AS su, count(*) AS k FROM survey WHERE role = 'gcp' GROUP BY 1),
+b AS (SELECT mission, 'raw' AS block, me - te AS e, mn - tn AS n, mu - tu AS u FROM survey UNION ALL
+SELECT mission, 'loo', me - te - (se - (me - te)) / (k - 1), mn - tn - (sn - (mn - tn)) / (k - 1), mu - tu - (su - (mu - tu)) / (k - 1) FROM survey JOIN s USING (mission) WHERE role = 'gcp' AND k >= 2 UNION ALL
+SELECT mission, 'checkpoints', me - te - se / k, mn - tn - sn / k, mu - tu - su / k FROM survey JOIN s USING (mission) WHERE role = 'check' UNION ALL
+SELECT mission, 'fit', me - te - se / k, mn - tn - sn / k, mu - tu - su / k FROM survey JOIN s USING (mission) WHERE role = 'gcp')
+SELECT mission, block, block IN ('raw', 'loo', 'checkpoints') AS independent, block = 'checkpoints' AND count(*) >= 30 AS asprs, {_stats_sql('e', 'n', 'u')} FROM b GROUP BY 1, 2""")
+def f15_accuracy_report(v):
+    """Raw, fitted, leave-one-out and checkpoint blocks under a translation; a fit's own residuals are never independent."""
+    d = v.survey.select("mission", "role", (c("me") - c("te")).alias("e"), (c("mn") - c("tn")).alias("n"), (c("mu") - c("tu")).alias("u"))
+    s = d.where("role = 'gcp'").groupBy("mission").agg(*[F.sum(k).alias(f"s{k}") for k in "enu"], F.count(F.lit(1)).alias("k"))
+    j = d.join(s, "mission")
+    block = lambda rows, name, f: rows.select("mission", F.lit(name).alias("block"), *[f(k).alias(k) for k in "enu"])
+    every = (
+        block(d, "raw", c)
+        .unionByName(block(j.where("role = 'gcp' and k >= 2"), "loo", lambda k: c(k) - (c(f"s{k}") - c(k)) / (c("k") - 1)))
+        .unionByName(block(j.where("role = 'check'"), "checkpoints", lambda k: c(k) - c(f"s{k}") / c("k")))
+        .unionByName(block(j.where("role = 'gcp'"), "fit", lambda k: c(k) - c(f"s{k}") / c("k")))
+    )
+    out = every.groupBy("mission", "block").agg(*error_stats(c("e"), c("n"), c("u")))
+    return out.withColumns({"independent": c("block") != "fit", "asprs": (c("block") == "checkpoints") & (c("n") >= 30)})
+
+
+@query("F06 F29 D18", """WITH d AS (SELECT a.point_id, a.provenance, min(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)) AS d FROM points a LEFT JOIN points b ON b.point_id % 2 = 0 AND (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 25 WHERE a.point_id % 2 = 1 GROUP BY 1, 2)
+SELECT provenance IN (0, 1) AS observed, count(*) AS n, round(avg(CASE WHEN d <= 0.5 THEN 1 ELSE 0 END), 6) AS within_05, round(avg(CASE WHEN d <= 1 THEN 1 ELSE 0 END), 6) AS within_1, round(avg(CASE WHEN d <= 2 THEN 1 ELSE 0 END), 6) AS within_2, round(avg(CASE WHEN d IS NULL THEN 1 ELSE 0 END), 6) AS unmatched,
+round(median(d), 6) AS median, round(quantile_cont(d, 0.95), 6) AS p95, round(sqrt(avg(d * d)), 6) AS rmse FROM d GROUP BY 1""")
+def f06_surface_accuracy(v):
+    """Distance to a reference cloud within five metres; farther is reported as unmatched."""
+    q = v.points.where("point_id % 2 = 1").select("point_id", "x", "y", "z")
+    p = v.points.where("point_id % 2 = 0").select("point_id", "x", "y", "z")
+    near = spatial.within(q, p, ["x", "y", "z"], 5.0).groupBy(c("q.point_id").alias("point_id")).agg(F.min("d").alias("d"))
+    d = v.points.where("point_id % 2 = 1").select("point_id", "provenance").join(near, "point_id", "left")
+    share = lambda x: r(F.avg(F.coalesce(x, F.lit(False)).cast("int")))
+    return d.groupBy(c("provenance").isin(0, 1).alias("observed")).agg(
+        F.count(F.lit(1)).alias("n"), share(c("d") <= 0.5).alias("within_05"), share(c("d") <= 1).alias("within_1"), share(c("d") <= 2).alias("within_2"), share(c("d").isNull()).alias("unmatched"),
+        r(F.median("d")).alias("median"), r(F.percentile("d", F.lit(0.95))).alias("p95"), r(F.sqrt(F.avg(c("d") * c("d")))).alias("rmse"),
+    )
+
+
+@query("F07 F08", "WITH m AS (SELECT regime, mission, median(error) AS md FROM errors GROUP BY ALL) SELECT regime, mission, round(1.4826 * median(abs(error - md)), 8) AS sigma, CASE WHEN count(*) < 20 THEN 0.5 ELSE greatest(round(1.4826 * median(abs(error - md)), 8), 0.05) END AS pixel_noise FROM errors JOIN m USING (regime, mission) GROUP BY 1, 2")
+def f07_robust_sigma(v):
+    m = v.errors.groupBy("regime", "mission").agg(F.median("error").alias("md"))
+    s = r(1.4826 * F.median(F.abs(c("error") - c("md"))), 8)
+    return v.errors.join(m, ["regime", "mission"]).groupBy("regime", "mission").agg(s.alias("sigma"), F.when(F.count(F.lit(1)) < 20, 0.5).otherwise(F.greatest(s, F.lit(0.05))).alias("pixel_noise"))
+
+
+_INFO = """j AS (SELECT o.point_id, 800 / (k.cz - p.z) AS a, -800 * (p.x - k.cx) / (k.cz - p.z) ^ 2 AS b, -800 * (k.cy - p.y) / (k.cz - p.z) ^ 2 AS d FROM observations o JOIN points p USING (point_id) JOIN cameras k USING (camera_id)),
+m AS (SELECT point_id, count(*) AS n, sum(a * a) AS xx, sum(a * b) AS xz, sum(a * a) AS yy, sum(a * d) AS yz, sum(b * b + d * d) AS zz FROM j GROUP BY 1), dt AS (SELECT *, xx * (yy * zz - yz * yz) - xz * xz * yy AS det FROM m)"""
+
+
+@query("F09 M08", f"WITH {_INFO} SELECT point_id, n, round((yy * zz - yz * yz) / det, 9) AS cxx, round((xx * zz - xz * xz) / det, 9) AS cyy, round(xx * yy / det, 9) AS czz, n >= 2 AND det > 0 AS observable FROM dt")
+def f09_point_covariance(v):
+    """Information summed over observations, inverted in closed form."""
+    o = v.observations.join(F.broadcast(v.cameras), "camera_id").join(v.points, "point_id")
+    dz = c("cz") - c("z")
+    j = o.select("point_id", (800 / dz).alias("a"), (-800 * (c("x") - c("cx")) / (dz * dz)).alias("b"), (-800 * (c("cy") - c("y")) / (dz * dz)).alias("d"))
+    m = j.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.sum(c("a") * c("a")).alias("xx"), F.sum(c("a") * c("b")).alias("xz"), F.sum(c("a") * c("d")).alias("yz"), F.sum(c("b") * c("b") + c("d") * c("d")).alias("zz"))
+    xx, yy, zz, xz, yz = c("xx"), c("xx"), c("zz"), c("xz"), c("yz")
+    det = xx * (yy * zz - yz * yz) - xz * xz * yy
+    return m.select("point_id", "n", r((yy * zz - yz * yz) / det, 9).alias("cxx"), r((xx * zz - xz * xz) / det, 9).alias("cyy"), r(xx * yy / det, 9).alias("czz"), ((c("n") >= 2) & (det > 0)).alias("observable"))
+
+
+Z_CAL = {50: 0.6745, 80: 1.2816, 95: 1.96}  # fixed values
+
+
+@query("F10", "SELECT regime, " + ", ".join(f"round(avg(CASE WHEN abs(error) <= {z} * sigma THEN 1 ELSE 0 END), 6) AS c{k}" for k, z in Z_CAL.items()) + " FROM errors GROUP BY 1")
+def f10_interval_coverage(v):
+    return v.errors.groupBy("regime").agg(*[r(F.avg((F.abs("error") <= z * c("sigma")).cast("int"))).alias(f"c{k}") for k, z in Z_CAL.items()])
+
+
+_CONF = """z AS (SELECT regime, abs(error) / sigma AS z, row_number() OVER (PARTITION BY regime ORDER BY abs(error) / sigma) AS rk, count(*) OVER (PARTITION BY regime) AS n FROM errors WHERE sigma > 0), l AS (SELECT unnest([50, 80, 95]) AS level)"""
+_RANK = "ceil((n - 1) * least(1, ceil((n + 1) * (level / 100e0)) / n)) + 1"
+
+
+def conformal(errors, by: list[str], levels=(50, 80, 95)):
+    """The z value at the conformal rank ("higher" quantile), from counts of distinct values."""
+    z = errors.where("sigma > 0").select(*by, (F.abs("error") / c("sigma")).alias("z")).groupBy(*by, "z").agg(F.count(F.lit(1)).alias("m"))
+    k = z.withColumn("upto", F.sum("m").over(Window.partitionBy(*by).orderBy("z"))).withColumn("n", F.sum("m").over(Window.partitionBy(*by)))
+    q = k.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    rank = F.ceil((c("n") - 1) * F.least(F.lit(1.0), F.ceil((c("n") + 1) * (c("level") / 100)) / c("n"))) + 1
+    return q.where((c("n") >= 3) & (c("upto") >= rank)).groupBy(*by, "level").agg(F.min("z").alias("factor"), F.first("n").alias("n"))
+
+
+@query("F11", f"WITH {_CONF} SELECT regime, level, round(min(z), 8) AS factor, min(n) AS n FROM z, l WHERE rk >= {_RANK} AND n >= 3 GROUP BY 1, 2")
+def f11_conformal_factors(v):
+    return conformal(v.errors, ["regime"]).select("regime", "level", r(c("factor"), 8).alias("factor"), "n")
+
+
+@query("F12", f"WITH {_CONF}, s AS (SELECT regime, median(abs(error) / sigma) / 0.6745 AS scale FROM errors GROUP BY 1) SELECT z.regime, round(min(scale), 8) AS scale, round(min(z), 8) AS k95 FROM z JOIN s ON s.regime = z.regime, l WHERE level = 95 AND rk >= {_RANK} GROUP BY 1")
+def f12_calibrate(v):
+    s = v.errors.groupBy("regime").agg((F.median(F.abs("error") / c("sigma")) / 0.6745).alias("scale"))
+    return s.join(conformal(v.errors, ["regime"], (95,)), "regime").select("regime", r(c("scale"), 8).alias("scale"), r(c("factor"), 8).alias("k95"))
+
+
+@query("F13", f"""WITH e AS (SELECT l_partkey % 7 AS fold, * FROM errors), tr AS (SELECT f.fold, abs(error) / sigma AS z FROM e JOIN (SELECT DISTINCT fold FROM e) f ON f.fold <> e.fold),
+rk AS (SELECT fold, z, row_number() OVER (PARTITION BY fold ORDER BY z) AS rk, count(*) OVER (PARTITION BY fold) AS n FROM tr), k AS (SELECT fold, min(z) AS k FROM rk, (SELECT 95 AS level) WHERE rk >= {_RANK} GROUP BY 1)
+SELECT fold, round(avg(CASE WHEN abs(error) <= k.k * sigma THEN 1 ELSE 0 END), 6) AS coverage FROM e JOIN k USING (fold) GROUP BY 1""")
+def f13_leave_one_out_coverage(v):
+    """Factor from all folds but one, coverage on that one."""
+    e = v.errors.withColumn("own", c("l_partkey") % 7)
+    # each row teaches the other six folds
+    others = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda f: f != c("own"))
+    k = conformal(e.select("error", "sigma", F.explode(others).alias("fold")), ["fold"], (95,))
+    return e.join(F.broadcast(k), c("own") == c("fold")).groupBy(c("own").alias("fold")).agg(r(F.avg((F.abs("error") <= c("factor") * c("sigma")).cast("int"))).alias("coverage"))
+
+
+_CAP = """f AS (SELECT s_suppkey AS mission, CASE WHEN s_suppkey % 9 <> 0 THEN least(greatest((s_suppkey % 12 - 1) / 9, 0), 1) END AS parallax, least(greatest((s_suppkey % 10) / 1e1 / 0.6, 0), 1) AS coverage, CASE WHEN s_suppkey % 11 <> 0 THEN (s_suppkey % 21) / 2e1 END AS registration,
+least(greatest((s_suppkey % 8 - 2) / 4, 0), 1) AS redundancy, (s_suppkey % 5) / 4e0 AS image_quality FROM supplier)"""
+CAPTURE_WEIGHTS = {"parallax": 0.30, "coverage": 0.25, "registration": 0.20, "redundancy": 0.15, "image_quality": 0.10}  # fixed values
+_CW = " + ".join(f"{w} * coalesce({k}, 0)" for k, w in CAPTURE_WEIGHTS.items())
+_CM = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w} END" for k, w in CAPTURE_WEIGHTS.items())
+
+
+@query("F17 F18", f"""WITH {_CAP}, s AS (SELECT *, ({_CW}) / ({_CM}) AS score, least({', '.join(CAPTURE_WEIGHTS)}) AS low FROM f)
+SELECT mission, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.35 THEN 'marginal' ELSE 'inadequate' END AS grade,
+CASE {' '.join(f"WHEN {k} = low THEN '{k}'" for k in CAPTURE_WEIGHTS)} END AS limiting, {' + '.join(f"CASE WHEN {k} < 0.6 THEN 1 ELSE 0 END" for k in CAPTURE_WEIGHTS)} AS advice FROM s""")
+def f17_capture_score(v):
+    """Weighted factors renormalised over those present, grade, limiting factor, number of factors that call for a recapture."""
+    k = c("s_suppkey")
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    f = v.supplier.select(
+        k.alias("mission"), F.when(k % 9 != 0, unit((k % 12 - 1) / 9.0)).alias("parallax"), unit(k % 10 / 10.0 / 0.6).alias("coverage"), F.when(k % 11 != 0, k % 21 / 20.0).alias("registration"), unit((k % 8 - 2) / 4.0).alias("redundancy"), (k % 5 / 4.0).alias("image_quality")
+    )
+    w = CAPTURE_WEIGHTS
+    top, mass, advice = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for n in w:
+        top, mass, advice = top + w[n] * F.coalesce(n, F.lit(0.0)), mass + F.when(c(n).isNull(), 0.0).otherwise(w[n]), advice + F.when(c(n) < 0.6, 1).otherwise(0)
+    s = f.withColumn("score", top / mass).withColumn("low", F.least(*w))
+    limiting = F.coalesce(*[F.when(c(n) == c("low"), n) for n in w])
+    return s.select("mission", r(c("score")).alias("score"), F.when(c("score") >= 0.8, "excellent").when(c("score") >= 0.6, "good").when(c("score") >= 0.35, "marginal").otherwise("inadequate").alias("grade"), limiting.alias("limiting"), advice.alias("advice"))
+
+
+@query("F20", "SELECT track % 20 AS mission, CASE WHEN count(DISTINCT CASE WHEN fix IN ('view', 'click') THEN 'ellipsoidal' WHEN fix = 'error' AND event_id % 50 = 1 THEN 'orthometric' END) = 1 THEN max(CASE WHEN fix IN ('view', 'click') THEN 'ellipsoidal' WHEN fix = 'error' AND event_id % 50 = 1 THEN 'orthometric' END) ELSE 'unknown' END AS datum FROM telemetry GROUP BY 1")
+def f20_vertical_datum(v):
+    """One label all samples agree on, or unknown."""
+    label = F.when(c("fix").isin("view", "click"), "ellipsoidal").when((c("fix") == "error") & (c("event_id") % 50 == 1), "orthometric")
+    g = v.telemetry.groupBy((c("track") % 20).alias("mission")).agg(F.collect_set(label).alias("s"))
+    return g.select("mission", F.when(F.size("s") == 1, c("s")[0]).otherwise("unknown").alias("datum"))
+
+
+@query("F24 F40 O06", """WITH w AS (SELECT variant, regime, round(median(ate) FILTER (WHERE NOT failed), 8) AS median, max(ate) FILTER (WHERE NOT failed) AS worst, round(avg(CASE WHEN failed THEN 1 ELSE 0 END), 8) AS failure FROM bench GROUP BY GROUPING SETS ((variant, regime), (variant))) SELECT * FROM w""")
+def f24_benchmark_summary(v):
+    ok = F.when(~c("failed"), c("ate"))
+    return v.bench.groupingSets([("variant", "regime"), ("variant",)], "variant", "regime").agg(r(F.median(ok), 8).alias("median"), F.max(ok).alias("worst"), r(F.avg(c("failed").cast("int")), 8).alias("failure"))
+
+
+@query("F28 F27", """WITH d AS (SELECT mission, me - te AS e, mn - tn AS n, mu - tu AS u FROM survey), m AS (SELECT mission, avg(e) AS ae, avg(n) AS an, avg(u) AS au FROM d GROUP BY 1)
+SELECT mission, round(sqrt(avg(e * e + n * n + u * u)), 6) AS raw, round(sqrt(avg((e - ae) ^ 2 + (n - an) ^ 2 + (u - au) ^ 2)), 6) AS centred, round(quantile_cont(sqrt(e * e + n * n + u * u), 0.9), 6) AS p90 FROM d JOIN m USING (mission) GROUP BY 1""")
+def f28_trajectory_error(v):
+    """Raw and translation-free error of a track."""
+    d = v.survey.select("mission", (c("me") - c("te")).alias("e"), (c("mn") - c("tn")).alias("n"), (c("mu") - c("tu")).alias("u"))
+    sq = c("e") * c("e") + c("n") * c("n") + c("u") * c("u")
+    centred = F.sqrt(F.var_pop("e") + F.var_pop("n") + F.var_pop("u"))
+    return d.groupBy("mission").agg(r(F.sqrt(F.avg(sq))).alias("raw"), r(centred).alias("centred"), r(F.percentile(F.sqrt(sq), F.lit(0.9))).alias("p90"))
+
+
+@query("F31", "WITH t AS (SELECT floor(x / 40)::BIGINT AS tx, floor(y / 40)::BIGINT AS ty, median(z) AS bias, count(*) AS n FROM dense GROUP BY 1, 2 HAVING count(*) >= 300) SELECT tx, ty, min(n) AS n, round(min(bias), 6) AS bias, round(sqrt(avg((z - bias) ^ 2)), 6) AS residual FROM dense JOIN t ON tx = floor(x / 40) AND ty = floor(y / 40) GROUP BY 1, 2")
+def f31_tile_bias(v):
+    d = v.dense.select("z", F.floor(c("x") / 40).alias("tx"), F.floor(c("y") / 40).alias("ty"))
+    t = d.groupBy("tx", "ty").agg(F.median("z").alias("bias"), F.count(F.lit(1)).alias("n")).where("n >= 300")
+    return d.join(t, ["tx", "ty"]).groupBy("tx", "ty").agg(F.min("n").alias("n"), r(F.min("bias")).alias("bias"), r(F.sqrt(F.avg((c("z") - c("bias")) ** 2))).alias("residual"))
+
+
+@query("F32", "WITH s AS (SELECT count(*) FILTER (WHERE dsm > 9.5 AND rw % 3 = 0) AS tp, count(*) FILTER (WHERE dsm > 9.5 AND rw % 3 <> 0) AS fp, count(*) FILTER (WHERE dsm <= 9.5 AND rw % 3 = 0) AS fn FROM cells) SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM s")
+def f32_footprint_score(v):
+    p, t = c("dsm") > 9.5, c("rw") % 3 == 0
+    s = v.cells.agg(F.count_if(p & t).alias("tp"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"))
+    return s.select("tp", "fp", "fn", r(c("tp") / (c("tp") + c("fp"))).alias("precision"), r(c("tp") / (c("tp") + c("fn"))).alias("recall"), r(2 * c("tp") / (2 * c("tp") + c("fp") + c("fn"))).alias("f1"))
+
+
+@query("F33", """WITH s AS (SELECT track, t, lat, lag(lat) OVER w AS l0, t - lag(t) OVER w AS dt FROM telemetry WINDOW w AS (PARTITION BY track ORDER BY t, event_id)), k AS (SELECT track, dt, row_number() OVER (PARTITION BY track ORDER BY dt) AS rk, count(*) OVER (PARTITION BY track) AS n FROM s WHERE dt IS NOT NULL)
+SELECT a.track, round(a.path, 6) AS path, round(b.dt, 6) AS median_step FROM (SELECT track, sum(abs(lat - l0)) AS path FROM s GROUP BY 1) a JOIN k b ON a.track = b.track AND b.rk = n // 2 + 1""")
+def f33_flown_geometry(v):
+    """Path length and the upper-middle step (an element, not an interpolated median)."""
+    w = Window.partitionBy("track").orderBy("t", "event_id")
+    s = v.telemetry.select("track", F.abs(c("lat") - F.lag("lat").over(w)).alias("d"), (c("t") - F.lag("t").over(w)).alias("dt"))
+    a = s.groupBy("track").agg(F.sum("d").alias("path"), F.array_sort(F.collect_list("dt")).alias("steps"))
+    return a.select("track", r(c("path")).alias("path"), r(F.get("steps", F.floor(F.size("steps") / 2).cast("int"))).alias("median_step"))
+
+
+@query("F35", """WITH q AS (SELECT quantile_cont(confidence, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]) AS e FROM points), b AS (SELECT k AS decile, e[k + 1] AS lo, e[k + 2] AS hi FROM q, range(0, 10) t(k))
+SELECT decile, count(*) AS n, round(avg(reproj), 6) AS error FROM points JOIN b ON confidence BETWEEN lo AND hi GROUP BY 1""")
+def f35_decile_profile(v):
+    """Deciles between quantile edges, both ends inclusive."""
+    e = v.points.agg(F.percentile("confidence", F.array(*[F.lit(k / 10) for k in range(11)])).alias("e"))
+    b = e.select(F.posexplode(F.arrays_zip(F.slice("e", 1, 10).alias("lo"), F.slice("e", 2, 10).alias("hi")))).select(c("pos").cast("long").alias("decile"), "col.lo", "col.hi")
+    return v.points.join(F.broadcast(b), c("confidence").between(c("lo"), c("hi"))).groupBy("decile").agg(F.count(F.lit(1)).alias("n"), r(F.avg("reproj")).alias("error"))
+
+
+_RANKS = "rk AS (SELECT *, rank() OVER (ORDER BY confidence) + (count(*) OVER (PARTITION BY confidence) - 1) / 2e0 AS ra, rank() OVER (ORDER BY reproj) + (count(*) OVER (PARTITION BY reproj) - 1) / 2e0 AS rb FROM points)"
+
+
+@query("F37 F38", f"WITH {_RANKS} SELECT round(corr(ra, rb), 8) AS spearman, round(greatest((SELECT quantile_cont(n_views, 0.95) FROM points), 2), 6) AS views_norm FROM rk")
+def f37_rank_correlation(v):
+    """Spearman by average ranks of distinct values, so ties cost one row each."""
+
+    def ranks(col, out):
+        g = v.points.groupBy(col).agg(F.count(F.lit(1)).alias("m"))
+        return g.select(col, (F.sum("m").over(Window.orderBy(col)) - c("m") + (c("m") + 1) / 2).alias(out))
+
+    p = v.points.join(ranks("confidence", "ra"), "confidence").join(ranks("reproj", "rb"), "reproj")
+    return p.agg(r(F.corr("ra", "rb"), 8).alias("spearman"), r(F.greatest(F.percentile("n_views", F.lit(0.95)), F.lit(2.0))).alias("views_norm"))
+
+
+@query("G02 G03", """WITH s AS (SELECT track, event_id, (lat - lag(lat) OVER w) / nullif(t - lag(t) OVER w, 0) AS speed FROM telemetry WINDOW w AS (PARTITION BY track ORDER BY t, event_id)), m AS (SELECT track, avg(speed) AS a, stddev_pop(speed) AS sd FROM s GROUP BY 1)
+SELECT event_id, round((speed - a) / nullif(sd, 0), 5) AS z FROM s JOIN m USING (track) WHERE speed IS NOT NULL""")
+def g02_speed_profile(v):
+    """Speed between samples, normalised per track."""
+    w = Window.partitionBy("track").orderBy("t", "event_id")
+    s = v.telemetry.select("track", "event_id", F.try_divide(c("lat") - F.lag("lat").over(w), F.nullif(c("t") - F.lag("t").over(w), F.lit(0.0))).alias("speed")).where("speed is not null")
+    m = s.groupBy("track").agg(F.avg("speed").alias("a"), F.stddev_pop("speed").alias("sd"))
+    return s.join(m, "track").select("event_id", r(F.try_divide(c("speed") - c("a"), F.nullif("sd", F.lit(0.0))), 5).alias("z"))
+
+
+@query("G04", """WITH a AS (SELECT i, sin(i / 5e0) + cos(i / 11e0) AS x FROM range(0, 400) t(i)), b AS (SELECT i + 13 AS i, x FROM a), o AS (SELECT o FROM range(-40, 41) t(o)),
+s AS (SELECT o, corr(a.x, b.x) AS s, count(*) AS n FROM o JOIN a ON true JOIN b ON b.i = a.i + o GROUP BY 1 HAVING count(*) >= 240), p AS (SELECT *, lag(s) OVER (ORDER BY o) AS l, lead(s) OVER (ORDER BY o) AS h, row_number() OVER (ORDER BY s DESC, o) AS rk FROM s)
+SELECT round((o + 0.5 * (l - h) / (l - 2 * s + h)) * 0.02, 6) AS "offset", round(s, 6) AS score FROM p WHERE rk = 1""")
+def g04_time_offset(v):
+    """Correlation per offset on a grid, the best refined by a parabola; a shift of 13 steps must come back."""
+    a = v.spark.range(400).select("id", (F.sin(c("id") / 5.0) + F.cos(c("id") / 11.0)).alias("x"))
+    b = a.select((c("id") + 13).alias("j"), c("x").alias("y"))
+    o = a.withColumn("o", F.explode(F.sequence(F.lit(-40), F.lit(40)))).withColumn("j", c("id") + c("o"))
+    s = o.join(b, "j").groupBy("o").agg(F.corr("x", "y").alias("s"), F.count(F.lit(1)).alias("n")).where("n >= 240")
+    w = Window.orderBy("o")
+    p = s.withColumns({"l": F.lag("s").over(w), "h": F.lead("s").over(w)}).orderBy(F.desc("s"), "o").limit(1)
+    return p.select(r((c("o") + 0.5 * (c("l") - c("h")) / (c("l") - 2 * c("s") + c("h"))) * 0.02).alias("offset"), r(c("s")).alias("score"))
+
+
+@query("G06", """WITH s AS (SELECT camera_id, least(abs(yaw - lag(yaw) OVER (ORDER BY camera_id)), 360 - abs(yaw - lag(yaw) OVER (ORDER BY camera_id))) / (t - lag(t) OVER (ORDER BY camera_id)) AS rate FROM cameras) SELECT count(rate) AS n, round(quantile_cont(rate, 0.95), 6) AS p95, CASE WHEN quantile_cont(rate, 0.95) * 0.03 > 1 THEN 'severe' ELSE 'mild' END AS smear FROM s""")
+def g06_angular_rate(v):
+    w = Window.orderBy("camera_id")
+    d = F.abs(c("yaw") - F.lag("yaw").over(w))
+    s = v.cameras.select((F.least(d, 360 - d) / (c("t") - F.lag("t").over(w))).alias("rate"))
+    p = F.percentile("rate", F.lit(0.95))
+    return s.agg(F.count("rate").alias("n"), r(p).alias("p95"), F.when(p * 0.03 > 1, "severe").otherwise("mild").alias("smear"))
+
+
+_AFF = """p AS (SELECT point_id % 20 AS g, z AS x, 2 * z + 1 + CASE WHEN point_id % 13 = 0 THEN 30 ELSE (point_id % 7 - 3) / 1e1 END AS y FROM points), k0 AS (SELECT g, 2e0 AS a, 1e0 AS b FROM p GROUP BY 1)"""
+
+
+def _affine_sql() -> str:
+    out = [_AFF.rsplit(", k0", 1)[0], "w0 AS (SELECT *, 1e0 AS w FROM p)"]
+    for k in range(4):
+        out.append(f"f{k} AS (SELECT g, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ^ 2) AS a, (sum(w * y) * sum(w * x * x) - sum(w * x) * sum(w * x * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ^ 2) AS b FROM w{k} GROUP BY 1)")
+        if k < 3:
+            out.append(f"s{k} AS (SELECT g, greatest(1.4826 * median(abs(y - a * x - b)), 1e-9) AS s FROM p JOIN f{k} USING (g) GROUP BY 1)")
+            out.append(f"w{k + 1} AS (SELECT p.*, 1 / (1 + ((y - a * x - b) / s) ^ 2) AS w FROM p JOIN f{k} USING (g) JOIN s{k} USING (g))")
+    return ", ".join(out)
+
+
+@query("L14", f"WITH {_affine_sql()} SELECT g, round(a, 6) AS a, round(b, 6) AS b FROM f3")
+def l14_robust_affine(v):
+    """y = a x + b with three Cauchy reweightings, as grouped sums."""
+    k = c("point_id")
+    p = v.points.select((k % 20).alias("g"), c("z").alias("x"), (2 * c("z") + 1 + F.when(k % 13 == 0, 30.0).otherwise((k % 7 - 3) / 10.0)).alias("y"))
+    rows, w, x, y = p.withColumn("w", F.lit(1.0)), c("w"), c("x"), c("y")
+    for step in range(4):
+        s = rows.groupBy("g").agg(F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"))
+        d = c("s") * c("sxx") - c("sx") * c("sx")
+        fit = s.select("g", ((c("s") * c("sxy") - c("sx") * c("sy")) / d).alias("a"), ((c("sy") * c("sxx") - c("sx") * c("sxy")) / d).alias("b"))
+        if step == 3:
+            return fit.select("g", r(c("a")).alias("a"), r(c("b")).alias("b"))
+        res = p.join(fit, "g").withColumn("e", y - c("a") * x - c("b"))
+        scale = res.groupBy("g").agg(F.greatest(1.4826 * F.median(F.abs("e")), F.lit(1e-9)).alias("m"))
+        rows = res.join(scale, "g").select("g", "x", "y", (1 / (1 + (c("e") / c("m")) * (c("e") / c("m")))).alias("w"))
+
+
+_RAYS = """ry AS (SELECT o.point_id, k.cx, k.cy, k.cz, (p.x - k.cx) / l AS a, (p.y - k.cy) / l AS b, (p.z - k.cz) / l AS d FROM (SELECT DISTINCT point_id, camera_id FROM observations WHERE quantity >= 45) o JOIN points p USING (point_id) JOIN cameras k USING (camera_id), LATERAL (SELECT sqrt((p.x - k.cx) ^ 2 + (p.y - k.cy) ^ 2 + (p.z - k.cz) ^ 2) AS l))"""
+
+
+@query("L07 L06", f"WITH {_RAYS} SELECT point_id, count(*) AS n, round(p.x, 4) AS x, round(p.y, 4) AS y, round(p.z, 4) AS z FROM ry JOIN points p USING (point_id) GROUP BY ALL HAVING count(*) >= 3")
+def l07_ray_intersection(v):
+    """Least-squares meeting point of rays by grouped sums and Cramer's rule; exact rays must meet in the point itself."""
+    o = v.observations.where("quantity >= 45").select("point_id", "camera_id").distinct().join(F.broadcast(v.cameras), "camera_id").join(v.points, "point_id")
+    l = F.sqrt((c("x") - c("cx")) ** 2 + (c("y") - c("cy")) ** 2 + (c("z") - c("cz")) ** 2)
+    d = [(c(p) - c(k)) / l for p, k in zip("xyz", ("cx", "cy", "cz"))]
+    m = {f"m{i}{j}": (F.lit(1.0) if i == j else F.lit(0.0)) - d[i] * d[j] for i in range(3) for j in range(3)}
+    centre = [c("cx"), c("cy"), c("cz")]
+    rhs = {f"b{i}": m[f"m{i}0"] * centre[0] + m[f"m{i}1"] * centre[1] + m[f"m{i}2"] * centre[2] for i in range(3)}
+    s = o.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in (m | rhs).items()]).where("n >= 3")
+    sol = cramer([[c(f"m{i}{j}") for j in range(3)] for i in range(3)], [c(f"b{i}") for i in range(3)])
+    return s.select("point_id", "n", *[r(x, 4).alias(k) for x, k in zip(sol, "xyz")])
+
+
+@query("L17", "SELECT point_id, round(least(sqrt(greatest(abs(x - 50) - 20, 0) ^ 2 + greatest(abs(y - 50) - 20, 0) ^ 2 + z ^ 2), sqrt(greatest(abs(x - 50) - 5, 0) ^ 2 + greatest(abs(y - 50) - 5, 0) ^ 2 + (z - 9) ^ 2)), 6) AS d FROM points")
+def l17_point_to_quad(v):
+    """Distance to the nearest of axis-aligned quads (centre 50, half sizes 20 and 5, heights 0 and 9)."""
+
+    def quad(half, height):
+        ex, ey = F.greatest(F.abs(c("x") - 50) - half, F.lit(0.0)), F.greatest(F.abs(c("y") - 50) - half, F.lit(0.0))
+        return F.sqrt(ex * ex + ey * ey + (c("z") - height) ** 2)
+
+    return v.points.select("point_id", r(F.least(quad(20, 0), quad(5, 9))).alias("d"))
