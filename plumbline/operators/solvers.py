@@ -1,0 +1,133 @@
+"""Estimators that need a solver, one group at a time: a mission, a track, a tile."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+
+SIMILARITY = "mission long, n long, inliers long, scale double, rmse double, degenerate boolean"
+
+
+def umeyama(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted least-squares scale, rotation and shift from src to dst, no reflection."""
+    w = w / w.sum()
+    a, b = w @ src, w @ dst
+    u, d, vt = np.linalg.svd((dst - b).T @ ((src - a) * w[:, None]))
+    flip = np.diag([1, 1, np.sign(np.linalg.det(u @ vt)) or 1])
+    rot = u @ flip @ vt
+    scale = (d * np.diag(flip)).sum() / (w @ ((src - a) ** 2).sum(1))
+    return scale, rot, b - scale * rot @ a
+
+
+def conditioning(x: np.ndarray) -> bool:
+    """Whether points lie on a line or plane: a singular value below a fiftieth of the largest."""
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    return bool(s[-1] < 0.02 * s[0])
+
+
+def similarity(key, g: pd.DataFrame, rounds: int = 200, gate: float = 3.0) -> pd.DataFrame:
+    g = g.sort_values("id")
+    src, dst = g[["te", "tn", "tu"]].to_numpy(), g[["me", "mn", "mu"]].to_numpy()
+    n = len(g)
+    if n < 3:
+        return pd.DataFrame({"mission": [key[0]], "n": [n], "inliers": [0], "scale": [np.nan], "rmse": [np.nan], "degenerate": [True]})
+    rng = np.random.default_rng(0)
+    best = np.ones(n, bool)
+    score = -1
+    for _ in range(rounds):
+        pick = rng.choice(n, 3, replace=False)
+        s, rot, t = umeyama(src[pick], dst[pick], np.ones(3))
+        res = np.linalg.norm(dst - (s * src @ rot.T + t), axis=1)
+        if (res < gate).sum() > score:
+            best, score = res < gate, (res < gate).sum()
+    s, rot, t = umeyama(src[best], dst[best], np.ones(best.sum()))
+    res = np.linalg.norm(dst - (s * src @ rot.T + t), axis=1)
+    keep = res <= gate * max(1.4826 * np.median(res), 1e-9)
+    s, rot, t = umeyama(src[keep], dst[keep], np.ones(keep.sum()))
+    res = np.linalg.norm(dst - (s * src @ rot.T + t), axis=1)[keep]
+    return pd.DataFrame({"mission": [key[0]], "n": [n], "inliers": [int(keep.sum())], "scale": [s], "rmse": [np.sqrt((res**2).mean())], "degenerate": [conditioning(src)]})
+
+
+def smooth(key, g: pd.DataFrame, q: float = 1e-6, noise: float = 4.0) -> pd.DataFrame:
+    """Constant-velocity Kalman filter, then Rauch-Tung-Striebel smoothing."""
+    g = g.sort_values(["t", "event_id"])
+    t, z = g["t"].to_numpy(), g["x"].to_numpy()
+    n = len(g)
+    xs, ps, xp, pp = np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2)), np.zeros((n, 2, 2))
+    fs = np.repeat(np.eye(2)[None], n, 0)
+    x, p = np.array([z[0], 0.0]), np.diag([noise, 1.0])
+    for i in range(n):
+        if i:
+            d = t[i] - t[i - 1]
+            fs[i] = [[1, d], [0, 1]]
+            x, p = fs[i] @ x, fs[i] @ p @ fs[i].T + q * np.array([[d**3 / 3, d**2 / 2], [d**2 / 2, d]])
+        xp[i], pp[i] = x, p
+        k = p[:, 0] / (p[0, 0] + noise)
+        x, p = x + k * (z[i] - x[0]), p - np.outer(k, p[0])
+        xs[i], ps[i] = x, p
+    for i in range(n - 2, -1, -1):
+        c = ps[i] @ fs[i + 1].T @ np.linalg.pinv(pp[i + 1])
+        xs[i] += c @ (xs[i + 1] - xp[i + 1])
+    return pd.DataFrame({"track": key[0], "event_id": g["event_id"], "x": xs[:, 0]})
+
+
+def pose_graph(key, g: pd.DataFrame) -> pd.DataFrame:
+    """Centres from relative edges at offsets 1, 2, 4, 8 with weight 1 / offset; the first stays. Cycle error: skip edges against chained ones."""
+    g = g.sort_values("camera_id")
+    p = g[["cx", "cy"]].to_numpy()
+    n, rows, rhs, cycle = len(p), [], [], 0.0
+    for o in (1, 2, 4, 8):
+        for i in range(n - o):
+            row = np.zeros(n)
+            row[i], row[i + o] = -1 / o, 1 / o
+            rows.append(row)
+            rhs.append((p[i + o] - p[i]) / o)
+            cycle = max(cycle, np.abs((p[i + o] - p[i]) - np.diff(p[i : i + o + 1], axis=0).sum(0)).max())
+    rows.append(np.eye(n)[0] * 1e3)
+    rhs.append(p[0] * 1e3)
+    c = np.linalg.lstsq(np.array(rows), np.array(rhs), rcond=None)[0]
+    return pd.DataFrame({"segment": key[0], "camera_id": g["camera_id"], "cx": c[:, 0], "cy": c[:, 1], "cycle_error": cycle})
+
+
+def membrane(key, g: pd.DataFrame, rounds: int = 500) -> pd.DataFrame:
+    """Every empty cell the mean of its neighbours in the tile, known cells held; a tile without a known cell stays empty."""
+    g = g.sort_values(["rw", "cl"])
+    r0, c0 = g["rw"].min(), g["cl"].min()
+    z = np.full((g["rw"].max() - r0 + 1, g["cl"].max() - c0 + 1), np.nan)
+    z[g["rw"] - r0, g["cl"] - c0] = g["zmean"]
+    known = ~np.isnan(z)
+    if known.any():
+        z = np.where(known, z, z[known].mean())
+        for _ in range(rounds):
+            e = np.pad(z, 1, mode="edge")
+            mean = (e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:]) / 4
+            new = np.where(known, z, mean)
+            if np.abs(new - z).max() < 1e-9:
+                break
+            z = new
+    return pd.DataFrame({"tile": key[0], "rw": g["rw"], "cl": g["cl"], "z": z[g["rw"] - r0, g["cl"] - c0], "filled": g["zmean"].isna()})
+
+
+def normals(batches):
+    """Direction of least spread of each cell's covariance."""
+    for b in batches:
+        m = np.stack([b[["xx", "xy", "xz"]].to_numpy(), b[["xy", "yy", "yz"]].to_numpy(), b[["xz", "yz", "zz"]].to_numpy()], 1)
+        val, vec = np.linalg.eigh(m)
+        up = vec[:, :, 0] * np.where(vec[:, 2, 0] < 0, -1, 1)[:, None]
+        total = np.maximum(val.sum(1), 1e-12)
+        yield pd.DataFrame({"vx": b["vx"], "vy": b["vy"], "n": b["n"], "nx": up[:, 0], "ny": up[:, 1], "nz": up[:, 2], "planarity": 1 - 3 * val[:, 0] / total, "degenerate": np.sqrt(np.maximum(val[:, 0], 0) / np.maximum(val[:, 2], 1e-12)) < 0.02})
+
+
+def spread(key, g: pd.DataFrame, limit: int = 12) -> pd.DataFrame:
+    g = g.sort_values("camera_id")
+    d = g[["x", "y", "z"]].to_numpy() - g[["cx", "cy", "cz"]].to_numpy()
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    chosen, far = [0], np.arccos(np.clip(d @ d[0], -1, 1))
+    while len(chosen) < min(limit, len(d)):
+        k = int(far.argmax())
+        if far[k] <= 0:
+            break
+        chosen.append(k)
+        far = np.minimum(far, np.arccos(np.clip(d @ d[k], -1, 1)))
+        far[k] = 0
+    return pd.DataFrame({"point_id": key[0], "camera_id": g["camera_id"].to_numpy()[chosen], "place": np.arange(1, len(chosen) + 1)})

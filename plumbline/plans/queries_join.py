@@ -395,7 +395,7 @@ def h10_dominant_reason(v):
     """First of a fixed priority list that is present, whatever the order they were found in."""
     k = c("o_orderkey")
     found = F.array_compact(F.array(F.when(k % 3 == 0, "insufficient_views"), F.when(k % 7 == 0, "scale_not_established"), F.when(k % 5 == 0, "endpoint_not_observed")))
-    from .queries_measure import dominant
+    from ..operators.verdict import dominant
 
     return v.orders.select("o_orderkey", dominant(found).alias("dominant"))
 

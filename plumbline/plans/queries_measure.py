@@ -1,18 +1,244 @@
-"""Measurement and verdicts."""
+"""Measurement, evidence, verdicts and the questions' life cycle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# Reasons, worst first.
-PRIORITY = (
-    "endpoint_not_observed outside_established_coverage uncertainty_undefined touches_inferred_geometry scale_not_established alignment_degenerate "
-    "scale_uncertainty_dominates degenerate_view_geometry insufficient_views view_geometry_unverified dynamic_contamination interval_exceeds_tolerance "
-    "calibration_regime_mismatch calibration_sample_too_small interval_not_calibrated"
-).split()
+from ..operators import verdict
+from ..operators.verdict import dominant  # noqa: F401
+from .registry import query
 
+c = F.col
 
-def dominant(reasons: Column) -> Column:
-    """The first reason of the fixed priority that is present."""
-    return F.get(F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains(reasons, p)), F.lit(0))
+
+def r(x, n=6):
+    return F.round(x, n)
+
+
+_SEEN = "seen AS (SELECT DISTINCT point_id, camera_id FROM observations WHERE quantity >= 47)"
+_RAY = f"""{_SEEN}, ray AS (SELECT s.point_id, s.camera_id, (p.x - k.cx) / l AS a, (p.y - k.cy) / l AS b, (p.z - k.cz) / l AS d FROM seen s JOIN points p USING (point_id) JOIN cameras k USING (camera_id), LATERAL (SELECT sqrt((p.x - k.cx) ^ 2 + (p.y - k.cy) ^ 2 + (p.z - k.cz) ^ 2) AS l)),
+sep AS (SELECT q.point_id, degrees(acos(least(greatest(min(q.a * w.a + q.b * w.b + q.d * w.d), -1), 1))) AS separation FROM ray q JOIN ray w ON q.point_id = w.point_id AND q.camera_id < w.camera_id GROUP BY 1),
+lin AS (SELECT point_id, count(*) AS views FROM seen GROUP BY 1)"""
+
+
+def lineage(v):
+    """(point_id, camera_id) of the observations that made a point."""
+    return v.observations.where("quantity >= 47").select("point_id", "camera_id").distinct()
+
+
+def separation(v):
+    """Largest angle between the rays of a point: the arc cosine of the least cosine."""
+    s = lineage(v).join(F.broadcast(v.cameras.select("camera_id", "cx", "cy", "cz")), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
+    l = F.sqrt((c("x") - c("cx")) ** 2 + (c("y") - c("cy")) ** 2 + (c("z") - c("cz")) ** 2)
+    ray = s.select("point_id", "camera_id", ((c("x") - c("cx")) / l).alias("a"), ((c("y") - c("cy")) / l).alias("b"), ((c("z") - c("cz")) / l).alias("d"))
+    other = ray.select("point_id", *[c(k).alias(f"{k}2") for k in ("camera_id", "a", "b", "d")])
+    dot = c("a") * c("a2") + c("b") * c("b2") + c("d") * c("d2")
+    return ray.join(other, "point_id").where("camera_id < camera_id2").groupBy("point_id").agg(F.degrees(F.acos(F.least(F.greatest(F.min(dot), F.lit(-1.0)), F.lit(1.0)))).alias("separation"))
+
+
+@query("M11 M12", f"WITH {_RAY} SELECT point_id, round(separation, 5) AS separation FROM sep")
+def m11_ray_separation(v):
+    return separation(v).select("point_id", r(c("separation"), 5).alias("separation"))
+
+
+_Q = f"""{_RAY}, qq AS (SELECT l_orderkey AS id, min(l_partkey) AS p0, max(l_partkey) AS p1 FROM lineitem GROUP BY 1 HAVING min(l_partkey) < max(l_partkey)),
+ends AS (SELECT id, 0 AS i, p0 AS point_id FROM qq UNION ALL SELECT id, 1, p1 FROM qq),
+ev AS (SELECT id, bool_and(provenance IN (0, 1)) AS observed, bool_and(x < 95) AS covered, bool_or(provenance = 2) AS inferred, min(coalesce(views, 0)) AS views, min(coalesce(separation, 0)) AS separation, bool_and(views IS NOT NULL) AS lineage,
+max(CASE WHEN i = 0 THEN x END) AS x0, max(CASE WHEN i = 0 THEN y END) AS y0, max(CASE WHEN i = 0 THEN z END) AS z0, max(CASE WHEN i = 1 THEN x END) AS x1, max(CASE WHEN i = 1 THEN y END) AS y1, max(CASE WHEN i = 1 THEN z END) AS z1, sum(sigma * sigma) AS var, count(sigma) AS sn
+FROM ends JOIN points USING (point_id) LEFT JOIN lin USING (point_id) LEFT JOIN sep USING (point_id) GROUP BY 1),
+m AS (SELECT *, sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2 + (z1 - z0) ^ 2) AS value, CASE WHEN id % 40 <> 7 THEN (id % 40) / 1e1 + 5e-2 END AS tol, CASE id % 3 WHEN 0 THEN 95 WHEN 1 THEN 90 ELSE 99 END AS level, CASE WHEN id % 13 = 0 THEN 'none' ELSE 'telemetry' END AS scale,
+(id % 4) / 1e3 AS scale_sigma, id % 17 = 0 AS degenerate, id % 19 = 0 AS dynamic, CASE WHEN id % 5 <> 0 THEN 'released' WHEN id % 10 = 0 THEN 'fitted' END AS state, CASE WHEN id % 7 = 0 THEN 12 ELSE 40 END AS n, id % 11 <> 0 AS regime_ok FROM ev),
+s AS (SELECT *, CASE WHEN sn < 2 THEN 'inf'::DOUBLE ELSE sqrt(var + (value * scale_sigma) ^ 2) END AS sigma, CASE level WHEN 95 THEN 1.96 WHEN 90 THEN 1.6449 ELSE 2.5758 END::DOUBLE AS zf, CASE level WHEN 95 THEN 1.6e0 WHEN 90 THEN 1.3e0 END AS factor,
+coalesce(state = 'released' AND n >= 20 AND regime_ok, false) AS cal FROM m)"""
+
+
+def questions(v):
+    """Two-point questions with their evidence gathered over both endpoints: the worse end counts."""
+    q = v.lineitem.groupBy(c("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("p0"), F.max("l_partkey").alias("p1")).where("p0 < p1")
+    ends = q.select("id", F.posexplode(F.array("p0", "p1")).alias("i", "point_id"))
+    views = lineage(v).groupBy("point_id").agg(F.count(F.lit(1)).alias("views"))
+    facts = v.points.join(views, "point_id", "left").join(separation(v), "point_id", "left")
+    at = lambda k, i: F.max(F.when(c("i") == i, c(k))).alias(f"{k}{i}")
+    return ends.join(facts, "point_id").groupBy("id").agg(
+        F.bool_and(c("provenance").isin(0, 1)).alias("observed"),
+        F.bool_and(c("x") < 95).alias("covered"),
+        F.bool_or(c("provenance") == 2).alias("inferred"),
+        F.min(F.coalesce("views", F.lit(0))).alias("views"),
+        F.min(F.coalesce("separation", F.lit(0.0))).alias("separation"),
+        F.bool_and(c("views").isNotNull()).alias("lineage"),
+        *[at(k, i) for k in "xyz" for i in (0, 1)],
+        F.sum(c("sigma") * c("sigma")).alias("var"),
+        F.count("sigma").alias("sn"),
+    )
+
+
+def measured(v):
+    k = c("id")
+    q = questions(v).withColumns(
+        {
+            "value": F.sqrt((c("x1") - c("x0")) ** 2 + (c("y1") - c("y0")) ** 2 + (c("z1") - c("z0")) ** 2),
+            "tol": F.when(k % 40 != 7, k % 40 / 10.0 + 0.05),
+            "level": F.when(k % 3 == 0, 95).when(k % 3 == 1, 90).otherwise(99),
+            "scale": F.when(k % 13 == 0, "none").otherwise("telemetry"),
+            "scale_sigma": k % 4 / 1000.0,
+            "degenerate": k % 17 == 0,
+            "dynamic": k % 19 == 0,
+            "state": F.when(k % 5 != 0, "released").when(k % 10 == 0, "fitted"),
+            "n": F.when(k % 7 == 0, 12).otherwise(40),
+            "regime_ok": k % 11 != 0,
+        }
+    )
+    sigma = F.when(c("sn") < 2, float("inf")).otherwise(F.sqrt(c("var") + (c("value") * c("scale_sigma")) ** 2))
+    return q.withColumns({"sigma": sigma, "factor": F.when(c("level") == 95, 1.6).when(c("level") == 90, 1.3)})
+
+
+_VERDICT = """hard AS (SELECT *, list_filter([CASE WHEN NOT observed THEN 'endpoint_not_observed' END, CASE WHEN NOT covered THEN 'outside_established_coverage' END, CASE WHEN inferred THEN 'touches_inferred_geometry' END, CASE WHEN sigma = 'inf'::DOUBLE THEN 'uncertainty_undefined' END], lambda x: x IS NOT NULL) AS stop,
+list_filter([CASE WHEN dynamic THEN 'dynamic_contamination' END, CASE WHEN separation < 2 THEN 'degenerate_view_geometry' END, CASE WHEN views < 3 THEN 'insufficient_views' END, CASE WHEN NOT lineage THEN 'view_geometry_unverified' END, CASE WHEN scale = 'none' THEN 'scale_not_established' END, CASE WHEN degenerate THEN 'alignment_degenerate' END,
+CASE WHEN state IS NULL THEN 'interval_not_calibrated' WHEN n < 20 THEN 'calibration_sample_too_small' WHEN state <> 'released' THEN 'interval_not_calibrated' WHEN NOT regime_ok THEN 'calibration_regime_mismatch' END, CASE WHEN scale_sigma * abs(value) * zf > tol THEN 'scale_uncertainty_dominates' END], lambda x: x IS NOT NULL) AS soft,
+CASE WHEN cal THEN coalesce(factor * sigma, 'inf'::DOUBLE) ELSE zf * sigma END AS half FROM s),
+ver AS (SELECT id, value, tol, CASE WHEN len(stop) > 0 THEN 'inf'::DOUBLE ELSE half END AS half_width, CASE WHEN len(stop) > 0 THEN 'not_observable' WHEN tol IS NULL THEN 'estimated_only' WHEN half > tol THEN 'needs_refinement' WHEN cal AND len(list_filter(soft, lambda x: x NOT IN ('dynamic_contamination', 'interval_exceeds_tolerance'))) = 0 THEN 'meets_requirement' ELSE 'estimated_only' END AS status,
+CASE WHEN len(stop) > 0 THEN stop WHEN coalesce(half > tol, false) THEN list_append(soft, 'interval_exceeds_tolerance') ELSE soft END AS reasons FROM hard)"""
+_PRIO = "[" + ", ".join(f"'{p}'" for p in verdict.PRIORITY) + "]"
+
+
+def verdicts(v):
+    m = measured(v)
+    e = {k: c(k) for k in ("observed", "covered", "inferred", "dynamic", "separation", "views", "scale", "scale_sigma", "degenerate")}
+    e["basis"] = F.when(c("lineage"), "triangulated").otherwise("frustum")
+    return m.withColumns(verdict.evaluate(c("value"), c("sigma"), c("tol"), c("level"), e, {k: c(k) for k in ("state", "n", "regime_ok", "factor")}))
+
+
+@query("M13 M02 M06 M10 M15 M16 M17 J12", f"WITH {_Q}, {_VERDICT} SELECT id, round(value, 6) AS value, round(half_width, 6) AS half_width, status, array_to_string(reasons, ',') AS reasons, list_filter({_PRIO}, lambda x: list_contains(reasons, x))[1] AS dominant, len(reasons) AS n_advice FROM ver")
+def m13_verdicts(v):
+    """The flagship: every question measured, its evidence weighed, a status with all reasons and the one to fix first."""
+    d = verdicts(v).withColumns({"dominant": verdict.dominant(c("reasons")), "n_advice": F.size(verdict.advice(c("reasons")))})
+    return d.select("id", r(c("value")).alias("value"), r(c("half_width")).alias("half_width"), "status", F.array_join("reasons", ",").alias("reasons"), "dominant", "n_advice")
+
+
+@query("M10", f"WITH {_Q} SELECT id, observed, covered, inferred, views, round(separation, 5) AS separation, lineage FROM ev")
+def m10_evidence(v):
+    return questions(v).select("id", "observed", "covered", "inferred", "views", r(c("separation"), 5).alias("separation"), "lineage")
+
+
+@query("M14", f"""WITH {_Q}, {_VERDICT}, t AS (SELECT id, value, half_width AS h, id % 80 + 2e1 AS lim, id % 2 = 0 AS least FROM ver)
+SELECT id, CASE WHEN least THEN CASE WHEN value - h >= lim THEN 'above' WHEN value + h < lim THEN 'below' ELSE 'indeterminate' END ELSE CASE WHEN value + h <= lim THEN 'below' WHEN value - h > lim THEN 'above' ELSE 'indeterminate' END END AS result FROM t""")
+def m14_threshold(v):
+    d = verdicts(v)
+    return d.select("id", verdict.threshold(c("value"), c("half_width"), c("id") % 80 + 20.0, F.when(c("id") % 2 == 0, "at_least").otherwise("at_most")).alias("result"))
+
+
+@query("M18 M19", f"""WITH {_Q}, {_VERDICT}, {_VERDICT.replace('hard AS', 'hard2 AS').replace('FROM s)', 'FROM (SELECT * REPLACE (tol * 4 AS tol) FROM s))').replace('ver AS', 'ver2 AS').replace('FROM hard)', 'FROM hard2)')}
+SELECT id, a.status AS before, b.status AS after, id % 6 = 0 AS superseded FROM ver a JOIN ver2 b USING (id)""")
+def m18_decide_again(v):
+    """A new tolerance re-runs the decision on what was measured; a newer artifact marks the answer superseded."""
+    d = verdicts(v).select("*", c("status").alias("before"))
+    e = {k: c(k) for k in ("observed", "covered", "inferred", "dynamic", "separation", "views", "scale", "scale_sigma", "degenerate")}
+    e["basis"] = F.when(c("lineage"), "triangulated").otherwise("frustum")
+    again = verdict.evaluate(c("value"), c("sigma"), c("tol") * 4, c("level"), e, {k: c(k) for k in ("state", "n", "regime_ok", "factor")})
+    return d.select("id", "before", again["status"].alias("after"), (c("id") % 6 == 0).alias("superseded"))
+
+
+@query("M01 D07", """SELECT o.o_orderkey AS id, NULL::DOUBLE AS value, CASE WHEN round(d, 9) <= 3 THEN round(sigma, 6) ELSE 'inf'::DOUBLE END AS sigma, coalesce(round(d, 9) <= 3, false) AS snapped FROM orders o LEFT JOIN (
+SELECT q.id, min(d) AS d, arg_min(sigma, round(d, 9) * 1e6 + point_id / 1e6) AS sigma FROM (SELECT o_orderkey AS id, (o_orderkey * 31 % 1000) / 1e1 AS x, (o_orderkey * 57 % 1000) / 1e1 AS y, (o_orderkey % 50) / 5e0 AS z FROM orders) q, LATERAL (SELECT p.point_id, coalesce(p.sigma, 'inf'::DOUBLE) AS sigma, sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2) AS d FROM points p) n WHERE d <= 3.000001 GROUP BY 1) s ON s.id = o.o_orderkey WHERE o_orderkey % 20 = 0""")
+def m01_point_measure(v):
+    """Snap to the nearest observed point within tolerance, or refuse with infinite sigma; a point has no value."""
+    from ..operators import spatial
+
+    k = c("o_orderkey")
+    q = v.orders.where(k % 20 == 0).select(k.alias("id"), (k * 31 % 1000 / 10.0).alias("x"), (k * 57 % 1000 / 10.0).alias("y"), (k % 50 / 5.0).alias("z"))
+    p = v.points.select("point_id", "x", "y", "z", F.coalesce("sigma", F.lit(float("inf"))).alias("sigma"))
+    near = spatial.candidates(q, p, ["x", "y", "z"], 3.01, []).where(F.round("d", 9) <= 3).groupBy(c("q.id").alias("id")).agg(F.min(F.struct(F.round("d", 9).alias("d"), c("p.point_id"), c("p.sigma").alias("sigma"))).alias("m"))
+    return q.join(near, "id", "left").select("id", F.lit(None).cast("double").alias("value"), F.when(c("m").isNotNull(), r(c("m.sigma"))).otherwise(float("inf")).alias("sigma"), c("m").isNotNull().alias("snapped"))
+
+
+_POLYLINE = """vx AS (SELECT point_id // 5 AS line, point_id, x, y, z, sigma FROM points), sg AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(z) OVER w - z AS dz FROM vx WINDOW w AS (PARTITION BY line ORDER BY point_id)),
+ln AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS l FROM sg), un AS (SELECT *, dx / nullif(l, 0) AS ux, dy / nullif(l, 0) AS uy, dz / nullif(l, 0) AS uz FROM ln),
+gr AS (SELECT *, coalesce(lag(ux) OVER w, 0) - coalesce(ux, 0) AS gx, coalesce(lag(uy) OVER w, 0) - coalesce(uy, 0) AS gy, coalesce(lag(uz) OVER w, 0) - coalesce(uz, 0) AS gz FROM un WINDOW w AS (PARTITION BY line ORDER BY point_id))"""
+
+
+@query("M05 M02 M22", f"WITH {_POLYLINE} SELECT line, round(sum(l), 6) AS length, CASE WHEN count(l) = 0 OR min(l) < 1e-12 OR count(sigma) < count(*) THEN 'inf'::DOUBLE ELSE round(sqrt(sum((gx * gx + gy * gy + gz * gz) * sigma * sigma) + (sum(l) * 0.002) ^ 2), 6) END AS sigma FROM gr GROUP BY 1")
+def m05_polyline(v):
+    """Length with its sigma through the gradient of the length: a vertex on a straight line adds nothing."""
+    w = Window.partitionBy("line").orderBy("point_id")
+    p = v.points.select(F.floor(c("point_id") / 5).alias("line"), "point_id", "x", "y", "z", "sigma")
+    s = p.select("*", *[(F.lead(k).over(w) - c(k)).alias(f"d{k}") for k in "xyz"])
+    s = s.withColumn("l", F.sqrt(c("dx") ** 2 + c("dy") ** 2 + c("dz") ** 2))
+    s = s.select("*", *[F.coalesce(F.try_divide(c(f"d{k}"), F.nullif("l", F.lit(0.0))), F.lit(0.0)).alias(f"u{k}") for k in "xyz"])
+    g = s.select("*", *[(F.coalesce(F.lag(f"u{k}").over(w), F.lit(0.0)) - c(f"u{k}")).alias(f"g{k}") for k in "xyz"])
+    var = F.sum((c("gx") ** 2 + c("gy") ** 2 + c("gz") ** 2) * c("sigma") * c("sigma")) + (F.sum("l") * 0.002) ** 2
+    bad = (F.count("l") == 0) | (F.min("l") < 1e-12) | (F.count("sigma") < F.count(F.lit(1)))
+    return g.groupBy("line").agg(r(F.sum("l")).alias("length"), F.when(bad, float("inf")).otherwise(r(F.sqrt(var))).alias("sigma"))
+
+
+@query("M03 M07 M09 J07", f"""WITH {_Q} SELECT id, round(z1 - z0, 6) AS height, CASE WHEN sn = 2 THEN round(sqrt(var + ((z1 - z0) * scale_sigma) ^ 2), 6) END AS sigma, coalesce(1.96 * sqrt(var + ((z1 - z0) * scale_sigma) ^ 2) <= 0.3 AND sn = 2, false) AS ok,
+CASE WHEN sn = 2 THEN printf('%.6f +/- %.6f m (95%%)', round(z1 - z0, 6), round(1.96 * sqrt(var + ((z1 - z0) * scale_sigma) ^ 2), 6)) ELSE 'not observable' END AS text FROM m""")
+def m07_height(v):
+    """Height difference with interval, tolerance gate and text."""
+    m = measured(v)
+    h = c("z1") - c("z0")
+    s = F.sqrt(c("var") + (h * c("scale_sigma")) ** 2)
+    good = c("sn") == 2
+    return m.select("id", r(h).alias("height"), F.when(good, r(s)).alias("sigma"), F.coalesce((1.96 * s <= 0.3) & good, F.lit(False)).alias("ok"), F.when(good, F.format_string("%.6f +/- %.6f m (95%%)", r(h), r(1.96 * s))).otherwise("not observable").alias("text"))
+
+
+@query("M04 L18", None)
+def m04_area(v):
+    """Area of each closed polyline on its best-fit plane with a sigma by finite differences; the eigenvectors need a solver."""
+    import numpy as np
+    import pandas as pd
+
+    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
+        p = g.sort_values("point_id")[["x", "y", "z"]].to_numpy()
+
+        def area(q):
+            d = q - q.mean(0)
+            basis = np.linalg.svd(d)[2][:2]
+            a, b = (d @ basis.T).T
+            return abs(np.sum(a * np.roll(b, -1) - b * np.roll(a, -1))) / 2
+
+        base, var = area(p), 0.0
+        for i in range(len(p)):
+            for k in range(3):
+                q = p.copy()
+                q[i, k] += 1e-4
+                var += ((area(q) - base) / 1e-4) ** 2 * float(g["sigma"].fillna(np.inf).iloc[i]) ** 2
+        return pd.DataFrame({"line": [key[0]], "area": [base], "sigma": [np.sqrt(var + (2 * base * 0.002) ** 2)]})
+
+    lines = v.points.select(F.floor(c("point_id") / 5).alias("line"), "point_id", "x", "y", "z", "sigma")
+    return lines.groupBy("line").applyInPandas(fit, "line long, area double, sigma double")
+
+
+@query("M20", f"""WITH {_Q} SELECT id, round(a, 6) AS before, round(b, 6) AS after, b < a AS narrowed, a > tol AND b <= tol AS improved, a <= tol AND b > tol AS regressed FROM (SELECT id, tol, 1.96 * sigma AS a, 1.96 * sigma * (0.5 + (id % 10) / 1e1) AS b FROM s WHERE sigma < 'inf'::DOUBLE AND tol IS NOT NULL)""")
+def m20_refinement_record(v):
+    m = measured(v).where((c("sigma") < float("inf")) & c("tol").isNotNull())
+    a, b = 1.96 * c("sigma"), 1.96 * c("sigma") * (0.5 + c("id") % 10 / 10.0)
+    return m.select("id", r(a).alias("before"), r(b).alias("after"), (b < a).alias("narrowed"), ((a > c("tol")) & (b <= c("tol"))).alias("improved"), ((a <= c("tol")) & (b > c("tol"))).alias("regressed"))
+
+
+@query("M23", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 4 = 1 THEN 'reconstruction units' ELSE 'm' END AS unit FROM orders")
+def m23_scale_status(v):
+    """A length is metric only with an accepted scale source."""
+    k = c("o_orderkey") % 4
+    source = F.when(k == 0, "none").when(k == 1, "relative").when(k == 2, "telemetry").otherwise("reference")
+    return v.orders.select(c("o_orderkey").alias("id"), F.when(source.isin("none", "relative", "arbitrary"), "reconstruction units").otherwise("m").alias("unit"))
+
+
+@query("M24 J10 J11", """WITH a AS (SELECT point_id, x, y, z FROM points WHERE point_id % 40 = 0), n AS (SELECT a.point_id AS a, b.point_id AS b, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 9) AS d FROM a JOIN points b ON a.point_id <> b.point_id),
+k AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rk FROM n WHERE d > 3 AND d <= 9) SELECT a, b, substr(sha256('distance:' || a || ':' || b), 1, 16) AS digest FROM k WHERE rk = 1""")
+def m24_freeze_questions(v):
+    """Partner of each drawn point: the nearest beyond 3 m within 9 m; the digest pins the draw."""
+    from ..operators import spatial
+
+    p = v.points.select("point_id", "x", "y", "z")
+    n = spatial.candidates(p.where("point_id % 40 = 0"), p, ["x", "y", "z"], 9.0, []).withColumn("d", F.round("d", 9)).where("d > 3 and d <= 9 and q.point_id <> p.point_id")
+    k = n.groupBy(c("q.point_id").alias("a")).agg(F.min(F.struct("d", "p.point_id"))["point_id"].alias("b"))
+    text = F.concat(F.lit("distance:"), c("a").cast("string"), F.lit(":"), c("b").cast("string"))
+    return k.select("a", "b", F.substring(F.sha2(text, 256), 1, 16).alias("digest"))
+
+
+@query("M25", "SELECT a.point_id AS a, b.point_id AS b, abs(a.x - b.x) < 30 AS \"close\" FROM points a JOIN points b ON b.point_id = (a.point_id * 37 + 11) % 2000 WHERE a.point_id % 20 = 3 AND a.point_id <> b.point_id")
+def m25_probe_pairs(v):
+    """Pairs drawn by arithmetic on ids, the same every time."""
+    a = v.points.where("point_id % 20 = 3").select(c("point_id").alias("a"), c("x").alias("xa"), ((c("point_id") * 37 + 11) % 2000).alias("b"))
+    return a.join(v.points.select(c("point_id").alias("b"), c("x").alias("xb")), "b").where("a <> b").select("a", "b", (F.abs(c("xa") - c("xb")) < 30).alias("close"))

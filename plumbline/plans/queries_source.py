@@ -1 +1,258 @@
-"""Queries."""
+"""Readers, writers, text functions, persistence, solvers in grouped tasks, progress streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import solvers
+from ..sources import cloud_files, synthetic, telemetry
+from .registry import query
+
+c = F.col
+
+
+def r(x, n=6):
+    return F.round(x, n)
+
+
+@query("A04 A05 A06 A12 J02", """SELECT event_id, round(t, 6) AS timestamp, CASE WHEN event_id % 50 = 3 THEN NULL WHEN event_id % 50 = 4 THEN lat * 5 ELSE lat END AS latitude, lon AS longitude, CASE WHEN event_id % 70 = 5 THEN NULL ELSE alt END AS altitude, fix AS note,
+CASE WHEN event_id % 50 = 3 THEN 'position missing' WHEN event_id % 50 = 4 THEN 'latitude out of range' WHEN event_id % 70 = 5 THEN 'altitude missing' END AS reject FROM telemetry""")
+def a04_csv_telemetry(v):
+    """String columns under foreign headers: aliases, units, bad rows with their reason, unknown columns kept."""
+    e = c("event_id")
+    lat = F.when(e % 50 == 3, "n/a").otherwise(F.when(e % 50 == 4, c("lat") * 5).otherwise(c("lat")).cast("string"))
+    raw = v.telemetry.select(e, r(c("t")).cast("string").alias("Time (s)"), lat.alias("latitude [deg]"), c("lon").cast("string").alias("LNG"), F.when(e % 70 == 5, "inf").otherwise(c("alt").cast("string")).alias("altitude_m"), c("fix").alias("remark"))
+    t = telemetry.from_columns(raw, "event_id")
+    return t.select("event_id", "timestamp", "latitude", "longitude", "altitude", c("extra")["remark"].alias("note"), "reject")
+
+
+@query("A07 J09", "SELECT event_id, lat AS latitude, lon AS longitude, coalesce(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 5 END, 0)::INTEGER AS views FROM telemetry")
+def a07_json_samples(v):
+    """Nested samples from JSON text; unknown keys are ignored, missing evidence defaults against."""
+    e = c("event_id")
+    text = F.to_json(F.struct(F.array(F.struct(c("lat").alias("lat"), c("lon").alias("lon"), F.when(e % 3 != 0, (e % 5).cast("int")).alias("views"), F.lit("x").alias("unknown"))).alias("samples")))
+    s = v.telemetry.select(e, F.explode(F.from_json(text, "samples array<struct<lat:double,lon:double,views:int>>")["samples"]).alias("s"))
+    return s.select("event_id", c("s.lat").alias("latitude"), c("s.lon").alias("longitude"), F.coalesce("s.views", F.lit(0)).alias("views"))
+
+
+@query("A08 J01", "SELECT event_id, ((event_id % 24) * 3600 + (event_id % 60) * 60 + (event_id * 7 % 60) + (event_id % 1000) / 1e3)::DOUBLE AS timestamp, round(lat, 6) AS latitude, round(lon, 6) AS longitude, CASE WHEN event_id % 4 = 3 THEN 0 ELSE round(alt, 2) END AS altitude, CASE event_id % 4 WHEN 0 THEN 'absolute' WHEN 1 THEN 'relative' WHEN 2 THEN 'unknown' ELSE 'missing' END AS altitude_reference, yaw FROM telemetry")
+def a08_subtitles(v):
+    """Subtitle blocks written out and read back."""
+    e = c("event_id")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    start = F.concat(two(e % 24), F.lit(":"), two(e % 60), F.lit(":"), two(e * 7 % 60), F.lit(","), F.lpad((e % 1000).cast("string"), 3, "0"), F.lit(" --> 99:99:99,999"))
+    alt = r(c("alt"), 2).cast("string")
+    height = F.when(e % 4 == 0, F.concat(F.lit("[rel_alt: 1.0 abs_alt: "), alt, F.lit("]"))).when(e % 4 == 1, F.concat(F.lit("[rel_alt: "), alt, F.lit("]"))).when(e % 4 == 2, F.concat(F.lit("[altitude: "), alt, F.lit("]"))).otherwise("")
+    block = F.concat_ws("\n", e.cast("string"), start, F.concat(F.lit("[latitude: "), r(c("lat")).cast("string"), F.lit("] [longitude: "), r(c("lon")).cast("string"), F.lit("] "), height, F.lit(" [gb_yaw: "), c("yaw").cast("string"), F.lit("]")))
+    return telemetry.from_srt_blocks(v.telemetry.select(e, block.alias("block")))
+
+
+@query("A10 A11 J03 J04", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (1704067200 + event_id % 86400) + 0.5 ELSE (315964800 + 2300 * 604800 + event_id % 600000)::DOUBLE END AS timestamp, lat AS latitude, lon AS longitude, alt AS altitude, CASE event_id % 6 WHEN 0 THEN 'fixed' WHEN 1 THEN 'float' WHEN 2 THEN 'sbas' WHEN 3 THEN 'dgps' WHEN 4 THEN 'single' ELSE 'ppp' END AS rtk_status FROM telemetry")
+def a10_solution_file(v):
+    """Epoch lines by date or by week, quality codes to names; header lines are skipped."""
+    e = c("event_id")
+    day = F.concat(F.date_format(F.timestamp_seconds(1704067200 + e % 86400), "yyyy/MM/dd HH:mm:ss"), F.lit(".500"))
+    week = F.concat(F.lit("2300 "), (e % 600000).cast("string"))
+    line = F.concat_ws("   ", F.when(e % 2 == 0, day).otherwise(week), c("lat").cast("string"), c("lon").cast("string"), c("alt").cast("string"), (e % 6 + 1).cast("string"), F.lit("12"))
+    lines = v.telemetry.select(e, line.alias("line")).union(v.telemetry.where("event_id < 3").select(e, F.lit("% GPST latitude(deg) longitude(deg) height(m) Q ns")))
+    return telemetry.from_pos_lines(lines)
+
+
+@query("A13 A14 A15 B10 B11 Q06", "SELECT count(*) AS points, (SELECT count(*) FROM cameras) AS cameras, (SELECT count(*) FROM observations) AS observations, (SELECT count(*) FROM cells) AS cells FROM points")
+def a13_artifact_set(v):
+    """Artifacts written as Parquet under a revision and read back as one evidence record."""
+    from ..sources.store import ArtifactStore
+
+    store = ArtifactStore.temporary(v.spark)
+    for name in ("points", "cameras", "observations", "cells"):
+        store.write(name, getattr(v, name))
+    n = lambda name: store.read(name).agg(F.count(F.lit(1)).alias(name))
+    return n("points").crossJoin(n("cameras")).crossJoin(n("observations")).crossJoin(n("cells"))  # one row each
+
+
+@query("A16 B01", "SELECT point_id // 200 AS part, count(*) AS n, round(sum(x), 3) AS sx, round(sum(z), 3) AS sz FROM points GROUP BY 1")
+def a16_ply_round_trip(v):
+    """Binary files made in grouped tasks and parsed again."""
+    import numpy as np
+    import pyarrow as pa
+
+    files = cloud_files.to_ply(v.points.withColumn("part", F.floor(c("point_id") / 200)), "part", ["x", "y", "z"])
+
+    def parse(batches):
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1)):
+                p = cloud_files.parse_ply(data.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), k)), pa.array(p["x"]), pa.array(p["z"])], ["part", "x", "z"])
+
+    return files.mapInArrow(parse, "part long, x double, z double").groupBy("part").agg(F.count(F.lit(1)).alias("n"), r(F.sum("x"), 3).alias("sx"), r(F.sum("z"), 3).alias("sz"))
+
+
+@query("A18", "SELECT count(*) AS n, round(avg(z), 6) AS z FROM dense WHERE x BETWEEN 20 AND 40 AND y BETWEEN 10 AND 60")
+def a18_box_scan(v):
+    """A bounding box as a filter that reaches the scan."""
+    l = v.lineitem.where(c("l_extendedprice").between(20000, 40000))
+    d = l.select((c("l_quantity") * 2 + c("l_partkey") % 100 / 100.0).alias("y"), (100.0 * c("l_discount") + 10.0 * c("l_tax")).alias("z")).where(c("y").between(10, 60))
+    return d.agg(F.count(F.lit(1)).alias("n"), r(F.avg("z")).alias("z"))
+
+
+@query("A19 A23", "SELECT event_id AS imgid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM telemetry")
+def a19_keyed_log_scan(v):
+    """Delimited text lines with a key column."""
+    line = F.concat_ws(",", c("event_id").cast("string"), r(c("lat")).cast("string"), r(c("lon")).cast("string"))
+    s = v.telemetry.select(F.split(line, ",").alias("t"))
+    return s.select(c("t")[0].cast("long").alias("imgid"), c("t")[1].cast("double").alias("lat"), c("t")[2].cast("double").alias("lon"))
+
+
+@query("A20 J05 D19", "SELECT id, CASE id % 3 WHEN 0 THEN 'enu' WHEN 1 THEN 'utm' ELSE 'wgs84' END AS form, round(coalesce(CASE WHEN id % 3 = 0 THEN te END, CASE WHEN id % 3 = 1 THEN te + 500000 END, te / 1e5 + 114), 6) AS first FROM survey")
+def a20_survey_points(v):
+    """Truth in one of three forms; the first that is complete counts."""
+    k = c("id") % 3
+    s = v.survey.select("id", F.when(k == 0, c("te")).alias("e"), F.when(k == 1, c("te") + 500000).alias("easting"), F.when(k == 2, c("te") / 1e5 + 114).alias("lon"))
+    form = F.when(c("e").isNotNull(), "enu").when(c("easting").isNotNull(), "utm").when(c("lon").isNotNull(), "wgs84").otherwise(F.raise_error(F.lit("a survey row has no truth")))
+    return s.select("id", form.alias("form"), r(F.coalesce("e", "easting", "lon")).alias("first"))
+
+
+@query("A24 A25 A28", "SELECT i AS frame, round(40 * cos(i * 2 * pi() / 60), 6) AS e, round(40 * sin(i * 2 * pi() / 60), 6) AS n, 60e0 AS u FROM range(0, 60) t(i)")
+def a24_synthetic_orbit(v):
+    """A regime's trajectory in closed form; the noise comes from hashes, so the same flight comes back each time."""
+    return synthetic.trajectory(v.spark, "orbit", 60).select("frame", r(c("e")).alias("e"), r(c("n")).alias("n"), c("u"))
+
+
+@query("A26 J11 B18 B19", """WITH l AS (SELECT p_brand AS dir, 'f' || p_partkey || ':' || sha256(p_name) AS line FROM part) SELECT dir, count(*) AS n_files, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1""")
+def a26_inventory_digest(v):
+    """Order-stable digest of a set of files from sorted name:hash lines."""
+    line = F.concat(F.lit("f"), c("p_partkey").cast("string"), F.lit(":"), F.sha2("p_name", 256))
+    return v.part.groupBy(c("p_brand").alias("dir")).agg(F.count(F.lit(1)).alias("n_files"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("digest"))
+
+
+@query("A27", "SELECT camera_id AS image_id, 'f' || camera_id || '.jpg' AS name, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz FROM cameras")
+def a27_colmap_centres(v):
+    """Poses written as quaternion and translation lines; the centres must come back."""
+    h = F.radians("yaw") / 2
+    w, z = F.cos(h), F.sin(h)
+    cs, sn = F.cos(F.radians("yaw")), F.sin(F.radians("yaw"))
+    t = [-(cs * c("cx") - sn * c("cy")), -(sn * c("cx") + cs * c("cy")), -c("cz")]
+    num = lambda x: F.format_string("%.12f", x)
+    line = F.concat_ws(" ", c("camera_id").cast("string"), num(w), F.lit("0"), F.lit("0"), num(z), *map(num, t), F.lit("1"), F.concat(F.lit("f"), c("camera_id").cast("string"), F.lit(".jpg")))
+    out = cloud_files.colmap_centres(v.cameras.select(line.alias("line")))
+    return out.select("image_id", "name", *[r(c(k), 4).alias(k) for k in ("cx", "cy", "cz")])
+
+
+@query("B02", "SELECT point_id, round(x / 0.001)::BIGINT AS xi, round(z / 0.001)::BIGINT AS zi, CASE WHEN provenance = 2 THEN 1 ELSE 2 END AS class FROM points")
+def b02_las_records(v):
+    """Scaled integers and classes of LAS records, as columns."""
+    return v.points.select("point_id", r(c("x") / 0.001, 0).cast("long").alias("xi"), r(c("z") / 0.001, 0).cast("long").alias("zi"), F.when(c("provenance") == 2, 1).otherwise(2).alias("class"))
+
+
+@query("B05 B15", "SELECT camera_id, printf('%d,%.4f,%.4f,%.4f', frame_index, round(cx, 4), round(cy, 4), round(cz, 4)) AS line FROM cameras")
+def b05_trajectory_lines(v):
+    return v.cameras.select("camera_id", F.format_string("%d,%.4f,%.4f,%.4f", "frame_index", r(c("cx"), 4), r(c("cy"), 4), r(c("cz"), 4)).alias("line"))
+
+
+@query("B06", "SELECT camera_id // 20 AS track, count(*) AS n, '[[' || string_agg(printf('%.1f,%.1f', cx, cy), '],[' ORDER BY camera_id) || ']]' AS coordinates FROM cameras GROUP BY 1")
+def b06_geojson_line(v):
+    """The coordinates of a LineString in order."""
+    at = F.struct("camera_id", F.format_string("[%.1f,%.1f]", "cx", "cy").alias("s"))
+    g = v.cameras.groupBy(F.floor(c("camera_id") / 20).alias("track")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(at)).alias("a"))
+    return g.select("track", "n", F.concat(F.lit("["), F.array_join(c("a.s"), ","), F.lit("]")).alias("coordinates"))
+
+
+@query("B03 B07 B12 F16", "SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 'EPSG:32650' END AS crs FROM points")
+def b12_manifest(v):
+    """A manifest as one JSON record, read back."""
+    m = v.points.agg(F.count(F.lit(1)).alias("n")).select(F.to_json(F.struct("n", F.lit("EPSG:32650").alias("crs"), F.struct(F.lit(1.0).alias("scale")).alias("alignment"))).alias("j"))
+    return m.select(F.from_json("j", "n long, crs string, alignment struct<scale:double>").alias("m")).select("m.n", "m.crs")
+
+
+@query("B08 B09", "SELECT g.rw, g.cl, coalesce(k.dsm, -9999) AS value FROM (SELECT a.rw, b.cl FROM (SELECT unnest(range(min(rw), max(rw) + 1)) AS rw FROM cells) a, (SELECT unnest(range(min(cl), max(cl) + 1)) AS cl FROM cells) b) g LEFT JOIN cells k USING (rw, cl)")
+def b08_raster_export(v):
+    """A dense grid with NoData marked, as a raster file needs it."""
+    from ..operators import raster
+
+    return raster.grid(v.cells).join(v.cells.select("rw", "cl", "dsm"), ["rw", "cl"], "left").select("rw", "cl", F.coalesce("dsm", F.lit(-9999.0)).alias("value"))
+
+
+@query("B20 J15 Q09", "SELECT c_custkey, regexp_replace('/home/user' || c_custkey || '/' || c_name, '/home/[a-z0-9]+', '/home/-', 'g') AS path FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def b20_redacted_export(v):
+    keep = v.orders.where("o_totalprice > 400000").select(c("o_custkey").alias("c_custkey"))
+    path = F.concat(F.lit("/home/user"), c("c_custkey").cast("string"), F.lit("/"), c("c_name"))
+    return v.customer.join(keep, "c_custkey", "left_semi").select("c_custkey", F.regexp_replace(path, "/home/[a-z0-9]+", "/home/-").alias("path"))
+
+
+@query("J06 J08", "SELECT point_id, CASE WHEN point_id % 23 = 0 THEN NULL ELSE sigma END AS sigma FROM points")
+def j06_json_safe(v):
+    """Infinite and undefined numbers become null before JSON."""
+    s = F.coalesce("sigma", F.lit(float("inf")))
+    return v.points.select("point_id", F.when(F.isnan(s) | (F.abs(s) == float("inf")), None).otherwise(s).alias("sigma"))
+
+
+@query("J13", "SELECT p_partkey, chr((65 + p_partkey % 26)::INTEGER) || chr((97 + p_size % 26)::INTEGER) AS code FROM part")
+def j13_fourcc(v):
+    """Characters out of the bytes of an integer."""
+    n = (65 + c("p_partkey") % 26).bitwiseOR(F.shiftleft((97 + c("p_size") % 26).cast("long"), 8))
+    return v.part.select(c("p_partkey"), F.concat(F.char(n.bitwiseAND(F.lit(255))), F.char(F.shiftright(n, 8).bitwiseAND(F.lit(255)))).alias("code"))
+
+
+@query("Q03 Q04 Q10", "SELECT event_id % 500 AS id, arg_max(event_type, event_id) AS state, max(event_id) AS version FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+def q03_latest_state(v):
+    """An append-only log of inserts, updates and deletes: the newest entry per id, deleted ids gone."""
+    last = v.events.groupBy((c("event_id") % 500).alias("id")).agg(F.max(F.struct("event_id", "event_type")).alias("m"))
+    return last.where("m.event_type <> 'error'").select("id", c("m.event_type").alias("state"), c("m.event_id").alias("version"))
+
+
+@query("N02 N03 N04 N06", "SELECT event_id, round(CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN 0.1 WHEN 'purchase' THEN 0.3 WHEN 'signup' THEN 0.7 ELSE 0.9 END + CASE event_type WHEN 'view' THEN 0.1 WHEN 'click' THEN 0.2 WHEN 'purchase' THEN 0.4 WHEN 'signup' THEN 0.2 ELSE 0.1 END * (event_id % 11) / 10, 6) AS fraction FROM events")
+def n02_global_progress(v):
+    """A stage's share to the job's, by stage spans; the events come as prefixed JSON lines."""
+    from ..streaming import progress
+
+    spans = {"view": (0.0, 0.1), "click": (0.1, 0.2), "purchase": (0.3, 0.4), "signup": (0.7, 0.2), "error": (0.9, 0.1)}
+    line = F.concat(F.lit("@progress "), F.to_json(F.struct("event_id", c("event_type").alias("stage"), (c("event_id") % 11 / 10.0).alias("f"))))
+    return progress.fractions(v.events.select(line.alias("line")), spans).select("event_id", r(c("fraction")).alias("fraction"))
+
+
+@query("L01 L02 F27", None)
+def l02_similarity_fit(v):
+    """A robust similarity per mission in a grouped task: seeded consensus, gate, weighted refit."""
+    s = v.survey.select("mission", "id", *[c(k) for k in ("me", "mn", "mu", "te", "tn", "tu")])
+    return s.groupBy("mission").applyInPandas(lambda key, g: solvers.similarity(key, g), solvers.SIMILARITY)
+
+
+@query("G07", None)
+def g07_kalman_smooth(v):
+    """Constant-velocity filter and backward smoother per track."""
+    t = v.telemetry.select("track", "event_id", "t", c("alt").alias("x"))
+    return t.groupBy("track").applyInPandas(lambda key, g: solvers.smooth(key, g), "track long, event_id long, x double")
+
+
+@query("L10 G15 G16", None)
+def l10_pose_graph(v):
+    """Headings and centres of a chain with skip edges by linear least squares, first pose held."""
+    e = v.cameras.select((F.floor(c("camera_id") / 25)).alias("segment"), "camera_id", "cx", "cy", "yaw")
+    return e.groupBy("segment").applyInPandas(lambda key, g: solvers.pose_graph(key, g), "segment long, camera_id long, cx double, cy double, cycle_error double")
+
+
+@query("K23 K24", None)
+def k23_membrane_fill(v):
+    """Laplace fill of empty cells per tile."""
+    from ..operators import raster
+
+    g = raster.grid(v.cells).join(v.cells.select("rw", "cl", "zmean"), ["rw", "cl"], "left").withColumn("tile", F.floor(c("rw") / 16) * 100 + F.floor(c("cl") / 16))
+    return g.groupBy("tile").applyInPandas(lambda key, g: solvers.membrane(key, g), "tile long, rw long, cl long, z double, filled boolean")
+
+
+@query("L11 L12 L13 L03 D10 F21 P11", None)
+def l13_cell_normals(v):
+    """Normal, planarity and conditioning of each voxel of at least four points."""
+    p = v.dense.select(F.floor(c("x") / 10).alias("vx"), F.floor(c("y") / 10).alias("vy"), "x", "y", "z", "l_orderkey", "l_linenumber")
+    s = p.groupBy("vx", "vy").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]).where("n >= 4")
+    return s.mapInPandas(solvers.normals, "vx long, vy long, n long, nx double, ny double, nz double, planarity double, degenerate boolean")
+
+
+@query("H01 E26 H04", None)
+def h01_supporting_frames(v):
+    """Greedy choice of frames that spread the viewing directions most, seeded with the first, at most twelve per point."""
+    from .queries_measure import lineage
+
+    s = lineage(v).join(F.broadcast(v.cameras.select("camera_id", "cx", "cy", "cz")), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
+    return s.groupBy("point_id").applyInPandas(lambda key, g: solvers.spread(key, g), "point_id long, camera_id long, place int")
