@@ -131,3 +131,41 @@ def spread(key, g: pd.DataFrame, limit: int = 12) -> pd.DataFrame:
         far = np.minimum(far, np.arccos(np.clip(d @ d[k], -1, 1)))
         far[k] = 0
     return pd.DataFrame({"point_id": key[0], "camera_id": g["camera_id"].to_numpy()[chosen], "place": np.arange(1, len(chosen) + 1)})
+
+
+def offset_by_alignment(key, g: pd.DataFrame, step: float = 0.1, reach: float = 2.0) -> pd.DataFrame:
+    """Residual of a similarity between the track and itself seen later, per offset."""
+    g = g.sort_values("t")
+    t, p = g["t"].to_numpy(), g[["cx", "cy", "cz"]].to_numpy()
+    true = 0.4
+    seen = np.stack([np.interp(t + true, t, p[:, k]) for k in range(3)], 1)
+    grid = np.arange(-reach, reach + step / 2, step)
+    inner = (t > t[0] + reach) & (t < t[-1] - reach)
+    cost = []
+    for o in grid:
+        x = np.stack([np.interp(t + o, t, p[:, k]) for k in range(3)], 1)
+        s, rot, shift = umeyama(x[inner], seen[inner], np.ones(inner.sum()))
+        cost.append(np.sqrt((((s * x @ rot.T + shift) - seen)[inner] ** 2).sum(1).mean()))
+    cost = np.array(cost)
+    best = int(cost.argmin())
+    flat = grid[cost <= cost[best] + 0.05]
+    return pd.DataFrame({"segment": [key[0]], "offset": [round(float(grid[best]), 6)], "rmse": [float(cost[best])], "half_width": [float(np.ptp(flat) / 2)]})
+
+
+def cloth(key, g: pd.DataFrame, rounds: int = 200, stiff: float = 0.5, near: float = 0.5) -> pd.DataFrame:
+    """A sheet falls on the inverted surface, held up by it and by its own neighbours."""
+    g = g.sort_values(["rw", "cl"])
+    r0, c0 = g["rw"].min(), g["cl"].min()
+    z = np.full((g["rw"].max() - r0 + 1, g["cl"].max() - c0 + 1), np.nan)
+    z[g["rw"] - r0, g["cl"] - c0] = g["zmin"]
+    have = ~np.isnan(z)
+    ground = np.zeros_like(have)
+    if have.any():
+        top = -np.where(have, z, np.nanmax(z))
+        sheet = np.full(z.shape, top.max() + 1)
+        for _ in range(rounds):
+            e = np.pad(sheet, 1, mode="edge")
+            mean = (e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:]) / 4
+            sheet = np.maximum(sheet + stiff * (mean - sheet) - 0.05, top)
+        ground = have & (np.abs(sheet - top) <= near)
+    return pd.DataFrame({"tile": key[0], "rw": g["rw"], "cl": g["cl"], "ground": ground[g["rw"] - r0, g["cl"] - c0]})

@@ -126,7 +126,7 @@ def a26_inventory_digest(v):
     return v.part.groupBy(c("p_brand").alias("dir")).agg(F.count(F.lit(1)).alias("n_files"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("digest"))
 
 
-@query("A27", "SELECT camera_id AS image_id, 'f' || camera_id || '.jpg' AS name, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz FROM cameras")
+@query("A27", "SELECT camera_id AS image_id, 'f' || camera_id || '.jpg' AS name, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz FROM cameras")
 def a27_colmap_centres(v):
     """Poses written as quaternion and translation lines; the centres must come back."""
     h = F.radians("yaw") / 2
@@ -136,7 +136,7 @@ def a27_colmap_centres(v):
     num = lambda x: F.format_string("%.12f", x)
     line = F.concat_ws(" ", c("camera_id").cast("string"), num(w), F.lit("0"), F.lit("0"), num(z), *map(num, t), F.lit("1"), F.concat(F.lit("f"), c("camera_id").cast("string"), F.lit(".jpg")))
     out = cloud_files.colmap_centres(v.cameras.select(line.alias("line")))
-    return out.select("image_id", "name", *[r(c(k), 4).alias(k) for k in ("cx", "cy", "cz")])
+    return out.select("image_id", "name", r(c("cx"), 6).alias("cx"), r(c("cy"), 6).alias("cy"), r(c("cz"), 6).alias("cz"))
 
 
 @query("B02", "SELECT point_id, round(x / 0.001)::BIGINT AS xi, round(z / 0.001)::BIGINT AS zi, CASE WHEN provenance = 2 THEN 1 ELSE 2 END AS class FROM points")
@@ -145,9 +145,9 @@ def b02_las_records(v):
     return v.points.select("point_id", r(c("x") / 0.001, 0).cast("long").alias("xi"), r(c("z") / 0.001, 0).cast("long").alias("zi"), F.when(c("provenance") == 2, 1).otherwise(2).alias("class"))
 
 
-@query("B05 B15", "SELECT camera_id, printf('%d,%.4f,%.4f,%.4f', frame_index, round(cx, 4), round(cy, 4), round(cz, 4)) AS line FROM cameras")
+@query("B05 B15", "SELECT camera_id, printf('%d,%.5f,%.5f,%.5f', frame_index, round(cx, 5), round(cy, 5), round(cz, 5)) AS line FROM cameras")
 def b05_trajectory_lines(v):
-    return v.cameras.select("camera_id", F.format_string("%d,%.4f,%.4f,%.4f", "frame_index", r(c("cx"), 4), r(c("cy"), 4), r(c("cz"), 4)).alias("line"))
+    return v.cameras.select("camera_id", F.format_string("%d,%.5f,%.5f,%.5f", "frame_index", r(c("cx"), 5), r(c("cy"), 5), r(c("cz"), 5)).alias("line"))
 
 
 @query("B06", "SELECT camera_id // 20 AS track, count(*) AS n, '[[' || string_agg(printf('%.1f,%.1f', cx, cy), '],[' ORDER BY camera_id) || ']]' AS coordinates FROM cameras GROUP BY 1")
@@ -256,3 +256,83 @@ def h01_supporting_frames(v):
 
     s = lineage(v).join(F.broadcast(v.cameras.select("camera_id", "cx", "cy", "cz")), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
     return s.groupBy("point_id").applyInPandas(lambda key, g: solvers.spread(key, g), "point_id long, camera_id long, place int")
+
+
+@query("E09", """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, z FROM dense WHERE l_linenumber = 1 AND x BETWEEN 20 AND 40), n AS (SELECT q.*, p.point_id, round(sqrt((q.x - p.x) ^ 2 + (q.y - p.y) ^ 2 + (q.z - p.z) ^ 2), 9) AS d FROM q JOIN points p ON abs(q.x - p.x) <= 3 AND abs(q.y - p.y) <= 3 AND abs(q.z - p.z) <= 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY d, point_id) AS rk FROM n WHERE d <= 3) SELECT k.l_orderkey, k.l_partkey, k.l_suppkey, point_id, camera_id, round(cz - z, 6) AS depth FROM k JOIN cameras ON camera_id = k.l_suppkey WHERE rk = 1 AND cz - z > 0""")
+def e09_dense_attribution(v):
+    """Each dense input row to the nearest fused point within the voxel diagonal, then into its camera."""
+    from ..operators import spatial
+
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    q = v.dense.where("l_linenumber = 1 and x between 20 and 40").select(*key, "x", "y", "z")
+    p = v.points.select("point_id", "x", "y", "z")
+    near = spatial.within(q, p, ["x", "y", "z"], 3.000001).where(F.round("d", 9) <= 3)
+    rank = F.row_number().over(Window.partitionBy(*[f"q.{k}" for k in key]).orderBy(F.round("d", 9), "p.point_id"))
+    k = near.withColumn("rk", rank).where("rk = 1").select("q.*", "p.point_id")
+    return k.join(F.broadcast(v.cameras.select("camera_id", "cz")), c("l_suppkey") == c("camera_id")).where("cz - z > 0").select("l_orderkey", "l_partkey", "l_suppkey", "point_id", "camera_id", r(c("cz") - c("z")).alias("depth"))
+
+
+@query("O01 O02 O04 O05", "SELECT point_id, CASE WHEN confidence >= 0.5 THEN 1e0 ELSE 0e0 END AS mask, confidence * 2 AS feature, round(x * 2, 6) AS value, round(coalesce(sigma, 'inf'::DOUBLE) * 2, 6) AS sigma_value FROM points")
+def o01_backends(v):
+    """Exchangeable backends by name, and a value function given as Columns."""
+    from ..operators import backends
+
+    p = v.points.select("point_id", "confidence", "x", F.coalesce("sigma", F.lit(float("inf"))).alias("s"))
+    p = p.withColumn("mask", backends.create(backends.MASKS, "threshold")("confidence")).withColumn("feature", backends.create(backends.FEATURES, "scale")("confidence"))
+    return backends.measure(p, lambda d: (r(d.x * 2), r(d.s * 2))).select("point_id", "mask", "feature", "value", "sigma_value")
+
+
+@query("A17", "SELECT point_id, count(*) AS n, min(camera_id) AS first FROM observations WHERE quantity >= 40 GROUP BY 1")
+def a17_visibility_rows(v):
+    """A ragged visibility file (count, then ids, per point) to long rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat = v.observations.where("quantity >= 40").groupBy("point_id").agg(F.collect_list("camera_id").alias("ids"))
+    blob = flat.select("point_id", F.concat(F.array(F.size("ids").cast("long")), "ids").alias("rec"))
+
+    def parse(batches):
+        for b in batches:
+            keys, recs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            size = np.array([x[0] for x in recs], np.int64)
+            ids = np.concatenate([np.array(x[1:], np.int64) for x in recs]) if recs else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), size)), pa.array(ids)], ["point_id", "camera_id"])
+
+    return blob.mapInArrow(parse, "point_id long, camera_id long").groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.min("camera_id").alias("first"))
+
+
+@query("A21", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'odm' WHEN p_partkey % 5 = 1 THEN 'tartanair' WHEN p_partkey % 5 = 2 THEN 'eth3d' WHEN p_partkey % 5 = 3 THEN 'tum' ELSE 'synthetic' END AS kind FROM part")
+def a21_dataset_kinds(v):
+    """Kind of a dataset by the files it holds."""
+    from ..sources.datasets import kind_of
+
+    names = ("images/a.JPG", "pose_left.txt", "cameras.txt", "groundtruth.txt", "ground_truth.json")
+    path = F.get(F.array(*map(F.lit, names)), (c("p_partkey") % 5).cast("int"))
+    return v.part.select("p_partkey", kind_of(path).alias("kind"))
+
+
+@query("G05", None)
+def g05_offset_by_alignment(v):
+    """Time offset whose shifted track aligns best, per segment; the plateau's half width tells how sharp it is."""
+    t = v.cameras.select(F.floor(c("camera_id") / 50).alias("segment"), "camera_id", "t", "cx", "cy", "cz")
+    return t.groupBy("segment").applyInPandas(lambda key, g: solvers.offset_by_alignment(key, g), "segment long, offset double, rmse double, half_width double")
+
+
+@query("K07", None)
+def k07_cloth_ground(v):
+    """Cloth laid over the turned-over surface of a tile; cells near the cloth are ground."""
+    from ..operators import raster
+
+    g = raster.grid(v.cells).join(v.cells.select("rw", "cl", "zmin"), ["rw", "cl"], "left").withColumn("tile", F.floor(c("rw") / 32) * 100 + F.floor(c("cl") / 32))
+    return g.groupBy("tile").applyInPandas(lambda key, g: solvers.cloth(key, g), "tile long, rw long, cl long, ground boolean")
+
+
+@query("N01", "SELECT event_type AS stage, max((event_id % 11) / 1e1) AS fraction, count(*) AS events FROM events GROUP BY 1")
+def n01_progress_state(v):
+    """The last state per stage of a progress log; tests run the same plan as a stream."""
+    from ..streaming import progress
+
+    line = F.concat(F.lit("@progress "), F.to_json(F.struct("event_id", c("event_type").alias("stage"), (c("event_id") % 11 / 10.0).alias("f"))))
+    spans = {k: (0.0, 1.0) for k in ("view", "click", "purchase", "signup", "error")}
+    return progress.fractions(v.events.select(line.alias("line")), spans).groupBy("stage").agg(F.max("fraction").alias("fraction"), F.count(F.lit(1)).alias("events"))
