@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-"))
@@ -17,13 +17,13 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str, max_rounds: int = 200) -> DataFrame:
     """(node, label): label is the least node reachable.  Two steps a round: take the least of the neighbours' labels, then that label's label."""
-    both = _cut(edges.select(F.col(a).alias("_u"), F.col(b).alias("_v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    now = _cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("label")))
+    both = cut(edges.select(F.col(a).alias("_u"), F.col(b).alias("_v")).union(edges.select(F.col(b), F.col(a))).distinct())
+    now = cut(nodes.select(F.col(node).alias("node"), F.col(node).alias("label")))
     for _ in range(max_rounds):
         near = both.join(now, both["_v"] == now["node"]).groupBy("_u").agg(F.min("label").alias("_m"))
         step = now.join(near, now["node"] == near["_u"], "left").select("node", F.least("label", "_m").alias("label"))
         jump = step.join(step.select(F.col("node").alias("_n"), F.col("label").alias("_l")), F.col("label") == F.col("_n"), "left").select("node", F.least("label", "_l").alias("label"))
-        new = _cut(jump)
+        new = cut(jump)
         if new.join(now.withColumnRenamed("label", "_old"), "node").where("label <> _old").isEmpty():
             return new
         now = new

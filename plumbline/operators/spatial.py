@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def cell(axes: list[str], size: float) -> list[Column]:
     return [F.floor(F.col(a) / F.lit(float(size))).alias(f"_c{k}") for k, a in enumerate(axes)]
@@ -49,7 +51,7 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, point_key: str, axe
         settled = top.where((F.col("rank") == k) & (F.col("d") <= size)).select(F.col(f"q.{key}").alias("_k"))
         part = top.join(settled, F.col(f"q.{key}") == F.col("_k"), "left_semi")
         done = part if done is None else done.unionByName(part)
-        left = left.join(settled, left[key] == F.col("_k"), "left_anti")
+        left = cut(left.join(settled, left[key] == F.col("_k"), "left_anti"))  # or every round would run all earlier ones again
         if left.isEmpty():
             return done
         size *= 2
