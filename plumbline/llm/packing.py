@@ -44,6 +44,7 @@ def cuts(length: int, doc_ends: np.ndarray, sentences: np.ndarray, window: int,
     pos = np.unique(np.concatenate([[0], sentences, doc_ends, [length]]).astype(np.int64))
     gap = np.flatnonzero(np.diff(pos) > window)
     if len(gap):
+        grid = max(1, min(grid, window // 2))
         more = [np.arange(pos[g] + grid, pos[g + 1], grid) for g in gap.tolist()]
         hard = np.concatenate(more)
         pos = np.union1d(pos, hard)
