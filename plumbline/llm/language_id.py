@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, char_stream, gram_hashes, held_out, unit_hash
+from .common import byte_parts, char_stream, fit_in_task, gram_hashes, held_out, unit_hash
 
 SIZES, BITS = (1, 2, 3), 12
 UNKNOWN = "und"
@@ -115,17 +115,20 @@ def fit(texts: list[str], langs: list[str], rounds: int = 150, l2: float = 1e-5,
     return LanguageModel(names, code, w, b, margin)
 
 
-def train(docs: DataFrame, per_language: int = 800, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", fit_sample=fit) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 800, lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> LanguageModel:
     """Fit on about `per_language` texts of each language at most, none of them held out; the sample is chosen by a hash of the id."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
     size = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size:
-        return fit_sample([], [])
+        return fit([], [])
     share = F.coalesce(*(F.when(F.col("_lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(size.items())))
-    got = rows.where((unit_hash(F.col("_id")) < share) & F.col("_text").isNotNull()).toArrow()
-    order = np.argsort(got["_id"].to_numpy(), kind="stable")
-    pick = pa.array(order)
-    return fit_sample(got["_text"].take(pick).to_pylist(), got["_lang"].take(pick).to_pylist())
+    sample = rows.where((unit_hash(F.col("_id")) < share) & F.col("_text").isNotNull())
+    return fit_in_task(sample, _fit_rows) or fit([], [])
+
+
+def _fit_rows(rows: pa.Table) -> LanguageModel:
+    pick = pa.array(np.lexsort((rows["_lang"].to_numpy(zero_copy_only=False), rows["_id"].to_numpy())))
+    return fit(rows["_text"].take(pick).to_pylist(), rows["_lang"].take(pick).to_pylist())
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, char_stream, gram_hashes, held_out, unit_hash
+from .common import byte_parts, char_stream, fit_in_task, gram_hashes, held_out, unit_hash
 
 SIZES, BITS = (4, 5, 6), 21
 
@@ -41,7 +41,7 @@ class ToxicityModel:
         doc, feature = _hits(texts, self.slot)
         pair = np.unique(doc.astype(np.int64) * len(self.weight) + feature)
         z += np.bincount(pair // len(self.weight), self.weight[pair % len(self.weight)], len(texts))
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.where(z < -500, 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def _hits(texts: list[str], slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def fit(texts: list[str], toxic: np.ndarray, smoothing: float = 1.0, min_z: floa
         return ToxicityModel(np.zeros(1 << BITS, np.uint16), np.zeros(1), 1e9 if n1 else -1e9)
     p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
     pairs, first = [], 0
-    for part in byte_parts(texts, 1_000_000):  # twice: counts first, then the rows of the features kept
+    for part in byte_parts(texts, 300_000):  # twice: counts first, then the rows of the features kept
         doc, h = _hits(part, None)
         key = np.unique(doc.astype(np.int64) << BITS | h)
         y = toxic[first + (key >> BITS)]
@@ -85,7 +85,7 @@ def fit(texts: list[str], toxic: np.ndarray, smoothing: float = 1.0, min_z: floa
     slot = np.zeros(1 << BITS, np.uint16)
     slot[kept] = np.arange(1, len(kept) + 1)
     first = 0
-    for part in byte_parts(texts, 1_000_000):
+    for part in byte_parts(texts, 300_000):
         doc, f = _hits(part, slot)
         key = np.unique((doc.astype(np.int64) + first) * (len(kept) + 1) + f)
         pairs.append(key)
@@ -123,7 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, label: str
         return ToxicityModel(np.zeros(1 << BITS, np.uint16), np.zeros(1), -1e9)
     share = F.coalesce(*(F.when(F.col("_y") == y, F.lit(min(1.0, per_class / n))) for y, n in sorted(size.items())))
     chosen = marks.where(unit_hash(F.col("_id")) < share)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text").toArrow()
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    return fit_in_task(rows, _fit_rows) or ToxicityModel(np.zeros(1 << BITS, np.uint16), np.zeros(1), -1e9)
+
+
+def _fit_rows(rows: pa.Table) -> ToxicityModel:
     order = np.lexsort((rows["_y"].to_numpy(), rows["_id"].to_numpy()))
     texts = rows["_text"].take(pa.array(order)).to_pylist()
     return fit([t or "" for t in texts], rows["_y"].to_numpy()[order])
