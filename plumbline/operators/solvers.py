@@ -141,6 +141,8 @@ def offset_by_alignment(key, g: pd.DataFrame, step: float = 0.1, reach: float =
     seen = np.stack([np.interp(t + true, t, p[:, k]) for k in range(3)], 1)
     grid = np.arange(-reach, reach + step / 2, step)
     inner = (t > t[0] + reach) & (t < t[-1] - reach)
+    if inner.sum() < 4:  # too short to tell
+        return pd.DataFrame({"segment": [key[0]], "offset": [np.nan], "rmse": [np.nan], "half_width": [np.nan]})
     cost = []
     for o in grid:
         x = np.stack([np.interp(t + o, t, p[:, k]) for k in range(3)], 1)
