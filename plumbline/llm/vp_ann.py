@@ -118,7 +118,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0, per_shard: int = 16384, per_block: int = 512, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.0, per_shard: int = 16384, per_block: int = 512, lanes_at_least: int = 12, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, whose id is divisible by `every`."""
     rows = usable(vectors, vec_id, vector)
     dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
@@ -147,15 +147,20 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([pickle.dumps((t["vec_id"].to_numpy(), x), 5)], pa.binary())})
 
     def find(batches):
+        now, tree, x, copies = None, None, None, None
         for batch in batches:
-            for blob, asked in zip(batch.column("tree"), batch.column("queries")):
-                tree, x, copies = pickle.loads(blob.as_buffer())
+            for unit, blob, asked in zip(batch.column("unit").to_pylist(), batch.column("tree"), batch.column("queries")):
+                if blob.is_valid:  # a unit's tree comes before its query blocks
+                    now, (tree, x, copies) = unit, pickle.loads(blob.as_buffer())
+                    continue
+                if unit != now:  # no vector fell into this shard
+                    continue
                 qid, q = pickle.loads(asked.as_buffer())
                 extra = k + 8  # room for rounding at the border; exact scores decide
                 _, got = search(tree, np.concatenate([q, np.zeros((len(q), 1))], 1), extra + 1, factor)
                 at, row = np.nonzero(got >= 0)[0], got[got >= 0]
                 score = inner_products(q[at], x[row])
-                reps = np.array([len(copies[r]) for r in row])
+                reps = np.array([len(copies[r]) for r in row], np.int64)
                 at, score = np.repeat(at, reps), np.repeat(score, reps)
                 vid = np.concatenate([copies[r] for r in row]) if len(row) else np.zeros(0, np.int64)
                 other = vid != qid[at]
@@ -166,9 +171,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, factor: float = 1.
                 keep = rank < k
                 yield pa.RecordBatch.from_arrays([pa.array(qid[at[keep]]), pa.array(vid[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
+    # A unit is a shard and a lane: few shards get several lanes, many get one.  Trees move once to each lane, query blocks once to each shard.
+    lanes = -(-lanes_at_least // shards)
     trees = rows.withColumn("shard", place(shards, 1)).groupBy("shard").applyInArrow(plant, "shard int, tree binary")
+    planted = trees.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select((F.col("shard") * lanes + F.col("lane")).alias("unit"), "tree", F.lit(None).cast("binary").alias("queries"))
     asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).withColumn("block", place(blocks, 2)).groupBy("block").applyInArrow(bundle, "block int, queries binary")
-    routed = asked.select("queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = routed.join(trees, "shard").repartition(F.col("shard"), F.xxhash64("queries")).select("tree", "queries").mapInArrow(find, "query_id long, vec_id long, score double")
+    routed = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select((F.col("shard") * lanes + F.col("block") % lanes).alias("unit"), F.lit(None).cast("binary").alias("tree"), "queries")
+    units = planted.unionByName(routed).repartition(shards * lanes, "unit").sortWithinPartitions("unit", F.col("tree").isNull())
+    found = units.mapInArrow(find, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
