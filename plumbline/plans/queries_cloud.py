@@ -79,7 +79,7 @@ def _ground_sql() -> str:
     return ", ".join(out) + f", ground AS (SELECT rw, cl, zmin, zmin IS NOT NULL AND NOT off AS ground FROM {last})"
 
 
-@query("K06 K21", f"WITH {_ground_sql()} SELECT rw, cl, zmin, ground FROM ground")
+@query("K06", f"WITH {_ground_sql()} SELECT rw, cl, zmin, ground FROM ground")
 def k06_ground_filter(v):
     return raster.ground(v.cells, RES)
 
@@ -239,7 +239,7 @@ def _slopes(v):
     return n.where("k = 4").select("rw", "cl", F.hypot(c("gx") / 4, c("gy") / 4).alias("slope"))
 
 
-@query("K17 C28", f"WITH {_SLOPE} SELECT rw, cl, round(slope, 6) AS slope, round(cos(atan(slope)), 6) AS shade FROM sl")
+@query("K17", f"WITH {_SLOPE} SELECT rw, cl, round(slope, 6) AS slope, round(cos(atan(slope)), 6) AS shade FROM sl")
 def k17_slope_grid(v):
     return _slopes(v).select("rw", "cl", r(c("slope")).alias("slope"), r(F.cos(F.atan("slope"))).alias("shade"))
 

@@ -83,7 +83,7 @@ def c06_utm(v):
 
 
 @query(
-    "C07 C08",
+    "C07",
     """SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon, CASE fix WHEN 'view' THEN round(alt, 3) END AS ellipsoidal_m, CASE fix WHEN 'click' THEN round(alt, 3) END AS orthometric_m,
 CASE WHEN fix = 'view' THEN NULL WHEN fix = 'click' THEN NULL ELSE 'height withheld: vertical datum unknown' END AS note FROM telemetry""",
 )

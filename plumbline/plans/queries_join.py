@@ -211,7 +211,7 @@ def f30_baseline_bands(v):
     return _pairs(v).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), r(F.median(c("est") - c("d"))).alias("median_error"), r(F.regr_slope("est", "d") - 1).alias("scale_error")).where("n > 20")
 
 
-@query("E23 E24", """WITH o AS (SELECT DISTINCT camera_id FROM observations WHERE kind = 1 AND quantity > 49), f AS (SELECT camera_id AS frame, t FROM cameras WHERE camera_id % 9 = 0),
+@query("E23", """WITH o AS (SELECT DISTINCT camera_id FROM observations WHERE kind = 1 AND quantity > 49), f AS (SELECT camera_id AS frame, t FROM cameras WHERE camera_id % 9 = 0),
 rk AS (SELECT f.frame, k.camera_id, row_number() OVER (PARTITION BY f.frame ORDER BY abs(k.t - f.t), k.camera_id) AS rank FROM f JOIN cameras k ON k.camera_id <> f.frame SEMI JOIN o ON o.camera_id = k.camera_id) SELECT frame, camera_id, rank::INTEGER AS rank FROM rk WHERE rank <= 4""")
 def e23_anchor_frames(v):
     """The k frames nearest in time that have observations."""
@@ -343,7 +343,7 @@ def d15_segment_support(v):
     return s.join(v.cells.select("rw", "cl", "n"), ["rw", "cl"], "left").groupBy("point_id").agg(F.bool_and(c("n").isNotNull()).alias("supported"), F.count("n").alias("hits"))
 
 
-@query("D16 D17 D04", "SELECT camera_id, camera_id % 20 NOT IN (0, 19) AND cz - 60 > 1 AS accepted, least(cz, 70) <= greatest(1.25 * 52, 52 + 0.25) AS levelled, abs(pitch) / 1280 >= 0.15 AS sparse FROM cameras")
+@query("D16 D17", "SELECT camera_id, camera_id % 20 NOT IN (0, 19) AND cz - 60 > 1 AS accepted, least(cz, 70) <= greatest(1.25 * 52, 52 + 0.25) AS levelled, abs(pitch) / 1280 >= 0.15 AS sparse FROM cameras")
 def d16_acceptance_rules(v):
     """Search-edge and minimum-gain rule, levelling rule, sparse-capture gate."""
     edge = (c("camera_id") % 20).isin(0, 19)
@@ -368,7 +368,7 @@ def h02_recapture_columns(v):
     return v.cells.groupBy("cl").agg(F.count_if(c("n") < 3).alias("gaps")).orderBy(F.desc("gaps"), "cl").limit(5)
 
 
-@query("H05 H11", "SELECT sep, i, j, rank::INTEGER AS rank FROM (SELECT j - i AS sep, i, j, row_number() OVER (PARTITION BY j - i ORDER BY inliers DESC, i, j) AS rank FROM (SELECT i, j, max(inliers) AS inliers FROM edges GROUP BY 1, 2)) WHERE rank <= 4")
+@query("H05", "SELECT sep, i, j, rank::INTEGER AS rank FROM (SELECT j - i AS sep, i, j, row_number() OVER (PARTITION BY j - i ORDER BY inliers DESC, i, j) AS rank FROM (SELECT i, j, max(inliers) AS inliers FROM edges GROUP BY 1, 2)) WHERE rank <= 4")
 def h05_best_per_separation(v):
     e = v.edges.groupBy("i", "j").agg(F.max("inliers").alias("inliers")).withColumn("sep", c("j") - c("i"))
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("sep").orderBy(F.desc("inliers"), "i", "j"))).where("rank <= 4").select("sep", "i", "j", "rank")

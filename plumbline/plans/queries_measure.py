@@ -182,7 +182,7 @@ def m07_height(v):
     return m.select("id", r(h).alias("height"), F.when(good, r(s)).alias("sigma"), F.coalesce((1.96 * s <= 0.3) & good, F.lit(False)).alias("ok"), F.when(good, F.format_string("%.6f +/- %.6f m (95%%)", r(h), r(1.96 * s))).otherwise("not observable").alias("text"))
 
 
-@query("M04 L18", None)
+@query("M04 M08 L18", None)
 def m04_area(v):
     """Area of each closed polyline on its best-fit plane with a sigma by finite differences; the eigenvectors need a solver."""
     import numpy as np

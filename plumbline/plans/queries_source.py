@@ -119,7 +119,7 @@ def a24_synthetic_orbit(v):
     return synthetic.trajectory(v.spark, "orbit", 60).select("frame", r(c("e")).alias("e"), r(c("n")).alias("n"), c("u"))
 
 
-@query("A26 J11 B18 B19", """WITH l AS (SELECT p_brand AS dir, 'f' || p_partkey || ':' || sha256(p_name) AS line FROM part) SELECT dir, count(*) AS n_files, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1""")
+@query("A26 J11", """WITH l AS (SELECT p_brand AS dir, 'f' || p_partkey || ':' || sha256(p_name) AS line FROM part) SELECT dir, count(*) AS n_files, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1""")
 def a26_inventory_digest(v):
     """Order-stable digest of a set of files from sorted name:hash lines."""
     line = F.concat(F.lit("f"), c("p_partkey").cast("string"), F.lit(":"), F.sha2("p_name", 256))
@@ -145,7 +145,7 @@ def b02_las_records(v):
     return v.points.select("point_id", r(c("x") / 0.001, 0).cast("long").alias("xi"), r(c("z") / 0.001, 0).cast("long").alias("zi"), F.when(c("provenance") == 2, 1).otherwise(2).alias("class"))
 
 
-@query("B05 B15", "SELECT camera_id, printf('%d,%.5f,%.5f,%.5f', frame_index, round(cx, 5), round(cy, 5), round(cz, 5)) AS line FROM cameras")
+@query("B05", "SELECT camera_id, printf('%d,%.5f,%.5f,%.5f', frame_index, round(cx, 5), round(cy, 5), round(cz, 5)) AS line FROM cameras")
 def b05_trajectory_lines(v):
     return v.cameras.select("camera_id", F.format_string("%d,%.5f,%.5f,%.5f", "frame_index", r(c("cx"), 5), r(c("cy"), 5), r(c("cz"), 5)).alias("line"))
 
@@ -158,7 +158,7 @@ def b06_geojson_line(v):
     return g.select("track", "n", F.concat(F.lit("["), F.array_join(c("a.s"), ","), F.lit("]")).alias("coordinates"))
 
 
-@query("B03 B07 B12 F16", "SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 'EPSG:32650' END AS crs FROM points")
+@query("B12", "SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN 'EPSG:32650' END AS crs FROM points")
 def b12_manifest(v):
     """A manifest as one JSON record, read back."""
     m = v.points.agg(F.count(F.lit(1)).alias("n")).select(F.to_json(F.struct("n", F.lit("EPSG:32650").alias("crs"), F.struct(F.lit(1.0).alias("scale")).alias("alignment"))).alias("j"))
@@ -180,7 +180,7 @@ def b20_redacted_export(v):
     return v.customer.join(keep, "c_custkey", "left_semi").select("c_custkey", F.regexp_replace(path, "/home/[a-z0-9]+", "/home/-").alias("path"))
 
 
-@query("J06 J08", "SELECT point_id, CASE WHEN point_id % 23 = 0 THEN NULL ELSE sigma END AS sigma FROM points")
+@query("J06", "SELECT point_id, CASE WHEN point_id % 23 = 0 THEN NULL ELSE sigma END AS sigma FROM points")
 def j06_json_safe(v):
     """Infinite and undefined numbers become null before JSON."""
     s = F.coalesce("sigma", F.lit(float("inf")))
@@ -194,14 +194,14 @@ def j13_fourcc(v):
     return v.part.select(c("p_partkey"), F.concat(F.char(n.bitwiseAND(F.lit(255))), F.char(F.shiftright(n, 8).bitwiseAND(F.lit(255)))).alias("code"))
 
 
-@query("Q03 Q04 Q10", "SELECT event_id % 500 AS id, arg_max(event_type, event_id) AS state, max(event_id) AS version FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+@query("Q03 Q04", "SELECT event_id % 500 AS id, arg_max(event_type, event_id) AS state, max(event_id) AS version FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def q03_latest_state(v):
     """An append-only log of inserts, updates and deletes: the newest entry per id, deleted ids gone."""
     last = v.events.groupBy((c("event_id") % 500).alias("id")).agg(F.max(F.struct("event_id", "event_type")).alias("m"))
     return last.where("m.event_type <> 'error'").select("id", c("m.event_type").alias("state"), c("m.event_id").alias("version"))
 
 
-@query("N02 N03 N04 N06", "SELECT event_id, round(CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN 0.1 WHEN 'purchase' THEN 0.3 WHEN 'signup' THEN 0.7 ELSE 0.9 END + CASE event_type WHEN 'view' THEN 0.1 WHEN 'click' THEN 0.2 WHEN 'purchase' THEN 0.4 WHEN 'signup' THEN 0.2 ELSE 0.1 END * (event_id % 11) / 10, 6) AS fraction FROM events")
+@query("N02 N04", "SELECT event_id, round(CASE event_type WHEN 'view' THEN 0.0 WHEN 'click' THEN 0.1 WHEN 'purchase' THEN 0.3 WHEN 'signup' THEN 0.7 ELSE 0.9 END + CASE event_type WHEN 'view' THEN 0.1 WHEN 'click' THEN 0.2 WHEN 'purchase' THEN 0.4 WHEN 'signup' THEN 0.2 ELSE 0.1 END * (event_id % 11) / 10, 6) AS fraction FROM events")
 def n02_global_progress(v):
     """A stage's share to the job's, by stage spans; the events come as prefixed JSON lines."""
     from ..streaming import progress
@@ -225,14 +225,14 @@ def g07_kalman_smooth(v):
     return t.groupBy("track").applyInPandas(lambda key, g: solvers.smooth(key, g), "track long, event_id long, x double")
 
 
-@query("L10 G15 G16", None)
+@query("L10 G16", None)
 def l10_pose_graph(v):
     """Headings and centres of a chain with skip edges by linear least squares, first pose held."""
     e = v.cameras.select((F.floor(c("camera_id") / 25)).alias("segment"), "camera_id", "cx", "cy", "yaw")
     return e.groupBy("segment").applyInPandas(lambda key, g: solvers.pose_graph(key, g), "segment long, camera_id long, cx double, cy double, cycle_error double")
 
 
-@query("K23 K24", None)
+@query("K23", None)
 def k23_membrane_fill(v):
     """Laplace fill of empty cells per tile."""
     from ..operators import raster
@@ -241,7 +241,7 @@ def k23_membrane_fill(v):
     return g.groupBy("tile").applyInPandas(lambda key, g: solvers.membrane(key, g), "tile long, rw long, cl long, z double, filled boolean")
 
 
-@query("L11 L12 L13 L03 D10 F21 P11", None)
+@query("L13 D10 F21", None)
 def l13_cell_normals(v):
     """Normal, planarity and conditioning of each voxel of at least four points."""
     p = v.dense.select(F.floor(c("x") / 10).alias("vx"), F.floor(c("y") / 10).alias("vy"), "x", "y", "z", "l_orderkey", "l_linenumber")
@@ -249,7 +249,7 @@ def l13_cell_normals(v):
     return s.mapInPandas(solvers.normals, "vx long, vy long, n long, nx double, ny double, nz double, planarity double, degenerate boolean")
 
 
-@query("H01 E26 H04", None)
+@query("H01", None)
 def h01_supporting_frames(v):
     """Greedy choice of frames that spread the viewing directions most, seeded with the first, at most twelve per point."""
     from .queries_measure import lineage

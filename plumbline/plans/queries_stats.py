@@ -111,7 +111,7 @@ _INFO = """j AS (SELECT o.point_id, 800 / (k.cz - p.z) AS a, -800 * (p.x - k.cx)
 m AS (SELECT point_id, count(*) AS n, sum(a * a) AS xx, sum(a * b) AS xz, sum(a * a) AS yy, sum(a * d) AS yz, sum(b * b + d * d) AS zz FROM j GROUP BY 1), dt AS (SELECT *, xx * (yy * zz - yz * yz) - xz * xz * yy AS det FROM m)"""
 
 
-@query("F09 M08", f"WITH {_INFO} SELECT point_id, n, round((yy * zz - yz * yz) / det, 9) AS cxx, round((xx * zz - xz * xz) / det, 9) AS cyy, round(xx * yy / det, 9) AS czz, n >= 2 AND det > 0 AS observable FROM dt")
+@query("F09", f"WITH {_INFO} SELECT point_id, n, round((yy * zz - yz * yz) / det, 9) AS cxx, round((xx * zz - xz * xz) / det, 9) AS cyy, round(xx * yy / det, 9) AS czz, n >= 2 AND det > 0 AS observable FROM dt")
 def f09_point_covariance(v):
     """Information summed over observations, inverted in closed form."""
     o = v.observations.join(F.broadcast(v.cameras), "camera_id").join(v.points, "point_id")
@@ -174,7 +174,7 @@ _CW = " + ".join(f"{w} * coalesce({k}, 0)" for k, w in CAPTURE_WEIGHTS.items())
 _CM = " + ".join(f"CASE WHEN {k} IS NULL THEN 0 ELSE {w} END" for k, w in CAPTURE_WEIGHTS.items())
 
 
-@query("F17 F18", f"""WITH {_CAP}, s AS (SELECT *, ({_CW}) / ({_CM}) AS score, least({', '.join(CAPTURE_WEIGHTS)}) AS low FROM f)
+@query("F17", f"""WITH {_CAP}, s AS (SELECT *, ({_CW}) / ({_CM}) AS score, least({', '.join(CAPTURE_WEIGHTS)}) AS low FROM f)
 SELECT mission, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.35 THEN 'marginal' ELSE 'inadequate' END AS grade,
 CASE {' '.join(f"WHEN {k} = low THEN '{k}'" for k in CAPTURE_WEIGHTS)} END AS limiting, {' + '.join(f"CASE WHEN {k} < 0.6 THEN 1 ELSE 0 END" for k in CAPTURE_WEIGHTS)} AS advice FROM s""")
 def f17_capture_score(v):
@@ -331,7 +331,7 @@ def l14_robust_affine(v):
 _RAYS = """ry AS (SELECT o.point_id, k.cx, k.cy, k.cz, (p.x - k.cx) / l AS a, (p.y - k.cy) / l AS b, (p.z - k.cz) / l AS d FROM (SELECT DISTINCT point_id, camera_id FROM observations WHERE quantity >= 45) o JOIN points p USING (point_id) JOIN cameras k USING (camera_id), LATERAL (SELECT sqrt((p.x - k.cx) ^ 2 + (p.y - k.cy) ^ 2 + (p.z - k.cz) ^ 2) AS l))"""
 
 
-@query("L07 L06", f"WITH {_RAYS} SELECT point_id, count(*) AS n, round(p.x, 4) AS x, round(p.y, 4) AS y, round(p.z, 4) AS z FROM ry JOIN points p USING (point_id) GROUP BY ALL HAVING count(*) >= 3")
+@query("L07", f"WITH {_RAYS} SELECT point_id, count(*) AS n, round(p.x, 4) AS x, round(p.y, 4) AS y, round(p.z, 4) AS z FROM ry JOIN points p USING (point_id) GROUP BY ALL HAVING count(*) >= 3")
 def l07_ray_intersection(v):
     """Least-squares meeting point of rays by grouped sums and Cramer's rule; exact rays must meet in the point itself."""
     o = v.observations.where("quantity >= 45").select("point_id", "camera_id").distinct().join(F.broadcast(v.cameras), "camera_id").join(v.points, "point_id")
