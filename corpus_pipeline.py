@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fst_tokenizer, packing, secret_scan, simhash, toxicity
+from plumbline.llm import decontaminate, fst_tokenizer, jaccard, packing, secret_scan, toxicity
 from plumbline.llm.common import materialize, table
 
 
@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of fingerprints linked at 3 bits stays, the one of the smallest id."""
-    return simhash.keep_one(docs, radius=3, words=3).select(*docs.columns)
+    """One document of each group linked by a five-word shingle similarity of 0.8 or more stays, the one of the smallest id."""
+    return jaccard.keep_one(docs, least=0.8, words=5).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-# No SQL: a trained classifier, XXH64 fingerprints and a tokenizer aren't SQL; the tests hold each stage against brute force.
+# No SQL: a trained classifier, shingle sets and a tokenizer aren't SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

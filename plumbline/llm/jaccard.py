@@ -1,0 +1,149 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+Min-hashes of each text's shingle set, in bands, name the sets worth comparing:
+sets that share a band are joined into coarse groups.  Inside a coarse group
+all pairs are then compared by their whole shingle sets, so no link rests on an
+estimate; a link can only be missed where no chain of bands leads from one set
+to the other, at a similarity of 0.8 with a chance of less than 1 in 10,000.
+A large group is cut into blocks that meet pairwise; nothing is capped.
+
+Defined results as in `simhash`: texts without a word are one group; fewer
+words than a shingle needs: the whole sequence is the one shingle.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from .common import materialize
+from .components import components
+from .simhash import keep, named, spanning
+
+BANDS, ROWS = 40, 7
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 18  # of a block of a large group, about
+_RNG = np.random.default_rng(42)
+FACTOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+OFFSET = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Hashes of the different word shingles, ascending."""
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    k = min(words, len(found))
+    spans = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A bucket per band; a set without shingles has none."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    h, least = (found >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(h), 1024):
+        np.minimum(least, (h[a : a + 1024, None] * FACTOR + OFFSET).min(0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def with_bands(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """`docs` with s: fp (a hash of the whole shingle set), n (its size) and bands."""
+
+    @F.arrow_udf("struct<fp: long, n: long, bands: array<long>>")
+    def run(texts: pa.Array) -> pa.Array:
+        keys, sizes, lists = [], [], []
+        for t in texts.to_pylist():
+            s = shingles(t, words)
+            keys.append(xxh64_intdigest(s.tobytes(), 7) if len(s) else 0)
+            sizes.append(len(s))
+            lists.append(bands(s).view(np.int64))
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        fields = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        return pa.StructArray.from_arrays(fields, ["fp", "n", "bands"])
+
+    return docs.withColumn("s", run(F.col(text)))
+
+
+def near(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Boolean matrix of the pairs whose similarity is `least` or more."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # the others are in no intersection
+    column = (np.cumsum(shared) - 1)[number]
+    owner, column = owner[shared[number]], column[shared[number]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        has = np.zeros((len(sets), min(4096, int(shared.sum()) - a)), np.float32)
+        has[owner[lo:hi], column[lo:hi] - a] = 1
+        both += has @ has.T
+    return both >= np.float64(least) * (sizes[:, None] + sizes[None, :] - both.astype(np.float64)) - 1e-9
+
+
+def _link_cells(least: float, words: int):
+    def found(fps, texts):
+        label = spanning(near([shingles(t, words) for t in texts], least))
+        at = np.flatnonzero(label != np.arange(len(fps)))
+        fps = np.array(fps, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(fps[label[at]])], ["u", "v"])
+
+    def run(batches):
+        now, fps, texts = None, [], []
+        for batch in batches:
+            for root, cell, fp, text in zip(*(batch.column(k).to_pylist() for k in ("root", "cell", "fp", "text"))):
+                if (root, cell) != now:
+                    if len(fps) > 1:
+                        yield found(fps, texts)
+                    now, fps, texts = (root, cell), [], []
+                fps.append(fp)
+                texts.append(text)
+        if len(fps) > 1:
+            yield found(fps, texts)
+
+    return run
+
+
+def links(sets: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
+    """(u, v): links that span all groups of similar sets.  `sets`: fp (each once), n, bands and the doc_id of a row of `docs` that has the set."""
+    keyed = sets.select("fp", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("v"), F.max("fp").alias("_most")).where("v < _most").select("key", "v")
+    coarse = components(keyed.join(shared, "key").select(F.col("fp").alias("u"), "v"))
+    member = materialize(coarse.select(F.col("node").alias("fp"), "root").join(sets.select("fp", "n", "doc_id"), "fp"), "coarse")
+    size = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("long").alias("nb"))
+    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("nb"))
+    other = F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda s: s != F.col("mine"))))
+    cells = member.join(size, "root").withColumn("mine", mine).withColumn("other", other).select("fp", "root", (F.least("mine", "other") * F.col("nb") + F.greatest("mine", "other")).alias("cell"))
+    # A set's text: a row of its least id with its fingerprint.  Ids can repeat, so the fingerprint is taken again.
+    ids = member.select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = with_bands(rows, words).select(F.col("s.fp").alias("fp"), "text").groupBy("fp").agg(F.min("text").alias("text"))
+    return cells.join(texts, "fp").repartition("root", "cell").sortWithinPartitions("root", "cell").select("root", "cell", "fp", "text").mapInArrow(_link_cells(least, words), "u long, v long")
+
+
+def assign(docs: DataFrame, least: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_key, component_id) for every row of `docs`; fp stands for the whole shingle set."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = materialize(with_bands(docs, words).select("doc_id", "s.fp", "s.n", "s.bands"), "sets")
+    # Equal sets have equal bands; of many rows one is taken.
+    sets = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "distinct-sets")
+    return named(rows.select("doc_id", "fp"), sets.select("fp", F.col("doc_id").alias("least")), links(sets, docs, least, words))
+
+
+def keep_one(docs: DataFrame, least: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one document of each group of similar texts, by the rules of `simhash.keep_one`."""
+    return keep(docs, assign(docs, least, words, doc_id, text), doc_id, text)

@@ -94,17 +94,21 @@ def close(fps: np.ndarray, radius: int = 3, step: int = 8) -> np.ndarray:
     return out
 
 
-def forest(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that span the components of the close pairs within each group."""
-    near = close(fps, radius) & (group[:, None] == group[None, :])
-    label = np.arange(len(fps))
+def spanning(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the least row of its component."""
+    label = np.arange(len(near))
     while True:
-        best = np.where(near, label[None, :], len(fps)).min(1)
+        best = np.where(near, label[None, :], len(near)).min(1)
         new = np.minimum(label, best)
         new = np.minimum(new, new[new])
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def forest(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the components of the close pairs within each group."""
+    label = spanning(close(fps, radius) & (group[:, None] == group[None, :]))
     at = np.flatnonzero(label != np.arange(len(fps)))
     return fps[at], fps[label[at]]
 
@@ -186,11 +190,16 @@ def assign(docs: DataFrame, radius: int = 3, words: int = 3, doc_id: str = "doc_
     """(doc_id, fp, component_key, component_id) for every row of `docs`."""
     rows = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).select("doc_id", "fp"), "prints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    linked = components(links(prints.select("fp"), radius))
+    return named(rows, prints, links(prints.select("fp"), radius))
+
+
+def named(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` (doc_id, fp) with the component_key and component_id that the links between `prints` (fp, least id) give."""
+    linked = components(links)
     joined = materialize(linked.join(prints, linked.node == prints.fp).select("fp", "root", "least"), "linked")
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "root").select("fp", "root", "component_id")
-    by_print = prints.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component_key"), F.coalesce("component_id", "least").alias("component_id"))
+    grouped = joined.join(smallest, "root").select("fp", "root", "component_id")
+    by_print = prints.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component_key"), F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(by_print, "fp").select("doc_id", "fp", "component_key", "component_id")
 
 
@@ -200,7 +209,12 @@ def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, doc_id: str = "do
     Rows that share an id are one document: the row with the least text stays.
     Rows with a null id stay only where their group has no other, one for each text.
     """
-    kept = assign(docs, radius, words, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return keep(docs, assign(docs, radius, words, doc_id, text), doc_id, text)
+
+
+def keep(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of `docs` that `keep_one` leaves of `groups`, as `assign` gives them."""
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.join(kept, docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
     one = Window.partitionBy(doc_id, F.when(F.col(doc_id).isNull(), F.xxhash64(text))).orderBy(text)
     return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
