@@ -90,14 +90,14 @@ dtm AS (SELECT rw, cl, zmin AS terrain FROM ground WHERE ground UNION ALL SELECT
 
 
 def terrain(v):
-    """Ground cells, and for the others the nearest ground cell within six cells; ties by row, then column."""
-    g = raster.ground(v.cells, RES)
-    have = g.where("ground").select("rw", "cl", "zmin")
-    lost = g.where("not ground").select("rw", "cl")
-    key = F.struct((c("q.rw") - c("p.rw")) ** 2 + (c("q.cl") - c("p.cl")) ** 2, c("p.rw"), c("p.cl"), c("p.zmin").alias("zmin"))
-    pairs = spatial.candidates(lost, have, ["rw", "cl"], 6.0, []).where((F.abs(c("q.rw") - c("p.rw")) <= 6) & (F.abs(c("q.cl") - c("p.cl")) <= 6))
-    near = pairs.groupBy(c("q.rw").alias("rw"), c("q.cl").alias("cl")).agg(F.min(key)["zmin"].alias("terrain"))
-    return have.select("rw", "cl", c("zmin").alias("terrain")).unionByName(near)
+    """Ground cells, and for all others of the grid the nearest ground cell, however far; ties by row, then column."""
+    g = raster.ground(v.cells, RES).withColumn("at", F.struct("rw", "cl"))
+    have = graph.cut(g.where("ground").select("at", "rw", "cl", "zmin"))  # the search would run the filter again each round
+    known = have.select("rw", "cl", c("zmin").alias("terrain"))
+    if have.isEmpty():  # nothing to fill from
+        return known
+    near = spatial.nearest(g.where("not ground").select("at", "rw", "cl"), have, "at", "at", ["rw", "cl"], 1, 6.0)
+    return known.unionByName(near.select("q.rw", "q.cl", c("p.zmin").alias("terrain")))
 
 
 @query("K08", f"WITH {_ground_sql()}, {_FILL} SELECT rw, cl, terrain FROM dtm")
