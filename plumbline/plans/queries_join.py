@@ -166,7 +166,7 @@ def e16_pair_graph(v):
     s = k.select(c("camera_id").alias("i"), F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))).alias("d")).select("i", (c("i") + c("d")).alias("j")).join(ids, "j", "left_semi").select("i", "j")
     q = k.select("camera_id", "cx", "cy")
     g = spatial.within(q, q, ["cx", "cy"], 20.0).where("q.camera_id < p.camera_id").select(c("q.camera_id").alias("i"), c("p.camera_id").alias("j"))
-    return s.union(g).distinct().orderBy(c("j") - c("i"), "i").limit(300)
+    return s.union(g).distinct().orderBy(c("j") - c("i"), "i").limit(3000)
 
 
 @query("E17", "WITH b AS (SELECT i, j FROM edges UNION SELECT j, i FROM edges), p AS (SELECT DISTINCT i, j FROM edges) SELECT p.i, p.j, count(*) AS common FROM p JOIN b x ON x.i = p.i JOIN b y ON y.i = p.j AND y.j = x.j GROUP BY 1, 2")
@@ -387,7 +387,7 @@ def h06_even_subsample(v):
 @query("H07 B16", None)
 def h07_hash_sample(v):
     """A fixed-size sample by hash order, as the feature is: the same rows every time."""
-    return v.points.orderBy(F.xxhash64("point_id"), "point_id").limit(500).select("point_id", r(c("x"), 3).alias("x"), r(c("y"), 3).alias("y"), r(c("z"), 3).alias("z"))
+    return v.points.orderBy(F.xxhash64("point_id"), "point_id").limit(120_000).select("point_id", r(c("x"), 3).alias("x"), r(c("y"), 3).alias("y"), r(c("z"), 3).alias("z"))
 
 
 @query("H10", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'endpoint_not_observed' WHEN o_orderkey % 7 = 0 THEN 'scale_not_established' WHEN o_orderkey % 3 = 0 THEN 'insufficient_views' END AS dominant FROM orders")

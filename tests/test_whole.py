@@ -3,7 +3,7 @@
 from types import SimpleNamespace
 
 from plumbline.plans import registry  # noqa: F401  first: it loads the query modules in their order
-from plumbline.plans import queries_cloud
+from plumbline.plans import queries_cloud, queries_join
 
 
 def test_terrain_under_a_wide_roof(spark):
@@ -15,3 +15,12 @@ def test_terrain_under_a_wide_roof(spark):
     want = {(a, b): ground[min(ground, key=lambda k: ((k[0] - a) ** 2 + (k[1] - b) ** 2, k))] for a in range(40) for b in range(40)}
     got = {(r["rw"], r["cl"]): r["terrain"] for r in queries_cloud.terrain(SimpleNamespace(cells=cells)).collect()}
     assert got == want
+
+
+def test_caps_are_those_of_the_reference(spark):
+    """400 cameras on a line, 40 m apart: no pair is near in space, all strides of the 400 fit 3,000 pairs."""
+    cameras = spark.range(400).selectExpr("id AS camera_id", "id * 40e0 AS cx", "0e0 AS cy")
+    got = {(r["i"], r["j"]) for r in queries_join.e16_pair_graph(SimpleNamespace(cameras=cameras)).collect()}
+    assert got == {(i, i + d) for d in (1, 2, 4, 8, 16) for i in range(400 - d)}
+    points = spark.range(2500).selectExpr("id AS point_id", "id * 1e0 AS x", "0e0 AS y", "0e0 AS z")
+    assert queries_join.h07_hash_sample(SimpleNamespace(points=points)).count() == 2500
