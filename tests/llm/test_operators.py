@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from plumbline.llm import chat, common, decontaminate, fst_tokenizer, language_id, packing, secret_scan, simhash, token_counts, token_store, toxicity, vp_ann
+from plumbline.llm import chat, common, decontaminate, fst_tokenizer, language_id, packing, secret_scan, simhash, token_counts, token_store, toxicity
 
 from ..compare import SMALL
 
@@ -219,24 +219,6 @@ def test_tables_of_a_secret_model_prefer_their_own_kind(spark):
     assert ((held.r >= 8000) == held.random).mean() > 0.97
 
 
-def test_nearest_is_exact_with_factor_one(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(700, 8)).round(2)
-    x[100:160] = x[100]  # copies
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(701, None), (702, [0.0] * 8), (703, [float("nan")] * 8), (704, [1.0, None] + [0.0] * 6), (720, [1.0]), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = vp_ann.nearest(df, k=10, per_shard=150, per_block=8).toPandas()
-    for q in range(0, 700, 20):
-        s = vp_ann.inner_products(np.broadcast_to(x[q], x.shape), x)
-        best = [j for j in np.lexsort((np.arange(700), -s)) if j != q][:10]
-        g = got[got.query_id == q].sort_values("rank")
-        assert g.vec_id.tolist() == best and g.score.tolist() == s[best].tolist()
-    assert set(got.query_id) == set(range(0, 700, 20))
-    relaxed = vp_ann.nearest(df, k=10, factor=1.2, per_shard=400).toPandas()
-    assert len(relaxed.merge(got, on=["query_id", "vec_id"])) / len(got) >= 0.9
-    assert vp_ann.nearest(df.limit(0)).count() == 0
-
-
 def test_decontamination_equals_substring_search(spark, docs, texts, hard, empty):
     bench = common.table(spark, SMALL, "benchmark")
     items = bench.toPandas()
