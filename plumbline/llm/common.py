@@ -27,10 +27,12 @@ def unit_hash(key: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one is set only where the cluster names none."""
+    """The folder all machines share, as `spark.checkpoint.dir` names it; a temporary one only where the master is this machine."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="plumbline-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
@@ -47,6 +49,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+HOT_ROWS = 100_000  # of one key; beyond that its join is dealt over several tasks
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, deal: str) -> DataFrame:
+    """`rows` with the one row of `table` (key, n: how many rows have it, other columns) that has their key, inner.
+
+    A key of more than HOT_ROWS rows is dealt by a hash of the column `deal` over
+    enough salts.  Only such keys are broadcast, at most one for HOT_ROWS rows.
+    """
+    salts = F.ceil(F.col(n) / F.lit(float(HOT_ROWS))).cast("long")
+    hot = table.where(F.col(n) > HOT_ROWS).select(F.col(key), salts.alias("_salts"))
+    every = table.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts - 1, F.lit(0).cast("long"))))).drop(n)
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64(deal, F.lit(5)), F.col("_salts")), F.lit(0).cast("long")))
+    return salted.join(every, [key, "_s"]).drop("_s", "_salts")
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

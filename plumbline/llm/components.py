@@ -9,28 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-SALTS = 8
-
-
-def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """`rows` (u, v) with the m of `least` (u, m).  Salted: the centre of a star has all its rows in one task otherwise."""
-    salted = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    every = least.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(every, ["u", "s"]).drop("s")
+from .common import hot_join, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return hot_join(both, least, "u", "n", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hang = _with_least(down, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hang = hot_join(down, least, "u", "n", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hang.unionByName(least.select("u", F.col("m").alias("v")))
 
 

@@ -9,7 +9,9 @@ Two deterministic transducers replace the library's encode loop:
 * ``MergeMachine`` walks the bytes of one pre-token.  Its states stand for all
   that the future can depend on, and each transition carries the change of the
   number of emitted tokens.  States are compiled on demand: a token may follow
-  another exactly if the model's merges leave the pair as it is.
+  another exactly if the model's merges leave the pair as it is.  The table is
+  bounded: it starts anew between slices of pre-tokens once it is too large, and
+  a pre-token of over 512 bytes, which would fill it alone, goes to the library.
 
 Both are exact; tests compare them with the library.  Null texts count as
 empty.  A special string inside a text becomes its one special token, as the
@@ -354,18 +356,28 @@ class MergeMachine:
             word[missing] = self._find(key[missing])
         return (word & np.uint64(0xFFFFFFFF)) >> np.uint64(8), (word & np.uint64(255)).astype(np.int16) - 128
 
-    def run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, ids: bool, long: int = 512):
+    def run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, ids: bool, slice_bytes: int = 1 << 19):
         """Counts per pre-token and, if ids, all token ids in order."""
-        if len(self.states) > self.max_states:
-            self.reset()
+        total = np.cumsum(size)
+        cut = np.searchsorted(total, np.arange(slice_bytes, int(total[-1]) if len(total) else 0, slice_bytes), side="right")
+        edges = np.unique(np.concatenate([[0], cut, [len(start)]]))
+        done = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if len(self.states) > self.max_states:
+                self.reset()
+            done.append(self._run(data, start[a:b], size[a:b], ids))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(p for p, _ in done)]), np.concatenate([none.astype(np.int32), *(i for _, i in done)]) if ids else None
+
+    def _run(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, ids: bool, long: int = 512):
         n = len(start)
         order = np.argsort((long + 1 - np.minimum(size, long + 1)).astype(np.uint16), kind="stable")
         begin, left = start[order], size[order]
         n_long = int((left > long).sum())
         states, counts = np.zeros(n, np.uint64), np.zeros(n, np.int32)
         seen = np.zeros(len(data), np.int32) if ids else None
-        for k in range(n_long):
-            self._walk(data, int(begin[k]), int(left[k]), k, states, counts, seen)
+        whole = {int(order[k]): self.encode(data[begin[k] : begin[k] + left[k]].tobytes()) for k in range(n_long)}
+        counts[:n_long] = [len(whole[int(k)]) for k in order[:n_long]]
         alive = np.searchsorted(-left[n_long:], -np.arange(1, long + 1), side="right") + n_long
         for k in range(long):
             m = int(alive[k])
@@ -383,7 +395,10 @@ class MergeMachine:
             return per, None
         out = np.empty(int(per.sum()), np.int32)
         lane = np.cumsum(per) - 1
-        where, floor = start + size - 1, start
+        for k, found in whole.items():
+            out[lane[k] + 1 - len(found) : lane[k] + 1] = found
+        short = np.flatnonzero(size <= long)
+        where, floor, lane = (start + size - 1)[short], start[short], lane[short]
         while len(where):
             tok = self.last[seen[where]]
             out[lane] = tok
@@ -392,24 +407,6 @@ class MergeMachine:
             where, lane, floor = where[more], lane[more] - 1, floor[more]
         return per, out
 
-    def _walk(self, data, begin, size, k, states, counts, seen) -> None:
-        """One very long pre-token, byte by byte."""
-        s = total = 0
-        path = np.empty(size, np.int32)
-        memo: dict[int, tuple[int, int]] = {}
-        for i, b in enumerate(data[begin : begin + size].tolist()):
-            key = s << 8 | b
-            step = memo.get(key)
-            if step is None:
-                t, d = self._step(np.array([s], np.uint64), np.array([b], np.uint8))
-                step = memo[key] = int(t[0]), int(d[0])
-            s, d = step
-            total += d
-            path[i] = s
-        states[k], counts[k] = s, total
-        if seen is not None:
-            seen[begin : begin + size] = path
-
 
 def parts(texts: list[str], chars: int = 400_000):
     """Runs of texts of about that many characters: arrays stay small."""
@@ -424,33 +421,22 @@ def parts(texts: list[str], chars: int = 400_000):
         yield run
 
 
-class FstTokenizer:
-    """Same ids as ``tokenizers`` with ``add_special_tokens=False``."""
+class Splitter:
+    """A vocabulary file's special strings and pre-tokens, without its merges."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, spec: dict):
         pre, model = spec["pre_tokenizer"], spec["model"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or not pre["use_regex"] or pre["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("only byte-level BPE with the standard splitting pattern can be compiled")
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if len(added) > 6 or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens of this kind can't be compiled")
-        chars = byte_chars()
-        codes = {c: b for b, c in chars.items()}
-        tokens = {bytes(codes[c] for c in w): i for w, i in model["vocab"].items() if w not in added}
-        self.vocabulary = {i: b for b, i in tokens.items()}
-        bpe = Tokenizer.from_file(path).model
-        encode = lambda word: [t.id for t in bpe.tokenize("".join(chars[b] for b in word))]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        ranks = {(model["vocab"][x], model["vocab"][y]): r for r, (x, y) in enumerate(pairs)}
         self.special = {c: (SPECIAL_CP + k, SPECIAL_BYTE + k) for k, c in enumerate(added)}
+        self.special_ids = {self.special[c][1]: i for c, i in added.items()}
         self.pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.split = SplitMachine()
+        self.machine = SplitMachine()
         for cp, _ in self.special.values():
-            self.split.memo[cp] = STOP
-        self.merges = MergeMachine(tokens, ranks, encode, {self.special[c][1]: i for c, i in added.items()})
+            self.machine.memo[cp] = STOP
 
     def _stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cps, raw = [], []
@@ -469,18 +455,39 @@ class FstTokenizer:
             raw.append(end_byte)
         return np.concatenate(cps), np.frombuffer(b"".join(raw), np.uint8)
 
+    def cut(self, texts: list[str]):
+        """(bytes, start and size of each pre-token, pre-tokens up to the end of each text); a special string is one byte."""
+        cps, data = self._stream(texts)
+        begins = np.flatnonzero(self.machine.starts(cps))
+        start = np.flatnonzero((data & 0xC0) != 0x80)[begins]
+        end = np.flatnonzero(cps[begins] == END_CP)  # one per text
+        size = np.diff(start, append=len(data))
+        return data, np.delete(start, end), np.delete(size, end), end - np.arange(len(end))
+
+
+class FstTokenizer:
+    """Same ids as ``tokenizers`` with ``add_special_tokens=False``."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        spec = json.load(open(path, encoding="utf-8"))
+        self.splitter = Splitter(spec)
+        model, chars = spec["model"], byte_chars()
+        tokens = byte_tokens(spec)
+        bpe = Tokenizer.from_file(path).model
+        encode = lambda word: [t.id for t in bpe.tokenize("".join(chars[b] for b in word))]
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        ranks = {(model["vocab"][x], model["vocab"][y]): r for r, (x, y) in enumerate(pairs)}
+        self.merges = MergeMachine(tokens, ranks, encode, self.splitter.special_ids)
+
     def _run(self, texts: list[str], ids: bool):
         """(token counts per text, ids or None)"""
         if not texts:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        cps, data = self._stream(texts)
-        begins = np.flatnonzero(self.split.starts(cps))
-        byte_at = np.flatnonzero((data & 0xC0) != 0x80)
-        start = byte_at[begins]
-        end = np.flatnonzero(cps[begins] == END_CP)  # one per text
-        size = np.diff(start, append=len(data))
-        per, out = self.merges.run(data, np.delete(start, end), np.delete(size, end), ids)
-        before = np.concatenate([[0], np.cumsum(per)])[end - np.arange(len(end))]
+        data, start, size, upto = self.splitter.cut(texts)
+        per, out = self.merges.run(data, start, size, ids)
+        before = np.concatenate([[0], np.cumsum(per)])[upto]
         return np.diff(before, prepend=0), out
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -493,6 +500,13 @@ class FstTokenizer:
         return np.concatenate([np.zeros(0, np.int32), *(i for _, i in done)]), np.cumsum(per)
 
 
+def byte_tokens(spec: dict) -> dict[bytes, int]:
+    """The ordinary tokens' bytes and ids."""
+    codes = {c: b for b, c in byte_chars().items()}
+    added = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(codes[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in added}
+
+
 @lru_cache(2)
 def load(path: str) -> FstTokenizer:
     """One compiled machine per worker process and file."""

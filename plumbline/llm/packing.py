@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import fst_tokenizer
+from . import word_ids
 from .token_store import encode_ordered, in_order
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -32,7 +32,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @lru_cache(2)
 def sentence_ends(tokenizer: str) -> np.ndarray:
     """Per id: whether its text ends a sentence."""
-    words = fst_tokenizer.load(tokenizer).vocabulary
+    words = word_ids.spellings(tokenizer)
     out = np.zeros(max(words) + 1025, bool)
     for i, w in words.items():
         out[i] = w.endswith((b".", b"!", b"?")) or b"\n" in w

@@ -13,39 +13,51 @@ forest, not its pairs.  Components are then found over fingerprints.
 Defined results: null and empty texts have no word and the fingerprint zero,
 which links like any other; fewer words than a shingle needs: the whole
 sequence is the one shingle; repeated rows share their component.  A null id
-never is a component's smallest id unless it has no other.
+never is a component's smallest id unless it has no other.  Other columns than
+the id and the text don't matter to `assign`; `keep_one` returns them unchanged.
+
+Near copies by a shingle similarity instead of a few bits are in `similar`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialize
+from .common import hot_join, materialize
 from .components import components
 
 BLOCK = 1024  # fingerprints a block of a large bucket holds, about
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hash of every word shingle in turn; none without a word, that of the whole sequence if it is shorter than a shingle."""
     found = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: only A-Z, only ASCII white space
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(found))
     spans = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in spans], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes; zero of none."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def with_fingerprint(docs: DataFrame, words: int = 3, text: str = "text", out: str = "fp") -> DataFrame:
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
@@ -64,7 +76,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def close(fps: np.ndarray, radius: int = 3, step: int = 8) -> np.ndarray:
-    """Boolean matrix of the pairs at most `radius` bits apart."""
+    """Boolean matrix of the pairs at most `radius` bits apart; any radius below 64."""
     n, plane = len(fps), planes(fps)
     digits = int(radius).bit_length()
     limit_bits = [(radius + 1 >> k) & 1 for k in range(digits + 1)]
@@ -187,34 +199,41 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def assign(docs: DataFrame, radius: int = 3, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_key, component_id) for every row of `docs`."""
-    rows = materialize(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words).select("doc_id", "fp"), "prints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
+    """(doc_id, fp, component_key, component_id, row_hash) for every row of `docs`."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = materialize(with_fingerprint(docs, words).select("doc_id", "fp", row_hash("doc_id", "text").alias("row_hash")), "prints")
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-prints")
     return named(rows, prints, links(prints.select("fp"), radius))
 
 
+def row_hash(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.col(text), F.lit("row"))
+
+
 def named(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
-    """`rows` (doc_id, fp) with the component_key and component_id that the links between `prints` (fp, least id) give."""
+    """`rows` (fp, doc_id, row_hash) with the component_key and component_id that the links between `prints` (fp, least id, n rows) give."""
     linked = components(links)
     joined = materialize(linked.join(prints, linked.node == prints.fp).select("fp", "root", "least"), "linked")
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = joined.join(smallest, "root").select("fp", "root", "component_id")
-    by_print = prints.join(grouped, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component_key"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(by_print, "fp").select("doc_id", "fp", "component_key", "component_id")
+    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    grouped = hot_join(joined, smallest, "root", "size", "fp").select("fp", "root", "component_id")
+    by_print = prints.join(grouped, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("component_key"), F.coalesce("component_id", "least").alias("component_id"))
+    return hot_join(rows, by_print, "fp", "n", "row_hash").select("doc_id", "fp", "component_key", "component_id", "row_hash")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each near group, the one of the smallest id.
+    """`docs` with one row of each near group, one of the group's smallest id.
 
-    Rows that share an id are one document: the row with the least text stays.
-    Rows with a null id stay only where their group has no other, one for each text.
+    Of several rows with that id the one of the smallest row hash stays, of
+    repeated rows one; rows that share an id but no group don't touch each other.
+    A row with a null id stays only where its group has no other.
     """
     return keep(docs, assign(docs, radius, words, doc_id, text), doc_id, text)
 
 
 def keep(docs: DataFrame, groups: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows of `docs` that `keep_one` leaves of `groups`, as `assign` gives them."""
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
-    one = Window.partitionBy(doc_id, F.when(F.col(doc_id).isNull(), F.xxhash64(text))).orderBy(text)
-    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_key").agg(F.min(F.struct("row_hash", "doc_id")).alias("m"))
+    kept = first.select(F.coalesce("m.doc_id", F.lit(0).cast("long")).cast("string").alias("_id"), F.col("m.row_hash").alias("_h"))
+    # Repeated rows fall together before any is moved, so a row of a third of the table is no hot key.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")).cast("string").alias("_id"), row_hash(doc_id, text).alias("_h"))
+    return keyed.groupBy("_id", "_h").agg(F.first("_row").alias("_row")).join(kept, ["_id", "_h"], "left_semi").select("_row.*")

@@ -7,10 +7,12 @@ sizes with page indexes, so a reader can fetch a few documents' ids, or all
 counts without any id.  The global start of a document is its range's base plus
 its place in the range; bases come from the counts column alone.
 
-Ids come from the compiled transducer of the vocabulary file (see
-fst_tokenizer), tested to give the library's ids.  Defined results: a null text
+Ids come from the tokenizers library, each different pre-token encoded once (see
+word_ids).  Ranges are cut by id and text hash, so one id of many rows is no
+single range.  Defined results: a null text
 counts as empty and has the end id only; rows with a null id come first;
-repeated rows keep their own entries, equal ids in order of text.
+repeated rows keep their own entries, equal ids in an order of their texts' hashes;
+other columns than id and text aren't stored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fst_tokenizer
+from . import word_ids
 from .common import byte_parts, text_or_empty
 
 SCHEMA = "part int, doc_id long, place long, n_tokens int, ids array<int>"
@@ -31,12 +33,12 @@ SCHEMA = "part int, doc_id long, place long, n_tokens int, ids array<int>"
 def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, doc_id, text) by ascending id: the order of parts, and within a part of rows."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    return rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
 
 def encode_ordered(batches, tokenizer: str, end_id: int):
     """(part, doc ids, texts' ids with the end id one after another, counts) for runs of an ordered partition."""
-    machine = fst_tokenizer.load(tokenizer)
+    machine = word_ids.load(tokenizer)
     for batch in batches:
         part = batch.column(0)[0].as_py() if batch.num_rows else 0
         names, at = batch.column(1), 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from plumbline.llm import chat, common, decontaminate, fst_tokenizer, language_id, packing, secret_scan, simhash, token_counts, token_store, toxicity
+from plumbline.llm import chat, common, decontaminate, fst_tokenizer, language_id, packing, secret_scan, simhash, token_counts, token_store, toxicity, word_ids
 
 from ..compare import SMALL
 
@@ -58,8 +58,32 @@ def test_tokenizer_on_random_strings():
     strings = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 60, 3000)] + ["", "x" * 2000, "ab" * 700 + " " * 900 + "c"]
     t = Tokenizer.from_file(PATH)
     want = [e.ids for e in t.encode_batch(strings, add_special_tokens=False)]
-    ids, at = fst_tokenizer.load(PATH).encode(strings)
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    for machine in (fst_tokenizer.load(PATH), word_ids.load(PATH)):
+        ids, at = machine.encode(strings)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
+def test_long_pre_tokens_and_bounded_tables(monkeypatch):
+    rng = np.random.default_rng(8)
+    long = ["".join(rng.choice(list("abcdefghij"), n)) for n in (511, 512, 513, 40_000)]
+    strings = [f"a {long[3]} b", *long, long[2] + " " + long[2], "x" * 3000 + "!" * 3000]
+    t = Tokenizer.from_file(PATH)
+    want = [e.ids for e in t.encode_batch(strings, add_special_tokens=False)]
+    machine = fst_tokenizer.FstTokenizer(PATH)
+    machine.merges.max_states = 50
+    for _ in range(2):
+        ids, at = machine.encode(strings)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want and machine.counts(strings).tolist() == list(map(len, want))
+    many = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)) for _ in range(3)]
+    data, start, size, _ = machine.splitter.cut(many)
+    before = len(machine.merges.states)
+    per, _ = machine.merges.run(data, start, size, False, slice_bytes=2000)
+    assert per.sum() == sum(len(e.ids) for e in t.encode_batch(many, add_special_tokens=False)) and len(machine.merges.states) <= before + 50 + 2500
+    monkeypatch.setattr(word_ids, "MAX_WORDS", 10)
+    words = word_ids.WordIds(PATH)
+    for _ in range(2):
+        ids, at = words.encode(strings)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
 
 
 def test_chunk_maps_compose_as_one_pass_does():
@@ -157,7 +181,7 @@ def slow_groups(fps: list[int], ids: list) -> list:
     return [min((ids[j] for j in range(len(fps)) if label[j] == label[i] and ids[j] is not None), default=None) for i in range(len(fps))]
 
 
-def test_simhash_groups_equal_brute_force(docs, hard, empty, texts):
+def test_simhash_groups_equal_brute_force(spark, docs, hard, empty, texts):
     got = simhash.assign(docs).toPandas().sort_values("doc_id")
     fps = [slow_print(t) for t in texts.text]
     assert [x & (1 << 64) - 1 for x in got.fp] == fps
@@ -166,6 +190,9 @@ def test_simhash_groups_equal_brute_force(docs, hard, empty, texts):
     assert {(1, 1), (2, 1), (4, 4), (5, 4)} <= rows and (None, None) in rows
     kept = simhash.keep_one(hard).select("doc_id").toPandas().doc_id
     assert sorted(kept.dropna()) == [1, 3, 4, 6] and kept.isna().sum() == 1
+    other = "nothing in common with the others at all"
+    twins = spark.createDataFrame([(4, "a b c d e f g"), (4, other), (4, other), (3, "a b c d e f g"), (None, other + " x")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(twins).collect()) == [(0, other + " x"), (3, "a b c d e f g"), (4, other)]
     assert simhash.assign(empty).count() == 0
 
 

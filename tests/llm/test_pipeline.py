@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import common, decontaminate, queries, secret_scan, simhash, toxicity
+from plumbline.llm import common, decontaminate, queries, secret_scan, similar, toxicity
 
 from ..compare import SMALL, duck, same
 
@@ -21,7 +21,7 @@ def test_stages(spark):
             model = toxicity.train(now, common.table(spark, SMALL, "labels"))
             assert after == {r["doc_id"] for r in toxicity.with_score(now, model).where("score < 0.5").collect()}
         if name == "near_duplicates":
-            groups = simhash.assign(now).toPandas()
+            groups = similar.assign(now).toPandas()
             assert after == set(groups.component_id) and out.count() == len(after)
         if name == "decontamination":
             assert before - after == {r["doc_id"] for r in decontaminate.contaminated(now, common.table(spark, SMALL, "benchmark")).collect()}

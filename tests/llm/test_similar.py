@@ -3,7 +3,7 @@
 import corpus_pipeline
 import numpy as np
 
-from plumbline.llm import common, jaccard
+from plumbline.llm import common, similar
 
 from ..compare import SMALL
 
@@ -16,23 +16,23 @@ def slow_set(text):
 def slow_groups(texts, ids):
     """Least id of each row's group, from all pairs."""
     sets, label = [slow_set(t) for t in texts], list(ids)
-    similar = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     before = None
     while label != before:
         before = list(label)
-        for a, b in similar:
+        for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
-    return label, similar
+    return label, pairs
 
 
 def test_stage_equals_brute_force(spark):
     docs = common.table(spark, SMALL, "documents")
     rows = docs.toPandas()
-    label, similar = slow_groups(rows.text, rows.doc_id.tolist())
+    label, pairs = slow_groups(rows.text, rows.doc_id.tolist())
     kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()]
     assert sorted(kept) == sorted(set(label))
     at = {d: k for d, k in zip(rows.doc_id, label)}
-    assert all((at[d] == d) == (d in set(kept)) for d in at) and len(similar) > 0
+    assert all((at[d] == d) == (d in set(kept)) for d in at) and len(pairs) > 0
 
 
 def edited(rng, n, words=120):
@@ -47,10 +47,10 @@ def edited(rng, n, words=120):
 
 
 def test_edited_copies_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)  # a large group is cut into blocks
+    monkeypatch.setattr(similar, "BLOCK_SETS", 4)  # a large group is cut into blocks
     rng = np.random.default_rng(5)
     texts = [t for _ in range(12) for t in edited(rng, 12)] + [None, "", " ", "two words", "Two  words", "other words"]
     ids = list(range(len(texts)))
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
-    got = jaccard.assign(df).toPandas().sort_values("doc_id").component_id.tolist()
+    got = similar.assign(df).toPandas().sort_values("doc_id").component_id.tolist()
     assert got == slow_groups(texts, ids)[0]
