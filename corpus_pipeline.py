@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fst_tokenizer, jaccard, packing, secret_scan, toxicity
+from plumbline.llm import decontaminate, fst_tokenizer, packing, secret_scan, similar, toxicity
 from plumbline.llm.common import materialize, table
 
 
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a five-word shingle similarity of 0.8 or more stays, the one of the smallest id."""
-    return jaccard.keep_one(docs, least=0.8, words=5).select(*docs.columns)
+    return similar.keep_one(docs, least=0.8, words=5).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
