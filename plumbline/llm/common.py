@@ -65,6 +65,14 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, deal: str) ->
     return salted.join(every, [key, "_s"]).drop("_s", "_salts")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or it with as many underscores before it as no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from plumbline.llm import chat, common, decontaminate, fst_tokenizer, language_id, packing, secret_scan, simhash, token_counts, token_store, toxicity, word_ids
+from plumbline.llm import chat, common, fst_tokenizer, language_id, packing, secret_scan, simhash, token_counts, token_store, toxicity, word_ids
 
 from ..compare import SMALL
 
@@ -246,30 +246,6 @@ def test_tables_of_a_secret_model_prefer_their_own_kind(spark):
     assert ((held.r >= 8000) == held.random).mean() > 0.97
 
 
-def test_decontamination_equals_substring_search(spark, docs, texts, hard, empty):
-    bench = common.table(spark, SMALL, "benchmark")
-    items = bench.toPandas()
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert got == {(d, i) for d, t in zip(texts.doc_id, texts.text) for i, b in zip(items.item_id, items.text) if b in t} and got
-    text = items.text[0]
-    rows = [(1, "noise " * 500 + text.upper().replace(",", " ;") + " noise" * 500), (2, text[: len(text) // 4]), (3, None), (4, " ".join(reversed(text.split())))]
-    made = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(made, bench).collect()} == {(1, items.item_id[0])}
-    assert decontaminate.clean(hard, bench).count() == len(HARD) and decontaminate.clean(empty, bench).count() == 0
-    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
-
-
-def test_block_max_wand_equals_exhaustive_scores():
-    rng = np.random.default_rng(6)
-    items = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, 20) % 200)) for i in range(120)]
-    cls = decontaminate.LengthClass(items, 32, 1.2, 0.75, 5)
-    weights = [{t: w for t, p in enumerate(cls.postings) for j, w in p if j == i} for i in range(120)]
-    for _ in range(60):
-        q = sorted(rng.choice(len(cls.vocab), 25, replace=False).tolist())
-        for th in (0.02, 0.1, 0.3):
-            assert sorted(i for i, _ in cls.search(q, th)) == [i for i, w in enumerate(weights) if sum(w.get(t, 0) for t in q) >= th]
-
-
 def test_toxicity_holds_out_of_sample(spark, hard, empty):
     folder = SMALL.replace("0.001", "0.1")
     docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
