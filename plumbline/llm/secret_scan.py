@@ -8,16 +8,22 @@ overlaps a base span.
 
 Positions are code points.  The engine's regex functions give no positions, so
 they are summed up from the pieces between the matches: split and extract_all
-walk a text alike.  Defined results: a null text is empty and has no span;
-repeated rows and other columns pass through; spans of one kind don't overlap,
-those of different kinds may.
+walk a text alike, and the running sums are taken chunk by chunk, so a text of
+many matches costs no square of their number.  Defined results: a null text is
+empty and has no span; repeated rows and other columns pass through, but input
+columns of the names `base` and `out` are replaced; spans of one kind don't
+overlap, those of different kinds may.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 KINDS = ("assign", "access", "hex", "markov")
 # The fixed patterns; the second group of the first is the value.  Maximal runs make the length limits of the others part of their pattern.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,8 +53,8 @@ token total tracker traffic transaction transform trigger update upload usage us
 volume warning weight widget window worker wrapper""".split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """(token, random): `n` random strings and `n` ordinary identifiers, paths and numbers, all from rules."""
+def labelled_samples(spark: SparkSession, n: int = 6000, first: int = 0) -> DataFrame:
+    """(token, random): `n` random strings and `n` ordinary identifiers, paths and numbers, all from rules; no two values of `first` more than `n` apart share one."""
     words = F.split(F.lit(" ".join(WORDS)), " ")
     h = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int") + 1
     w = [F.element_at(words, h(k)) for k in range(4)]
@@ -71,7 +77,7 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
         .when(F.col("id") % 4 == 2, F.substring(digest, 1, 32))
         .otherwise(F.substring(F.upper(F.regexp_replace(b64, "[+/=]", "")), 1, 24))
     )
-    ids = spark.range(n)
+    ids = spark.range(first, first + n)
     return ids.select(ordinary.alias("token"), F.lit(False).alias("random")).unionByName(ids.select(random.alias("token"), F.lit(True).alias("random")))
 
 
@@ -91,8 +97,6 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
     chars = samples.where("token is not null and random is not null").select("random", _chars(F.col("token")).alias("c"))
     pairs = chars.select("random", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), F.col("c")), F.col("c"), lambda a, b: a * WIDTH + F.coalesce(b, F.lit(-1)))).alias("pair"), F.size("c").alias("n"))
     counted = pairs.where("pair is not null").groupBy("random", "pair").count().collect()
-    import math
-
     n = {True: [0.0] * WIDTH * WIDTH, False: [0.0] * WIDTH * WIDTH}
     for r in counted:
         if 0 <= r["pair"] < WIDTH * WIDTH:
@@ -112,23 +116,40 @@ def ratio(token: Column, model: list[int]) -> Column:
     return F.aggregate(_chars(token), start, lambda s, c: F.struct(c.alias("at"), (s["sum"] + F.get(table, s["at"] * WIDTH + c)).alias("sum")), lambda s: s["sum"])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def before(values: Column, combine, zero: int) -> Column:
+    """For each number of an array all numbers before it, combined: chunks of a square root's length, then the chunks' totals."""
+    start = F.array(F.lit(zero).cast("long"))
+    running = lambda xs: F.aggregate(xs, start, lambda out, x: F.concat(out, F.array(combine(F.element_at(out, -1), x))))
+
+    def whole(xs):
+        width = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / width).cast("int") - 1, F.lit(0))), lambda k: running(F.slice(xs, k * width + 1, width)))
+        return let(chunks, joined)
+
+    def joined(chunks):
+        return let(running(F.transform(chunks, lambda c: F.element_at(c, -1))), lambda at: F.flatten(F.transform(chunks, lambda c, k: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x: combine(F.get(at, k), x)))))
+
+    return let(values, whole)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as spans; keep(group's text) drops those that fail after they were matched."""
     regex = F.lit(pattern)
-    between = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
-    parts = F.arrays_zip(between.alias("b"), whole.alias("w"), F.regexp_extract_all(text, regex, F.lit(group)).alias("g")) if group else F.arrays_zip(between.alias("b"), whole.alias("w"))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    good = F.transform(F.regexp_extract_all(text, regex, F.lit(group)) if group else whole, keep if keep else lambda w: F.lit(True))
+    matches = F.arrays_zip(F.slice(F.transform(F.split(text, pattern, -1), lambda b: F.length(b).cast("long")), 1, F.size(whole)).alias("b"), F.transform(whole, lambda w: F.length(w).cast("long")).alias("w"), good.alias("good"))
 
-    def step(state, p):
-        start = state["pos"] + F.length(p["b"])
-        end = start + F.length(p["w"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        good = keep(p["g" if group else "w"]) if keep else F.lit(True)
-        return F.struct(end.alias("pos"), F.when(good, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
+    def placed(ms):
+        at = before(F.transform(ms, lambda m: m["b"] + m["w"]), lambda x, y: x + y, 0)
+        spans = F.zip_with(ms, at, lambda m, a: F.struct((a + m["b"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (a + m["b"] + m["w"]).cast("int").alias("end"), m["good"].alias("good")))
+        return F.transform(F.filter(spans, lambda x: x["good"]), lambda x: F.struct(x["start"], x["kind"], x["end"]))
 
-    matches = F.filter(parts, lambda p: p["w"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(matches, zero, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), let(matches, placed)).otherwise(F.array().cast(SPAN))
 
 
 def with_spans(docs: DataFrame, model: list[int], threshold: float = 8.0, text: str = "text", base: str = "base_spans", out: str = "all_spans") -> DataFrame:
@@ -136,9 +157,10 @@ def with_spans(docs: DataFrame, model: list[int], threshold: float = 8.0, text:
     t = F.coalesce(F.col(text), F.lit(""))
     found = F.concat(_spans(t, ASSIGN, 0, lambda g: F.length(g) >= 6, 2), _spans(t, ACCESS, 1), _spans(t, HEX, 2))
     random = _spans(t, TOKEN, 3, lambda w: ratio(w, model) >= int(threshold * 1000))
-    staged = docs.withColumn(base, F.array_sort(found)).withColumn("_random", random)
-    new = F.filter("_random", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return staged.withColumn(out, F.array_sort(F.concat(F.col(base), new))).drop("_random")
+    extra = free_name(docs, "random")
+    staged = docs.withColumns({base: F.array_sort(found), extra: random})
+    new = F.filter(extra, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return staged.withColumn(out, F.array_sort(F.concat(F.col(base), new))).drop(extra)
 
 
 def listed(spans: str) -> Column:
@@ -154,12 +176,16 @@ def count_of(spans: str, kind: int) -> Column:
 def redact(docs: DataFrame, spans: str = "all_spans", text: str = "text", mark: str = "<SECRET>") -> DataFrame:
     """`docs` with every span of `text` replaced by `mark`, overlapping ones by one; texts without a span stay as they are."""
     t = F.col(text)
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(s, x):
-        fresh = x["start"] >= s["pos"]
-        kept = F.concat(s["out"], t.substr(s["pos"] + 1, x["start"] - s["pos"]), F.lit(mark))
-        return F.struct(F.greatest(s["pos"], x["end"]).alias("pos"), F.when(fresh, kept).otherwise(s["out"]).alias("out"))
 
-    clean = F.aggregate(F.col(spans), zero, step, lambda s: F.concat(s["out"], t.substr(s["pos"] + 1, F.length(t))))
-    return docs.withColumn(text, F.when(F.size(F.col(spans)) > 0, clean).otherwise(t))
+    def clean(both):
+        # of fixed-width characters a piece is found without a walk from the text's start
+        found, wide = both["spans"], both["wide"]
+        piece = lambda a, b: F.decode(F.substring(wide, a * 4 + 1, (b - a) * 4), "UTF-32")
+        reached = before(F.transform(found, lambda x: x["end"].cast("long")), F.greatest, 0)  # the end of all spans before
+        fresh = F.filter(F.zip_with(found, reached, lambda x, r: F.struct(x["start"].alias("start"), r.cast("int").alias("from"))), lambda x: x["start"] >= x["from"])
+        pieces = F.transform(fresh, lambda x: piece(x["from"], x["start"]))
+        rest = piece(F.array_max(F.transform(found, lambda x: x["end"])), (F.octet_length(wide) / 4).cast("int"))
+        return F.concat(F.array_join(pieces, mark), F.lit(mark), rest)
+
+    both = F.struct(F.col(spans).alias("spans"), F.encode(t, "UTF-32").alias("wide"))
+    return docs.withColumn(text, F.when(F.size(F.col(spans)) > 0, let(both, clean)).otherwise(t))
