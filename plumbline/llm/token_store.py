@@ -7,8 +7,10 @@ sizes with page indexes, so a reader can fetch a few documents' ids, or all
 counts without any id.  The global start of a document is its range's base plus
 its place in the range; bases come from the counts column alone.
 
-Ids come from the tokenizers library, each different pre-token encoded once (see
-word_ids).  Ranges are cut by id and text hash, so one id of many rows is no
+Ids come from one of two engines that give the same: the compiled transducer of
+the vocabulary file (see fst_tokenizer), or the tokenizers library, which is
+slower here even if it encodes each different pre-token once (see word_ids).
+Ranges are cut by id and text hash, so one id of many rows is no
 single range.  Defined results: a null text
 counts as empty and has the end id only; rows with a null id come first;
 repeated rows keep their own entries, equal ids in an order of their texts' hashes;
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import word_ids
+from . import fst_tokenizer, word_ids
 from .common import byte_parts, text_or_empty
 
+ENGINES = {"transducer": fst_tokenizer.load, "library": word_ids.load}
 SCHEMA = "part int, doc_id long, place long, n_tokens int, ids array<int>"
 
 
@@ -36,9 +39,9 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
 
-def encode_ordered(batches, tokenizer: str, end_id: int):
+def encode_ordered(batches, tokenizer: str, end_id: int, engine: str):
     """(part, doc ids, texts' ids with the end id one after another, counts) for runs of an ordered partition."""
-    machine = word_ids.load(tokenizer)
+    machine = ENGINES[engine](tokenizer)
     for batch in batches:
         part = batch.column(0)[0].as_py() if batch.num_rows else 0
         names, at = batch.column(1), 0
@@ -49,10 +52,10 @@ def encode_ordered(batches, tokenizer: str, end_id: int):
             at += len(texts)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_group_mb: int = 32, page_kb: int = 128, doc_id: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_group_mb: int = 32, page_kb: int = 128, engine: str = "transducer", doc_id: str = "doc_id", text: str = "text") -> None:
     def encode(batches):
         place = 0
-        for part, names, ids, counts in encode_ordered(batches, tokenizer, end_id):
+        for part, names, ids, counts in encode_ordered(batches, tokenizer, end_id, engine):
             before = np.cumsum(counts) - counts
             yield pa.RecordBatch.from_arrays(
                 [

@@ -102,8 +102,9 @@ def test_token_counts_on_hard_rows(hard, empty):
     assert token_counts.with_counts(empty, PATH).count() == 0
 
 
-def test_token_store_round_trip(spark, docs, hard, empty, texts, encoded, tmp_path):
-    token_store.write(docs, str(tmp_path / "a"), PATH, 2)
+@pytest.mark.parametrize("engine", ["transducer", "library"])
+def test_token_store_round_trip(spark, docs, hard, empty, texts, encoded, tmp_path, engine):
+    token_store.write(docs, str(tmp_path / "a"), PATH, 2, engine=engine)
     stored = token_store.read(spark, str(tmp_path / "a"))
     got = token_store.summary(stored).orderBy("doc_id").collect()
     start = 0
