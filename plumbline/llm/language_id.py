@@ -6,9 +6,14 @@ length compare).  Decoding sums the logistic loss of all bits against each
 codeword and takes the nearest; a text whose second codeword is almost as near
 is flagged ambiguous.
 
+The fit takes a bounded sample (parameters `per_language` and `total`) in one
+task, as sparse rows that are spread out block by block.
+
 Defined results: `und` with score 0 for a null text, one without a letter, or
 if nothing could be learned; rows with a null language don't teach; with one
-language only, that language with score 1.
+language only, that language with score 1; an empty table gives no row.  Repeated
+rows get the same result.  Other columns pass through, but input columns named
+lang_pred, score or ambiguous are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, char_stream, fit_in_task, gram_hashes, held_out, unit_hash
+from .common import byte_parts, char_stream, fit_in_task, free_name, gram_hashes, held_out, unit_hash
 
 SIZES, BITS = (1, 2, 3), 12
 UNKNOWN = "und"
@@ -94,20 +99,49 @@ def features(texts: list[str], block: int = 64):
         yield a, np.sqrt(x / np.maximum(x.sum(1, keepdims=True), 1))
 
 
+class Sparse:
+    """Rows of `features`, kept as the places and values that aren't zero."""
+
+    def __init__(self, texts: list[str]):
+        at, values, sizes = [], [], []
+        for _, m in features(texts):
+            row, col = np.nonzero(m)
+            at.append(col.astype(np.uint16))
+            values.append(m[row, col])
+            sizes.append(np.bincount(row, minlength=len(m)))
+        self.at, self.values = np.concatenate(at), np.concatenate(values)
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def blocks(self, size: int = 512):
+        """(first row, dense block)"""
+        for a in range(0, len(self.first) - 1, size):
+            b = min(a + size, len(self.first) - 1)
+            lo, hi = self.first[a], self.first[b]
+            x = np.zeros((b - a, 1 << BITS), np.float32)
+            x[np.repeat(np.arange(b - a), np.diff(self.first[a : b + 1])), self.at[lo:hi]] = self.values[lo:hi]
+            yield a, x
+
+
 def fit(texts: list[str], langs: list[str], rounds: int = 150, l2: float = 1e-5, margin: float = 1.0) -> LanguageModel:
     names = sorted(set(langs))
     if len(names) < 2:
         return LanguageModel(names, np.zeros((len(names), 0)), np.zeros((1 << BITS, 0)), np.zeros(0), margin)
     code = codebook(len(names))
-    y = np.array([names.index(x) for x in langs])
-    x = np.concatenate([m for _, m in features(texts)])
+    place = {n: k for k, n in enumerate(names)}
+    y = np.array([place[x] for x in langs])
+    rows = Sparse(texts)
     want = code[y].astype(np.float32)
-    share = (1 / np.bincount(y, minlength=len(names)))[y][:, None] / len(names)
-    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    share = ((1 / np.bincount(y, minlength=len(names)))[y][:, None] / len(names)).astype(np.float32)
+    w, b = np.zeros((1 << BITS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
     for step in range(1, rounds + 1):  # Adam on the whole sample
-        g = (-want / (1 + np.exp(want * (x @ w + b))) * share).astype(np.float32)
-        for k, (par, grad) in enumerate(((w, x.T @ g + l2 * w), (b, g.sum(0)))):
+        gw, gb = l2 * w, np.zeros_like(b)
+        for a, x in rows.blocks():
+            t = want[a : a + len(x)]
+            g = -t / (1 + np.exp(t * (x @ w + b))) * share[a : a + len(x)]
+            gw += x.T @ g
+            gb += g.sum(0)
+        for k, (par, grad) in enumerate(((w, gw), (b, gb))):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
@@ -115,12 +149,13 @@ def fit(texts: list[str], langs: list[str], rounds: int = 150, l2: float = 1e-5,
     return LanguageModel(names, code, w, b, margin)
 
 
-def train(docs: DataFrame, per_language: int = 800, lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> LanguageModel:
-    """Fit on about `per_language` texts of each language at most, none of them held out; the sample is chosen by a hash of the id."""
+def train(docs: DataFrame, per_language: int = 800, total: int = 20_000, lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> LanguageModel:
+    """Fit on about `per_language` texts of each language and `total` in all at most, none of them held out; the sample is chosen by a hash of the id."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(F.col("_lang").isNotNull() & ~held_out(F.col("_id")))
     size = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size:
         return fit([], [])
+    per_language = min(per_language, max(1, total // len(size)))
     share = F.coalesce(*(F.when(F.col("_lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(size.items())))
     sample = rows.where((unit_hash(F.col("_id")) < share) & F.col("_text").isNotNull())
     return fit_in_task(sample, _fit_rows) or fit([], [])
@@ -140,5 +175,6 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
         names, scores, close = shared.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    return docs.withColumn("_found", predict(F.col(text))).select(*rest, "_found.*")
+    found = free_name(docs, "found")
+    rest = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    return docs.withColumn(found, predict(F.col(text))).select(*rest, f"{found}.*")

@@ -7,10 +7,13 @@ padding plus its penalties; best[j] = min over cuts i at most one window before
 j of best[i] + window - (pos j - pos i) + penalty j, and as best[i] + pos i is
 all that depends on i, a monotone queue gives the minimum in constant time.
 A task packs its range of documents block by block and carries the last window
-over, so memory is bounded by a block and its longest document.
+over, so memory is bounded by a block and its longest document.  Within a block
+the packing is the cheapest; a block ends at its cheapest cut within the last
+window, so the whole can cost up to a window's padding more per block than the
+cheapest packing of all.
 
 Defined results: a null or empty text is its end id alone; an empty table has
-no piece; repeated rows are packed each for itself.
+no piece; repeated rows are packed each for itself; other columns are left out.
 """
 
 from __future__ import annotations

@@ -97,7 +97,7 @@ people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM base WHERE speak
 each AS (
   SELECT b.*, p.perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = p.perspective THEN 'assistant' ELSE 'user' END AS chat_role
   FROM base b JOIN people p ON b.conv_id IS NOT DISTINCT FROM p.conv_id),
-headed AS (SELECT *, '<|' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) AS head FROM each),
+headed AS (SELECT *, '<|' || chat_role || CASE WHEN chat_role = 'user' THEN ' name=' || replace(replace(translate(speaker, chr(13) || chr(10), '  '), '<|', '< |'), '|>', '| >') ELSE '' END || '|>' || chr(10) AS head FROM each),
 piece AS (SELECT *, head || content || '<|end|>' || chr(10) AS rendered FROM headed),
 placed AS (
   SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, content

@@ -95,7 +95,7 @@ def _chars(token: Column) -> Column:
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
     """Log-likelihood ratios (random : ordinary) of all character pairs in thousandths of a nat; the table has a fixed size."""
     chars = samples.where("token is not null and random is not null").select("random", _chars(F.col("token")).alias("c"))
-    pairs = chars.select("random", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), F.col("c")), F.col("c"), lambda a, b: a * WIDTH + F.coalesce(b, F.lit(-1)))).alias("pair"), F.size("c").alias("n"))
+    pairs = chars.select("random", F.explode(F.zip_with(F.concat(F.array(F.lit(0)), F.col("c")), F.col("c"), lambda a, b: a * WIDTH + b)).alias("pair"), F.size("c").alias("n"))
     counted = pairs.where("pair is not null").groupBy("random", "pair").count().collect()
     n = {True: [0.0] * WIDTH * WIDTH, False: [0.0] * WIDTH * WIDTH}
     for r in counted:

@@ -3,7 +3,8 @@
 The splitting transducer's chunk state maps are composed by a parallel prefix
 scan; the merging transducer's transitions carry the emitted-token counts.  No
 token is built.  Defined results: a null text counts as empty (0 bytes, 0
-tokens); other columns pass through; one row out for each row in.
+tokens); other columns pass through, but input columns named n_bytes, n_tokens
+or over_limit are replaced; one row out for each row in, none for an empty table.
 """
 
 from __future__ import annotations

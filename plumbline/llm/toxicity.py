@@ -3,13 +3,16 @@
 Whether an n-gram of 4 to 6 characters occurs in a text is the feature; its
 value is the log of the ratio of its (smoothed) shares among toxic and clean
 training texts.  N-grams whose difference between the classes could be chance
-are left out, which keeps the scan of a text to few hits.  A logistic
-regression is fitted to the scaled features.
+(`min_z` standard deviations of a share) or that come after the `max_features`
+most different ones are left out, which keeps the model small and the scan of a
+text to few hits.  A logistic regression is fitted to the scaled features on a
+bounded sample of the labelled texts (`per_class`).
 
 Defined results: a null or empty text has no feature and gets the score of the
 intercept; labels that are null are ignored, of repeated labels the larger
 holds; without labels every score is 0, with labels of one class only it is
-that class.  Repeated rows get the same score; other columns pass through.
+that class; an empty table gives no row.  Repeated rows get the same score; other
+columns pass through, but an input column of the name `out` is replaced.
 """
 
 from __future__ import annotations
