@@ -193,7 +193,7 @@ def byte_chars() -> dict[int, str]:
 class MergeMachine:
     """Lazily determinised transducer over the bytes of a pre-token."""
 
-    def __init__(self, tokens: dict[bytes, int], ranks: dict[tuple[int, int], int], encode, specials: dict[int, int], max_states: int = 400_000):
+    def __init__(self, tokens: dict[bytes, int], ranks: dict[tuple[int, int], int], encode, specials: dict[int, int], max_states: int = 250_000):
         self.encode, self.specials, self.max_states = encode, specials, max_states
         self.ranks = {left << 20 | right: r for (left, right), r in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -317,7 +317,7 @@ class MergeMachine:
                             break
                     if not ok:
                         break
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             self.pairs[key] = ok
         return ok

@@ -129,7 +129,7 @@ def pack_stream(runs, sentence_end: np.ndarray, window: int, block: int, p_sente
         yield settle(True)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, block: int = 1 << 20, sentence_penalty: float = 4.0, hard_penalty: float = 64.0, engine: str = "transducer", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, block: int = 1 << 19, sentence_penalty: float = 4.0, hard_penalty: float = 64.0, engine: str = "transducer", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece (SCHEMA); sequence ids ascend with the documents, those of a task apart from all others."""
 
     def run(batches):
