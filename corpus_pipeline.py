@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity filter, near-duplicate removal, benchmark decontamination, secret redaction, packing."""
+"""The corpus pipeline: toxicity filter, near-duplicate removal, benchmark decontamination, secret redaction, packing.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows,
+extra columns and an empty table; what it then does is stated with it.
+"""
 
 from __future__ import annotations
 
@@ -10,23 +14,39 @@ from plumbline.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go."""
+    """Documents with a toxicity score of 0.5 or more go.
+
+    A null or empty text has the score of the intercept and, with labels that are
+    mostly clean, stays; repeated rows share their fate; without labels all stay.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_score(docs, model, out="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word shingle similarity of 0.8 or more stays, the one of the smallest id."""
+    """One document of each group linked by a five-word shingle similarity of 0.8 or more stays, the one of the smallest id.
+
+    Texts without a word, null ones too, are one group; of repeated rows one
+    stays; rows that share an id but no group all stay; a null id stays only
+    where its group has no other.
+    """
     return similar.keep_one(docs, least=0.8, words=5).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's question and answer go."""
+    """Documents that hold a benchmark item's question and answer go.
+
+    Null and empty texts hold none and stay; repeated rows share their fate;
+    without benchmark items all stay.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; found spans are replaced in their text, and n_chars follows."""
+    """All documents stay; found spans are replaced in their text, and n_chars follows.
+
+    A text without a span stays as it is, a null one null; repeated rows stay.
+    """
     model = secret_scan.train(secret_scan.labelled_samples(spark))
     found = secret_scan.redact(secret_scan.with_spans(docs, model, base="_base", out="_spans"), spans="_spans")
     changed = F.size("_spans") > 0
@@ -34,7 +54,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in windows of 2048 tokens."""
+    """The pieces of all documents in windows of 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed each for
+    itself; an empty table has no piece.
+    """
     return packing.pack(docs, fst_tokenizer.default_path(), end_id=1, window=2048)
 
 
