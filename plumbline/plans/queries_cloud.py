@@ -152,7 +152,7 @@ def k12_land_cover(v):
     return v.cells.select("rw", "cl", "dsm").join(terrain(v), ["rw", "cl"], "left").join(rough, ["rw", "cl"], "left").select("rw", "cl", cls.alias("class"))
 
 
-@query("K13 F26", "SELECT CASE WHEN d.z - k.zmin <= 0.5 THEN 2 WHEN d.z - k.zmin > 9 THEN 6 ELSE 1 END AS class, count(*) AS n FROM dense d JOIN cells k ON k.rw = floor(d.y / 2) AND k.cl = floor(d.x / 2) GROUP BY 1")
+@query("K13", "SELECT CASE WHEN d.z - k.zmin <= 0.5 THEN 2 WHEN d.z - k.zmin > 9 THEN 6 ELSE 1 END AS class, count(*) AS n FROM dense d JOIN cells k ON k.rw = floor(d.y / 2) AND k.cl = floor(d.x / 2) GROUP BY 1")
 def k13_point_classes(v):
     h = c("z") - c("zmin")
     d = v.dense.select("z", F.floor(c("y") / 2).alias("rw"), F.floor(c("x") / 2).alias("cl")).join(v.cells.select("rw", "cl", "zmin"), ["rw", "cl"])
@@ -251,14 +251,14 @@ def k18_slope_statistics(v):
 
 
 _LOS = """ray AS (SELECT a.point_id, i / 4e1 AS w, a.x + (b.x - a.x) * i / 4e1 AS x, a.y + (b.y - a.y) * i / 4e1 AS y, 20 + (12 - 20) * i / 4e1 AS z, sqrt((b.x - a.x) ^ 2 + (b.y - a.y) ^ 2) AS len
-FROM points a JOIN points b ON b.point_id = a.point_id + 1, range(41) t(i) WHERE a.point_id % 10 = 0),
+FROM points a JOIN points b ON b.point_id = a.point_id + 1, range(41) t(i)),
 hit AS (SELECT ray.point_id, ray.w, ray.z, k.dsm, k.sigma FROM ray LEFT JOIN cells k ON k.rw = floor(ray.y / 2) AND k.cl = floor(ray.x / 2) WHERE ray.w * len > 3 AND (1 - ray.w) * len > 3)"""
 
 
 @query("K19 G12", f"""WITH {_LOS} SELECT point_id, CASE WHEN bool_or(dsm - 2 * coalesce(sigma, 0) > z) THEN 'blocked' WHEN bool_or(dsm IS NULL) THEN 'unknown' ELSE 'visible' END AS status, min(w) FILTER (WHERE dsm - 2 * coalesce(sigma, 0) > z) AS first_block FROM hit GROUP BY 1""")
 def k19_line_of_sight(v):
     """Blocked beyond two sigma, unknown over unobserved cells, the ends of one and a half cells left out."""
-    a = v.points.where("point_id % 10 = 0").select("point_id", c("x").alias("ax"), c("y").alias("ay"), (c("point_id") + 1).alias("j"))
+    a = v.points.select("point_id", c("x").alias("ax"), c("y").alias("ay"), (c("point_id") + 1).alias("j"))
     b = v.points.select(c("point_id").alias("j"), c("x").alias("bx"), c("y").alias("by"))
     ray = a.join(b, "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("w", c("i") / 40.0)
     ray = ray.withColumn("len", F.hypot(c("bx") - c("ax"), c("by") - c("ay"))).where((c("w") * c("len") > 3) & ((1 - c("w")) * c("len") > 3))
@@ -286,58 +286,93 @@ def k22_view_domain(v):
     return rows.select("rw", F.explode("cs").alias("cl")).groupBy("rw", "cl").agg(F.count(F.lit(1)).alias("views")).where("views >= 2")
 
 
-_ZB = """kk AS (SELECT * FROM cameras WHERE camera_id % 10 = 0), pr AS (SELECT k.camera_id, p.point_id, floor(80 * (p.x - k.cx) / (k.cz - p.z) + 64)::BIGINT AS px, floor(80 * (k.cy - p.y) / (k.cz - p.z) + 36)::BIGINT AS py, k.cz - p.z AS dz FROM points p, kk k WHERE k.cz - p.z > 1e-6),
-zb AS (SELECT camera_id, px, py, min(dz) AS dz FROM pr WHERE px >= 0 AND px < 128 AND py >= 0 AND py < 72 GROUP BY ALL),
-zd AS (SELECT camera_id, px + dx AS px, py + dy AS py, min(dz) AS dz FROM zb, range(-2, 3) a(dx), range(-2, 3) b(dy) GROUP BY ALL)"""
+_FRAME = "px >= 0 AND px < 128 AND py >= 0 AND py < 72"
+_ZB = f"""pr AS (SELECT * FROM (SELECT k.camera_id, p.point_id, p.provenance, p.r, p.g, p.b, floor(80 * (p.x - k.cx) / (k.cz - p.z) + 64)::BIGINT AS px, floor(80 * (k.cy - p.y) / (k.cz - p.z) + 36)::BIGINT AS py, k.cz - p.z AS dz FROM points p, cameras k WHERE k.cz - p.z > 1e-6) WHERE {_FRAME}),
+zb AS (SELECT camera_id, px, py, min(dz) AS dz FROM pr WHERE provenance IN (0, 1) GROUP BY ALL),
+zd AS (SELECT camera_id, px, py, min(dz) AS dz FROM (SELECT camera_id, px + dx AS px, py + dy AS py, dz FROM zb, range(-2, 3) a(dx), range(-2, 3) b(dy)) WHERE {_FRAME} GROUP BY ALL)"""
+SIDE = 10.0  # of the ground cells that bring cameras and what they may see together
 
 
-def _zbuffer(v):
-    """Nearest depth per low-resolution pixel, spread by two pixels; the flight's cameras are broadcast."""
-    k = F.broadcast(v.cameras.where("camera_id % 10 = 0"))
+def footprints(cameras, low):
+    """(camera, ix, iy): the ground cells under each nadir camera's view at height `low`; nothing lower is in the cell otherwise."""
+    hx, hy = 0.8 * (c("cz") - low), 0.45 * (c("cz") - low)
+    span = lambda mid, half: F.sequence(F.floor((c(mid) - half) / SIDE), F.floor((c(mid) + half) / SIDE))
+    rows = cameras.where(c("cz") > low).withColumn("ix", F.explode(span("cx", hx))).withColumn("iy", span("cy", hy))
+    return rows.select("camera_id", "cx", "cy", "cz", "ix", F.explode("iy").alias("iy"))
+
+
+_IN_FRAME = "px >= 0 and px < 128 and py >= 0 and py < 72"
+
+
+def _projected(v):
+    """Points in the low-resolution image of each camera that has them in view: met by ground cells, never all with all."""
+    low = v.points.agg(F.min("z").alias("low"))  # one row
+    k = footprints(v.cameras.crossJoin(F.broadcast(low)), c("low"))
     dz = c("cz") - c("z")
-    p = v.points.crossJoin(k).where(dz > 1e-6).select("camera_id", "point_id", F.floor(80 * (c("x") - c("cx")) / dz + 64).alias("px"), F.floor(80 * (c("cy") - c("y")) / dz + 36).alias("py"), dz.alias("dz"))
-    zb = p.where("px >= 0 and px < 128 and py >= 0 and py < 72").groupBy("camera_id", "px", "py").agg(F.min("dz").alias("dz"))
+    p = v.points.select("point_id", "provenance", "x", "y", "z", "r", "g", "b", F.floor(c("x") / SIDE).alias("ix"), F.floor(c("y") / SIDE).alias("iy"))
+    seen = p.join(k, ["ix", "iy"]).where(dz > 1e-6)
+    return seen.select("camera_id", "point_id", "provenance", "r", "g", "b", F.floor(80 * (c("x") - c("cx")) / dz + 64).alias("px"), F.floor(80 * (c("cy") - c("y")) / dz + 36).alias("py"), dz.alias("dz")).where(_IN_FRAME)
+
+
+def _zbuffer(projected):
+    """Nearest depth of observed points per pixel, spread by two pixels within the image."""
+    zb = projected.where("provenance in (0, 1)").groupBy("camera_id", "px", "py").agg(F.min("dz").alias("dz"))
     around = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in range(-2, 3) for b in range(-2, 3)])
-    return p, zb.withColumn("s", F.explode(around)).groupBy("camera_id", (c("px") + c("s.dx")).alias("px"), (c("py") + c("s.dy")).alias("py")).agg(F.min("dz").alias("depth"))
+    spread = zb.withColumn("s", F.explode(around)).select("camera_id", (c("px") + c("s.dx")).alias("px"), (c("py") + c("s.dy")).alias("py"), "dz").where(_IN_FRAME)
+    return spread.groupBy("camera_id", "px", "py").agg(F.min("dz").alias("depth"))
 
 
 @query("K27", f"WITH {_ZB} SELECT camera_id, px, py, round(dz, 6) AS depth FROM zd")
 def k27_z_buffer(v):
-    return _zbuffer(v)[1].select("camera_id", "px", "py", r(c("depth")).alias("depth"))
+    return _zbuffer(_projected(v)).select("camera_id", "px", "py", r(c("depth")).alias("depth"))
 
 
-@query("K28 F39", f"WITH {_ZB} SELECT p.point_id, count(*) AS votes, count(*) FILTER (WHERE abs(p.dz - zd.dz) <= 1 + 0.05 * p.dz) AS agree, count(*) FILTER (WHERE abs(p.dz - zd.dz) <= 1 + 0.05 * p.dz) >= 2 AS verified FROM pr p JOIN zd USING (camera_id, px, py) GROUP BY 1")
+@query("K28 F39", f"""WITH {_ZB}, cl AS (SELECT camera_id, px, py, arg_min(struct_pack(r := r, g := g, b := b), struct_pack(dz := dz, k := point_id)) AS o FROM pr WHERE provenance IN (0, 1) GROUP BY ALL),
+vt AS (SELECT p.point_id, abs(p.dz - zd.dz) AS res, abs(p.dz - zd.dz) <= 1 + 0.05 * zd.dz AS near, coalesce(o.r + o.g + o.b = 0 OR (abs(o.r - p.r) + abs(o.g - p.g) + abs(o.b - p.b)) / 3e0 <= 60, true) AS colour
+FROM pr p JOIN zd USING (camera_id, px, py) LEFT JOIN cl USING (camera_id, px, py) WHERE p.provenance = 2)
+SELECT q.point_id, count(res) AS votes, count(*) FILTER (WHERE near AND colour) AS agree, count(*) FILTER (WHERE near AND colour) >= 2 AS verified, round(median(res), 6) AS residual FROM points q LEFT JOIN vt USING (point_id) WHERE q.provenance = 2 GROUP BY 1""")
 def k28_verify_inferred(v):
-    p, z = _zbuffer(v)
-    near = F.abs(c("dz") - c("depth")) <= 1 + 0.05 * c("dz")
-    return p.join(z, ["camera_id", "px", "py"]).groupBy("point_id").agg(F.count(F.lit(1)).alias("votes"), F.count_if(near).alias("agree"), (F.count_if(near) >= 2).alias("verified"))
+    """Inferred points against what cameras see there: depth within 1 m and 5 %, colour of the nearest observed point within 60, two views or more."""
+    p = _projected(v)
+    shade = F.min(F.struct("dz", "point_id", "r", "g", "b"))
+    colour = p.where("provenance in (0, 1)").groupBy("camera_id", "px", "py").agg(shade.alias("o"))
+    votes = p.where("provenance = 2").join(_zbuffer(p), ["camera_id", "px", "py"]).join(colour, ["camera_id", "px", "py"], "left")
+    off = sum((F.abs(c(f"o.{k}") - c(k)) for k in "gb"), F.abs(c("o.r") - c("r"))) / 3.0
+    fits = F.coalesce((c("o.r") + c("o.g") + c("o.b") == 0) | (off <= 60), F.lit(True))
+    res = F.abs(c("dz") - c("depth"))
+    agree = F.sum((F.coalesce(res <= 1 + 0.05 * c("depth"), F.lit(False)) & fits).cast("long"))
+    found = votes.groupBy("point_id").agg(F.count(F.lit(1)).alias("votes"), agree.alias("agree"), r(F.median(res)).alias("residual"))
+    n = lambda k: F.coalesce(k, F.lit(0))
+    return v.points.where("provenance = 2").select("point_id").join(found, "point_id", "left").select("point_id", n("votes").alias("votes"), n("agree").alias("agree"), (n("agree") >= 2).alias("verified"), "residual")
 
 
 _COV = f"""{_ZB}, vx AS (SELECT a.ix, b.iy, d.iz FROM range(0, 10) a(ix), range(0, 10) b(iy), range(0, 3) d(iz)), sf AS (SELECT DISTINCT floor(x / 10)::BIGINT AS ix, floor(y / 10)::BIGINT AS iy, floor(z / 5)::BIGINT AS iz FROM points),
-pv AS (SELECT ix, iy, iz, camera_id, cz - (iz * 5 + 2.5) AS dz, floor(80 * (ix * 10 + 5 - cx) / (cz - (iz * 5 + 2.5)) + 64)::BIGINT AS px, floor(80 * (cy - iy * 10 - 5) / (cz - (iz * 5 + 2.5)) + 36)::BIGINT AS py, degrees(atan2(sqrt((ix * 10 + 5 - cx) ^ 2 + (iy * 10 + 5 - cy) ^ 2), cz - (iz * 5 + 2.5))) AS inc FROM vx, kk),
-ct AS (SELECT vx.ix, vx.iy, vx.iz, count(pv.camera_id) AS frustum, count(*) FILTER (WHERE pv.dz <= zd.dz + 1.5) AS views, count(*) FILTER (WHERE pv.dz < zd.dz - 1.5) AS free, min(inc) FILTER (WHERE pv.dz <= zd.dz + 1.5) AS inc
-FROM vx LEFT JOIN pv ON pv.ix = vx.ix AND pv.iy = vx.iy AND pv.iz = vx.iz AND px >= 0 AND px < 128 AND py >= 0 AND py < 72 LEFT JOIN zd ON zd.camera_id = pv.camera_id AND zd.px = pv.px AND zd.py = pv.py GROUP BY ALL),
-st AS (SELECT ct.*, CASE WHEN sf.ix IS NOT NULL AND views = 0 THEN 'occluded' WHEN sf.ix IS NOT NULL AND views >= 2 AND (inc <= 75 OR inc >= 179) THEN 'observed' WHEN sf.ix IS NOT NULL AND views >= 1 THEN 'weak' WHEN frustum > 0 AND free > 0 THEN 'empty' WHEN frustum > 0 THEN 'occluded' ELSE 'unseen' END AS status FROM ct LEFT JOIN sf USING (ix, iy, iz))"""
+pv AS (SELECT *, (camera_id + px // 32 + py // 24) % 11 = 0 AS masked FROM (SELECT ix, iy, iz, camera_id, cz - (iz * 5 + 2.5) AS dz, floor(80 * (ix * 10 + 5 - cx) / (cz - (iz * 5 + 2.5)) + 64)::BIGINT AS px, floor(80 * (cy - iy * 10 - 5) / (cz - (iz * 5 + 2.5)) + 36)::BIGINT AS py, degrees(atan2(sqrt((ix * 10 + 5 - cx) ^ 2 + (iy * 10 + 5 - cy) ^ 2), cz - (iz * 5 + 2.5))) AS inc FROM vx, cameras) WHERE {_FRAME}),
+ct AS (SELECT vx.ix, vx.iy, vx.iz, count(pv.camera_id) AS frustum, count(*) FILTER (WHERE masked) AS dynamic, count(*) FILTER (WHERE NOT masked AND pv.dz <= zd.dz + 1.5) AS views, count(*) FILTER (WHERE NOT masked AND pv.dz < zd.dz - 1.5) AS free, min(inc) FILTER (WHERE NOT masked AND pv.dz <= zd.dz + 1.5) AS inc
+FROM vx LEFT JOIN pv ON pv.ix = vx.ix AND pv.iy = vx.iy AND pv.iz = vx.iz LEFT JOIN zd ON zd.camera_id = pv.camera_id AND zd.px = pv.px AND zd.py = pv.py GROUP BY ALL),
+st AS (SELECT ct.*, CASE WHEN dynamic > 0 AND views = 0 AND sf.ix IS NULL THEN 'dynamic_excluded' WHEN sf.ix IS NOT NULL AND views = 0 THEN 'occluded' WHEN sf.ix IS NOT NULL AND views >= 2 AND (inc <= 75 OR inc >= 179) THEN 'observed' WHEN sf.ix IS NOT NULL AND views >= 1 THEN 'weak' WHEN frustum > 0 AND free > 0 THEN 'empty' WHEN frustum > 0 THEN 'occluded' ELSE 'unseen' END AS status FROM ct LEFT JOIN sf USING (ix, iy, iz))"""
 
 
 def coverage(v):
-    """Six-class coverage of a voxel field: the rules of the specification in reverse order, as one chain."""
+    """Seven-class coverage of a voxel field: the rules of the specification in reverse order, as one chain.  A ray through a masked pixel counts as dynamic and as nothing else."""
     z = F.sequence(F.lit(0), F.lit(2))
     nine = F.sequence(F.lit(0), F.lit(9))
     vox = v.spark.range(10).select(c("id").alias("ix"), F.explode(nine).alias("iy")).select("ix", c("iy").cast("long").alias("iy"), F.explode(z).alias("iz")).withColumn("iz", c("iz").cast("long"))
     surface = v.points.select(F.floor(c("x") / 10).alias("ix"), F.floor(c("y") / 10).alias("iy"), F.floor(c("z") / 5).alias("iz")).distinct().withColumn("surface", F.lit(True))
     dz = c("cz") - (c("iz") * 5 + 2.5)
     dx, dy = c("ix") * 10 + 5 - c("cx"), c("iy") * 10 + 5 - c("cy")
-    seen = vox.crossJoin(F.broadcast(v.cameras.where("camera_id % 10 = 0"))).select(
+    seen = vox.join(footprints(v.cameras, F.lit(2.5)), ["ix", "iy"]).select(
         "ix", "iy", "iz", "camera_id", dz.alias("dz"), F.floor(80 * dx / dz + 64).alias("px"), F.floor(-80 * dy / dz + 36).alias("py"), F.degrees(F.atan2(F.hypot(dx, dy), dz)).alias("inc")
-    ).where("px >= 0 and px < 128 and py >= 0 and py < 72")
-    joined = seen.join(_zbuffer(v)[1], ["camera_id", "px", "py"], "left")
-    vis, free = c("dz") <= c("depth") + 1.5, c("dz") < c("depth") - 1.5
-    counts = joined.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("frustum"), F.count_if(vis).alias("views"), F.count_if(free).alias("free"), F.min(F.when(vis, c("inc"))).alias("inc"))
-    all_ = vox.join(counts, ["ix", "iy", "iz"], "left").fillna(0, ["frustum", "views", "free"]).join(surface, ["ix", "iy", "iz"], "left")
+    ).where(_IN_FRAME)
+    masked = (c("camera_id") + F.floor(c("px") / 32) + F.floor(c("py") / 24)) % 11 == 0
+    joined = seen.join(_zbuffer(_projected(v)), ["camera_id", "px", "py"], "left")
+    vis, free = ~masked & (c("dz") <= c("depth") + 1.5), ~masked & (c("dz") < c("depth") - 1.5)
+    counts = joined.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("frustum"), F.count_if(masked).alias("dynamic"), F.count_if(vis).alias("views"), F.count_if(free).alias("free"), F.min(F.when(vis, c("inc"))).alias("inc"))
+    all_ = vox.join(counts, ["ix", "iy", "iz"], "left").fillna(0, ["frustum", "dynamic", "views", "free"]).join(surface, ["ix", "iy", "iz"], "left")
     s = c("surface").isNotNull()
     status = (
-        F.when(s & (c("views") == 0), "occluded")
+        F.when((c("dynamic") > 0) & (c("views") == 0) & ~s, "dynamic_excluded")
+        .when(s & (c("views") == 0), "occluded")
         .when(s & (c("views") >= 2) & ((c("inc") <= 75) | (c("inc") >= 179)), "observed")
         .when(s & (c("views") >= 1), "weak")
         .when((c("frustum") > 0) & (c("free") > 0), "empty")
@@ -347,9 +382,9 @@ def coverage(v):
     return all_.withColumn("status", status)
 
 
-@query("K26", f"WITH {_COV} SELECT ix, iy, iz, views, free, status FROM st")
+@query("K26", f"WITH {_COV} SELECT ix, iy, iz, dynamic, views, free, status FROM st")
 def k26_coverage(v):
-    return coverage(v).select("ix", "iy", "iz", "views", "free", "status")
+    return coverage(v).select("ix", "iy", "iz", "dynamic", "views", "free", "status")
 
 
 @query("F03", f"WITH {_COV} SELECT status, count(*) AS n, round(count(*) / 300, 6) AS share FROM st GROUP BY 1")
@@ -357,10 +392,27 @@ def f03_coverage_summary(v):
     return coverage(v).groupBy("status").agg(F.count(F.lit(1)).alias("n"), r(F.count(F.lit(1)) / 300).alias("share"))
 
 
-@query("F25", f"WITH {_COV}, l AS (SELECT status, (ix * 7 + iy * 3 + iz) % 3 > 0 AS truth FROM st), a AS (SELECT *, status = 'observed' AS accept FROM l) SELECT round(avg(CASE WHEN accept THEN 1 ELSE 0 END) FILTER (WHERE truth), 6) AS tar, round(avg(CASE WHEN accept THEN 0 ELSE 1 END) FILTER (WHERE NOT truth), 6) AS trr FROM a")
+_TRUTH = "CASE (ix * 7 + iy * 3 + iz) % 4 WHEN 0 THEN 'observed' WHEN 1 THEN 'empty' ELSE 'unknown' END"
+_GUESS = "CASE WHEN status IN ('observed', 'weak') THEN 'observed' WHEN status = 'empty' THEN 'empty' ELSE 'unknown' END"
+
+
+@query("F25", f"WITH {_COV}, l AS (SELECT status, (ix * 7 + iy * 3 + iz) % 3 > 0 AS truth FROM st), a AS (SELECT *, status = 'observed' AS accept FROM l) SELECT round(avg(CASE WHEN accept THEN 1 ELSE 0 END) FILTER (WHERE truth), 6) AS tar, round(avg(CASE WHEN accept THEN 0 ELSE 1 END) FILTER (WHERE NOT truth), 6) AS trr, round(avg(CASE WHEN accept THEN 1 ELSE 0 END) FILTER (WHERE NOT truth), 6) AS far, round(avg(CASE WHEN accept THEN 0 ELSE 1 END) FILTER (WHERE truth), 6) AS frr FROM a")
 def f25_refusal_rates(v):
     a = coverage(v).select(((c("ix") * 7 + c("iy") * 3 + c("iz")) % 3 > 0).alias("truth"), (c("status") == "observed").cast("int").alias("accept"))
-    return a.agg(r(F.avg(F.when(c("truth"), c("accept")))).alias("tar"), r(F.avg(F.when(~c("truth"), 1 - c("accept")))).alias("trr"))
+    yes, no = F.when(c("truth"), c("accept")), F.when(~c("truth"), c("accept"))
+    return a.agg(r(F.avg(yes)).alias("tar"), r(F.avg(1 - no)).alias("trr"), r(F.avg(no)).alias("far"), r(F.avg(1 - yes)).alias("frr"))
+
+
+@query("F26", f"""WITH {_COV}, l AS (SELECT {_TRUTH} AS truth, {_GUESS} AS guess FROM st), m AS (SELECT truth, count(*) FILTER (WHERE guess = 'observed') AS as_observed, count(*) FILTER (WHERE guess = 'empty') AS as_empty, count(*) FILTER (WHERE guess = 'unknown') AS as_unknown, count(*) FILTER (WHERE guess = truth) AS hit, count(*) AS n FROM l GROUP BY 1)
+SELECT truth, as_observed, as_empty, as_unknown, round(hit / n, 6) AS recall, round((SELECT sum(hit) / sum(n) FROM m), 6) AS accuracy FROM m""")
+def f26_confusion(v):
+    """Confusion of the six classes folded to three with a truth, recall by class and accuracy of all."""
+    k = (c("ix") * 7 + c("iy") * 3 + c("iz")) % 4
+    truth = F.when(k == 0, "observed").when(k == 1, "empty").otherwise("unknown")
+    guess = F.when(c("status").isin("observed", "weak"), "observed").when(c("status") == "empty", "empty").otherwise("unknown")
+    m = coverage(v).select(truth.alias("truth"), guess.alias("guess")).groupBy("truth").agg(*[F.count_if(c("guess") == g).alias(f"as_{g}") for g in ("observed", "empty", "unknown")], F.count_if(c("guess") == c("truth")).alias("hit"), F.count(F.lit(1)).alias("n"))
+    total = m.agg((F.sum("hit") / F.sum("n")).alias("accuracy"))  # one row
+    return m.crossJoin(F.broadcast(total)).select("truth", "as_observed", "as_empty", "as_unknown", r(c("hit") / c("n")).alias("recall"), r(c("accuracy")).alias("accuracy"))
 
 
 @query("K29", "WITH RECURSIVE w(voxel, n) AS (SELECT 1e-2::DOUBLE, ceil(100 / 1e-2) ^ 3 UNION ALL SELECT voxel * 1.5, ceil(100 / (voxel * 1.5)) ^ 3 FROM w WHERE n > 4e6) SELECT round(max(voxel), 9) AS voxel FROM w")

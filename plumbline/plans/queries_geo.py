@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators import spatial
 from .registry import query
 
 c = F.col
@@ -124,14 +125,14 @@ def c10_covariance_through_similarity(v):
 
 
 _F, _CX, _CY, _K1, _K2, _P1, _P2 = 800.0, 640.0, 360.0, -0.05, 0.01, 0.001, -0.0005
-_PROJ = """o AS (SELECT DISTINCT ob.point_id, ob.camera_id, p.x - k.cx AS dx, k.cy - p.y AS dy, k.cz - p.z AS dz FROM observations ob JOIN points p USING (point_id) JOIN cameras k USING (camera_id) WHERE ob.quantity >= 40),
+_PROJ = """o AS (SELECT DISTINCT ob.point_id, ob.camera_id, p.x - k.cx AS dx, k.cy - p.y AS dy, k.cz - p.z AS dz FROM observations ob JOIN points p USING (point_id) JOIN cameras k USING (camera_id)),
 n AS (SELECT *, dx / dz AS a, dy / dz AS b, (dx / dz) ^ 2 + (dy / dz) ^ 2 AS rr FROM o WHERE dz > 1e-6)"""
 
 
 def _seen(v):
     """Each point in each camera that observed it, in the camera's frame (nadir view)."""
-    o = v.observations.where("quantity >= 40").select("point_id", "camera_id").distinct()
-    return o.join(v.points, "point_id").join(F.broadcast(v.cameras), "camera_id").select("point_id", "camera_id", (c("x") - c("cx")).alias("dx"), (c("cy") - c("y")).alias("dy"), (c("cz") - c("z")).alias("dz")).where("dz > 1e-6")
+    o = v.observations.select("point_id", "camera_id").distinct()
+    return o.join(v.points, "point_id").join(v.cameras, "camera_id").select("point_id", "camera_id", (c("x") - c("cx")).alias("dx"), (c("cy") - c("y")).alias("dy"), (c("cz") - c("z")).alias("dz")).where("dz > 1e-6")
 
 
 def project(dx, dy, dz):
@@ -164,7 +165,7 @@ def c12_projection_jacobian(v):
 FROM observations o JOIN points p USING (point_id) JOIN cameras k USING (camera_id) GROUP BY 1""",
 )
 def c13_reprojection_error(v):
-    o = v.observations.join(F.broadcast(v.cameras), "camera_id").join(v.points, "point_id")
+    o = v.observations.join(v.cameras, "camera_id").join(v.points, "point_id")
     dz = c("cz") - c("z")
     e = F.hypot(_F * (c("x") - c("cx")) / dz + _CX - c("u"), _F * (c("cy") - c("y")) / dz + _CY - c("v"))
     return o.groupBy("point_id").agg(r(F.avg(e), 5).alias("mean_error"), F.count(F.lit(1)).alias("n"))
@@ -233,11 +234,12 @@ SELECT point_id, CASE WHEN angle < 0.5 THEN 'inf'::DOUBLE ELSE round(sqrt((near
 )
 def c23_depth_sigma(v):
     """Range noise over the sine of the parallax; unobservable below half a degree."""
-    k = v.cameras.select(F.struct("cx", "cy", "cz").alias("k")).agg(F.collect_list("k").alias("ks"))  # one row: the flight's cameras
-    dist = F.array_min(F.transform("ks", lambda k: F.sqrt((c("x") - k["cx"]) ** 2 + (c("y") - k["cy"]) ** 2 + (c("z") - k["cz"]) ** 2)))
+    k = v.cameras.select("camera_id", c("cx").alias("x"), c("cy").alias("y"), c("cz").alias("z"))
+    near = spatial.nearest(v.points.select("point_id", "x", "y", "z", "n_views", "angle"), k, "point_id", "camera_id", ["x", "y", "z"], 1, 64.0)
+    dist = c("d")
     n = F.least(F.greatest(c("n_views"), F.lit(2)), F.lit(4))
     s = F.hypot(dist / 800 / F.sqrt(n) / F.sin(F.radians("angle")), F.lit(0.01))
-    return v.points.crossJoin(F.broadcast(k)).select("point_id", F.when(c("angle") < 0.5, float("inf")).otherwise(r(s, 8)).alias("sigma"))
+    return near.select(c("q.*"), "d").select("point_id", F.when(c("angle") < 0.5, float("inf")).otherwise(r(s, 8)).alias("sigma"))
 
 
 @query("C24", """SELECT camera_id, coalesce(CASE WHEN camera_id % 3 = 0 THEN 900e0 END, CASE WHEN camera_id % 3 = 1 THEN 800e0 END, 0.9 * 1280) AS fx, CASE WHEN camera_id % 3 = 0 THEN 'override' WHEN camera_id % 3 = 1 THEN 'telemetry' ELSE 'estimate' END AS source,
@@ -319,8 +321,7 @@ def c32_spherical_lat_lon(v):
     return v.points.select("point_id", r(la, 9).alias("lat"), r(lo, 9).alias("lon"))
 
 
-@query("C31", "SELECT point_id, round((r * 4 - 640) * z / 800, 6) AS x, round((g * 2 - 360) * z / 800, 6) AS y, z FROM points WHERE r % 2 = 0")
+@query("C31", "SELECT point_id, round((r * 4 - 640) * z / 800, 6) AS x, round((g * 2 - 360) * z / 800, 6) AS y, z FROM points")
 def c31_depth_back_projection(v):
-    """Pixels of a strided grid with their depth, back in the camera's frame."""
-    p = v.points.where("r % 2 = 0")
-    return p.select("point_id", r((c("r") * 4 - _CX) * c("z") / _F).alias("x"), r((c("g") * 2 - _CY) * c("z") / _F).alias("y"), "z")
+    """Pixels with their depth, back in the camera's frame."""
+    return v.points.select("point_id", r((c("r") * 4 - _CX) * c("z") / _F).alias("x"), r((c("g") * 2 - _CY) * c("z") / _F).alias("y"), "z")

@@ -16,7 +16,7 @@ def r(x, n=6):
     return F.round(x, n)
 
 
-_SEEN = "seen AS (SELECT DISTINCT point_id, camera_id FROM observations WHERE quantity >= 47)"
+_SEEN = "seen AS (SELECT DISTINCT point_id, camera_id FROM observations)"
 _RAY = f"""{_SEEN}, ray AS (SELECT s.point_id, s.camera_id, (p.x - k.cx) / l AS a, (p.y - k.cy) / l AS b, (p.z - k.cz) / l AS d FROM seen s JOIN points p USING (point_id) JOIN cameras k USING (camera_id), LATERAL (SELECT sqrt((p.x - k.cx) ^ 2 + (p.y - k.cy) ^ 2 + (p.z - k.cz) ^ 2) AS l)),
 sep AS (SELECT q.point_id, degrees(acos(least(greatest(min(q.a * w.a + q.b * w.b + q.d * w.d), -1), 1))) AS separation FROM ray q JOIN ray w ON q.point_id = w.point_id AND q.camera_id < w.camera_id GROUP BY 1),
 lin AS (SELECT point_id, count(*) AS views FROM seen GROUP BY 1)"""
@@ -24,12 +24,12 @@ lin AS (SELECT point_id, count(*) AS views FROM seen GROUP BY 1)"""
 
 def lineage(v):
     """(point_id, camera_id) of the observations that made a point."""
-    return v.observations.where("quantity >= 47").select("point_id", "camera_id").distinct()
+    return v.observations.select("point_id", "camera_id").distinct()
 
 
 def separation(v):
     """Largest angle between the rays of a point: the arc cosine of the least cosine."""
-    s = lineage(v).join(F.broadcast(v.cameras.select("camera_id", "cx", "cy", "cz")), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
+    s = lineage(v).join(v.cameras.select("camera_id", "cx", "cy", "cz"), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
     l = F.sqrt((c("x") - c("cx")) ** 2 + (c("y") - c("cy")) ** 2 + (c("z") - c("cz")) ** 2)
     ray = s.select("point_id", "camera_id", ((c("x") - c("cx")) / l).alias("a"), ((c("y") - c("cy")) / l).alias("b"), ((c("z") - c("cz")) / l).alias("d"))
     other = ray.select("point_id", *[c(k).alias(f"{k}2") for k in ("camera_id", "a", "b", "d")])
@@ -140,13 +140,13 @@ def m18_decide_again(v):
 
 
 @query("M01 D07", """SELECT o.o_orderkey AS id, NULL::DOUBLE AS value, CASE WHEN round(d, 9) <= 3 THEN round(sigma, 6) ELSE 'inf'::DOUBLE END AS sigma, coalesce(round(d, 9) <= 3, false) AS snapped FROM orders o LEFT JOIN (
-SELECT q.id, min(d) AS d, arg_min(sigma, round(d, 9) * 1e6 + point_id / 1e6) AS sigma FROM (SELECT o_orderkey AS id, (o_orderkey * 31 % 1000) / 1e1 AS x, (o_orderkey * 57 % 1000) / 1e1 AS y, (o_orderkey % 50) / 5e0 AS z FROM orders) q, LATERAL (SELECT p.point_id, coalesce(p.sigma, 'inf'::DOUBLE) AS sigma, sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2) AS d FROM points p) n WHERE d <= 3.000001 GROUP BY 1) s ON s.id = o.o_orderkey WHERE o_orderkey % 20 = 0""")
+SELECT q.id, min(d) AS d, arg_min(sigma, round(d, 9) * 1e6 + point_id / 1e6) AS sigma FROM (SELECT o_orderkey AS id, (o_orderkey * 31 % 1000) / 1e1 AS x, (o_orderkey * 57 % 1000) / 1e1 AS y, (o_orderkey % 50) / 5e0 AS z FROM orders) q, LATERAL (SELECT p.point_id, coalesce(p.sigma, 'inf'::DOUBLE) AS sigma, sqrt((p.x - q.x) ^ 2 + (p.y - q.y) ^ 2 + (p.z - q.z) ^ 2) AS d FROM points p) n WHERE d <= 3.000001 GROUP BY 1) s ON s.id = o.o_orderkey""")
 def m01_point_measure(v):
     """Snap to the nearest observed point within tolerance, or refuse with infinite sigma; a point has no value."""
     from ..operators import spatial
 
     k = c("o_orderkey")
-    q = v.orders.where(k % 20 == 0).select(k.alias("id"), (k * 31 % 1000 / 10.0).alias("x"), (k * 57 % 1000 / 10.0).alias("y"), (k % 50 / 5.0).alias("z"))
+    q = v.orders.select(k.alias("id"), (k * 31 % 1000 / 10.0).alias("x"), (k * 57 % 1000 / 10.0).alias("y"), (k % 50 / 5.0).alias("z"))
     p = v.points.select("point_id", "x", "y", "z", F.coalesce("sigma", F.lit(float("inf"))).alias("sigma"))
     near = spatial.candidates(q, p, ["x", "y", "z"], 3.01, []).where(F.round("d", 9) <= 3).groupBy(c("q.id").alias("id")).agg(F.min(F.struct(F.round("d", 9).alias("d"), c("p.point_id"), c("p.sigma").alias("sigma"))).alias("m"))
     return q.join(near, "id", "left").select("id", F.lit(None).cast("double").alias("value"), F.when(c("m").isNotNull(), r(c("m.sigma"))).otherwise(float("inf")).alias("sigma"), c("m").isNotNull().alias("snapped"))
@@ -224,21 +224,22 @@ def m23_scale_status(v):
     return v.orders.select(c("o_orderkey").alias("id"), F.when(source.isin("none", "relative", "arbitrary"), "reconstruction units").otherwise("m").alias("unit"))
 
 
-@query("M24 J10 J11", """WITH a AS (SELECT point_id, x, y, z FROM points WHERE point_id % 40 = 0), n AS (SELECT a.point_id AS a, b.point_id AS b, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 9) AS d FROM a JOIN points b ON a.point_id <> b.point_id),
+@query("M24 J10 J11", """WITH a AS (SELECT point_id, x, y, z FROM points WHERE angle > 0 AND angle < 15), n AS (SELECT a.point_id AS a, b.point_id AS b, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 9) AS d FROM a JOIN points b ON a.point_id <> b.point_id),
 k AS (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rk FROM n WHERE d > 3 AND d <= 9) SELECT a, b, substr(sha256('distance:' || a || ':' || b), 1, 16) AS digest FROM k WHERE rk = 1""")
 def m24_freeze_questions(v):
-    """Partner of each drawn point: the nearest beyond 3 m within 9 m; the digest pins the draw."""
+    """Partner of each point of a small parallax: the nearest beyond 3 m within 9 m; the digest pins the draw."""
     from ..operators import spatial
 
     p = v.points.select("point_id", "x", "y", "z")
-    n = spatial.candidates(p.where("point_id % 40 = 0"), p, ["x", "y", "z"], 9.0, []).withColumn("d", F.round("d", 9)).where("d > 3 and d <= 9 and q.point_id <> p.point_id")
+    n = spatial.candidates(v.points.where("angle > 0 and angle < 15").select("point_id", "x", "y", "z"), p, ["x", "y", "z"], 9.0, []).withColumn("d", F.round("d", 9)).where("d > 3 and d <= 9 and q.point_id <> p.point_id")
     k = n.groupBy(c("q.point_id").alias("a")).agg(F.min(F.struct("d", "p.point_id"))["point_id"].alias("b"))
     text = F.concat(F.lit("distance:"), c("a").cast("string"), F.lit(":"), c("b").cast("string"))
     return k.select("a", "b", F.substring(F.sha2(text, 256), 1, 16).alias("digest"))
 
 
-@query("M25", "SELECT a.point_id AS a, b.point_id AS b, abs(a.x - b.x) < 30 AS \"close\" FROM points a JOIN points b ON b.point_id = (a.point_id * 37 + 11) % 2000 WHERE a.point_id % 20 = 3 AND a.point_id <> b.point_id")
+@query("M25", "SELECT a.point_id AS a, b.point_id AS b, abs(a.x - b.x) < 30 AS \"close\" FROM points a JOIN points b ON b.point_id = (a.point_id * 37 + 11) % (SELECT max(point_id) + 1 FROM points) WHERE a.point_id <> b.point_id")
 def m25_probe_pairs(v):
     """Pairs drawn by arithmetic on ids, the same every time."""
-    a = v.points.where("point_id % 20 = 3").select(c("point_id").alias("a"), c("x").alias("xa"), ((c("point_id") * 37 + 11) % 2000).alias("b"))
+    span = v.points.agg((F.max("point_id") + 1).alias("span"))  # one row
+    a = v.points.crossJoin(F.broadcast(span)).select(c("point_id").alias("a"), c("x").alias("xa"), ((c("point_id") * 37 + 11) % c("span")).alias("b"))
     return a.join(v.points.select(c("point_id").alias("b"), c("x").alias("xb")), "b").where("a <> b").select("a", "b", (F.abs(c("xa") - c("xb")) < 30).alias("close"))

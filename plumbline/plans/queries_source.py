@@ -145,9 +145,9 @@ def b02_las_records(v):
     return v.points.select("point_id", r(c("x") / 0.001, 0).cast("long").alias("xi"), r(c("z") / 0.001, 0).cast("long").alias("zi"), F.when(c("provenance") == 2, 1).otherwise(2).alias("class"))
 
 
-@query("B05", "SELECT camera_id, printf('%d,%.5f,%.5f,%.5f', frame_index, round(cx, 5), round(cy, 5), round(cz, 5)) AS line FROM cameras")
+@query("B05", "SELECT camera_id, printf('%d,%.4f,%.4f,%.4f', frame_index, round(cx + 1e-9, 4), round(cy + 1e-9, 4), round(cz + 1e-9, 4)) AS line FROM cameras")
 def b05_trajectory_lines(v):
-    return v.cameras.select("camera_id", F.format_string("%d,%.5f,%.5f,%.5f", "frame_index", r(c("cx"), 5), r(c("cy"), 5), r(c("cz"), 5)).alias("line"))
+    return v.cameras.select("camera_id", F.format_string("%d,%.4f,%.4f,%.4f", "frame_index", *[r(c(k) + 1e-9, 4) for k in ("cx", "cy", "cz")]).alias("line"))
 
 
 @query("B06", "SELECT camera_id // 20 AS track, count(*) AS n, '[[' || string_agg(printf('%.1f,%.1f', cx, cy), '],[' ORDER BY camera_id) || ']]' AS coordinates FROM cameras GROUP BY 1")
@@ -254,23 +254,23 @@ def h01_supporting_frames(v):
     """Greedy choice of frames that spread the viewing directions most, seeded with the first, at most twelve per point."""
     from .queries_measure import lineage
 
-    s = lineage(v).join(F.broadcast(v.cameras.select("camera_id", "cx", "cy", "cz")), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
+    s = lineage(v).join(v.cameras.select("camera_id", "cx", "cy", "cz"), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
     return s.groupBy("point_id").applyInPandas(lambda key, g: solvers.spread(key, g), "point_id long, camera_id long, place int")
 
 
-@query("E09", """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, z FROM dense WHERE l_linenumber = 1 AND x BETWEEN 20 AND 40), n AS (SELECT q.*, p.point_id, round(sqrt((q.x - p.x) ^ 2 + (q.y - p.y) ^ 2 + (q.z - p.z) ^ 2), 9) AS d FROM q JOIN points p ON abs(q.x - p.x) <= 3 AND abs(q.y - p.y) <= 3 AND abs(q.z - p.z) <= 3),
+@query("E09", """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, z FROM dense), n AS (SELECT q.*, p.point_id, round(sqrt((q.x - p.x) ^ 2 + (q.y - p.y) ^ 2 + (q.z - p.z) ^ 2), 9) AS d FROM q JOIN points p ON abs(q.x - p.x) <= 3 AND abs(q.y - p.y) <= 3 AND abs(q.z - p.z) <= 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY d, point_id) AS rk FROM n WHERE d <= 3) SELECT k.l_orderkey, k.l_partkey, k.l_suppkey, point_id, camera_id, round(cz - z, 6) AS depth FROM k JOIN cameras ON camera_id = k.l_suppkey WHERE rk = 1 AND cz - z > 0""")
 def e09_dense_attribution(v):
     """Each dense input row to the nearest fused point within the voxel diagonal, then into its camera."""
     from ..operators import spatial
 
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    q = v.dense.where("l_linenumber = 1 and x between 20 and 40").select(*key, "x", "y", "z")
+    q = v.dense.select(*key, "x", "y", "z")
     p = v.points.select("point_id", "x", "y", "z")
     near = spatial.within(q, p, ["x", "y", "z"], 3.000001).where(F.round("d", 9) <= 3)
     rank = F.row_number().over(Window.partitionBy(*[f"q.{k}" for k in key]).orderBy(F.round("d", 9), "p.point_id"))
     k = near.withColumn("rk", rank).where("rk = 1").select("q.*", "p.point_id")
-    return k.join(F.broadcast(v.cameras.select("camera_id", "cz")), c("l_suppkey") == c("camera_id")).where("cz - z > 0").select("l_orderkey", "l_partkey", "l_suppkey", "point_id", "camera_id", r(c("cz") - c("z")).alias("depth"))
+    return k.join(v.cameras.select("camera_id", "cz"), c("l_suppkey") == c("camera_id")).where("cz - z > 0").select("l_orderkey", "l_partkey", "l_suppkey", "point_id", "camera_id", r(c("cz") - c("z")).alias("depth"))
 
 
 @query("O01 O02 O04 O05", "SELECT point_id, CASE WHEN confidence >= 0.5 THEN 1e0 ELSE 0e0 END AS mask, confidence * 2 AS feature, round(x * 2, 6) AS value, round(coalesce(sigma, 'inf'::DOUBLE) * 2, 6) AS sigma_value FROM points")
@@ -283,13 +283,13 @@ def o01_backends(v):
     return backends.measure(p, lambda d: (r(d.x * 2), r(d.s * 2))).select("point_id", "mask", "feature", "value", "sigma_value")
 
 
-@query("A17", "SELECT point_id, count(*) AS n, min(camera_id) AS first FROM observations WHERE quantity >= 40 GROUP BY 1")
+@query("A17", "SELECT point_id, count(*) AS n, min(camera_id) AS first FROM observations GROUP BY 1")
 def a17_visibility_rows(v):
     """A ragged visibility file (count, then ids, per point) to long rows."""
     import numpy as np
     import pyarrow as pa
 
-    flat = v.observations.where("quantity >= 40").groupBy("point_id").agg(F.collect_list("camera_id").alias("ids"))
+    flat = v.observations.groupBy("point_id").agg(F.collect_list("camera_id").alias("ids"))
     blob = flat.select("point_id", F.concat(F.array(F.size("ids").cast("long")), "ids").alias("rec"))
 
     def parse(batches):

@@ -114,7 +114,7 @@ m AS (SELECT point_id, count(*) AS n, sum(a * a) AS xx, sum(a * b) AS xz, sum(a
 @query("F09", f"WITH {_INFO} SELECT point_id, n, round((yy * zz - yz * yz) / det, 9) AS cxx, round((xx * zz - xz * xz) / det, 9) AS cyy, round(xx * yy / det, 9) AS czz, n >= 2 AND det > 0 AS observable FROM dt")
 def f09_point_covariance(v):
     """Information summed over observations, inverted in closed form."""
-    o = v.observations.join(F.broadcast(v.cameras), "camera_id").join(v.points, "point_id")
+    o = v.observations.join(v.cameras, "camera_id").join(v.points, "point_id")
     dz = c("cz") - c("z")
     j = o.select("point_id", (800 / dz).alias("a"), (-800 * (c("x") - c("cx")) / (dz * dz)).alias("b"), (-800 * (c("cy") - c("y")) / (dz * dz)).alias("d"))
     m = j.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.sum(c("a") * c("a")).alias("xx"), F.sum(c("a") * c("b")).alias("xz"), F.sum(c("a") * c("d")).alias("yz"), F.sum(c("b") * c("b") + c("d") * c("d")).alias("zz"))
@@ -328,13 +328,13 @@ def l14_robust_affine(v):
         rows = res.join(scale, "g").select("g", "x", "y", (1 / (1 + (c("e") / c("m")) * (c("e") / c("m")))).alias("w"))
 
 
-_RAYS = """ry AS (SELECT o.point_id, k.cx, k.cy, k.cz, (p.x - k.cx) / l AS a, (p.y - k.cy) / l AS b, (p.z - k.cz) / l AS d FROM (SELECT DISTINCT point_id, camera_id FROM observations WHERE quantity >= 45) o JOIN points p USING (point_id) JOIN cameras k USING (camera_id), LATERAL (SELECT sqrt((p.x - k.cx) ^ 2 + (p.y - k.cy) ^ 2 + (p.z - k.cz) ^ 2) AS l))"""
+_RAYS = """ry AS (SELECT o.point_id, k.cx, k.cy, k.cz, (p.x - k.cx) / l AS a, (p.y - k.cy) / l AS b, (p.z - k.cz) / l AS d FROM (SELECT DISTINCT point_id, camera_id FROM observations) o JOIN points p USING (point_id) JOIN cameras k USING (camera_id), LATERAL (SELECT sqrt((p.x - k.cx) ^ 2 + (p.y - k.cy) ^ 2 + (p.z - k.cz) ^ 2) AS l))"""
 
 
 @query("L07", f"WITH {_RAYS} SELECT point_id, count(*) AS n, round(p.x, 4) AS x, round(p.y, 4) AS y, round(p.z, 4) AS z FROM ry JOIN points p USING (point_id) GROUP BY ALL HAVING count(*) >= 3")
 def l07_ray_intersection(v):
     """Least-squares meeting point of rays by grouped sums and Cramer's rule; exact rays must meet in the point itself."""
-    o = v.observations.where("quantity >= 45").select("point_id", "camera_id").distinct().join(F.broadcast(v.cameras), "camera_id").join(v.points, "point_id")
+    o = v.observations.select("point_id", "camera_id").distinct().join(v.cameras, "camera_id").join(v.points, "point_id")
     l = F.sqrt((c("x") - c("cx")) ** 2 + (c("y") - c("cy")) ** 2 + (c("z") - c("cz")) ** 2)
     d = [(c(p) - c(k)) / l for p, k in zip("xyz", ("cx", "cy", "cz"))]
     m = {f"m{i}{j}": (F.lit(1.0) if i == j else F.lit(0.0)) - d[i] * d[j] for i in range(3) for j in range(3)}

@@ -28,11 +28,11 @@ VIEWS = {
     "errors": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS regime, l_linestatus AS mission, l_tax - 4e-2 AS error, 1e-2 + l_discount / 5 AS sigma FROM {lineitem}""",
     "survey": """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'gcp' ELSE 'check' END AS role, p_partkey % 25 AS mission, (p_partkey * 7919 % 1000) / 1e1 AS te, (p_partkey * 104729 % 1000) / 1e1 AS tn, p_size / 5e0 AS tu,
  (p_partkey * 7919 % 1000) / 1e1 + 3e-1 + (p_partkey % 11 - 5) / 1e2 AS me, (p_partkey * 104729 % 1000) / 1e1 - 2e-1 + (p_partkey % 7 - 3) / 1e2 AS mn, p_size / 5e0 + 5e-1 + (p_partkey % 13 - 6) / 1e2 AS mu
- FROM {part} WHERE p_partkey % 5 = 0""",
+ FROM {part}""",
     "cells": """SELECT CAST(floor(y / 2e0) AS BIGINT) AS rw, CAST(floor(x / 2e0) AS BIGINT) AS cl, max(z) AS dsm, min(z) AS zmin, round(avg(z), 9) AS zmean, count(*) AS n, round(avg(sigma), 9) AS sigma
  FROM {dense} WHERE provenance = 0 GROUP BY 1, 2""",
     "bench": """SELECT l_returnflag AS variant, l_linestatus AS regime, l_linenumber AS seed, l_extendedprice / 1e5 AS ate, l_quantity AS seconds, l_discount > 95e-3 AS failed FROM {lineitem}""",
-    "edges": """SELECT DISTINCT l_suppkey AS i, (l_suppkey + 1 + l_partkey % 7) AS j, l_partkey % 50 + 10 AS inliers FROM {lineitem} WHERE l_linenumber = 1 AND l_partkey % 3 = 0""",
+    "edges": """SELECT DISTINCT l_suppkey AS i, (l_suppkey + 1 + l_partkey % 7) AS j, l_partkey % 50 + 10 AS inliers FROM {lineitem}""",
 }
 
 
