@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 c = F.col
@@ -15,30 +18,81 @@ def grid(cells: DataFrame) -> DataFrame:
     return rows.select("rw", F.explode(F.sequence("c0", "c1")).alias("cl"))
 
 
-def sweep(cells: DataFrame, value: str, half: int, what) -> DataFrame:
-    """`what` (F.min or F.max) over a square window of a dense grid: rows first, then columns.  At the border the window is cut, which equals reflection for minima and maxima."""
-    across = Window.partitionBy("rw").orderBy("cl").rowsBetween(-half, half)
-    down = Window.partitionBy("cl").orderBy("rw").rowsBetween(-half, half)
-    return cells.withColumn("_x", what(value).over(across)).withColumn(value, what("_x").over(down)).drop("_x")
-
-
-def opened(cells: DataFrame, value: str, half: int) -> DataFrame:
-    return sweep(sweep(cells, value, half, F.min), value, half, F.max)
+TILE = 256
+
+
+def tiled(cells: DataFrame, columns: list[str], halo: int, solve, schema: str, tile: int = TILE) -> DataFrame:
+    """`solve(arrays, own)` on every tile of the bounding box, each with a halo of `halo` cells around it.
+
+    One exchange: a cell goes to each tile whose halo it is in.  `arrays` holds
+    a float array per column, NaN where there is no cell; `own` are the slices
+    of the tile without its halo.  The result is a dict of arrays over `own`;
+    rw and cl are added.  Tiles without a cell are solved too.
+    """
+    spark = cells.sparkSession
+    box = cells.agg(F.min("rw").alias("r0"), F.max("rw").alias("r1"), F.min("cl").alias("c0"), F.max("cl").alias("c1")).first()
+    if box["r0"] is None:
+        return spark.createDataFrame([], schema)
+    r0, r1, c0, c1 = box
+    down, across = -(-(r1 - r0 + 1) // tile), -(-(c1 - c0 + 1) // tile)
+    reach = lambda k, low, most: F.sequence(F.greatest(F.floor((c(k) - low - halo) / tile), F.lit(0)), F.least(F.floor((c(k) - low + halo) / tile), F.lit(most - 1).cast("long")))
+    dealt = cells.select("rw", "cl", *[c(x).cast("double").alias(x) for x in columns]).withColumn("_tr", F.explode(reach("rw", r0, down))).withColumn("_tc", F.explode(reach("cl", c0, across)))
+    marks = spark.range(down * across).select(F.lit(None).cast("long").alias("rw"), F.lit(None).cast("long").alias("cl"), *[F.lit(None).cast("double").alias(x) for x in columns], F.floor(c("id") / across).alias("_tr"), (c("id") % across).alias("_tc"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(key, t):
+        tr, tc = key[0].as_py(), key[1].as_py()
+        top, left = r0 + tr * tile, c0 + tc * tile
+        bottom, right = min(top + tile - 1, r1), min(left + tile - 1, c1)
+        a, b = max(top - halo, r0), max(left - halo, c0)
+        shape = (min(bottom + halo, r1) - a + 1, min(right + halo, c1) - b + 1)
+        t = t.filter(pc.is_valid(t["rw"]))
+        at = t["rw"].to_numpy() - a, t["cl"].to_numpy() - b
+        arrays = {}
+        for x in columns:
+            arrays[x] = np.full(shape, np.nan)
+            arrays[x][at] = t[x].to_numpy()
+        own = slice(top - a, bottom - a + 1), slice(left - b, right - b + 1)
+        rw, cl = np.mgrid[top : bottom + 1, left : right + 1]
+        out = solve(arrays, own) | {"rw": rw, "cl": cl}
+        return pa.table({n: pa.array(np.asarray(out[n]).ravel(), from_pandas=True) for n in names})
+
+    return dealt.unionByName(marks).groupBy("_tr", "_tc").applyInArrow(run, schema)
+
+
+def swept(x: np.ndarray, half: int, what) -> np.ndarray:
+    """`what` (np.minimum or np.maximum) over a square window, rows first, then columns; at the border the window is cut."""
+    for axis in (0, 1):
+        x = np.moveaxis(x, axis, 0)
+        out = x.copy()
+        for k in range(1, half + 1):
+            out[k:] = what(out[k:], x[: len(x) - k])
+            out[: len(x) - k] = what(out[: len(x) - k], x[k:])
+        x = np.moveaxis(out, 0, axis)
+    return x
 
 
 def ground(cells: DataFrame, res: float, dh0: float = 0.3, slope: float = 0.15, dh_max: float = 2.5, max_window: float = 40.0) -> DataFrame:
     """(rw, cl, zmin, ground): progressive morphological filter; empty cells are filled high and never ground."""
-    high = cells.agg(F.max("zmin").alias("_top"))
-    now = grid(cells).join(cells.select("rw", "cl", "zmin"), ["rw", "cl"], "left").crossJoin(F.broadcast(high)).select("rw", "cl", "zmin", F.coalesce("zmin", "_top").alias("_z"), F.coalesce("zmin", "_top").alias("_s"), F.lit(False).alias("_off"))
-    k, before = 0, 1
-    while True:
+    steps, k, before = [], 0, 1
+    while k == 0 or (2 * 2**k + 1) * res <= max_window:
         size = 2 * 2**k + 1
-        if size * res > max_window and k > 0:
-            break
-        dh = dh0 if k == 0 else min(dh0 + slope * (size - before) * res, dh_max)
-        now = opened(now, "_s", size // 2).withColumn("_off", c("_off") | (c("_z") - c("_s") > dh))
+        steps.append((size // 2, dh0 if k == 0 else min(dh0 + slope * (size - before) * res, dh_max)))
         before, k = size, k + 1
-    return now.select("rw", "cl", "zmin", (c("zmin").isNotNull() & ~c("_off")).alias("ground"))
+    high = cells.agg(F.max("zmin")).first()[0]
+
+    def solve(arrays, own):
+        z = arrays["zmin"]
+        have = ~np.isnan(z)
+        filled = np.where(have, z, high)
+        surface, off = filled, np.zeros(z.shape, bool)
+        for half, dh in steps:
+            surface = swept(swept(surface, half, np.minimum), half, np.maximum)
+            off |= filled - surface > dh
+        return {"zmin": z[own], "ground": (have & ~off)[own]}
+
+    # an opening looks twice its half window far, and each works on the one before
+    return tiled(cells, ["zmin"], 2 * sum(h for h, _ in steps), solve, "rw long, cl long, zmin double, ground boolean")
 
 
 def neighbours(cells: DataFrame, value: list[str], shifts: list[tuple[int, int]]) -> DataFrame:

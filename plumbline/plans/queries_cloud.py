@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, raster, spatial
+from ..operators import graph, order, raster, spatial
 from .registry import query
 
 c = F.col
@@ -443,12 +443,56 @@ def g13_profile(v):
     return p.select("i", "zmean", F.last("zmean", True).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("held"))
 
 
-@query("B13 B14 G08 J14", """WITH q AS (SELECT point_id, round(x / 100 * 65535)::BIGINT AS qx FROM points), d AS (SELECT point_id, qx, ((qx - lag(qx, 1, 0) OVER (ORDER BY qx, point_id)) % 65536 + 65536) % 65536 AS delta FROM q)
-SELECT point_id, delta, qx AS decoded, (qx & 1) | ((qx & 2) << 2) | ((qx & 4) << 4) | ((qx & 8) << 6) AS morton FROM d""")
+_MORTON = {"32": 0x1F00000000FFFF, "16": 0x1F0000FF0000FF, "8": 0x100F00F00F00F00F, "4": 0x10C30C30C30C30C3, "2": 0x1249249249249249}  # fixed values
+
+
+def spread(x):
+    """The bits of a 16-bit number, two zeros between each."""
+    for n, mask in _MORTON.items():
+        x = x.bitwiseOR(F.shiftleft(x, int(n))).bitwiseAND(F.lit(mask))
+    return x
+
+
+_STEPS = ", ".join(f"m{k} AS (SELECT * REPLACE ((sx | (sx << {n})) & {m} AS sx, (sy | (sy << {n})) & {m} AS sy, (sz | (sz << {n})) & {m} AS sz) FROM {'q' if not k else f'm{k - 1}'})" for k, (n, m) in enumerate(_MORTON.items()))
+_PACK = f"""box AS (SELECT min(x) AS x0, min(y) AS y0, min(z) AS z0, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) / 65535 AS step FROM points),
+q0 AS (SELECT point_id, r, g, b, provenance, round_even((x - x0) / step, 0)::BIGINT AS qx, round_even((y - y0) / step, 0)::BIGINT AS qy, round_even((z - z0) / step, 0)::BIGINT AS qz FROM points, box),
+q AS (SELECT *, qx AS sx, qy AS sy, qz AS sz FROM q0), {_STEPS},
+o AS (SELECT point_id, r, g, b, provenance, qx, qy, qz, sx | (sy << 1) | (sz << 2) AS morton, row_number() OVER (ORDER BY sx | (sy << 1) | (sz << 2), point_id) - 1 AS place FROM m4)"""
+
+
+def _quantised(v):
+    """Points on 65,536 steps of the longest side, in Morton order."""
+    side = [F.max(k) - F.min(k) for k in "xyz"]
+    box = v.points.agg(*[F.min(k).alias(f"{k}0") for k in "xyz"], F.greatest(*side).alias("side")).withColumn("step", F.when(c("side") > 0, c("side") / 65535).otherwise(1e-6))  # one row
+    at = lambda k: F.least(F.greatest(F.bround((c(k) - c(f"{k}0")) / c("step"), 0).cast("long"), F.lit(0)), F.lit(65535))
+    q = v.points.crossJoin(F.broadcast(box)).select("point_id", "r", "g", "b", "provenance", *[at(k).alias(f"q{k}") for k in "xyz"])
+    code = spread(c("qx")).bitwiseOR(F.shiftleft(spread(c("qy")), 1)).bitwiseOR(F.shiftleft(spread(c("qz")), 2))
+    return q.withColumn("morton", code)
+
+
+@query("G08 J14", f"WITH {_PACK} SELECT point_id, place, morton, ((qx - lag(qx, 1, 0) OVER w) % 65536 + 65536) % 65536 AS dx, ((qy - lag(qy, 1, 0) OVER w) % 65536 + 65536) % 65536 AS dy, ((qz - lag(qz, 1, 0) OVER w) % 65536 + 65536) % 65536 AS dz FROM o WINDOW w AS (ORDER BY place)")
+def g08_morton_delta(v):
+    """Morton order, and each axis's difference to the point before modulo 2^16."""
+    return _deltas(v).select("point_id", "place", "morton", "dx", "dy", "dz")
+
+
+def _deltas(v):
+    rows = order.with_previous(order.indexed(_quantised(v), ["morton", "point_id"], "place"), "place", ["qx", "qy", "qz"])
+    return rows.withColumns({f"d{k}": F.pmod(c(f"q{k}") - F.coalesce(f"prev_q{k}", F.lit(0)), F.lit(65536)) for k in "xyz"})
+
+
+@query("B14", f"WITH {_PACK} SELECT point_id, place, qx, qy, qz FROM o")
+def b14_decode_deltas(v):
+    """A running sum of the differences modulo 2^16 gives every coordinate back."""
+    d = _deltas(v).select("place", "point_id", "dx", "dy", "dz")
+    sums = order.indexed(d, ["place"], "again", carry={f"s{k}": c(f"d{k}") for k in "xyz"})
+    return sums.select("point_id", "place", *[(c(f"s{k}") + c(f"d{k}")).bitwiseAND(F.lit(65535)).alias(f"q{k}") for k in "xyz"])
+
+
+@query("B13 B14", f"WITH {_PACK} SELECT place, qx, qy, qz, r, g, b, provenance::BIGINT AS provenance FROM o")
 def b13_pack_and_decode(v):
-    """Quantise, order, difference modulo 2^16; a running sum gives the value back."""
-    q = v.points.select("point_id", r(c("x") / 100 * 65535, 0).cast("long").alias("qx"))
-    w = Window.orderBy("qx", "point_id")
-    d = q.withColumn("delta", F.pmod(c("qx") - F.lag("qx", 1, 0).over(w), F.lit(65536)))
-    bits = [F.shiftleft(c("qx").bitwiseAND(1 << k), 2 * k) for k in range(4)]
-    return d.select("point_id", "delta", F.sum("delta").over(w).bitwiseAND(F.lit(65535)).alias("decoded"), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3]).alias("morton"))
+    """Display packs: Morton order, differences as byte planes, compressed, one self-contained piece per chunk of places; then read back."""
+    from ..sources import display_pack
+
+    rows = order.indexed(_quantised(v), ["morton", "point_id"], "place").select("place", "qx", "qy", "qz", "r", "g", "b", "provenance")
+    return display_pack.unpack(display_pack.pack(rows, chunk=512))

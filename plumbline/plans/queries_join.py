@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import asof, graph, spatial
+from ..operators import asof, graph, order, spatial
 from .registry import query
 
 c = F.col
@@ -108,16 +108,15 @@ _FUSED = "fused AS (SELECT min(l_partkey) AS source, floor(x) AS cx, floor(y / 4
 def e08_remap_observations(v):
     """Old row numbers to those that survived fusion; observations of lost rows go."""
     s = v.points.groupBy((c("point_id") % 400).alias("cell")).agg(F.min("point_id").alias("point_id"))
-    f = s.select("point_id", (F.row_number().over(Window.orderBy("point_id")) - 1).cast("long").alias("fused"))
+    f = order.indexed(s.select("point_id"), ["point_id"], "fused")
     return v.observations.join(f, "point_id").groupBy("fused").agg(F.count(F.lit(1)).alias("n"), F.min("camera_id").alias("first_camera"))
 
 
 @query("E11", "SELECT point_id, list_sort(list(DISTINCT camera_id))[1] AS first, count(DISTINCT camera_id)::INTEGER AS size, (sum(count(DISTINCT camera_id)) OVER (ORDER BY point_id) - count(DISTINCT camera_id))::BIGINT AS \"offset\" FROM observations GROUP BY 1")
 def e11_ragged_to_csr(v):
-    """Ragged tracks as flat values with offsets."""
-    t = v.observations.groupBy("point_id").agg(F.array_sort(F.collect_set("camera_id")).alias("flat"))
-    before = F.sum(F.size("flat")).over(Window.orderBy("point_id")) - F.size("flat")
-    return t.select("point_id", c("flat")[0].alias("first"), F.size("flat").alias("size"), before.alias("offset"))
+    """Ragged tracks as flat values with offsets: a value's place in the flat list is its rank, and no track is gathered."""
+    flat = order.indexed(v.observations.select("point_id", "camera_id").distinct(), ["point_id", "camera_id"], "place")
+    return flat.groupBy("point_id").agg(F.min("camera_id").alias("first"), F.count(F.lit(1)).cast("int").alias("size"), F.min("place").alias("offset"))
 
 
 _POSE = """q AS (SELECT o_orderkey AS id, 0 AS one, (o_orderkey * 37 % 5400) / 1e2 - 2 AS t FROM orders),
@@ -244,10 +243,13 @@ def e27_relative_edges(v):
 
 @query("E28", "SELECT count(*) AS n, round(sqrt(avg((a.cx - b.cy) ^ 2)), 6) AS rms, (sqrt(avg((a.cx - b.cy) ^ 2)) <= 50) AS aligned FROM (SELECT cx, row_number() OVER (ORDER BY camera_id) AS k FROM cameras) a JOIN (SELECT cy, row_number() OVER (ORDER BY t, camera_id) AS k FROM cameras) b USING (k)")
 def e28_positional_pairing(v):
-    a = v.cameras.select("cx", F.row_number().over(Window.orderBy("camera_id")).alias("k"))
-    b = v.cameras.select("cy", F.row_number().over(Window.orderBy("t", "camera_id")).alias("k"))
+    """Two lists paired by place; lists of different length are refused."""
+    a = order.indexed(v.cameras.select("camera_id", "cx"), ["camera_id"], "k").select("cx", "k")
+    b = order.indexed(v.cameras.select("t", "camera_id", "cy"), ["t", "camera_id"], "k").select("cy", "k")
+    alone = c("cx").isNull() | c("cy").isNull()
+    pairs = a.join(b, "k", "full").select(F.when(alone, F.raise_error(F.lit("lists of different length can't be paired"))).otherwise(c("cx")).alias("cx"), "cy")
     rms = F.sqrt(F.avg((c("cx") - c("cy")) ** 2))
-    return a.join(b, "k").agg(F.count(F.lit(1)).alias("n"), r(rms).alias("rms"), (rms <= 50).alias("aligned"))
+    return pairs.agg(F.count(F.lit(1)).alias("n"), r(rms).alias("rms"), (rms <= 50).alias("aligned"))
 
 
 # Filters and gates
@@ -323,8 +325,8 @@ def _candidates(v):
 
 @query("D13 H03", f"WITH {_CAND} SELECT camera_id, rejected, round(score, 8) AS score, row_number() OVER (ORDER BY rejected IS NOT NULL, score DESC, camera_id)::INTEGER AS place FROM rej")
 def d13_refinement_candidates(v):
-    place = F.row_number().over(Window.orderBy(c("rejected").isNotNull(), F.desc("score"), "camera_id"))
-    return _candidates(v).select("camera_id", "rejected", r(c("score"), 8).alias("score"), place.alias("place"))
+    ranked = order.indexed(_candidates(v), [c("rejected").isNotNull(), F.desc("score"), c("camera_id")], "place")
+    return ranked.select("camera_id", "rejected", r(c("score"), 8).alias("score"), (c("place") + 1).cast("int").alias("place"))
 
 
 @query("F22", f"WITH {_CAND} SELECT rejected AS reason, count(*) AS n FROM rej WHERE rejected IS NOT NULL GROUP BY 1")
@@ -375,9 +377,9 @@ def h05_best_per_separation(v):
 @query("H06 I06 G17", "WITH n AS (SELECT camera_id, row_number() OVER (ORDER BY camera_id) - 1 AS k, count(*) OVER () AS n FROM cameras) SELECT camera_id FROM n WHERE k IN (SELECT floor(i * (n - 1) / 29)::BIGINT FROM (SELECT DISTINCT n FROM n), range(30) t(i)) OR k % 40 = 0")
 def h06_even_subsample(v):
     """Evenly spread rows up to a cap, with a floor set joined in."""
-    n = v.cameras.select("camera_id", (F.row_number().over(Window.orderBy("camera_id")) - 1).alias("k"))
+    n = order.indexed(v.cameras.select("camera_id"), ["camera_id"], "k")
     total = n.agg(F.count(F.lit(1)).alias("n"))
-    wanted = total.select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"), "n").select(F.floor(c("i") * (c("n") - 1) / 29).cast("int").alias("k")).distinct()
+    wanted = total.select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"), "n").select(F.floor(c("i") * (c("n") - 1) / 29).alias("k")).distinct()
     picked = n.join(F.broadcast(wanted), "k", "left_semi").select("camera_id")
     return picked.union(n.where("k % 40 = 0").select("camera_id")).distinct()
 

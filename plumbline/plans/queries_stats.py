@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import spatial
+from ..operators import order, spatial
+from ..operators.graph import cut
 from .queries_cloud import cramer
 from .queries_join import spacing
 from .registry import query
@@ -47,14 +48,15 @@ def error_stats(e, n, u):
     flat = F.sqrt(F.avg(e * e) + F.avg(n * n))
     many = F.count(F.lit(1)) >= 10
     return [
-        F.count(F.lit(1)).alias("n"), r(F.avg(e)).alias("mean_e"), r(F.avg(n)).alias("mean_n"), r(F.avg(u)).alias("mean_u"), r(rmse(u)).alias("rmse_u"), r(flat).alias("rmse_h"), r(F.sqrt(F.avg(e * e + n * n + u * u))).alias("rmse_3d"),
-        r(1.5175 * flat).alias("ce90"), r(1.6449 * rmse(u)).alias("le90"), F.when(many, r(F.percentile(h, F.lit(0.9)))).alias("ce90_empirical"),
+        F.count(F.lit(1)).alias("n"), r(F.avg(e)).alias("mean_e"), r(F.avg(n)).alias("mean_n"), r(F.avg(u)).alias("mean_u"), r(rmse(e)).alias("rmse_e"), r(rmse(n)).alias("rmse_n"), r(rmse(u)).alias("rmse_u"), r(flat).alias("rmse_h"), r(F.sqrt(F.avg(e * e + n * n + u * u))).alias("rmse_3d"),
+        r(F.max(h)).alias("max_h"), r(F.max(F.abs(u))).alias("max_u"), r(1.5175 * flat).alias("ce90"), r(1.6449 * rmse(u)).alias("le90"), F.when(many, r(F.percentile(h, F.lit(0.9)))).alias("ce90_empirical"), F.when(many, r(F.percentile(F.abs(u), F.lit(0.9)))).alias("le90_empirical"),
     ]
 
 
 def _stats_sql(e: str, n: str, u: str) -> str:
-    return f"""count(*) AS n, round(avg({e}), 6) AS mean_e, round(avg({n}), 6) AS mean_n, round(avg({u}), 6) AS mean_u, round(sqrt(avg(({u}) ^ 2)), 6) AS rmse_u, round(sqrt(avg(({e}) ^ 2) + avg(({n}) ^ 2)), 6) AS rmse_h, round(sqrt(avg(({e}) ^ 2 + ({n}) ^ 2 + ({u}) ^ 2)), 6) AS rmse_3d,
-round(1.5175 * sqrt(avg(({e}) ^ 2) + avg(({n}) ^ 2)), 6) AS ce90, round(1.6449 * sqrt(avg(({u}) ^ 2)), 6) AS le90, CASE WHEN count(*) >= 10 THEN round(quantile_cont(sqrt(({e}) ^ 2 + ({n}) ^ 2), 0.9), 6) END AS ce90_empirical"""
+    return f"""count(*) AS n, round(avg({e}), 6) AS mean_e, round(avg({n}), 6) AS mean_n, round(avg({u}), 6) AS mean_u, round(sqrt(avg(({e}) ^ 2)), 6) AS rmse_e, round(sqrt(avg(({n}) ^ 2)), 6) AS rmse_n, round(sqrt(avg(({u}) ^ 2)), 6) AS rmse_u, round(sqrt(avg(({e}) ^ 2) + avg(({n}) ^ 2)), 6) AS rmse_h, round(sqrt(avg(({e}) ^ 2 + ({n}) ^ 2 + ({u}) ^ 2)), 6) AS rmse_3d,
+round(max(sqrt(({e}) ^ 2 + ({n}) ^ 2)), 6) AS max_h, round(max(abs({u})), 6) AS max_u, round(1.5175 * sqrt(avg(({e}) ^ 2) + avg(({n}) ^ 2)), 6) AS ce90, round(1.6449 * sqrt(avg(({u}) ^ 2)), 6) AS le90,
+CASE WHEN count(*) >= 10 THEN round(quantile_cont(sqrt(({e}) ^ 2 + ({n}) ^ 2), 0.9), 6) END AS ce90_empirical, CASE WHEN count(*) >= 10 THEN round(quantile_cont(abs({u}), 0.9), 6) END AS le90_empirical"""
 
 
 @query("F05", f"SELECT mission, role, {_stats_sql('me - te', 'mn - tn', 'mu - tu')} FROM survey GROUP BY 1, 2")
@@ -62,26 +64,70 @@ def f05_accuracy_statistics(v):
     return v.survey.groupBy("mission", "role").agg(*error_stats(c("me") - c("te"), c("mn") - c("tn"), c("mu") - c("tu")))
 
 
-@query("F14 F15 L04 A20", f"""WITH s AS (SELECT mission, sum(me - te) AS se, sum(mn - tn) AS sn, sum(mu - tu) AS su, count(*) AS k FROM survey WHERE role = 'gcp' GROUP BY 1),
+_BLOCKS = """s AS (SELECT mission, sum(me - te) AS se, sum(mn - tn) AS sn, sum(mu - tu) AS su, count(*) AS k FROM survey WHERE role = 'gcp' GROUP BY 1),
 b AS (SELECT mission, 'raw' AS block, me - te AS e, mn - tn AS n, mu - tu AS u FROM survey UNION ALL
 SELECT mission, 'loo', me - te - (se - (me - te)) / (k - 1), mn - tn - (sn - (mn - tn)) / (k - 1), mu - tu - (su - (mu - tu)) / (k - 1) FROM survey JOIN s USING (mission) WHERE role = 'gcp' AND k >= 2 UNION ALL
-SELECT mission, 'checkpoints', me - te - se / k, mn - tn - sn / k, mu - tu - su / k FROM survey JOIN s USING (mission) WHERE role = 'check' UNION ALL
-SELECT mission, 'fit', me - te - se / k, mn - tn - sn / k, mu - tu - su / k FROM survey JOIN s USING (mission) WHERE role = 'gcp')
-SELECT mission, block, block IN ('raw', 'loo', 'checkpoints') AS independent, block = 'checkpoints' AND count(*) >= 30 AS asprs, {_stats_sql('e', 'n', 'u')} FROM b GROUP BY 1, 2""")
+SELECT mission, 'checkpoints', me - te - coalesce(se / k, 0), mn - tn - coalesce(sn / k, 0), mu - tu - coalesce(su / k, 0) FROM survey LEFT JOIN s USING (mission) WHERE role = 'check' UNION ALL
+SELECT mission, 'fit', me - te - se / k, mn - tn - sn / k, mu - tu - su / k FROM survey JOIN s USING (mission) WHERE role = 'gcp')"""
+
+
+@query("F14 F15 L04 A20", f"""WITH {_BLOCKS} SELECT mission, block, block IN ('raw', 'checkpoints') AS independent, block = 'checkpoints' AND count(*) >= 30 AS asprs, {_stats_sql('e', 'n', 'u')} FROM b GROUP BY 1, 2""")
 def f15_accuracy_report(v):
-    """Raw, fitted, leave-one-out and checkpoint blocks under a translation; a fit's own residuals are never independent."""
+    """Raw, fitted, leave-one-out and checkpoint blocks under a translation (similarity disabled); a fit's own residuals are never independent, nor are left-out ones."""
     d = v.survey.select("mission", "role", (c("me") - c("te")).alias("e"), (c("mn") - c("tn")).alias("n"), (c("mu") - c("tu")).alias("u"))
     s = d.where("role = 'gcp'").groupBy("mission").agg(*[F.sum(k).alias(f"s{k}") for k in "enu"], F.count(F.lit(1)).alias("k"))
-    j = d.join(s, "mission")
+    j = d.join(s, "mission", "left")
     block = lambda rows, name, f: rows.select("mission", F.lit(name).alias("block"), *[f(k).alias(k) for k in "enu"])
     every = (
         block(d, "raw", c)
         .unionByName(block(j.where("role = 'gcp' and k >= 2"), "loo", lambda k: c(k) - (c(f"s{k}") - c(k)) / (c("k") - 1)))
-        .unionByName(block(j.where("role = 'check'"), "checkpoints", lambda k: c(k) - c(f"s{k}") / c("k")))
+        .unionByName(block(j.where("role = 'check'"), "checkpoints", lambda k: c(k) - F.coalesce(c(f"s{k}") / c("k"), F.lit(0.0))))
         .unionByName(block(j.where("role = 'gcp'"), "fit", lambda k: c(k) - c(f"s{k}") / c("k")))
     )
+    return _reported(every)
+
+
+def _reported(every):
     out = every.groupBy("mission", "block").agg(*error_stats(c("e"), c("n"), c("u")))
-    return out.withColumns({"independent": c("block") != "fit", "asprs": (c("block") == "checkpoints") & (c("n") >= 30)})
+    return out.withColumns({"independent": c("block").isin("raw", "checkpoints"), "asprs": (c("block") == "checkpoints") & (c("n") >= 30)})
+
+
+@query("L04", None)
+def l04_corrections(v):
+    """Per mission the correction its ground control allows: similarity, translation or none."""
+    from ..operators import accuracy
+
+    fitted = accuracy.corrections(accuracy.centred(v.survey.where("role = 'gcp'"), "mission")[1], "mission")
+    return fitted.select("mission", "kind", "n_points", r(c("scale"), 9).alias("scale"), *[r(c(f"t{i}"), 5).alias(f"t{i}") for i in range(3)])
+
+
+@query("F14 F15 L04 F27", None)
+def f14_similarity_report(v):
+    """The four blocks under the correction that fits the mission, similarity where its points allow one."""
+    from ..operators import accuracy
+
+    gcps = v.survey.where("role = 'gcp'")
+    fitted = cut(accuracy.corrections(accuracy.centred(gcps, "mission")[1], "mission"))
+    moved = accuracy.applied(v.survey, fitted, "mission")
+    raw = v.survey.select("mission", F.lit("raw").alias("block"), (c("me") - c("te")).alias("e"), (c("mn") - c("tn")).alias("n"), (c("mu") - c("tu")).alias("u"))
+    own = moved.select("mission", F.when(c("role") == "gcp", "fit").otherwise("checkpoints").alias("block"), "e", "n", "u")
+    loo = accuracy.left_out(gcps, "mission").select("mission", F.lit("loo").alias("block"), "e", "n", "u")
+    return _reported(raw.unionByName(own).unionByName(loo))
+
+
+@query("J08 F15", f"""WITH {_BLOCKS}, h AS (SELECT mission, coalesce(max(CASE WHEN block = 'checkpoints' THEN block END), 'raw') AS block FROM b GROUP BY 1),
+st AS (SELECT mission, block, count(*) AS n, sqrt(avg(e ^ 2) + avg(n ^ 2)) AS hz, sqrt(avg(u ^ 2)) AS vt FROM b JOIN h USING (mission, block) GROUP BY 1, 2)
+SELECT mission, block, printf('RMSE horizontal %.3f m, vertical %.3f m, CE90 %.3f m, LE90 %.3f m over %d point(s)', round(hz, 3), round(vt, 3), round(1.5175 * hz, 3), round(1.6449 * vt, 3), n) || CASE WHEN block = 'checkpoints' AND k > 0 THEN printf(', after a translation correction on %d GCP(s)', k) ELSE '' END AS text,
+CASE WHEN block = 'raw' AND k > 0 THEN 'every surveyed point was used for the fit' END AS warning FROM st LEFT JOIN s USING (mission)""")
+def j08_headline(v):
+    """The report's one sentence per mission: of the checkpoints if there are any, else of all points as reconstructed."""
+    from ..operators import accuracy
+
+    blocks = f15_accuracy_report(v)
+    k = v.survey.groupBy("mission").agg(F.count_if(c("role") == "gcp").alias("k"), F.count_if(c("role") == "check").alias("checks"))
+    kind = F.when((c("block") == "checkpoints") & (c("k") > 0), "translation").otherwise("none")
+    one = blocks.join(k, "mission").where(c("block") == F.when(c("checks") > 0, "checkpoints").otherwise("raw"))
+    return one.select("mission", "block", accuracy.headline(r(c("rmse_h"), 3), r(c("rmse_u"), 3), r(c("ce90"), 3), r(c("le90"), 3), c("n"), kind, c("k")).alias("text"), F.when((c("block") == "raw") & (c("k") > 0), "every surveyed point was used for the fit").alias("warning"))
 
 
 @query("F06 F29 D18", """WITH d AS (SELECT a.point_id, a.provenance, min(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)) AS d FROM points a LEFT JOIN points b ON b.point_id % 2 = 0 AND (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 25 WHERE a.point_id % 2 = 1 GROUP BY 1, 2)
@@ -207,7 +253,7 @@ def f24_benchmark_summary(v):
     return v.bench.groupingSets([("variant", "regime"), ("variant",)], "variant", "regime").agg(r(F.median(ok), 8).alias("median"), F.max(ok).alias("worst"), r(F.avg(c("failed").cast("int")), 8).alias("failure"))
 
 
-@query("F28 F27", """WITH d AS (SELECT mission, me - te AS e, mn - tn AS n, mu - tu AS u FROM survey), m AS (SELECT mission, avg(e) AS ae, avg(n) AS an, avg(u) AS au FROM d GROUP BY 1)
+@query("F28", """WITH d AS (SELECT mission, me - te AS e, mn - tn AS n, mu - tu AS u FROM survey), m AS (SELECT mission, avg(e) AS ae, avg(n) AS an, avg(u) AS au FROM d GROUP BY 1)
 SELECT mission, round(sqrt(avg(e * e + n * n + u * u)), 6) AS raw, round(sqrt(avg((e - ae) ^ 2 + (n - an) ^ 2 + (u - au) ^ 2)), 6) AS centred, round(quantile_cont(sqrt(e * e + n * n + u * u), 0.9), 6) AS p90 FROM d JOIN m USING (mission) GROUP BY 1""")
 def f28_trajectory_error(v):
     """Raw and translation-free error of a track."""
@@ -217,6 +263,17 @@ def f28_trajectory_error(v):
     return d.groupBy("mission").agg(r(F.sqrt(F.avg(sq))).alias("raw"), r(centred).alias("centred"), r(F.percentile(F.sqrt(sq), F.lit(0.9))).alias("p90"))
 
 
+@query("F27 F28 L01", None)
+def f27_aligned_error(v):
+    """The third level: error of a track once a similarity over all its points is taken off."""
+    from ..operators import accuracy
+
+    fitted = accuracy.corrections(accuracy.centred(v.survey, "mission")[1], "mission")
+    moved = accuracy.applied(v.survey, fitted, "mission")
+    sq = c("e") * c("e") + c("n") * c("n") + c("u") * c("u")
+    return moved.groupBy("mission").agg(F.first("kind").alias("kind"), r(F.sqrt(F.avg(sq))).alias("aligned"), r(F.median(F.sqrt(sq))).alias("median"), r(F.max(F.sqrt(sq))).alias("max"))
+
+
 @query("F31", "WITH t AS (SELECT floor(x / 40)::BIGINT AS tx, floor(y / 40)::BIGINT AS ty, median(z) AS bias, count(*) AS n FROM dense GROUP BY 1, 2 HAVING count(*) >= 300) SELECT tx, ty, min(n) AS n, round(min(bias), 6) AS bias, round(sqrt(avg((z - bias) ^ 2)), 6) AS residual FROM dense JOIN t ON tx = floor(x / 40) AND ty = floor(y / 40) GROUP BY 1, 2")
 def f31_tile_bias(v):
     d = v.dense.select("z", F.floor(c("x") / 40).alias("tx"), F.floor(c("y") / 40).alias("ty"))
@@ -259,7 +316,7 @@ def f37_rank_correlation(v):
 
     def ranks(col, out):
         g = v.points.groupBy(col).agg(F.count(F.lit(1)).alias("m"))
-        return g.select(col, (F.sum("m").over(Window.orderBy(col)) - c("m") + (c("m") + 1) / 2).alias(out))
+        return order.indexed(g, [col], "k", carry={"before": c("m")}).select(col, (c("before") + (c("m") + 1) / 2).alias(out))
 
     p = v.points.join(ranks("confidence", "ra"), "confidence").join(ranks("reproj", "rb"), "reproj")
     return p.agg(r(F.corr("ra", "rb"), 8).alias("spearman"), r(F.greatest(F.percentile("n_views", F.lit(0.95)), F.lit(2.0))).alias("views_norm"))
@@ -291,9 +348,9 @@ def g04_time_offset(v):
 
 @query("G06", """WITH s AS (SELECT camera_id, least(abs(yaw - lag(yaw) OVER (ORDER BY camera_id)), 360 - abs(yaw - lag(yaw) OVER (ORDER BY camera_id))) / (t - lag(t) OVER (ORDER BY camera_id)) AS rate FROM cameras) SELECT count(rate) AS n, round(quantile_cont(rate, 0.95), 6) AS p95, CASE WHEN quantile_cont(rate, 0.95) * 0.03 > 1 THEN 'severe' ELSE 'mild' END AS smear FROM s""")
 def g06_angular_rate(v):
-    w = Window.orderBy("camera_id")
-    d = F.abs(c("yaw") - F.lag("yaw").over(w))
-    s = v.cameras.select((F.least(d, 360 - d) / (c("t") - F.lag("t").over(w))).alias("rate"))
+    k = order.with_previous(order.indexed(v.cameras.select("camera_id", "yaw", "t"), ["camera_id"], "k"), "k", ["yaw", "t"])
+    d = F.abs(c("yaw") - c("prev_yaw"))
+    s = k.select((F.least(d, 360 - d) / (c("t") - c("prev_t"))).alias("rate"))
     p = F.percentile("rate", F.lit(0.95))
     return s.agg(F.count("rate").alias("n"), r(p).alias("p95"), F.when(p * 0.03 > 1, "severe").otherwise("mild").alias("smear"))
 
@@ -316,6 +373,7 @@ def l14_robust_affine(v):
     """y = a x + b with three Cauchy reweightings, as grouped sums."""
     k = c("point_id")
     p = v.points.select((k % 20).alias("g"), c("z").alias("x"), (2 * c("z") + 1 + F.when(k % 13 == 0, 30.0).otherwise((k % 7 - 3) / 10.0)).alias("y"))
+    p = cut(p)  # read once for all rounds
     rows, w, x, y = p.withColumn("w", F.lit(1.0)), c("w"), c("x"), c("y")
     for step in range(4):
         s = rows.groupBy("g").agg(F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"))
