@@ -184,29 +184,12 @@ def m07_height(v):
 
 @query("M04 M08 L18", None)
 def m04_area(v):
-    """Area of each closed polyline on its best-fit plane with a sigma by finite differences; the eigenvectors need a solver."""
-    import numpy as np
-    import pandas as pd
-
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
-        p = g.sort_values("point_id")[["x", "y", "z"]].to_numpy()
-
-        def area(q):
-            d = q - q.mean(0)
-            basis = np.linalg.svd(d)[2][:2]
-            a, b = (d @ basis.T).T
-            return abs(np.sum(a * np.roll(b, -1) - b * np.roll(a, -1))) / 2
-
-        base, var = area(p), 0.0
-        for i in range(len(p)):
-            for k in range(3):
-                q = p.copy()
-                q[i, k] += 1e-4
-                var += ((area(q) - base) / 1e-4) ** 2 * float(g["sigma"].fillna(np.inf).iloc[i]) ** 2
-        return pd.DataFrame({"line": [key[0]], "area": [base], "sigma": [np.sqrt(var + (2 * base * 0.002) ** 2)]})
-
-    lines = v.points.select(F.floor(c("point_id") / 5).alias("line"), "point_id", "x", "y", "z", "sigma")
-    return lines.groupBy("line").applyInPandas(fit, "line long, area double, sigma double")
+    """Area of each closed polyline on its best-fit plane with a sigma by finite differences; the eigenvectors need a solver, many polygons at once."""
+    from ..operators import solvers
+
+    vertex = F.struct("point_id", "x", "y", "z", "sigma")
+    lines = v.points.groupBy(F.floor(c("point_id") / 5).alias("line")).agg(F.array_sort(F.collect_list(vertex)).alias("points"))  # five vertices a polygon
+    return lines.mapInPandas(solvers.areas, "line long, area double, sigma double")
 
 
 @query("M20", f"""WITH {_Q} SELECT id, round(a, 6) AS before, round(b, 6) AS after, b < a AS narrowed, a > tol AND b <= tol AS improved, a <= tol AND b > tol AS regressed FROM (SELECT id, tol, 1.96 * sigma AS a, 1.96 * sigma * (0.5 + (id % 10) / 1e1) AS b FROM s WHERE sigma < 'inf'::DOUBLE AND tol IS NOT NULL)""")

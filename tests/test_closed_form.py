@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo
-from plumbline.operators import asof, graph, raster, solvers, spatial, verdict
+from plumbline.operators import asof, graph, raster, spatial, verdict
 from plumbline.sources import cloud_files, synthetic, telemetry
 from plumbline.streaming import progress
 
@@ -135,20 +135,6 @@ def test_ply_both_ways(spark, tmp_path):
     assert len(got) == 7 and got.z.sum() == cols["z"].sum() + 9
 
 
-def test_similarity_with_outliers_and_on_a_line():
-    rng = np.random.default_rng(0)
-    src = rng.uniform(0, 50, (60, 3))
-    rot = np.linalg.qr(rng.normal(size=(3, 3)))[0]
-    rot *= np.sign(np.linalg.det(rot))
-    dst = 1.7 * src @ rot.T + [1, 2, 3]
-    dst[:6] += 40
-    g = pd.DataFrame(np.hstack([src, dst]), columns=["te", "tn", "tu", "me", "mn", "mu"]).assign(id=range(60))
-    r = solvers.similarity((1,), g).iloc[0]
-    assert r["scale"] == pytest.approx(1.7, abs=1e-6) and r["inliers"] <= 54 and not r["degenerate"]
-    line = np.outer(np.arange(30), [1.0, 2, 3])
-    assert solvers.conditioning(line)
-
-
 def test_synthetic_noise_repeats(spark):
     a = synthetic.gps(synthetic.trajectory(spark, "orbit", 50)).toPandas()
     b = synthetic.gps(synthetic.trajectory(spark, "orbit", 50)).toPandas()
