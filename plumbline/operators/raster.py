@@ -65,7 +65,7 @@ def swept(x: np.ndarray, half: int, what) -> np.ndarray:
     for axis in (0, 1):
         x = np.moveaxis(x, axis, 0)
         out = x.copy()
-        for k in range(1, half + 1):
+        for k in range(1, min(half, len(x) - 1) + 1):
             out[k:] = what(out[k:], x[: len(x) - k])
             out[: len(x) - k] = what(out[: len(x) - k], x[k:])
         x = np.moveaxis(out, 0, axis)
@@ -79,7 +79,7 @@ def ground(cells: DataFrame, res: float, dh0: float = 0.3, slope: float = 0.15,
         size = 2 * 2**k + 1
         steps.append((size // 2, dh0 if k == 0 else min(dh0 + slope * (size - before) * res, dh_max)))
         before, k = size, k + 1
-    high = cells.agg(F.max("zmin")).first()[0]
+    high = cells.agg(F.max("zmin")).first()[0] or 0.0
 
     def solve(arrays, own):
         z = arrays["zmin"]

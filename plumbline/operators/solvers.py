@@ -332,17 +332,20 @@ def offset_by_alignment(key, g: pd.DataFrame, step: float = 0.1, reach: float =
     return pd.DataFrame({"segment": [key[0]], "offset": [round(float(grid[best]), 6)], "rmse": [float(cost[best])], "half_width": [float(np.ptp(flat) / 2)]})
 
 
-def cloth(z: np.ndarray, rounds: int, stiff: float = 0.5, near: float = 0.5) -> np.ndarray:
-    """Cells near a sheet that falls on the turned-over surface `z` (NaN: no cell), held up by it and by its own neighbours; a cell acts one cell far a round."""
+def cloth(z: np.ndarray, rounds: int, low: float = 0.0, stiff: float = 0.5, near: float = 0.5, fall: float = 0.05) -> np.ndarray:
+    """Cells near a sheet that falls, `fall` a round, on the turned-over surface `z` (NaN: no cell) of least height `low`.
+
+    The surface holds it up, and so do its own neighbours; a cell acts one cell far a round.
+    """
     have = ~np.isnan(z)
-    top = np.where(have, -z, -np.inf)
+    top = np.where(have, low - z, -np.inf)
     sheet = np.zeros(z.shape)
     weight = np.pad(np.ones(z.shape), 1)
     count = weight[:-2, 1:-1] + weight[2:, 1:-1] + weight[1:-1, :-2] + weight[1:-1, 2:]
     for _ in range(rounds):
         e = np.pad(sheet, 1)
         mean = (e[:-2, 1:-1] + e[2:, 1:-1] + e[1:-1, :-2] + e[1:-1, 2:]) / count
-        sheet = np.maximum(sheet + stiff * (mean - sheet) - 0.3, top)
+        sheet = np.maximum(sheet + stiff * (mean - sheet) - fall, top)
     return have & (np.abs(sheet - top) <= near)
 
 

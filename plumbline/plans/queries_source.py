@@ -381,8 +381,8 @@ def k07_cloth_ground(v):
     """Cloth laid over the turned-over surface; a tile's halo is as wide as the cloth's rounds, so tiles change nothing."""
     from ..operators import raster
 
-    rounds = 60
-    return raster.tiled(v.cells, ["zmin"], rounds, lambda arrays, own: {"ground": solvers.cloth(arrays["zmin"], rounds)[own]}, "rw long, cl long, ground boolean")
+    rounds, low = 200, v.cells.agg(F.min("zmin")).first()[0] or 0.0
+    return raster.tiled(v.cells, ["zmin"], rounds, lambda arrays, own: {"ground": solvers.cloth(arrays["zmin"], rounds, low)[own]}, "rw long, cl long, ground boolean")
 
 
 @query("N01", "SELECT event_type AS stage, max((event_id % 11) / 1e1) AS fraction, count(*) AS events FROM events GROUP BY 1")

@@ -119,7 +119,7 @@ def test_cloth_and_ground_filter_do_not_see_tiles(spark):
     r, c = np.mgrid[0:40, 0:34]
     z = 0.05 * r + np.where((r > 12) & (r < 22) & (c > 8) & (c < 20), 6.0, 0.0)
     cells = spark.createDataFrame(pd.DataFrame({"rw": r.ravel(), "cl": c.ravel(), "zmin": z.ravel()}).iloc[::1]).where("(rw * 7 + cl) % 11 <> 0")
-    for run in (lambda tile: raster.tiled(cells, ["zmin"], 40, lambda a, own: {"ground": solvers.cloth(a["zmin"], 40)[own]}, "rw long, cl long, ground boolean", tile), lambda tile: raster.ground(cells, 1.0).select("rw", "cl", "ground")):
+    for run in (lambda tile: raster.tiled(cells, ["zmin"], 90, lambda a, own: {"ground": solvers.cloth(a["zmin"], 90)[own]}, "rw long, cl long, ground boolean", tile), lambda tile: raster.ground(cells, 1.0).select("rw", "cl", "ground")):
         raster.TILE, old = 12, raster.TILE
         small = run(12).toPandas().sort_values(["rw", "cl"]).ground.to_numpy()
         raster.TILE = old
