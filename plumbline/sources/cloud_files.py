@@ -82,3 +82,31 @@ def colmap_centres(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def safe_stem(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9._-]", "_", name)
+
+
+RAW = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("provenance", "u1")])  # sixteen bytes
+
+
+def to_raw(points: DataFrame) -> DataFrame:
+    """(blob): the points of each batch as raw records."""
+
+    def run(batches):
+        for batch in batches:
+            rec = np.empty(batch.num_rows, RAW)
+            for k in RAW.names:
+                rec[k] = batch.column(k).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([rec.tobytes()], pa.binary())], ["blob"])
+
+    return points.select(*RAW.names).mapInArrow(run, "blob binary")
+
+
+def from_raw(blobs: DataFrame) -> DataFrame:
+    kinds = {k: (pa.float64() if RAW[k].kind == "f" else pa.int64()) for k in RAW.names}
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column(0):
+                rec = np.frombuffer(blob.as_buffer(), RAW)
+                yield pa.RecordBatch.from_arrays([pa.array(rec[k].astype("f8" if RAW[k].kind == "f" else "i8")) for k in RAW.names], schema=pa.schema(list(kinds.items())))
+
+    return blobs.mapInArrow(run, ", ".join(f"{k} {'double' if RAW[k].kind == 'f' else 'long'}" for k in RAW.names))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.graph import shared_folder
+
 
 class ArtifactStore:
     def __init__(self, spark: SparkSession, root: str, revision: str):
@@ -15,8 +16,7 @@ class ArtifactStore:
     @classmethod
     def temporary(cls, spark: SparkSession) -> ArtifactStore:
         """In the folder all machines share; a local one only where the cluster names none."""
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="plumbline-")
-        return cls(spark, root, f"artifacts-{uuid.uuid4().hex}")
+        return cls(spark, shared_folder(spark), f"artifacts-{uuid.uuid4().hex}")
 
     def write(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -28,6 +28,13 @@ class ArtifactStore:
             self._cached[name] = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{name}")
         return self._cached[name]
 
+    def write_json(self, name: str, df: DataFrame) -> None:
+        """Records as JSON lines, one file for each task."""
+        df.write.mode("overwrite").json(f"{self.path}/{name}.json")
+
+    def read_json(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).json(f"{self.path}/{name}.json")
+
     def forget(self, name: str) -> None:
         if name in self._cached:
             self._cached.pop(name).unpersist()

@@ -24,3 +24,8 @@ def job_states(spark: SparkSession, path: str, spans: dict[str, tuple[float, flo
 def telemetry_rate(stream: DataFrame, window: str = "10 seconds", late: str = "1 minute") -> DataFrame:
     """Samples per track and event-time window; later ones than the watermark are left out."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window), "track").agg(F.count(F.lit(1)).alias("n"))
+
+
+def throttled(events: DataFrame, job: str, clock, interval: int, state: str) -> DataFrame:
+    """(job, slot, newest, seen): of each interval of `clock` only the newest state is kept; on a stream one batch of it is written a trigger."""
+    return events.groupBy(job, F.floor(clock / interval).alias("slot")).agg(F.max(state).alias("newest"), F.count(F.lit(1)).alias("seen"))
