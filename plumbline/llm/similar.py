@@ -32,7 +32,7 @@ from .simhash import close, keep, majority, named, row_hash, shingle_hashes
 
 BANDS, ROWS = 40, 7
 RADIUS = 26  # bits
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 18  # of a block of a large group, about
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 17  # of a block of a large group, about
 _RNG = np.random.default_rng(42)
 FACTOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 OFFSET = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
