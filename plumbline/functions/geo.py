@@ -18,15 +18,17 @@ def geodetic_to_ecef(lat: Column, lon: Column, alt: Column) -> tuple[Column, Col
     return (n + alt) * F.cos(la) * F.cos(lo), (n + alt) * F.cos(la) * F.sin(lo), (n * (1 - E2) + alt) * F.sin(la)
 
 
-def ecef_to_geodetic(x: Column, y: Column, z: Column, rounds: int = 6) -> tuple[Column, Column, Column]:
-    """Latitude by a fixed number of fixed-point rounds."""
+def ecef_to_geodetic(x: Column, y: Column, z: Column, rounds: int = 2) -> tuple[Column, Column, Column]:
+    """Latitude by the reduced latitude, whose error a round shrinks a million times; each round names its angle only twice, so the expression stays small."""
     p = F.hypot(x, y)
-    lat = F.atan2(z, p * (1 - E2))
-    for _ in range(rounds):
-        n = F.lit(A) / F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
-        lat = F.atan2(z + E2 * n * F.sin(lat), p)
-    n = F.lit(A) / F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
-    return F.degrees(lat), F.degrees(F.atan2(y, x)), p / F.cos(lat) - n
+    reduced = F.atan2(z * A, p * B)
+    for k in range(rounds):
+        sin, cos = F.sin(reduced), F.cos(reduced)
+        up, out = z + (A * A / (B * B) - 1) * B * F.pow(sin, F.lit(3.0)), p - E2 * A * F.pow(cos, F.lit(3.0))
+        reduced = F.atan2(up * (B / A), out)
+    lat = F.atan2(up, out)
+    n = F.lit(A) / F.sqrt(1 - E2 * F.pow(F.sin(lat), F.lit(2.0)))
+    return F.degrees(lat), F.degrees(F.atan2(y, x)), p * F.cos(lat) + z * F.sin(lat) - A * A / n
 
 
 def enu_basis(lat0: Column, lon0: Column) -> list[list[Column]]:
@@ -107,6 +109,21 @@ def quaternion(r: list[list]) -> tuple[Column, ...]:
     return tuple(F.when(trace > 0, rows[0][k]).when(first, rows[1][k]).when(r[1][1] > r[2][2], rows[2][k]).otherwise(rows[3][k]) for k in range(4))
 
 
+def matrix(q: tuple) -> list[list]:
+    """Rotation matrix of a unit quaternion (w, x, y, z)."""
+    w, x, y, z = q
+    return [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)],
+        [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)],
+        [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)],
+    ]
+
+
+def viewer_axes(r: list[list]) -> list[list]:
+    """World-to-camera with y down and z ahead, to camera-to-world with y up and z back."""
+    return [[r[0][k], -r[1][k], -r[2][k]] for k in range(3)]
+
+
 def slerp(q0: tuple, q1: tuple, t: Column) -> tuple[Column, ...]:
     """Shorter way round; straight interpolation beyond a cosine of 0.9995."""
     dot = sum((a * b for a, b in zip(q0[1:], q1[1:])), q0[0] * q1[0])

@@ -326,14 +326,13 @@ def e09_dense_attribution(v):
     return k.join(v.cameras.select("camera_id", "cz"), c("l_suppkey") == c("camera_id")).where("cz - z > 0").select("l_orderkey", "l_partkey", "l_suppkey", "point_id", "camera_id", r(c("cz") - c("z")).alias("depth"))
 
 
-@query("O01 O02 O04 O05", "SELECT point_id, CASE WHEN confidence >= 0.5 THEN 1e0 ELSE 0e0 END AS mask, confidence * 2 AS feature, round(x * 2, 6) AS value, round(coalesce(sigma, 'inf'::DOUBLE) * 2, 6) AS sigma_value FROM points")
+@query("O04", "SELECT point_id, round(x * 2, 6) AS value, round(coalesce(sigma, 'inf'::DOUBLE) * 2, 6) AS sigma_value FROM points")
 def o01_backends(v):
-    """Exchangeable backends by name, and a value function given as Columns."""
+    """A value function given as Columns."""
     from ..operators import backends
 
-    p = v.points.select("point_id", "confidence", "x", F.coalesce("sigma", F.lit(float("inf"))).alias("s"))
-    p = p.withColumn("mask", backends.create(backends.MASKS, "threshold")("confidence")).withColumn("feature", backends.create(backends.FEATURES, "scale")("confidence"))
-    return backends.measure(p, lambda d: (r(d.x * 2), r(d.s * 2))).select("point_id", "mask", "feature", "value", "sigma_value")
+    p = v.points.select("point_id", "x", F.coalesce("sigma", F.lit(float("inf"))).alias("s"))
+    return backends.measure(p, lambda d: (r(d.x * 2), r(d.s * 2))).select("point_id", "value", "sigma_value")
 
 
 @query("A17", "SELECT point_id, count(*) AS n, min(camera_id) AS first FROM observations GROUP BY 1")

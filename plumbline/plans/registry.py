@@ -28,4 +28,4 @@ def FLAGSHIP(spark, sf_dir):
     return QUERIES["m13_verdicts"](spark, sf_dir)
 
 
-from . import queries_cloud, queries_geo, queries_join, queries_measure, queries_more, queries_source, queries_stats  # noqa: E402,F401
+from . import queries_cloud, queries_geo, queries_join, queries_measure, queries_more, queries_rest, queries_source, queries_stats  # noqa: E402,F401

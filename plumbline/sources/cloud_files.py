@@ -110,3 +110,54 @@ def from_raw(blobs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rec[k].astype("f8" if RAW[k].kind == "f" else "i8")) for k in RAW.names], schema=pa.schema(list(kinds.items())))
 
     return blobs.mapInArrow(run, ", ".join(f"{k} {'double' if RAW[k].kind == 'f' else 'long'}" for k in RAW.names))
+
+
+POSE = np.dtype([("image_id", "<i4"), ("q", "<f8", 4), ("t", "<f8", 3), ("camera", "<i4")])  # the fixed part of a record; a name with a zero byte and the image points follow
+
+
+def to_binary_poses(poses: DataFrame) -> DataFrame:
+    """(blob): world-to-camera poses (image_id, qw..qz, tx..tz) in the binary layout, a file a batch."""
+
+    def run(batches):
+        for b in batches:
+            col = lambda k: b.column(k).to_numpy(zero_copy_only=False)
+            rec = np.zeros(b.num_rows, POSE)
+            rec["image_id"], rec["camera"] = col("image_id"), 1
+            rec["q"], rec["t"] = np.stack([col(f"q{k}") for k in "wxyz"], 1), np.stack([col(f"t{k}") for k in "xyz"], 1)
+            body = b"".join(r.tobytes() + f"f{r['image_id']}.jpg".encode() + bytes(1) + bytes(8) for r in rec)
+            yield pa.RecordBatch.from_arrays([pa.array([np.uint64(len(rec)).tobytes() + body], pa.binary())], ["blob"])
+
+    return poses.mapInArrow(run, "blob binary")
+
+
+def from_binary_poses(blobs: DataFrame) -> DataFrame:
+    """(image_id, name, cx, cy, cz): centres of the poses of binary files."""
+
+    def run(batches):
+        for b in batches:
+            for blob in b.column(0):
+                raw = blob.as_buffer().to_pybytes()
+                at, rows, names = 8, [], []
+                for _ in range(int(np.frombuffer(raw, "<u8", 1)[0])):
+                    rows.append(np.frombuffer(raw, POSE, 1, at)[0])
+                    end = raw.index(0, at + POSE.itemsize)
+                    names.append(raw[at + POSE.itemsize : end].decode())
+                    at = end + 9 + 24 * int(np.frombuffer(raw, "<u8", 1, end + 1)[0])
+                rec = np.array(rows, POSE)
+                w, v = rec["q"][:, :1], -rec["q"][:, 1:]  # the inverse turn of -t
+                x = -rec["t"]
+                c = x + 2 * np.cross(v, np.cross(v, x) + w * x)
+                yield pa.RecordBatch.from_arrays([pa.array(rec["image_id"].astype(np.int64)), pa.array(names), *(pa.array(c[:, k]) for k in range(3))], ["image_id", "name", "cx", "cy", "cz"])
+
+    return blobs.mapInArrow(run, "image_id long, name string, cx double, cy double, cz double")
+
+
+POINTER = b"version https://git-lfs"  # fixed value: how the stand-in of a large file begins
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """(dir, n_files, bytes, pointers, digest) of files (dir, name, content, size); the digest is of the sorted name:hash lines of a folder."""
+    line = F.concat_ws(":", "name", F.sha2("content", 256))
+    pointer = F.substring("content", 1, len(POINTER)) == F.lit(POINTER)
+    rows = files.select("dir", "size", line.alias("line"), pointer.alias("pointer"))
+    return rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").cast("long").alias("bytes"), F.count_if("pointer").alias("pointers"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("line"))), 256).alias("digest"))  # one line a file of a folder

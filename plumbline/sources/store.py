@@ -35,6 +35,14 @@ class ArtifactStore:
     def read_json(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).json(f"{self.path}/{name}.json")
 
+    def write_raster(self, name: str, cells: DataFrame, res: float, crs: str) -> None:
+        """Cells (rw, cl, value; null is no data) and a header row beside them."""
+        self.write(f"raster-{name}", cells)
+        self.write_json(f"raster-{name}-header", self.spark.createDataFrame([(res, crs)], "res double, crs string"))
+
+    def read_raster(self, name: str) -> tuple[DataFrame, DataFrame]:
+        return self.read(f"raster-{name}"), self.read_json(f"raster-{name}-header", "res double, crs string")
+
     def forget(self, name: str) -> None:
         if name in self._cached:
             self._cached.pop(name).unpersist()

@@ -153,6 +153,52 @@ def pos_header(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+ATTITUDES = {"gimbal": "gb|gimbal", "flight": "fl|flight|drone"}
+
+
+def attitudes(blocks: DataFrame, block: str = "block") -> DataFrame:
+    """Camera (gimbal_*) and airframe (flight_*) attitude in degrees and the focal length of subtitle blocks."""
+    b = F.col(block)
+    value = lambda name: number(F.nullif(F.regexp_extract(b, rf"(?i)\b(?:{name})\s*[:=]?\s*(-?[0-9]+\.?[0-9]*)", 1), F.lit("")))
+    out = {f"{what}_{axis}": value(rf"(?:{names})_?{axis}") for what, names in ATTITUDES.items() for axis in ("yaw", "pitch", "roll")}
+    rest = [F.col(x) for x in blocks.columns if x != block]
+    return blocks.select(*rest, *[x.alias(k) for k, x in out.items()], value(r"focal_?len[a-z]*").alias("focal"))
+
+
+def from_pos_files(lines: DataFrame, file: str, gps_minus_utc, line: str = "line") -> DataFrame:
+    """Epoch lines of many solution files, each read as its own header says: clock, coordinate form, height datum.
+
+    utc: seconds; latitude, longitude, altitude in degrees and metres; other
+    columns stay.  A line that can't be read has nulls; header lines go.
+    """
+    head = lines.where(F.col(line).startswith("%")).groupBy(file)
+    has = lambda p: F.coalesce(F.bool_or(F.col(line).rlike(p)), F.lit(False))
+    told = head.agg(
+        F.when(has(r"(?i)^%\s*UTC"), "utc").when(has(r"(?i)^%\s*JST"), "jst").otherwise("gpst").alias("_clock"),
+        F.when(has("x-ecef"), "xyz").when(has("""latitude\\(d'"\\)|\\(dms\\)"""), "dms").otherwise("deg").alias("_form"),
+        F.when(has("(?i)height=.*geodetic"), "msl").when(has("(?i)height=.*ellipsoidal"), "ellipsoidal").otherwise("unknown").alias("datum"),
+    )
+    rows = lines.where(~F.col(line).startswith("%"))
+    tok = F.split(F.trim(F.col(line)), r"\s+")
+    # numbers become columns first: what follows names each of them many times
+    rows = rows.withColumns({f"_n{k}": number(F.get(tok, F.lit(k))) for k in range(9)}).join(told, file, "left").withColumns({"_clock": F.coalesce("_clock", F.lit("gpst")), "_form": F.coalesce("_form", F.lit("deg")), "datum": F.coalesce("datum", F.lit("unknown"))})
+    n = lambda k: F.col(f"_n{k}")
+    dated = tok[0].contains("/")
+    stamp = F.try_to_timestamp(F.concat_ws(" ", tok[0], F.substring_index(tok[1], ".", 1)), F.lit("yyyy/MM/dd HH:mm:ss"))
+    frac = F.coalesce(F.concat(F.lit("0."), F.nullif(F.regexp_extract(tok[1], r"\.([0-9]+)$", 1), F.lit(""))).try_cast("double"), F.lit(0.0))
+    t = F.when(dated, F.unix_timestamp(stamp) + frac).otherwise(315964800 + n(0) * 604800 + n(1))
+    day = F.date_format(F.timestamp_seconds(t.cast("long")), "yyyy-MM-dd")
+    utc = F.when(F.col("_clock") == "utc", t).when(F.col("_clock") == "jst", t - 32400).otherwise(t - gps_minus_utc(day))
+    sign = lambda k: F.when(F.get(tok, F.lit(k)).startswith("-"), -1.0).otherwise(1.0)
+    dms = lambda k: sign(k) * (F.abs(n(k)) + n(k + 1) / 60 + n(k + 2) / 3600)
+    from ..functions import geo
+
+    world = geo.ecef_to_geodetic(n(2), n(3), n(4))
+    pick = lambda deg, minutes, xyz: F.when(F.col("_form") == "dms", minutes).when(F.col("_form") == "xyz", xyz).otherwise(deg)
+    rest = [F.col(x) for x in lines.columns if x not in (line, file)]
+    return rows.select(file, *rest, utc.alias("utc"), pick(n(2), dms(2), world[0]).alias("latitude"), pick(n(3), dms(5), world[1]).alias("longitude"), pick(n(4), n(8), world[2]).alias("altitude"), "datum")
+
+
 def read_pos(spark: SparkSession, path: str) -> DataFrame:
     return from_pos_lines(spark.read.text(path).withColumnRenamed("value", "line"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +30,23 @@ def telemetry_rate(stream: DataFrame, window: str = "10 seconds", late: str = "1
 def throttled(events: DataFrame, job: str, clock, interval: int, state: str) -> DataFrame:
     """(job, slot, newest, seen): of each interval of `clock` only the newest state is kept; on a stream one batch of it is written a trigger."""
     return events.groupBy(job, F.floor(clock / interval).alias("slot")).agg(F.max(state).alias("newest"), F.count(F.lit(1)).alias("seen"))
+
+
+def changes(stream: DataFrame, job: str, order: str, state: str, ended: tuple[str, ...]) -> DataFrame:
+    """(job, order, state): each change of a job's state once, nothing once it has ended; state is kept per job across batches."""
+    key, at, what = (stream.schema[k].dataType.simpleString() for k in (job, order, state))
+
+    def run(name, batches, held):
+        last, done = held.get if held.exists else (None, False)
+        rows = pd.concat(list(batches)).sort_values(order)
+        out = []
+        for k, s in zip(rows[order], rows[state]):
+            if done:
+                break
+            if s != last:
+                out.append((name[0], k, s))
+            last, done = s, s in ended
+        held.update((last, bool(done)))
+        yield pd.DataFrame(out, columns=[job, order, state])
+
+    return stream.groupBy(job).applyInPandasWithState(run, f"{job} {key}, {order} {at}, {state} {what}", f"last {what}, done boolean", "append", "NoTimeout")
