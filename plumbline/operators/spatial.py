@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .graph import HOT_ROWS, cut
 
 
 def cell(axes: list[str], size: float) -> list[Column]:
@@ -20,13 +20,22 @@ def distance(a: str, b: str, axes: list[str]) -> Column:
 
 
 def candidates(queries: DataFrame, points: DataFrame, axes: list[str], size: float, extra: list[str]) -> DataFrame:
-    """(q, p, d): all pairs in the same or touching cells."""
+    """(q, p, d): all pairs in the same or touching cells.
+
+    A cell of more points than a hot key may have is dealt over several tasks,
+    and the queries that look into it go to each of them.
+    """
+    keys = [f"_c{k}" for k in range(len(axes))] + [f"_e{k}" for k in range(len(extra))]
     p = points.select(F.struct(*points.columns).alias("p"), *cell(axes, size), *(F.col(e).alias(f"_e{k}") for k, e in enumerate(extra)))
     shifts = F.array(*[F.array(*map(F.lit, s)) for s in product((-1, 0, 1), repeat=len(axes))])
-    q = queries.select(F.struct(*queries.columns).alias("q"), *cell(axes, size), *(F.col(e).alias(f"_e{k}") for k, e in enumerate(extra))).withColumn("_s", F.explode(shifts))
-    keys = [f"_c{k}" for k in range(len(axes))]
-    q = q.select("q", *[(F.col(k) + F.col("_s")[n]).alias(k) for n, k in enumerate(keys)], *[f"_e{k}" for k in range(len(extra))])
-    return q.join(p, keys + [f"_e{k}" for k in range(len(extra))]).select("q", "p").withColumn("d", distance("q", "p", axes))
+    q = queries.select(F.struct(*queries.columns).alias("q"), *cell(axes, size), *(F.col(e).alias(f"_e{k}") for k, e in enumerate(extra))).withColumn("_shift", F.explode(shifts))
+    q = q.select("q", *[(F.col(f"_c{n}") + F.col("_shift")[n]).alias(f"_c{n}") for n in range(len(axes))], *[f"_e{k}" for k in range(len(extra))])
+    full = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*keys, F.ceil(F.col("_n") / F.lit(float(HOT_ROWS))).cast("long").alias("_salts"))
+    zero = F.lit(0).cast("long")
+    # at most one cell for HOT_ROWS points is in this table
+    p = p.join(F.broadcast(full), keys, "left").withColumn("_s", F.coalesce(F.pmod(F.xxhash64("p"), F.col("_salts")), zero)).drop("_salts")
+    q = q.join(F.broadcast(full), keys, "left").withColumn("_s", F.explode(F.sequence(zero, F.coalesce(F.col("_salts") - 1, zero)))).drop("_salts")
+    return q.join(p, [*keys, "_s"]).select("q", "p").withColumn("d", distance("q", "p", axes))
 
 
 def within(queries: DataFrame, points: DataFrame, axes: list[str], radius: float, extra: list[str] | None = None) -> DataFrame:
@@ -45,7 +54,7 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, point_key: str, axe
         found = candidates(left, points, axes, size, [])
         if other:
             found = found.where(F.col(f"q.{key}") != F.col(f"p.{point_key}"))
-        top = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+        top = cut(found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k))  # read three times below
         if size >= reach:
             return top if done is None else done.unionByName(top)
         settled = top.where((F.col("rank") == k) & (F.col("d") <= size)).select(F.col(f"q.{key}").alias("_k"))
