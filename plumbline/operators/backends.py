@@ -93,11 +93,9 @@ def measure(df: DataFrame, value_fn: Callable[[DataFrame], tuple[Column, Column]
     return df.withColumn("value", value).withColumn("sigma_value", sigma)
 
 
-def observed(df: DataFrame, hook: Callable[[dict], None], **metrics: Column) -> DataFrame:
-    """`df` with metrics that reach `hook` once the query has run, without a pass of their own."""
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Callable[[], dict]]:
+    """(`df`, what tells its metrics once it has run), without a pass of their own."""
     from pyspark.sql import Observation
 
     o = Observation()
-    out = df.observe(o, *[m.alias(k) for k, m in metrics.items()])
-    out._plumbline_report = lambda: hook(o.get)
-    return out
+    return df.observe(o, *[m.alias(k) for k, m in metrics.items()]), lambda: o.get

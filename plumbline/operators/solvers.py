@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 SIMILARITY = "mission long, n long, inliers long, scale double, rmse double, rmse_h double, rmse_v double, normalized_rmse double, scale_sigma double, degenerate boolean, budget string"
 
@@ -296,11 +297,8 @@ def normals(batches):
         yield pd.DataFrame({"vx": b["vx"], "vy": b["vy"], "n": b["n"], "nx": up[:, 0], "ny": up[:, 1], "nz": up[:, 2], "planarity": 1 - 3 * val[:, 0] / total, "degenerate": np.sqrt(np.maximum(val[:, 0], 0) / np.maximum(val[:, 2], 1e-12)) < 0.02})
 
 
-def spread(key, g: pd.DataFrame, limit: int = 12) -> pd.DataFrame:
-    """Directions farthest from all chosen before, seeded with the first; at most `limit`."""
-    g = g.sort_values("camera_id")
-    d = g[["x", "y", "z"]].to_numpy() - g[["cx", "cy", "cz"]].to_numpy()
-    d /= np.linalg.norm(d, axis=1, keepdims=True)
+def chosen_spread(d: np.ndarray, limit: int = 12) -> list[int]:
+    """Rows of unit vectors, each the farthest from all chosen before, seeded with the first; at most `limit`."""
     chosen, far = [0], np.arccos(np.clip(d @ d[0], -1, 1))
     far[0] = 0
     while len(chosen) < min(limit, len(d)):
@@ -310,7 +308,34 @@ def spread(key, g: pd.DataFrame, limit: int = 12) -> pd.DataFrame:
         chosen.append(k)
         far = np.minimum(far, np.arccos(np.clip(d @ d[k], -1, 1)))
         far[k] = 0
-    return pd.DataFrame({"point_id": key[0], "camera_id": g["camera_id"].to_numpy()[chosen], "place": np.arange(1, len(chosen) + 1)})
+    return chosen
+
+
+def spread(batches):
+    """(point_id, camera_id, place) of rows (point_id, camera_id, a, b, d) sorted by point and camera: many points to a batch, no call for each."""
+    held = None
+
+    def points(t, last: bool):
+        ids = t["point_id"].to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]])
+        upto = len(cut) - 1 if last else len(cut) - 2
+        v, cams, out = np.stack([t[k].to_numpy() for k in "abd"], 1), t["camera_id"].to_numpy(), ([], [], [])
+        for x, y in zip(cut[:upto].tolist(), cut[1 : upto + 1].tolist()):
+            k = chosen_spread(v[x:y])
+            out[0].append(np.full(len(k), ids[x]))
+            out[1].append(cams[x:y][k])
+            out[2].append(np.arange(1, len(k) + 1))
+        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)).cast(kind) for o, kind in zip(out, (pa.int64(), pa.int64(), pa.int32()))], ["point_id", "camera_id", "place"])
+        return made, t.slice(int(cut[upto]))
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        if len(t):
+            made, held = points(t, False)
+            yield made
+    if held is not None and len(held):
+        yield points(held, True)[0]
 
 
 def offset_by_alignment(key, g: pd.DataFrame, step: float = 0.1, reach: float = 2.0) -> pd.DataFrame:

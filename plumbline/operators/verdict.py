@@ -13,10 +13,22 @@ from pyspark.sql import functions as F
 MIN_SAMPLES, MIN_SEPARATION, MIN_VIEWS = 20, 2.0, 3
 Z = {50: 0.6745, 68: 1.0, 80: 1.2816, 90: 1.6449, 95: 1.96, 99: 2.5758}
 PRIORITY = (
-    "endpoint_not_observed outside_established_coverage uncertainty_undefined touches_inferred_geometry scale_not_established alignment_degenerate "
-    "scale_uncertainty_dominates degenerate_view_geometry insufficient_views view_geometry_unverified dynamic_contamination interval_exceeds_tolerance "
-    "calibration_regime_mismatch calibration_sample_too_small interval_not_calibrated"
-).split()
+    "endpoint_not_observed",
+    "outside_established_coverage",
+    "uncertainty_undefined",
+    "touches_inferred_geometry",
+    "scale_not_established",
+    "alignment_degenerate",
+    "scale_uncertainty_dominates",
+    "degenerate_view_geometry",
+    "insufficient_views",
+    "view_geometry_unverified",
+    "dynamic_contamination",
+    "interval_exceeds_tolerance",
+    "calibration_regime_mismatch",
+    "calibration_sample_too_small",
+    "interval_not_calibrated",
+)
 NOT_BLOCKING = ("dynamic_contamination", "interval_exceeds_tolerance")
 ADVICE = {
     "endpoint_not_observed": "move the endpoint to observed surface",

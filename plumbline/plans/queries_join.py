@@ -266,7 +266,10 @@ def d02_frame_acceptance(v):
     return f.select("frame_index", F.array_join("rs", ",").alias("reasons"), (F.size("rs") == 0).alias("accepted"))
 
 
-@query("D03", None)
+@query("D03", """WITH RECURSIVE f AS (SELECT camera_id // 50 AS segment, camera_id, row_number() OVER (PARTITION BY camera_id // 50 ORDER BY camera_id) AS k, camera_id * 17 % 13 AS flow, cx, cy FROM cameras),
+s AS (SELECT segment, k, camera_id, camera_id AS last, cx AS lx, cy AS ly FROM f WHERE k = 1 UNION ALL SELECT segment, k, camera_id, CASE WHEN take THEN camera_id ELSE last END, CASE WHEN take THEN cx ELSE lx END, CASE WHEN take THEN cy ELSE ly END
+FROM (SELECT f.*, s.last, s.lx, s.ly, f.camera_id - s.last >= 2 AND (f.flow >= 10 OR f.camera_id - s.last >= 18 OR sqrt((f.cx - s.lx) ^ 2 + (f.cy - s.ly) ^ 2) >= 1) AS take FROM s JOIN f ON f.segment = s.segment AND f.k = s.k + 1))
+SELECT segment, camera_id FROM s WHERE camera_id = last""")
 def d03_keyframes(v):
     """Keyframe rule as a fold: gap >= 2 and (flow >= 10, gap >= 18 or displacement >= 1 m) since the last chosen frame."""
     step = F.struct("camera_id", (c("camera_id") * 17 % 13 / 1.0).alias("flow"), "cx", "cy")
@@ -384,10 +387,10 @@ def h06_even_subsample(v):
     return picked.union(n.where("k % 40 = 0").select("camera_id")).distinct()
 
 
-@query("H07 B16", None)
+@query("H07 B16", "SELECT point_id, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM points ORDER BY md5(point_id::VARCHAR), point_id LIMIT 120000")
 def h07_hash_sample(v):
     """A fixed-size sample by hash order, as the feature is: the same rows every time."""
-    return v.points.orderBy(F.xxhash64("point_id"), "point_id").limit(120_000).select("point_id", r(c("x"), 3).alias("x"), r(c("y"), 3).alias("y"), r(c("z"), 3).alias("z"))
+    return v.points.orderBy(F.md5(c("point_id").cast("string")), "point_id").limit(120_000).select("point_id", r(c("x"), 3).alias("x"), r(c("y"), 3).alias("y"), r(c("z"), 3).alias("z"))
 
 
 @query("H10", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'endpoint_not_observed' WHEN o_orderkey % 7 = 0 THEN 'scale_not_established' WHEN o_orderkey % 3 = 0 THEN 'insufficient_views' END AS dominant FROM orders")

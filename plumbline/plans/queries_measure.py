@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import verdict
+from ..operators.graph import cut
 from ..operators.verdict import dominant  # noqa: F401
 from .registry import query
 
@@ -27,11 +28,15 @@ def lineage(v):
     return v.observations.select("point_id", "camera_id").distinct()
 
 
-def separation(v):
-    """Largest angle between the rays of a point: the arc cosine of the least cosine."""
+def rays(v):
+    """(point_id, camera_id, a, b, d): the unit ray of each observation that made a point; written down, as every use needs it several times."""
     s = lineage(v).join(v.cameras.select("camera_id", "cx", "cy", "cz"), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
     l = F.sqrt((c("x") - c("cx")) ** 2 + (c("y") - c("cy")) ** 2 + (c("z") - c("cz")) ** 2)
-    ray = s.select("point_id", "camera_id", ((c("x") - c("cx")) / l).alias("a"), ((c("y") - c("cy")) / l).alias("b"), ((c("z") - c("cz")) / l).alias("d"))
+    return cut(s.select("point_id", "camera_id", ((c("x") - c("cx")) / l).alias("a"), ((c("y") - c("cy")) / l).alias("b"), ((c("z") - c("cz")) / l).alias("d")))
+
+
+def separation(ray):
+    """Largest angle between the rays of a point: the arc cosine of the least cosine.  A point has at most one ray for each camera."""
     other = ray.select("point_id", *[c(k).alias(f"{k}2") for k in ("camera_id", "a", "b", "d")])
     dot = c("a") * c("a2") + c("b") * c("b2") + c("d") * c("d2")
     return ray.join(other, "point_id").where("camera_id < camera_id2").groupBy("point_id").agg(F.degrees(F.acos(F.least(F.greatest(F.min(dot), F.lit(-1.0)), F.lit(1.0)))).alias("separation"))
@@ -39,7 +44,7 @@ def separation(v):
 
 @query("M11 M12", f"WITH {_RAY} SELECT point_id, round(separation, 5) AS separation FROM sep")
 def m11_ray_separation(v):
-    return separation(v).select("point_id", r(c("separation"), 5).alias("separation"))
+    return separation(rays(v)).select("point_id", r(c("separation"), 5).alias("separation"))
 
 
 _Q = f"""{_RAY}, qq AS (SELECT l_orderkey AS id, min(l_partkey) AS p0, max(l_partkey) AS p1 FROM lineitem GROUP BY 1 HAVING min(l_partkey) < max(l_partkey)),
@@ -57,8 +62,9 @@ def questions(v):
     """Two-point questions with their evidence gathered over both endpoints: the worse end counts."""
     q = v.lineitem.groupBy(c("l_orderkey").alias("id")).agg(F.min("l_partkey").alias("p0"), F.max("l_partkey").alias("p1")).where("p0 < p1")
     ends = q.select("id", F.posexplode(F.array("p0", "p1")).alias("i", "point_id"))
-    views = lineage(v).groupBy("point_id").agg(F.count(F.lit(1)).alias("views"))
-    facts = v.points.join(views, "point_id", "left").join(separation(v), "point_id", "left")
+    ray = rays(v)
+    views = ray.groupBy("point_id").agg(F.count(F.lit(1)).alias("views"))
+    facts = v.points.join(views, "point_id", "left").join(separation(ray), "point_id", "left")
     at = lambda k, i: F.max(F.when(c("i") == i, c(k))).alias(f"{k}{i}")
     return ends.join(facts, "point_id").groupBy("id").agg(
         F.bool_and(c("provenance").isin(0, 1)).alias("observed"),

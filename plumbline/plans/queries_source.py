@@ -294,21 +294,31 @@ def k23_membrane_fill(v):
     return membrane_fill(v.cells, "zmean").select("rw", "cl", r(c("value"), 3).alias("z"), "filled")
 
 
+@query("F21", "SELECT floor(x / 10)::BIGINT AS vx, floor(y / 10)::BIGINT AS vy, count(*) AS n, round(covar_pop(x, x), 6) AS xx, round(covar_pop(x, y), 6) AS xy, round(covar_pop(x, z), 6) AS xz, round(covar_pop(y, y), 6) AS yy, round(covar_pop(y, z), 6) AS yz, round(covar_pop(z, z), 6) AS zz FROM dense GROUP BY 1, 2 HAVING count(*) >= 4")
+def f21_cell_sums(v):
+    """The covariance of each cell of four points or more, from which its normal comes."""
+    s = _cell_sums(v)
+    return s.select("vx", "vy", "n", *[r(c(k)).alias(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
+
+
+def _cell_sums(v):
+    p = v.dense.select(F.floor(c("x") / 10).alias("vx"), F.floor(c("y") / 10).alias("vy"), "x", "y", "z")
+    return p.groupBy("vx", "vy").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]).where("n >= 4")
+
+
 @query("L13 D10 F21", None)
 def l13_cell_normals(v):
     """Normal, planarity and conditioning of each voxel of at least four points."""
-    p = v.dense.select(F.floor(c("x") / 10).alias("vx"), F.floor(c("y") / 10).alias("vy"), "x", "y", "z", "l_orderkey", "l_linenumber")
-    s = p.groupBy("vx", "vy").agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))]).where("n >= 4")
-    return s.mapInPandas(solvers.normals, "vx long, vy long, n long, nx double, ny double, nz double, planarity double, degenerate boolean")
+    return _cell_sums(v).mapInPandas(solvers.normals, "vx long, vy long, n long, nx double, ny double, nz double, planarity double, degenerate boolean")
 
 
 @query("H01", None)
 def h01_supporting_frames(v):
     """Greedy choice of frames that spread the viewing directions most, seeded with the first, at most twelve per point."""
-    from .queries_measure import lineage
+    from .queries_measure import rays
 
-    s = lineage(v).join(v.cameras.select("camera_id", "cx", "cy", "cz"), "camera_id").join(v.points.select("point_id", "x", "y", "z"), "point_id")
-    return s.groupBy("point_id").applyInPandas(lambda key, g: solvers.spread(key, g), "point_id long, camera_id long, place int")
+    by_point = rays(v).repartition("point_id").sortWithinPartitions("point_id", "camera_id")
+    return by_point.mapInArrow(solvers.spread, "point_id long, camera_id long, place int")
 
 
 @query("E09", """WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, y, z FROM dense), n AS (SELECT q.*, p.point_id, round(sqrt((q.x - p.x) ^ 2 + (q.y - p.y) ^ 2 + (q.z - p.z) ^ 2), 9) AS d FROM q JOIN points p ON abs(q.x - p.x) <= 3 AND abs(q.y - p.y) <= 3 AND abs(q.z - p.z) <= 3),
@@ -326,13 +336,14 @@ def e09_dense_attribution(v):
     return k.join(v.cameras.select("camera_id", "cz"), c("l_suppkey") == c("camera_id")).where("cz - z > 0").select("l_orderkey", "l_partkey", "l_suppkey", "point_id", "camera_id", r(c("cz") - c("z")).alias("depth"))
 
 
-@query("O04", "SELECT point_id, round(x * 2, 6) AS value, round(coalesce(sigma, 'inf'::DOUBLE) * 2, 6) AS sigma_value FROM points")
+@query("O04 O05", "SELECT point_id, round(x * 2, 6) AS value, round(coalesce(sigma, 'inf'::DOUBLE) * 2, 6) AS sigma_value FROM points")
 def o01_backends(v):
-    """A value function given as Columns."""
+    """A value function given as Columns; how many rows it made is told to whoever asks once it has run."""
     from ..operators import backends
 
     p = v.points.select("point_id", "x", F.coalesce("sigma", F.lit(float("inf"))).alias("s"))
-    return backends.measure(p, lambda d: (r(d.x * 2), r(d.s * 2))).select("point_id", "value", "sigma_value")
+    d = backends.measure(p, lambda d: (r(d.x * 2), r(d.s * 2))).select("point_id", "value", "sigma_value")
+    return backends.observed(d, rows=F.count(F.lit(1)))[0]
 
 
 @query("A17", "SELECT point_id, count(*) AS n, min(camera_id) AS first FROM observations GROUP BY 1")

@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 
 # The header names each field goes by, and unit words that may follow one.  Nanoseconds, milliseconds and microseconds are other fields, not units.
 ALIASES = {
-    "timestamp": "timestamp time t ts seconds frame_time",
-    "latitude": "latitude lat gps_lat",
-    "longitude": "longitude lon lng long gps_lon",
-    "altitude": "altitude alt height gps_alt ellipsoidal_altitude",
-    "roll": "roll",
-    "pitch": "pitch gimbal_pitch",
-    "yaw": "yaw heading compass_heading",
-    "velocity": "velocity speed ground_speed",
-    "gps_accuracy": "gps_accuracy hdop accuracy hacc",
-    "rtk_status": "rtk_status rtk fix_type",
+    "timestamp": ("timestamp", "time", "t", "ts", "seconds", "frame_time"),
+    "latitude": ("latitude", "lat", "gps_lat"),
+    "longitude": ("longitude", "lon", "lng", "long", "gps_lon"),
+    "altitude": ("altitude", "alt", "height", "gps_alt", "ellipsoidal_altitude"),
+    "roll": ("roll",),
+    "pitch": ("pitch", "gimbal_pitch"),
+    "yaw": ("yaw", "heading", "compass_heading"),
+    "velocity": ("velocity", "speed", "ground_speed"),
+    "gps_accuracy": ("gps_accuracy", "hdop", "accuracy", "hacc"),
+    "rtk_status": ("rtk_status", "rtk", "fix_type"),
 }
-UNITS = "m meter meters metre metres ft feet deg degree degrees rad radian radians s sec secs second seconds mps kmh kph mph knots msl agl wgs84 ellipsoidal orthometric".split()
+UNITS = (
+    "m", "meter", "meters", "metre", "metres", "ft", "feet", "deg", "degree", "degrees", "rad", "radian", "radians", "s", "sec", "secs", "second", "seconds", "mps", "kmh", "kph", "mph", "knots", "msl", "agl", "wgs84", "ellipsoidal", "orthometric",
+)
 INTRINSICS = ("fx", "fy", "cx", "cy")
 
 
@@ -48,7 +50,7 @@ def resolve(headers: list[str]) -> tuple[dict[str, str], list[str]]:
     for how in (plain, without_units):
         for field, names in ALIASES.items():
             for h in headers:
-                if how(h) in names.split() and h not in found.values():
+                if how(h) in names and h not in found.values():
                     if field in found:
                         if how is plain:
                             warnings.append(f"{field}: {h} ignored, {found[field]} is used")

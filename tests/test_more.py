@@ -105,3 +105,22 @@ def test_binary_poses_and_raw_clouds(spark):
     raw = spark.createDataFrame([(1.5, 2.0, 3.0, 255, 0, 7, 2)], "x double, y double, z double, r long, g long, b long, provenance long")
     assert tuple(cloud_files.from_raw(cloud_files.to_raw(raw)).first()) == (1.5, 2.0, 3.0, 255, 0, 7, 2)
     assert len(cloud_files.to_raw(raw).first()["blob"]) == 16
+
+
+def test_metrics_reach_the_callback(spark):
+    df, told = backends.observed(spark.range(25).select((F.col("id") * 2).alias("x")), rows=F.count(F.lit(1)), most=F.max("x"))
+    assert df.count() == 25 and told() == {"rows": 25, "most": 48}
+
+
+def test_cell_normals_of_planes():
+    from plumbline.operators import solvers
+
+    n = np.array([[0.6, 0.0, 0.8], [0.0, 0.0, 1.0]])
+    rows = []
+    for k, up in enumerate(n):
+        p = RNG.normal(size=(200, 3))
+        p -= (p @ up)[:, None] * up
+        cov = np.cov(p.T, bias=True)
+        rows.append({"vx": k, "vy": 0, "n": 200} | {f"{a}{b}": cov[i, j] for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j})
+    got = next(solvers.normals([pd.DataFrame(rows)]))
+    assert np.allclose(got[["nx", "ny", "nz"]].to_numpy(), n, atol=1e-6) and (got.planarity > 0.999).all() and got.degenerate.all()

@@ -141,15 +141,22 @@ def test_offset_of_another_clock():
 
 
 def test_frames_that_spread_most():
-    g = pd.DataFrame(np.column_stack([np.arange(30), RNG.normal(size=(30, 3)) * 50]), columns=["camera_id", "cx", "cy", "cz"]).assign(x=0.0, y=0.0, z=0.0)
-    got = solvers.spread((1,), g).camera_id.tolist()
-    d = -g[["cx", "cy", "cz"]].to_numpy()
+    """Groups of any size, cut by batches of any size."""
+    import pyarrow as pa
+
+    sizes = [30, 1, 2, 15]
+    d = RNG.normal(size=(sum(sizes), 3))
     d /= np.linalg.norm(d, axis=1, keepdims=True)
-    want = [0]
-    while len(want) < 12:
-        far = [min(np.arccos(np.clip(d[k] @ d[w], -1, 1)) for w in want) if k not in want else -1 for k in range(30)]
-        want.append(int(np.argmax(far)))
-    assert got == want
+    ids = np.repeat(np.arange(4), sizes)
+    cams = np.concatenate([np.arange(n) for n in sizes])
+    t = pa.table({"point_id": ids, "camera_id": cams, "a": d[:, 0], "b": d[:, 1], "d": d[:, 2]})
+    got = pa.Table.from_batches(list(solvers.spread(t.to_batches(max_chunksize=7)))).to_pandas()
+    for p, n in enumerate(sizes):
+        x, want = d[ids == p], [0]
+        while len(want) < min(12, n):
+            far = [min(np.arccos(np.clip(x[k] @ x[w], -1, 1)) for w in want) if k not in want else -1 for k in range(n)]
+            want.append(int(np.argmax(far)))
+        assert got[got.point_id == p].sort_values("place").camera_id.tolist() == want
 
 
 def test_area_of_planar_polygons():
