@@ -77,6 +77,12 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def texts_of(column, step: int = 256):
+    """A column's texts one after another, a few hundred at a time as Python strings, so a batch is never held twice."""
+    for a in range(0, len(column), step):
+        yield from column.slice(a, step).to_pylist()
+
+
 def byte_parts(texts, limit: int = 2_000_000):
     """Runs of texts of at most about `limit` characters, so that arrays stay small whatever a batch holds."""
     run, size = [], 0

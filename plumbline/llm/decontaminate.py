@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, free_name, materialize
+from .common import byte_parts, free_name, materialize, texts_of
 
 SHARD_ITEMS, SHARD_CHARS = 20_000, 10_000_000
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
@@ -253,7 +253,7 @@ def _looker(shared, threshold: float, overlap: float):
 
     def look(texts: pa.Array) -> pa.Array:
         index = _open(shared.value)
-        found = [hits for part in byte_parts(texts.to_pylist(), 1_000_000) for hits in index.hits(part, threshold, overlap)]
+        found = [hits for part in byte_parts(texts_of(texts), 1_000_000) for hits in index.hits(part, threshold, overlap)]
         return pa.array([[dict(zip(names, h)) for h in hits] for hits in found], kind)
 
     return look

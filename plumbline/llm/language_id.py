@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, char_stream, fit_in_task, free_name, gram_hashes, held_out, unit_hash
+from .common import byte_parts, char_stream, fit_in_task, free_name, gram_hashes, held_out, texts_of, unit_hash
 
 SIZES, BITS = (1, 2, 3), 12
 UNKNOWN = "und"
@@ -172,7 +172,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
 
     @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
     def predict(texts: pa.Array) -> pa.Array:
-        names, scores, close = shared.value.predict(texts.to_pylist())
+        names, scores, close = shared.value.predict(texts_of(texts))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], ["lang_pred", "score", "ambiguous"])
 
     found = free_name(docs, "found")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import hot_join, materialize
+from .common import hot_join, materialize, texts_of
 from .components import components
 
 BLOCK = 1024  # fingerprints a block of a large bucket holds, about
@@ -61,7 +61,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def with_fingerprint(docs: DataFrame, words: int = 3, text: str = "text", out: str = "fp") -> DataFrame:
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t, words) for t in texts.to_pylist()], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(t, words) for t in texts_of(texts)], np.uint64).view(np.int64))
 
     return docs.withColumn(out, prints(F.col(text)))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import hot_join, materialize
+from .common import hot_join, materialize, texts_of
 from .components import components
 from .simhash import close, keep, majority, named, row_hash, shingle_hashes
 
@@ -63,7 +63,7 @@ def with_bands(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     @F.arrow_udf("struct<fp: long, n: long, bands: array<long>>")
     def run(texts: pa.Array) -> pa.Array:
         keys, sizes, lists = [], [], []
-        for t in texts.to_pylist():
+        for t in texts_of(texts):
             s = shingles(t, words)
             keys.append(set_key(s))
             sizes.append(len(s))

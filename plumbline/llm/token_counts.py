@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fst_tokenizer
+from .common import texts_of
 
 
 def with_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str = "text") -> DataFrame:
@@ -22,7 +23,7 @@ def with_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(np.asarray(fst_tokenizer.load(tokenizer).counts([t or "" for t in texts.to_pylist()])), pa.int64())
+        return pa.array(np.asarray(fst_tokenizer.load(tokenizer).counts(t or "" for t in texts_of(texts))), pa.int64())
 
     return (
         docs.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long"))

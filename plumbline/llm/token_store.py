@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fst_tokenizer, word_ids
-from .common import byte_parts, text_or_empty
+from .common import byte_parts, text_or_empty, texts_of
 
 ENGINES = {"transducer": fst_tokenizer.load, "library": word_ids.load}
 SCHEMA = "part int, doc_id long, place long, n_tokens int, ids array<int>"
@@ -45,7 +45,7 @@ def encode_ordered(batches, tokenizer: str, end_id: int, engine: str):
     for batch in batches:
         part = batch.column(0)[0].as_py() if batch.num_rows else 0
         names, at = batch.column(1), 0
-        for texts in byte_parts(batch.column(2).to_pylist()):
+        for texts in byte_parts(texts_of(batch.column(2)), 1_000_000):
             ids, offsets = machine.encode(texts)
             out = np.insert(ids, offsets[1:], end_id)
             yield part, names.slice(at, len(texts)), out.astype(np.int32), np.diff(offsets) + 1

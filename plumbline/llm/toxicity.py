@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_parts, char_stream, fit_in_task, gram_hashes, held_out, unit_hash
+from .common import byte_parts, char_stream, fit_in_task, gram_hashes, held_out, texts_of, unit_hash
 
 SIZES, BITS = (4, 5, 6), 21
 
@@ -35,7 +35,7 @@ class ToxicityModel:
     weight: np.ndarray  # per feature: regression weight x log-count ratio
     bias: float
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts) -> np.ndarray:
         out = [self._part(part) for part in byte_parts(texts)]
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -142,6 +142,6 @@ def with_score(docs: DataFrame, model: ToxicityModel, text: str = "text", out: s
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(texts.to_pylist()), pa.float64())
+        return pa.array(shared.value.score(texts_of(texts)), pa.float64())
 
     return docs.withColumn(out, score(F.col(text)))
