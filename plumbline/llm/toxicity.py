@@ -36,7 +36,7 @@ class ToxicityModel:
     bias: float
 
     def score(self, texts) -> np.ndarray:
-        out = [self._part(part) for part in byte_parts(texts)]
+        out = [self._part(part) for part in byte_parts(texts, 500_000)]
         return np.concatenate(out) if out else np.zeros(0)
 
     def _part(self, texts: list[str]) -> np.ndarray:
@@ -93,8 +93,9 @@ def fit(texts: list[str], toxic: np.ndarray, smoothing: float = 1.0, min_z: floa
         key = np.unique((doc.astype(np.int64) + first) * (len(kept) + 1) + f)
         pairs.append(key)
         first += len(part)
-    key = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
-    row, feature = key // (len(kept) + 1), key % (len(kept) + 1)
+    row = np.concatenate([np.zeros(0, np.int32), *((k // (len(kept) + 1)).astype(np.int32) for k in pairs)])
+    feature = np.concatenate([np.zeros(0, np.int32), *((k % (len(kept) + 1)).astype(np.int32) for k in pairs)])
+    del pairs, p, q
     value = np.concatenate([[0.0], ratio])
     # features of one text share a unit of weight, so that a step size holds for long texts too
     x = value[feature]
