@@ -124,3 +124,20 @@ def test_cell_normals_of_planes():
         rows.append({"vx": k, "vy": 0, "n": 200} | {f"{a}{b}": cov[i, j] for i, a in enumerate("xyz") for j, b in enumerate("xyz") if i <= j})
     got = next(solvers.normals([pd.DataFrame(rows)]))
     assert np.allclose(got[["nx", "ny", "nz"]].to_numpy(), n, atol=1e-6) and (got.planarity > 0.999).all() and got.degenerate.all()
+
+
+def test_keyframes_have_a_floor_and_a_cap(spark):
+    from types import SimpleNamespace
+
+    from plumbline.plans import queries_join, queries_rest
+
+    still = [(k, 0.0, 0.0) for k in range(50)]  # nothing moves: few are chosen by the rule, thirty by the floor
+    moving = [(50 + k, 5.0 * k, 0.0) for k in range(50)]
+    short = [(100 + k, 0.0, 0.0) for k in range(7)]
+    v = SimpleNamespace(cameras=spark.createDataFrame(still + moving + short, "camera_id long, cx double, cy double"))
+    rule = {s: set(g.camera_id) for s, g in queries_join.d03_keyframes(v).toPandas().groupby("segment")}
+    got = {s: set(g.camera_id) for s, g in queries_rest.d03_keyframes_between(v).toPandas().groupby("segment")}
+    even = lambda xs, n: {xs[i * (len(xs) - 1) // (n - 1)] for i in range(n)}
+    for s, run in ((0, range(50)), (1, range(50, 100)), (2, range(100, 107))):
+        want = sorted(rule[s]) if len(rule[s]) >= min(len(run), 30) else sorted(rule[s] | even(list(run), min(len(run), 30)))
+        assert got[s] == (even(want, 40) if len(want) > 40 else set(want))
