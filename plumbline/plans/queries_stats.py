@@ -117,7 +117,7 @@ def f14_similarity_report(v):
 
 @query("J08 F15", f"""WITH {_BLOCKS}, h AS (SELECT mission, coalesce(max(CASE WHEN block = 'checkpoints' THEN block END), 'raw') AS block FROM b GROUP BY 1),
 st AS (SELECT mission, block, count(*) AS n, sqrt(avg(e ^ 2) + avg(n ^ 2)) AS hz, sqrt(avg(u ^ 2)) AS vt FROM b JOIN h USING (mission, block) GROUP BY 1, 2)
-SELECT mission, block, printf('RMSE horizontal %.3f m, vertical %.3f m, CE90 %.3f m, LE90 %.3f m over %d point(s)', round(hz, 3), round(vt, 3), round(1.5175 * hz, 3), round(1.6449 * vt, 3), n) || CASE WHEN block = 'checkpoints' AND k > 0 THEN printf(', after a translation correction on %d GCP(s)', k) ELSE '' END AS text,
+SELECT mission, block, printf('RMSE horizontal %.3f m, vertical %.3f m, CE90 %.3f m, LE90 %.3f m over %d point(s)', round(round(hz, 6), 3), round(round(vt, 6), 3), round(round(1.5175 * hz, 6), 3), round(round(1.6449 * vt, 6), 3), n) || CASE WHEN block = 'checkpoints' AND k > 0 THEN printf(', after a translation correction on %d GCP(s)', k) ELSE '' END AS text,
 CASE WHEN block = 'raw' AND k > 0 THEN 'every surveyed point was used for the fit' END AS warning FROM st LEFT JOIN s USING (mission)""")
 def j08_headline(v):
     """The report's one sentence per mission: of the checkpoints if there are any, else of all points as reconstructed."""
