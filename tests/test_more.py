@@ -141,3 +141,34 @@ def test_keyframes_have_a_floor_and_a_cap(spark):
     for s, run in ((0, range(50)), (1, range(50, 100)), (2, range(100, 107))):
         want = sorted(rule[s]) if len(rule[s]) >= min(len(run), 30) else sorted(rule[s] | even(list(run), min(len(run), 30)))
         assert got[s] == (even(want, 40) if len(want) > 40 else set(want))
+
+
+def test_splats_by_brute_force(spark):
+    from types import SimpleNamespace
+
+    x = RNG.uniform(0, 30, (80, 3))
+    df = pd.DataFrame(x, columns=list("xyz")).assign(point_id=range(80), r=100, confidence=0.5)
+    got = queries_more.p11_splat_initialisation(SimpleNamespace(points=spark.createDataFrame(df))).toPandas().set_index("point_id")
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    for i in range(80):
+        near = np.argsort(d[i])[:5]
+        up = np.linalg.eigh(np.cov(x[near].T))[1][:, 0]
+        up = up if up[2] >= 0 else -up
+        q = got.loc[i, ["qw", "qx", "qy", "qz"]].to_numpy(float)
+        axis = np.array([2 * (q[1] * q[3] + q[0] * q[2]), 2 * (q[2] * q[3] - q[0] * q[1]), 1 - 2 * (q[1] ** 2 + q[2] ** 2)])
+        assert got.scale[i] == pytest.approx(np.log(d[i][near[1:]].mean()), abs=1e-5) and np.allclose(axis, up, atol=1e-3)
+
+
+def test_a_hole_both_cameras_see_is_filled_from_its_bank(spark):
+    from types import SimpleNamespace
+
+    at = [(r, k) for r in range(30) for k in range(30) if not (12 <= r < 16 and 13 <= k < 17)]
+    roof = {(11, k) for k in range(13, 17)}  # a wall of roofs along the bank counts as three metres over the ground
+    cells = spark.createDataFrame([(r, k, 20.0 if (r, k) in roof else 1.0, 20.0 if (r, k) in roof else 1.0) for r, k in at], "rw long, cl long, zmin double, dsm double")
+    dense = spark.createDataFrame([(k * 2.0 + 1, r * 2.0 + 1, 20.0 if (r, k) in roof else 1.0, 0) for r, k in at for _ in range(2)], "x double, y double, z double, provenance int")
+    cameras = spark.createDataFrame([(1, 30.0, 30.0, 100.0), (2, 32.0, 30.0, 100.0)], "camera_id long, cx double, cy double, cz double")
+    got = queries_more.k24_fill_holes(SimpleNamespace(cells=cells, dense=dense, cameras=cameras, spark=spark)).toPandas()
+    assert {(r, k) for r, k in zip(got.rw, got.cl)} == {(r, k) for r in range(12, 16) for k in range(13, 17)} and got.hole.nunique() == 1
+    assert got.z.between(1.0, 4.0).all() and got[got.rw == 12].z.min() > got[got.rw == 15].z.max()
+    one = SimpleNamespace(cells=cells, dense=dense, cameras=cameras.where("camera_id = 1"), spark=spark)
+    assert queries_more.k24_fill_holes(one).count() == 0
