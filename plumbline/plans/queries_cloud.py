@@ -30,7 +30,7 @@ n AS (SELECT point_id, d, row_number() OVER (PARTITION BY point_id ORDER BY roun
 SELECT point_id FROM m WHERE md < (SELECT avg(md) + 2 * stddev_pop(md) FROM m)""")
 def k02_outlier_removal(v):
     p = v.points.select("point_id", "x", "y", "z")
-    m = spatial.nearest(p, p, "point_id", "point_id", ["x", "y", "z"], 12, 16.0, other=True, reach=256.0).groupBy(c("q.point_id").alias("point_id")).agg(F.avg("d").alias("md"))
+    m = spatial.nearest(p, p, "point_id", "point_id", ["x", "y", "z"], 12, 16.0, other=True).groupBy(c("q.point_id").alias("point_id")).agg(F.avg("d").alias("md"))
     limit = m.agg((F.avg("md") + 2 * F.stddev_pop("md")).alias("limit"))
     return m.crossJoin(F.broadcast(limit)).where("md < limit").select("point_id")
 

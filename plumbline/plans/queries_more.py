@@ -461,7 +461,7 @@ def c25_quaternion_from_normal(v):
 def p11_splat_initialisation(v):
     """Initial splats: scale from the spacing of four neighbours, orientation from their plane, colour and opacity from the point."""
     p = v.points.select("point_id", "x", "y", "z")
-    near = spatial.nearest(p, p, "point_id", "point_id", ["x", "y", "z"], 4, 8.0, other=True, reach=256.0).select(c("q.point_id").alias("point_id"), "p.x", "p.y", "p.z", "d")
+    near = spatial.nearest(p, p, "point_id", "point_id", ["x", "y", "z"], 4, 8.0, other=True).select(c("q.point_id").alias("point_id"), "p.x", "p.y", "p.z", "d")
     around = near.unionByName(p.withColumn("d", F.lit(None).cast("double")))
     pairs = (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))
     s = around.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("spacing"), *[F.covar_pop(a, b).alias(a + b) for a, b in pairs])

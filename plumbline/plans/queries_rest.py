@@ -165,7 +165,7 @@ def e21_time_basis(v):
     """The shift between two clocks from where both were: refused if it varies by over a second, or the places are over five metres apart."""
     q = v.points.select("point_id", (c("x") + 0.1).alias("x"), "y", "z", (c("point_id") * 0.25 - 18).alias("t"))
     p = v.points.select("point_id", "x", "y", "z", (c("point_id") * 0.25).alias("t"))
-    n = spatial.nearest(q, p, "point_id", "point_id", ["x", "y", "z"], 1, 4.0, reach=256.0).select((c("p.t") - c("q.t")).alias("s"), "d")
+    n = spatial.nearest(q, p, "point_id", "point_id", ["x", "y", "z"], 1, 4.0).select((c("p.t") - c("q.t")).alias("s"), "d")
     wide = F.percentile("s", F.lit(0.9)) - F.percentile("s", F.lit(0.1))
     return n.agg(r(F.median("s")).alias("offset"), r(F.median("d")).alias("distance"), ((wide > 1) | (F.median("d") > 5)).alias("refused"))
 
