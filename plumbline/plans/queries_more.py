@@ -178,15 +178,17 @@ def rigid_icp(moving, fixed, key: str, rounds: int = 25, trim: float = 0.8, cell
     import numpy as np
 
     rot, shift, rmse = np.eye(3), np.zeros(3), float("inf")
-    fixed = graph.cut(fixed.select(key, "x", "y", "z"))
+    held = spatial.places(fixed.select(key, "x", "y", "z"), key, ["x", "y", "z"], 1).drop("_ps")
+    moving = graph.cut(moving.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n")))  # rows at one place go the same way
     for _ in range(rounds):
         at = [sum((F.lit(float(rot[i, k])) * c("xyz"[k]) for k in (1, 2)), F.lit(float(rot[i, 0])) * c("x")) + F.lit(float(shift[i])) for i in range(3)]
-        here = graph.cut(moving.select(key, *[a.alias(k) for a, k in zip(at, "xyz")]))
-        pair = graph.cut(spatial.nearest(here, fixed, key, key, ["x", "y", "z"], 1, cell, reach=256.0).select("q", "p", "d"))
-        limit = pair.agg(F.percentile("d", F.lit(trim))).first()[0]
-        q, p = [c(f"q.{k}") for k in "xyz"], [c(f"p.{k}") for k in "xyz"]
+        here = graph.cut(moving.select(*[a.alias(f"_x{i}") for i, a in enumerate(at)], "n").groupBy("_x0", "_x1", "_x2").agg(F.sum("n").alias("n")))
+        near = spatial.near_places(here.drop("n"), held, 1, cell)
+        pair = graph.cut(near.join(here.toDF("_q0", "_q1", "_q2", "n"), ["_q0", "_q1", "_q2"]).withColumn("d", F.sqrt("dd")))
+        limit = pair.agg(F.percentile("d", F.lit(trim), c("n"))).first()[0]
+        q, p = [c(f"_q{i}") for i in range(3)], [c(f"_x{i}") for i in range(3)]
         terms = {"n": F.lit(1.0), "e": c("d") * c("d")} | {f"q{i}": q[i] for i in range(3)} | {f"p{i}": p[i] for i in range(3)} | {f"m{i}{j}": p[i] * q[j] for i in range(3) for j in range(3)}
-        s = pair.where(c("d") <= limit).agg(*[F.sum(x).alias(k) for k, x in terms.items()]).first()
+        s = pair.where(c("d") <= limit).agg(*[F.sum(x * c("n")).alias(k) for k, x in terms.items()]).first()
         mq, mp = (np.array([s[f"{k}{i}"] for i in range(3)]) / s["n"] for k in "qp")
         u, _, vt = np.linalg.svd(np.array([[s[f"m{i}{j}"] for j in range(3)] for i in range(3)]) / s["n"] - np.outer(mp, mq))
         step = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
