@@ -306,12 +306,17 @@ _IN_FRAME = "px >= 0 and px < 128 and py >= 0 and py < 72"
 
 def _projected(v):
     """Points in the low-resolution image of each camera that has them in view: met by ground cells, never all with all."""
+    return _into(v, v.points.select("point_id", "provenance", "x", "y", "z", "r", "g", "b"))
+
+
+def _into(v, points):
+    """`points` as the cameras see them, with px, py and dz for their coordinates."""
     low = v.points.agg(F.min("z").alias("low"))  # one row
     k = footprints(v.cameras.crossJoin(F.broadcast(low)), c("low"))
     dz = c("cz") - c("z")
-    p = v.points.select("point_id", "provenance", "x", "y", "z", "r", "g", "b", F.floor(c("x") / SIDE).alias("ix"), F.floor(c("y") / SIDE).alias("iy"))
-    seen = p.join(k, ["ix", "iy"]).where(dz > 1e-6)
-    return seen.select("camera_id", "point_id", "provenance", "r", "g", "b", F.floor(80 * (c("x") - c("cx")) / dz + 64).alias("px"), F.floor(80 * (c("cy") - c("y")) / dz + 36).alias("py"), dz.alias("dz")).where(_IN_FRAME)
+    seen = points.withColumns({"ix": F.floor(c("x") / SIDE), "iy": F.floor(c("y") / SIDE)}).join(k, ["ix", "iy"]).where(dz > 1e-6)
+    rest = [x for x in points.columns if x not in ("x", "y", "z")]
+    return seen.select("camera_id", *rest, F.floor(80 * (c("x") - c("cx")) / dz + 64).alias("px"), F.floor(80 * (c("cy") - c("y")) / dz + 36).alias("py"), dz.alias("dz")).where(_IN_FRAME)
 
 
 def _zbuffer(projected):
@@ -333,17 +338,24 @@ FROM pr p JOIN zd USING (camera_id, px, py) LEFT JOIN cl USING (camera_id, px, p
 SELECT q.point_id, count(res) AS votes, count(*) FILTER (WHERE near AND colour) AS agree, count(*) FILTER (WHERE near AND colour) >= 2 AS verified, round(median(res), 6) AS residual FROM points q LEFT JOIN vt USING (point_id) WHERE q.provenance = 2 GROUP BY 1""")
 def k28_verify_inferred(v):
     """Inferred points against what cameras see there: depth within 1 m and 5 %, colour of the nearest observed point within 60, two views or more."""
-    p = _projected(v)
-    shade = F.min(F.struct("dz", "point_id", "r", "g", "b"))
-    colour = p.where("provenance in (0, 1)").groupBy("camera_id", "px", "py").agg(shade.alias("o"))
-    votes = p.where("provenance = 2").join(_zbuffer(p), ["camera_id", "px", "py"]).join(colour, ["camera_id", "px", "py"], "left")
-    off = sum((F.abs(c(f"o.{k}") - c(k)) for k in "gb"), F.abs(c("o.r") - c("r"))) / 3.0
-    fits = F.coalesce((c("o.r") + c("o.g") + c("o.b") == 0) | (off <= 60), F.lit(True))
+    at = ["x", "y", "z"]  # points at one place are seen alike: each place is projected once
+    first = F.min(F.struct("point_id", "r", "g", "b"))
+    seen = graph.cut(_into(v, v.points.where("provenance in (0, 1)").groupBy(*at).agg(first.alias("o"), F.lit(0).alias("provenance"))))  # read twice below
+    colour = seen.groupBy("camera_id", "px", "py").agg(F.min(F.struct("dz", "o")).alias("m")).select("camera_id", "px", "py", c("m.o").alias("o"))
+    inferred = v.points.where("provenance = 2")
+    spots = graph.cut(inferred.groupBy(*at).agg(F.count(F.lit(1)).alias("n")))
+    sights = _into(v, spots.select(*at, F.struct(*at).alias("at"))).join(_zbuffer(seen), ["camera_id", "px", "py"]).join(colour, ["camera_id", "px", "py"], "left")
     res = F.abs(c("dz") - c("depth"))
-    agree = F.sum((F.coalesce(res <= 1 + 0.05 * c("depth"), F.lit(False)) & fits).cast("long"))
-    found = votes.groupBy("point_id").agg(F.count(F.lit(1)).alias("votes"), agree.alias("agree"), r(F.median(res)).alias("residual"))
-    n = lambda k: F.coalesce(k, F.lit(0))
-    return v.points.where("provenance = 2").select("point_id").join(found, "point_id", "left").select("point_id", n("votes").alias("votes"), n("agree").alias("agree"), (n("agree") >= 2).alias("verified"), "residual")
+    near = F.when(res <= 1 + 0.05 * c("depth"), F.struct(*[c(f"o.{k}").alias(k) for k in "rgb"]))
+    votes = sights.groupBy("at").agg(F.array_sort(F.collect_list(res)).alias("res"), F.collect_list(near).alias("near"))  # one entry for each camera that sees the place
+    found = spots.join(votes.select("at.*", "res", "near"), at, "left")
+    middle = (F.get("res", F.floor((F.size("res") - 1) / 2).cast("int")) + F.get("res", F.floor(F.size("res") / 2).cast("int"))) / 2
+    found = found.select(*at, "n", F.when(c("res").isNull(), 0).otherwise(F.size("res")).cast("long").alias("votes"), r(middle).alias("residual"), "near")
+    every = graph.hot_join(inferred.select("point_id", *at, "r", "g", "b"), found, at, "n", "point_id")
+    off = lambda o: (F.abs(o["r"] - c("r")) + F.abs(o["g"] - c("g")) + F.abs(o["b"] - c("b"))) / 3.0
+    fits = lambda o: F.coalesce((o["r"] + o["g"] + o["b"] == 0) | (off(o) <= 60), F.lit(True))
+    agree = F.when(c("near").isNull(), 0).otherwise(F.size(F.filter("near", fits))).cast("long")
+    return every.select("point_id", "votes", agree.alias("agree"), (agree >= 2).alias("verified"), "residual")
 
 
 _COV = f"""{_ZB}, vx AS (SELECT a.ix, b.iy, d.iz FROM range(0, 10) a(ix), range(0, 10) b(iy), range(0, 3) d(iz)), sf AS (SELECT DISTINCT floor(x / 10)::BIGINT AS ix, floor(y / 10)::BIGINT AS iy, floor(z / 5)::BIGINT AS iz FROM points),
