@@ -182,8 +182,8 @@ def from_pos_files(lines: DataFrame, file: str, gps_minus_utc, line: str = "line
     )
     rows = lines.where(~F.col(line).startswith("%"))
     tok = F.split(F.trim(F.col(line)), r"\s+")
-    # numbers become columns first: what follows names each of them many times
-    rows = rows.withColumns({f"_n{k}": number(F.get(tok, F.lit(k))) for k in range(9)}).join(told, file, "left").withColumns({"_clock": F.coalesce("_clock", F.lit("gpst")), "_form": F.coalesce("_form", F.lit("deg")), "datum": F.coalesce("datum", F.lit("unknown"))})
+    # numbers become columns first: what follows names each of them many times; `told` is one short row a file, and dealing lines by file would put a file into one task
+    rows = rows.withColumns({f"_n{k}": number(F.get(tok, F.lit(k))) for k in range(9)}).join(F.broadcast(told), file, "left").withColumns({"_clock": F.coalesce("_clock", F.lit("gpst")), "_form": F.coalesce("_form", F.lit("deg")), "datum": F.coalesce("datum", F.lit("unknown"))})
     n = lambda k: F.col(f"_n{k}")
     dated = tok[0].contains("/")
     stamp = F.try_to_timestamp(F.concat_ws(" ", tok[0], F.substring_index(tok[1], ".", 1)), F.lit("yyyy/MM/dd HH:mm:ss"))
