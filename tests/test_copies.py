@@ -114,3 +114,8 @@ def test_files_are_not_dealt_by_file(spark):
         assert "SortMergeJoin" not in plan(registry.QUERIES["a10_solution_forms"](spark, SMALL))
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_points_of_a_radius_join_are_not_broadcast(spark):
+    text = plan(registry.QUERIES["e06_radius_join"](spark, SMALL))
+    assert text.count("SortMergeJoin") == 1 and text.count("BroadcastHashJoin") == 2  # the two tables of full cells
