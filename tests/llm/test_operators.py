@@ -213,6 +213,37 @@ def test_bit_sliced_distances_and_large_buckets(spark, monkeypatch):
     assert roots == 1
 
 
+@pytest.mark.parametrize("hot", [100_000, 5])
+def test_rounds_of_components(spark, monkeypatch, hot):
+    """Chains, a wide star and random edges: the roots, by exchanges of which the driver plans few a round; stars need no round."""
+    from plumbline.llm import components
+
+    plans = []
+
+    def written(df, name):
+        plans.append(len(re.findall(r"\bExchange\b", df._jdf.queryExecution().toString().split("== Physical Plan ==")[1])))
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(components, "materialize", written)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = np.random.default_rng(7)
+    edges = [(k, k + 1) for k in range(-40, 40)] + [(1000, 1000 + k) for k in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2200, (150, 2))] + [(5000, 5000)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    before = None
+    while before != label:
+        before = dict(label)
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    assert {r["node"]: r["root"] for r in components.components(frame).collect()} == label
+    assert len(plans) > 2 and (hot == 5 or max(plans[1:]) <= 3)
+    plans.clear()
+    stars = spark.createDataFrame([(k, k % 10) for k in range(10, 100)], "u long, v long")
+    assert components.components(stars).count() == 100 and len(plans) == 1
+    assert components.components(stars.where("u < 0")).count() == 0
+
+
 def secrets_by_hand(text: str) -> list[tuple[int, int, int]]:
     word = "|".join("".join(f"[{c.lower()}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token"))
     assign = re.compile(rf"""({word}|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
